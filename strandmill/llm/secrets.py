@@ -1,0 +1,155 @@
+"""Secrets in texts: patterns that stand alone, and parts of a credential that count only together.
+
+Three kinds are reported wherever they occur (assign, access, hex).  Further parts are weak: a short access identifier, a
+mixed token of the shape that signing keys have, an endpoint.  Within a scope (a paragraph, bounded by empty lines) each
+weak part is widened to an interval and joined with the intervals of complementary parts, strong or weak; it is
+reported, as kind:start:end, only if they meet.  Both sides are swept in order of their start, so a scope with many
+parts takes linear time and no list of pairs.
+
+Defined results: a null text counts as empty and has no spans; equal texts have equal spans; repeated rows give repeated
+rows; columns other than the two that are named are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .shared import text_slices, texts_of
+
+KINDS = ["assign", "access", "hex", "weak_access", "weak_token", "weak_endpoint"]
+#: Code points between the parts of one credential, at most.
+REACH = 400
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+#: A match always takes the whole run, so a least length within the pattern finds the same matches as a test after it.
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+_HEX = re.compile(r"[0-9a-f]{16,}")
+_WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{6,13}(?![A-Za-z0-9])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[a-z0-9+/_=-]{0,60}[A-Z])[A-Za-z0-9+/_-]{20,60}={0,2}(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@-]{4,200}|(?<![A-Za-z0-9.-])[a-z0-9-]{1,40}\.(?:amazonaws|googleapis|azure|internal)\.[a-z]{2,8}")
+_BREAK = re.compile(r"\n[ \t\r]*\n")
+#: What a part completes: an identifier needs a secret, a secret an identifier or an endpoint, an endpoint both kinds of key.
+_COMPLEMENTS = {
+    "weak_access": {"assign", "hex", "weak_token"},
+    "weak_token": {"access", "weak_access", "weak_endpoint"},
+    "weak_endpoint": {"assign", "access", "hex", "weak_access"},
+}
+_ROLE = {k: i for i, k in enumerate(KINDS)}
+
+Span = tuple[str, int, int]
+
+
+def base_spans(text: str) -> list[Span]:
+    """The spans that count by themselves, by start and then kind."""
+    found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    if "AKIA" in text:
+        found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
+    found += [("hex", *m.span()) for m in _HEX.finditer(text)]
+    return sorted(found, key=lambda s: (s[1], _ROLE[s[0]], s[2]))
+
+
+def weak_parts(text: str) -> list[Span]:
+    """Candidates that need a complement."""
+    found = []
+    if "A" in text:
+        found += [("weak_access", *m.span()) for m in _WEAK_ACCESS.finditer(text)]
+    found += [("weak_token", *m.span()) for m in _TOKEN.finditer(text)]
+    if "://" in text or "." in text:
+        found += [("weak_endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
+    return sorted(found, key=lambda s: (s[1], _ROLE[s[0]], s[2]))
+
+
+def linked(parts: list[Span], scopes: list[int], reach: int = REACH) -> list[Span]:
+    """The weak parts that, widened by `reach`, meet a complementary part of the same scope.  scopes: where scopes begin.
+
+    Parts come by start.  For each weak kind one sweep keeps the complement that ends last so far and looks at the next
+    one ahead; a part that overlaps the weak one itself is no complement.
+    """
+    out = []
+    scope = [bisect_right(scopes, s) for _, s, _ in parts]
+    for weak, needs in _COMPLEMENTS.items():
+        mine = [i for i, p in enumerate(parts) if p[0] == weak]
+        if not mine:
+            continue
+        others = [i for i, p in enumerate(parts) if p[0] in needs]
+        at = 0
+        before: tuple[int, int] | None = None  # scope and end of the complement that ends last
+        for i in mine:
+            _, a, b = parts[i]
+            while at < len(others) and parts[others[at]][1] < a:
+                j = others[at]
+                if parts[j][2] <= a and (before is None or (scope[j], parts[j][2]) > before):
+                    before = (scope[j], parts[j][2])
+                elif parts[j][2] > a:
+                    break
+                at += 1
+            ahead = at
+            while ahead < len(others) and parts[others[ahead]][1] < b:  # overlaps the weak part
+                ahead += 1
+            near = before is not None and before[0] == scope[i] and a - before[1] <= reach
+            if not near and ahead < len(others):
+                j = others[ahead]
+                near = scope[j] == scope[i] and parts[j][1] - b <= reach
+            if near:
+                out.append(parts[i])
+    return out
+
+
+def all_spans(text: str, reach: int = REACH) -> tuple[list[Span], list[Span]]:
+    """Base spans, and all spans with the linked weak parts."""
+    base, weak = base_spans(text), weak_parts(text)
+    if not weak or len(base) + len(weak) < 2:
+        return base, base
+    known = lambda s: any(a <= s[1] and s[2] <= b for _, a, b in base[max(0, bisect_right(starts, s[1]) - 3) : bisect_right(starts, s[1])])
+    starts = [a for _, a, _ in base]
+    weak = [s for s in weak if not known(s)]
+    key = lambda s: (s[1], _ROLE[s[0]], s[2])
+    scopes = [m.end() for m in _BREAK.finditer(text)]
+    return base, sorted(base + linked(sorted(base + weak, key=key), scopes, reach), key=key)
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def redacted(text: str, spans: list[Span], mark: str = "[secret]") -> str:
+    """The text with each span, or run of overlapping spans, replaced."""
+    out, at, end = [], 0, -1
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if a >= max(end, 0) and (end < 0 or a > end or a == end):
+            out += [text[at:a], mark]
+        at = end = max(end, b)
+    return "".join([*out, text[at:]])
+
+
+def find_secrets(docs: DataFrame, reach: int = REACH, redact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_assign, n_access, n_hex, n_linked, base_sha256, spans and, with `redact`, the text without the spans
+    (null for null)."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, n_linked bigint, base_sha256 string, spans string" + ", redacted string" * redact
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text_col):
+                counts: list[list[int]] = [[], [], [], []]
+                hashes, spans, clean = [], [], []
+                for given in part.column(text_col).to_pylist():
+                    base, found = all_spans(given or "", reach)
+                    for i, k in enumerate(KINDS[:3]):
+                        counts[i].append(sum(s[0] == k for s in base))
+                    counts[3].append(len(found) - len(base))
+                    hashes.append(hashlib.sha256(joined(base).encode()).hexdigest())
+                    spans.append(joined(found))
+                    clean.append(given if not found else redacted(given, found)) if redact else None
+                cols = [part.column(id_col), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes), pa.array(spans)]
+                names = [id_col, "n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"]
+                if redact:
+                    cols.append(pa.array(clean, pa.string()))
+                    names.append("redacted")
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
