@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .langid import fit_language_model, identify_languages
+from .mixing import ORACLE as MIX_ORACLE
+from .mixing import mix_sources
 from .secrets import find_secrets
 from .shared import table
 from .token_counts import prefix_token_counts
@@ -38,14 +41,23 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, fit_language_model(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_secret_scan, op5_token_counts, op6_url_rules, op9_byte_bpe)
+    ops = (op2_secret_scan, op5_token_counts, op6_url_rules, op7_mix_sources, op9_byte_bpe, op10_language_id)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": URL_ORACLE}
+    return {"op6_url_rules": URL_ORACLE, "op7_mix_sources": MIX_ORACLE}
