@@ -10,7 +10,8 @@ from .bpe import bpe_round_trip
 from .langid import fit_language_model, identify_languages
 from .mixing import ORACLE as MIX_ORACLE
 from .mixing import mix_sources
-from .secrets import find_secrets
+from .near_vectors import near_duplicate_vectors
+from .credentials import find_secrets
 from .shared import table
 from .token_counts import prefix_token_counts
 from .url_rules import ORACLE as URL_ORACLE
@@ -33,6 +34,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512, store=False)
 
@@ -55,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_secret_scan, op5_token_counts, op6_url_rules, op7_mix_sources, op9_byte_bpe, op10_language_id)
+    ops = (op2_secret_scan, op3_near_vectors, op5_token_counts, op6_url_rules, op7_mix_sources, op9_byte_bpe, op10_language_id)
     return {f.__name__: f for f in ops}
 
 
