@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .jaccard import jaccard_components
 from .langid import fit_language_model, identify_languages
 from .mixing import ORACLE as MIX_ORACLE
 from .mixing import mix_sources
@@ -50,6 +51,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
 
@@ -60,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_secret_scan, op3_near_vectors, op5_token_counts, op6_url_rules, op7_mix_sources, op9_byte_bpe, op10_language_id)
+    ops = (op2_secret_scan, op3_near_vectors, op5_token_counts, op6_url_rules, op7_mix_sources, op8_jaccard_join, op9_byte_bpe, op10_language_id)
     return {f.__name__: f for f in ops}
 
 
