@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .jaccard import jaccard_components
 from .langid import fit_language_model, identify_languages
+from .main_text import extract_main_text
 from .mixing import ORACLE as MIX_ORACLE
 from .mixing import mix_sources
 from .near_vectors import near_duplicate_vectors
@@ -39,6 +40,10 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512, store=False)
 
@@ -65,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_secret_scan, op3_near_vectors, op5_token_counts, op6_url_rules, op7_mix_sources, op8_jaccard_join, op9_byte_bpe, op10_language_id)
+    ops = (op2_secret_scan, op3_near_vectors, op4_main_text, op5_token_counts, op6_url_rules, op7_mix_sources, op8_jaccard_join, op9_byte_bpe, op10_language_id)
     return {f.__name__: f for f in ops}
 
 
