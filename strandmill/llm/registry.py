@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .jaccard import jaccard_components
 from .langid import fit_language_model, identify_languages
 from .main_text import extract_main_text
+from .media import read_payloads, store_payloads
 from .mixing import ORACLE as MIX_ORACLE
 from .mixing import mix_sources
 from .near_vectors import near_duplicate_vectors
@@ -32,6 +33,10 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_payloads(store_payloads(table(spark, sf_dir, "documents")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_secret_scan, op3_near_vectors, op4_main_text, op5_token_counts, op6_url_rules, op7_mix_sources, op8_jaccard_join, op9_byte_bpe, op10_language_id)
+    ops = (op1_media_payloads, op2_secret_scan, op3_near_vectors, op4_main_text, op5_token_counts, op6_url_rules, op7_mix_sources, op8_jaccard_join, op9_byte_bpe, op10_language_id)
     return {f.__name__: f for f in ops}
 
 
