@@ -157,7 +157,7 @@ query("coverage_fiveprime", _FIVE + ' SELECT * FROM cv WHERE "end" IS NOT NULL')
 _ONCE = READS.replace("reads AS (", "every AS (") + ", reads AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chromosome, strand, position ORDER BY row_ix) AS k FROM every WHERE chromosome IS NOT NULL AND position IS NOT NULL) WHERE k = 1)"
 query("depth_of_coverage", _coverage("position", "position + length(sread) - 1") + """, dp AS (SELECT depth AS coverage, CAST(sum("end" - start + 1) AS bigint) AS count FROM cv WHERE depth > 0 GROUP BY 1)
  SELECT coverage, count, CAST(sum(count) OVER (ORDER BY coverage) AS double) / CAST(sum(count) OVER () AS double) AS cumulative FROM dp""", _ONCE)(lambda r: I.depth_histogram(r))
-query("coverage_window", "SELECT strand, CAST(p AS int) AS "at", count(*) AS depth FROM reads, (SELECT unnest(range(100, 151)) AS p) WHERE chromosome = '2-HIGH' AND position <= p AND position + length(sread) - 1 >= p GROUP BY 1, 2")(lambda r: I.coverage_window(r, "2-HIGH", 100, 150))
+query("coverage_window", "SELECT strand, CAST(p AS int) AS \"at\", count(*) AS depth FROM reads, (SELECT unnest(range(100, 151)) AS p) WHERE chromosome = '2-HIGH' AND position <= p AND position + length(sread) - 1 >= p GROUP BY 1, 2")(lambda r: I.coverage_window(r, "2-HIGH", 100, 150))
 query("as_ranges", "SELECT chromosome, position AS start, position + length(sread) - 1 AS \"end\", strand, concat(CAST(length(sread) AS varchar), 'M') AS cigar, id, sread, qual FROM reads WHERE chromosome IS NOT NULL AND position IS NOT NULL")(lambda r: I.as_ranges(r))
 
 query("append", "SELECT row_ix, id FROM reads UNION ALL SELECT row_ix + (SELECT max(row_ix) FROM reads), id FROM reads WHERE tile = 1")(lambda r: X.append(r, r.where("tile = 1")).select("row_ix", "id"))
