@@ -1,2 +1,258 @@
-QUERIES = {}
-ORACLES = {}
+"""Quality assessment of reads and alignments: tables by lane or file, flags, and reports.
+
+assess() gives the tables of a run at once; collate() runs an ordered list of summaries that share a filter.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..errors import ArgumentMismatch, IncompatibleTypes
+from ..functions.trim import adapter_bounds
+from ..operators import intervals as I
+from ..operators import summaries as A
+from ..operators.tables import exact_sample
+from .surrogate import READS, reads
+
+Tables = dict[str, DataFrame]
+
+
+def adapter_contamination(df: DataFrame, left: str = "", right: str = "", left_allowed=0.1, right_allowed=0.2, least: int = 9, by: str = "lane") -> DataFrame:
+    """Share of each lane's reads from which trimming adapters takes more than `least` letters; null without adapters."""
+    if not left and not right:
+        return df.select(by).distinct().withColumn("contamination", F.lit(None).cast("double"))
+    start, end = adapter_bounds("sread", left, right, left_allowed, right_allowed)
+    cut = df.select(by, F.length("sread").alias("w"), start.alias("s"), end.alias("e"))
+    return cut.groupBy(by).agg(F.avg((F.greatest(F.col("e") - F.col("s") + 1, F.lit(0)) < F.col("w") - least).cast("double")).alias("contamination"))
+
+
+def assess(df: DataFrame, by: str = "lane", kept: Column | None = None, aligned: Column | None = None, encoding: str = "phred33", sample: int | None = 1_000_000, top: int = 50, **adapters) -> Tables:
+    """The tables of a run by lane.  Reads are first sampled to exactly `sample` of each lane; counts are of all reads.
+
+    kept and aligned tell which reads passed the instrument's filter and which were aligned; tables that depend on it
+    have a row type: read, filtered or aligned.
+    """
+    no = F.lit(None).cast("bigint")
+    total = lambda c: no if c is None else F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    counts = df.groupBy(by).agg(F.count("*").alias("read"), total(kept).alias("filtered"), total(aligned).alias("aligned"))
+    some = exact_sample(df, sample, (by,)) if sample else df
+    types = [F.lit("read")] + [F.when(F.coalesce(c, F.lit(False)), n) for n, c in (("filtered", kept), ("aligned", aligned)) if c is not None]
+    typed = some.withColumn("type", F.explode(F.array_compact(F.array(*types))))
+    group = (by, "type")
+    pairs = A.pairs_by_cycle(some, (by,))
+    out = {
+        "read_counts": counts,
+        "base_calls": A.letter_totals(some, by=(by,)).withColumnRenamed("other", "N"),
+        "read_quality": A.quality_density(typed, encoding, group),
+        "base_quality": A.quality_use(some, (by,)),
+        "frequent_sequences": A.top_sequences(typed, top, group),
+        "sequence_distribution": A.occurrence_distribution(typed, group),
+        "cycle_base_calls": A.base_calls(pairs, (by,)),
+        "cycle_quality": A.cycle_qualities(pairs, encoding, (by,)),
+        "adapter_contamination": adapter_contamination(some, by=by, **adapters),
+    }
+    if "align_quality" in df.columns:
+        out["align_quality"] = A.value_counts(some, "align_quality", (by,))
+    if "n_match" in df.columns:
+        out["multiple_alignment"] = A.value_counts(some, "n_match", (by,))
+    if "tile" in df.columns:
+        out["tiles"] = A.tile_counts(some, kept, aligned, (by,))
+    if {"chromosome", "position", "strand"} <= set(df.columns):
+        out["depth"] = I.depth_histogram(some, by)
+    return out
+
+
+def assess_export(df: DataFrame, by: str = "lane", **options) -> Tables:
+    """Alignments with an instrument's filter: reads, those that passed it, and of them those with a position."""
+    passed = F.col("filtering") == "Y"
+    return assess(df, by, passed, passed & F.col("position").isNotNull(), "phred64", **options)
+
+
+def assess_realign(df: DataFrame, by: str = "lane", **options) -> Tables:
+    return assess(df, by, None, F.col("n_match") == 1, "phred64", **options)
+
+
+def assess_bowtie(df: DataFrame, by: str = "lane", encoding: str = "phred33", **options) -> Tables:
+    return assess(df, by, None, F.col("position").isNotNull(), encoding, **options)
+
+
+def assess_map(df: DataFrame, by: str = "lane", **options) -> Tables:
+    """Alignments whose minus-strand reads are first turned back."""
+    from ..functions.sequence import reverse_complement
+
+    minus = F.col("strand") == "-"
+    turned = df.withColumns({"sread": F.when(minus, reverse_complement("sread")).otherwise(F.col("sread")), "qual": F.when(minus, F.reverse("qual")).otherwise(F.col("qual"))})
+    return assess(turned, by, None, F.col("position").isNotNull(), **options)
+
+
+def bind(*runs: Tables) -> Tables:
+    """The tables of several runs, one below the other; they must be of one kind."""
+    if any(set(r) != set(runs[0]) for r in runs):
+        raise IncompatibleTypes("runs differ in their tables")
+    out = dict(runs[0])
+    for run in runs[1:]:
+        out = {k: v.unionByName(run[k]) for k, v in out.items()}
+    return out
+
+
+# --- summaries in turn ------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Summary:
+    """A named table of a source's reads.
+
+    use_filter: only reads that earlier summaries left in; add_filter: a test of reads that later ones leave out.
+    """
+
+    name: str
+    table: Callable[[DataFrame], DataFrame]
+    flag: Callable[[DataFrame], DataFrame] | None = None
+    use_filter: bool = True
+    add_filter: Callable[[DataFrame], Column] | None = None
+
+
+def nucleotide_use() -> Summary:
+    return Summary("nucleotide_use", lambda df: A.letter_totals(df, by=("source",)))
+
+
+def quality_use() -> Summary:
+    return Summary("quality_use", lambda df: A.quality_cumulative(A.quality_use(df, ("source",)), ("source",)))
+
+
+def sequence_use() -> Summary:
+    return Summary("sequence_use", lambda df: A.occurrence_distribution(df, ("source",)))
+
+
+def frequent_sequence(n: int = 50, flag_share: float = 0.8) -> Summary:
+    """The commonest sequences; flagged where one makes up more than a share of its source's reads."""
+
+    def table(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy("source").agg(F.count("*").alias("records"))
+        return A.top_sequences(df, n, ("source",)).join(sizes, "source")
+
+    return Summary("frequent_sequence", table, lambda t: t.withColumn("flagged", F.col("n") / F.col("records") > flag_share))
+
+
+def read_quality(flag_share: float = 0.2, flag_at: float = 30) -> Summary:
+    """Densities of mean scores; flagged where the share of reads at or above a score is less than flag_share or unknown.
+
+    The share below it is the sum of the density's trapezoids up to the score, interpolated between their middles; it is
+    unknown where the density does not reach the score.
+    """
+
+    def flag(t: DataFrame) -> DataFrame:
+        w = Window.partitionBy("source").orderBy("quality")
+        step = t.withColumns({"dx": F.lead("quality").over(w) - F.col("quality"), "dy": F.lead("density").over(w) - F.col("density")}).where("dx is not null")
+        mids = step.select("source", (F.col("quality") + F.col("dx") / 2).alias("x"), ((F.col("density") + F.col("dy") / 2) * F.col("dx")).alias("area"))
+        w = Window.partitionBy("source").orderBy("x")
+        mids = mids.withColumn("share", F.sum("area").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        mids = mids.withColumns({"x2": F.lead("x").over(w), "share2": F.lead("share").over(w)}).where(F.col("x").cast("double") <= flag_at)
+        at = mids.groupBy("source").agg(F.max(F.struct("x", "share", "x2", "share2")).alias("m"))
+        share = F.col("m.share") + (F.col("m.share2") - F.col("m.share")) * (flag_at - F.col("m.x")) / (F.col("m.x2") - F.col("m.x"))
+        flags = at.select("source", share.alias("at"))
+        return t.select("source").distinct().join(flags, "source", "left").withColumn("flagged", F.col("at").isNull() | (1 - F.col("at") < flag_share))
+
+    return Summary("read_quality", lambda df: A.quality_density(df, by=("source",)), flag)
+
+
+def adapters(left: str = "", right: str = "", least: int = 9) -> Summary:
+    return Summary("adapter_contamination", lambda df: adapter_contamination(df, left, right, least=least, by="source"))
+
+
+def nucleotide_by_cycle() -> Summary:
+    return Summary("nucleotide_by_cycle", lambda df: A.letters_by_cycle(df, by=("source",)))
+
+
+def quality_by_cycle() -> Summary:
+    return Summary("quality_by_cycle", lambda df: A.cycle_quality_stats(df, by=("source",)))
+
+
+def _median(x: np.ndarray) -> float:
+    return float(np.median(x)) if len(x) else float("nan")
+
+
+def fences(counts: list[float]) -> tuple[int, int]:
+    """Hinges (medians of the lower and the upper half, the middle in both) less and plus 1.5 times their distance."""
+    x = np.sort(np.array([c for c in counts if c is not None], dtype=float))
+    half = (len(x) + 1) // 2
+    low, high = _median(x[:half]), _median(x[len(x) - half :])
+    return int(np.floor(low - 1.5 * (high - low))), int(np.ceil(high + 1.5 * (high - low)))
+
+
+def flag_sources(df: DataFrame, by: str = "source", within: tuple[int, int] | None = None) -> DataFrame:
+    """Records of each source, flagged outside of a range, by default that of fences()."""
+    counts = df.groupBy(by).agg(F.count("*").alias("n"))
+    # One number for each file: the table of sources, not of reads.
+    low, high = within or fences([r.n for r in counts.collect()])
+    return counts.withColumn("flagged", ~F.col("n").between(low, high))
+
+
+@dataclass
+class Collated:
+    """Tables of all summaries with their flags, and the sources."""
+
+    sources: DataFrame
+    tables: Tables
+    flagged: Tables = field(default_factory=dict)
+
+
+def collate(df: DataFrame, summaries: list[Summary], sample: int | None = 1_000_000, by: str = "file") -> Collated:
+    """Summaries of each source's sample, in turn.  Rows that a summary's add_filter names are left out of later ones."""
+    if not summaries:
+        raise ArgumentMismatch("no summaries are given")
+    every = df.withColumnRenamed(by, "source")
+    some = (exact_sample(every, sample, ("source",)) if sample else every).withColumn("filtered", F.lit(False))
+    tables, flags = {}, {}
+    for s in summaries:
+        rows = some.where("not filtered") if s.use_filter else some
+        tables[s.name] = s.table(rows)
+        if s.flag:
+            flags[s.name] = s.flag(tables[s.name])
+        if s.add_filter:
+            some = some.withColumn("filtered", F.col("filtered") | F.coalesce(s.add_filter(some), F.lit(False)))
+    return Collated(flag_sources(every), tables, flags)
+
+
+# --- queries ----------------------------------------------------------------------------------------------------------
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(reads(spark, sf_dir))
+    if sql:
+        ORACLES[name] = f"WITH {READS} {sql}"
+
+
+def _run(name: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda r: assess(r, kept=F.col("align_quality") >= 10, aligned=F.col("position").isNotNull(), sample=None)[name]
+
+
+_query("qa_read_counts", _run("read_counts"), 'SELECT lane, count(*) AS "read", count(*) FILTER (align_quality >= 10) AS filtered, count(position) AS aligned FROM reads GROUP BY 1')
+_TYPED = ", typed AS (SELECT *, 'read' AS type FROM reads UNION ALL SELECT *, 'filtered' FROM reads WHERE align_quality >= 10 UNION ALL SELECT *, 'aligned' FROM reads WHERE position IS NOT NULL)"
+_query("qa_frequent_sequences", _run("frequent_sequences"), _TYPED + " SELECT lane, type, sread, n FROM (SELECT *, row_number() OVER (PARTITION BY lane, type ORDER BY n DESC, sread) AS k FROM (SELECT lane, type, sread, count(*) AS n FROM typed GROUP BY 1, 2, 3)) WHERE k <= 50")
+_query("qa_sequence_distribution", _run("sequence_distribution"), _TYPED + " SELECT lane, type, n AS n_occurrences, count(*) AS n_reads FROM (SELECT lane, type, sread, count(*) AS n FROM typed GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
+_query("qa_align_quality", _run("align_quality"), "SELECT lane, align_quality, count(*) AS n FROM reads GROUP BY 1, 2")
+_query("qa_read_quality", _run("read_quality"))
+_query("qa_depth", _run("depth"))
+_query("adapter_contamination", lambda r: adapter_contamination(r, "ACGTACGTACGT", "TTGGCCAATTGG", 0.3, 0.3, least=2))
+_query("adapter_none", lambda r: adapter_contamination(r), "SELECT DISTINCT lane, CAST(NULL AS double) AS contamination FROM reads")
+_query(
+    "flag_sources",
+    lambda r: flag_sources(r.withColumnRenamed("lane", "source")),
+    """, c AS (SELECT lane AS source, count(*) AS n FROM reads GROUP BY 1), s AS (SELECT list_sort(list(n)) AS x FROM c), h AS (SELECT (x[1] + x[2]) / 2.0 AS lo, (x[3] + x[4]) / 2.0 AS hi FROM s)
+ SELECT source, n, n < floor(lo - 1.5 * (hi - lo)) OR n > ceil(hi + 1.5 * (hi - lo)) AS flagged FROM c, h""",
+)
+_query(
+    "flag_frequent_sequence",
+    lambda r: (lambda s: s.flag(s.table(r.withColumnRenamed("lane", "source"))))(frequent_sequence(5, 0.01)),
+    " SELECT lane AS source, sread, n, records, CAST(n AS double) / records > 0.01 AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY n DESC, sread) AS k FROM (SELECT lane, sread, count(*) AS n FROM reads GROUP BY 1, 2)) JOIN (SELECT lane, count(*) AS records FROM reads GROUP BY 1) USING (lane) WHERE k <= 5",
+)
+_query("flag_read_quality", lambda r: (lambda s: s.flag(s.table(r.withColumnRenamed("lane", "source"))))(read_quality()).select("source", "flagged"))
