@@ -185,7 +185,7 @@ def occurrence_filter(least: int = 1, most: int = 1, with_read: bool | None = No
         if duplicates != "none":
             large = out.where(F.col("_n") > most).select("_key", "row_ix", *(df.columns if callable(duplicates) else []))
             if callable(duplicates):
-                kept = large.drop("_key").groupBy(*key).applyInPandas(lambda g, f=duplicates: g[g["row_ix"].isin(f(g, most))][["row_ix"]], "row_ix bigint")
+                kept = large.drop("_key").groupBy(*key).applyInPandas(lambda g: g[g["row_ix"].isin(duplicates(g, most))][["row_ix"]], "row_ix bigint")
             else:
                 order = {"head": F.col("row_ix").asc(), "tail": F.col("row_ix").desc(), "sample": F.xxhash64("row_ix", F.lit(seed))}[duplicates]
                 rank = F.row_number().over(Window.partitionBy("_key").orderBy(order, "row_ix"))

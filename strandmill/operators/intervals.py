@@ -137,7 +137,7 @@ def coverage_frames(windows: dict[str, DataFrame], groups: dict[str, str] | None
     sizes = F.create_map(*[F.lit(x) for g in set((groups or {f: "all" for f in windows}).values()) for x in (g, sum((groups or {}).get(f, "all") == g for f in windows))])
     signed = F.when((F.col("strand") == "-") & ~F.lit(ignore_strand), -F.col("depth")).otherwise(F.col("depth"))
     side = F.lit("*") if ignore_strand else F.col("strand")
-    return rows.groupBy("group", side.alias("strand"), at).agg(F.sum(signed).alias("total")).select("group", "strand", at, (F.col("total") / F.element_at(sizes, "group")).alias("depth"))
+    return rows.groupBy("group", side.alias("strand"), at).agg(F.sum(signed).alias("total")).select("group", "strand", at, (F.col("total") / F.element_at(sizes, F.col("group"))).alias("depth"))
 
 
 def as_ranges(alignments: DataFrame) -> DataFrame:

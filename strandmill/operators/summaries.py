@@ -112,7 +112,6 @@ def quality_density(reads: DataFrame, encoding: str = "phred33", by: tuple[str,
     # Groups are lanes or files: their table is small, and Spark chooses how to join it.
     joined = m.join(spread, [*by]) if by else m.join(F.broadcast(spread), F.lit(True))
     counted = joined.groupBy(*by, place.alias("bin"), "size", "sd", "q", "low", "high").agg(F.count("*").alias("n"), F.avg("m").alias("m"))
-    key = [*by] or [F.lit(0)]
     kinds = dict(reads.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "quality double", "density double"])
 
@@ -131,7 +130,7 @@ def quality_density(reads: DataFrame, encoding: str = "phred33", by: tuple[str,
             y += (np.exp(-0.5 * ((x[:, None] - at[None, i : i + 512]) / width) ** 2) * n[None, i : i + 512]).sum(axis=1)
         return pd.DataFrame({**head, "quality": x, "density": y / (size * width * np.sqrt(2 * np.pi))})
 
-    return counted.groupBy(*key).applyInPandas(density, schema)
+    return counted.groupBy(*by).applyInPandas(density, schema)
 
 
 def tile_counts(reads: DataFrame, kept: Column | None = None, aligned: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
