@@ -183,7 +183,7 @@ def occurrence_filter(least: int = 1, most: int = 1, with_read: bool | None = No
         counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
         out = keyed.join(counts, "_key")
         if duplicates != "none":
-            large = out.where(F.col("_n") > most).select("_key", "row_ix", *(df.columns if callable(duplicates) else []))
+            large = out.where(F.col("_n") > most).select("_key", "row_ix", *([c for c in df.columns if c != "row_ix"] if callable(duplicates) else []))
             if callable(duplicates):
                 kept = large.drop("_key").groupBy(*key).applyInPandas(lambda g: g[g["row_ix"].isin(duplicates(g, most))][["row_ix"]], "row_ix bigint")
             else:

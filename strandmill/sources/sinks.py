@@ -80,6 +80,6 @@ def filter_fastq(spark, files: list[str], destinations: list[str], keep: Callabl
     return total
 
 
-def trim_files(spark, files: list[str], destinations: list[str], trim: Callable[..., DataFrame], **options) -> DataFrame:
+def trim_files(spark, files: list[str], destinations: list[str], trim: Callable[..., DataFrame], compress: bool = True, **options) -> DataFrame:
     """A trim function applied file to file."""
-    return filter_fastq(spark, files, destinations, lambda df: trim(df, **options))
+    return filter_fastq(spark, files, destinations, lambda df: trim(df, **options), compress)
