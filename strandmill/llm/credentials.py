@@ -3,8 +3,8 @@
 Three kinds are reported wherever they occur (assign, access, hex).  Further parts are weak: a short access identifier, a
 mixed token of the shape that signing keys have, an endpoint.  Within a scope (a paragraph, bounded by empty lines) each
 weak part is widened to an interval and joined with the intervals of complementary parts, strong or weak; it is
-reported, as kind:start:end, only if they meet.  Both sides are swept in order of their start, so a scope with many
-parts takes linear time and no list of pairs.
+reported, as kind:start:end, only if they meet.  Both sides are sorted and searched, so a scope with many parts takes
+little more than linear time and no list of pairs.
 
 Defined results: a null text counts as empty and has no spans; equal texts have equal spans; repeated rows give repeated
 rows; columns other than the two that are named are ignored.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,36 +67,27 @@ def weak_parts(text: str) -> list[Span]:
 def linked(parts: list[Span], scopes: list[int], reach: int = REACH) -> list[Span]:
     """The weak parts that, widened by `reach`, meet a complementary part of the same scope.  scopes: where scopes begin.
 
-    Parts come by start.  For each weak kind one sweep keeps the complement that ends last so far and looks at the next
-    one ahead; a part that overlaps the weak one itself is no complement.
+    Within a scope the complements' starts and ends are sorted, so each weak part is two searches: for a complement that
+    ends before it near enough, and for one that starts behind it.  One that overlaps the weak part is no complement.
     """
     out = []
     scope = [bisect_right(scopes, s) for _, s, _ in parts]
     for weak, needs in _COMPLEMENTS.items():
-        mine = [i for i, p in enumerate(parts) if p[0] == weak]
-        if not mine:
-            continue
-        others = [i for i, p in enumerate(parts) if p[0] in needs]
-        at = 0
-        before: tuple[int, int] | None = None  # scope and end of the complement that ends last
-        for i in mine:
-            _, a, b = parts[i]
-            while at < len(others) and parts[others[at]][1] < a:
-                j = others[at]
-                if parts[j][2] <= a and (before is None or (scope[j], parts[j][2]) > before):
-                    before = (scope[j], parts[j][2])
-                elif parts[j][2] > a:
-                    break
-                at += 1
-            ahead = at
-            while ahead < len(others) and parts[others[ahead]][1] < b:  # overlaps the weak part
-                ahead += 1
-            near = before is not None and before[0] == scope[i] and a - before[1] <= reach
-            if not near and ahead < len(others):
-                j = others[ahead]
-                near = scope[j] == scope[i] and parts[j][1] - b <= reach
-            if near:
-                out.append(parts[i])
+        starts: dict[int, list[int]] = {}
+        ends: dict[int, list[int]] = {}
+        for (kind, a, b), where in zip(parts, scope):
+            if kind in needs:
+                starts.setdefault(where, []).append(a)
+                ends.setdefault(where, []).append(b)
+        for found in (*starts.values(), *ends.values()):
+            found.sort()
+        for part, where in zip(parts, scope):
+            if part[0] != weak or where not in starts:
+                continue
+            _, a, b = part
+            before, behind = bisect_left(ends[where], a - reach), bisect_left(starts[where], b)
+            if before < len(ends[where]) and ends[where][before] <= a or behind < len(starts[where]) and starts[where][behind] <= b + reach:
+                out.append(part)
     return out
 
 
