@@ -18,9 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import exact_sample
 from .shared import text_slices, texts_of
 
 BUCKETS = 4096
@@ -150,9 +151,7 @@ def held_out(id_col: str):
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on at most per_language labelled documents of each language that are not held out."""
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    order = Window.partitionBy("lang").orderBy("order", "id")
-    keys = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
-    keys = keys.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    keys = exact_sample(named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), per_language, ("lang",), key="id")
     rows = named.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(keys), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +160,10 @@ def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col
                 for at in range(0, part.num_rows, 500):
                     some = part.slice(at, 500)
                     x = pa.array([r.tobytes() for r in features(texts_of(some, "text"))], pa.binary())
-                    yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("nth"), x], ["lang", "nth", "x"])
+                    yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("id"), x], ["lang", "id", "x"])
 
-    found = sorted(rows.select("lang", "nth", "text").mapInArrow(run, "lang string, nth int, x binary").collect())
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = sorted(rows.select("lang", "id", "text").mapInArrow(run, f"lang string, id {kind}, x binary").collect())
     model = LanguageModel(list({r.lang for r in found}))
     if found:
         model.fit(np.vstack([np.frombuffer(r.x, dtype=np.float32) for r in found]), [r.lang for r in found])
