@@ -168,3 +168,48 @@ def read_ipar(spark: SparkSession, folder: str, pattern: str = "", intensity_ext
             raise ValidityError("intensities and errors differ in their reads or cycles")
     out = out.join(spots, ["stem", "row_ix"], "left")
     return out.withColumns({"lane": F.regexp_extract("stem", r"s_(\d+)_", 1).cast("int"), "tile": F.regexp_extract("stem", r"s_\d+_(\d+)", 1).cast("int")}).drop("stem")
+
+
+#: Letters of 4-bit bases and of CIGAR operations in binary alignment maps.
+BAM_BASES, BAM_CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+
+
+def read_bam(spark: SparkSession, path: str | list[str], chromosome: str | None = None, start: int = 1, end: int = 1 << 30) -> DataFrame:
+    """Alignments of binary alignment maps (their blocks are gzip members), those that meet a range if one is given."""
+
+    def parse(path: str, data) -> Iterator[pd.DataFrame]:
+        if data.read(4) != b"BAM\1":
+            raise InputError(f"'{path}' is no binary alignment map")
+        data.read(struct.unpack("<i", data.read(4))[0])
+        names = []
+        for _ in range(struct.unpack("<i", data.read(4))[0]):
+            names.append(data.read(struct.unpack("<i", data.read(4))[0]).rstrip(b"\0").decode())
+            data.read(4)
+        rows, n = [], 0
+        while head := data.read(4):
+            raw = data.read(struct.unpack("<i", head)[0])
+            ref, pos, name_size, quality, _, ops, flag, size = struct.unpack("<iiBBHHHi", raw[:20])
+            at = 32 + name_size
+            cigar = [(x >> 4, BAM_CIGAR[x & 15]) for x in struct.unpack(f"<{ops}I", raw[at : at + 4 * ops])]
+            at += 4 * ops
+            packed = raw[at : at + (size + 1) // 2]
+            seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:size]
+            at += len(packed)
+            qual = "".join(chr(33 + b) if b < 94 else "!" for b in raw[at : at + size])
+            span = sum(k for k, op in cigar if op in "MDN=X")
+            n += 1
+            place = names[ref] if ref >= 0 else None
+            if chromosome is None or place == chromosome and pos + 1 <= end and pos + span >= start:
+                mapped = not flag & 4 and pos >= 0
+                rows.append((path, n, raw[32 : 31 + name_size].decode(), seq, qual, place, pos + 1 if mapped else None, ("-" if flag & 16 else "+") if mapped else None, float(quality) if quality < 255 else None, "".join(f"{k}{op}" for k, op in cigar), flag))
+            if len(rows) >= 20_000:
+                yield _bam_frame(rows)
+                rows = []
+        yield _bam_frame(rows)
+
+    return _each(spark, file_names(path), parse, "file string, row_ix bigint, id string, sread string, qual string, chromosome string, position int, strand string, align_quality double, cigar string, flag int")
+
+
+def _bam_frame(rows: list[tuple]) -> pd.DataFrame:
+    cols = ["file", "row_ix", "id", "sread", "qual", "chromosome", "position", "strand", "align_quality", "cigar", "flag"]
+    return pd.DataFrame(rows, columns=cols).astype({"position": "Int32", "align_quality": "Float64"})

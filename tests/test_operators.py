@@ -173,3 +173,19 @@ def test_intensities(spark):
     df = spark.createDataFrame([(1, [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]])], "row_ix bigint, intensity array<array<double>>")
     assert X.intensity_cycles(df, 2, 2).first().intensity == [[5.0, 6.0, 7.0, 8.0]]
     assert sorted(map(tuple, X.intensity_long(df).collect()))[5] == (1, 2, "C", 6.0)
+
+
+def test_views(spark):
+    from strandmill.operators.viewer import RangeView, view_feature
+
+    df = aligned(spark, [("c", "+", 105, "AAA"), ("c", "-", 106, "AA")])
+    view = RangeView({"f": df}, "c", 101, 200)
+    assert view.function.name == "fine_coverage" and view.data().count() == 5
+    assert (view.zoom(2).start, view.zoom(2).end) == (126, 175) and view.pan(-2).start == 1 and view.zoom(0.001).function.name == "coarse_coverage"
+    assert {r.depth for r in view.toggle_strand().data().collect()} == {1.0, 2.0}
+    features = spark.createDataFrame([("g", "c", 90, 120), ("g", "c", 150, 170)], "name string, chromosome string, start int, end int")
+    assert (view_feature(features, "g", {"f": df}).start, view_feature(features, "g", {"f": df}).end) == (90, 170)
+    with pytest.raises(ArgumentMismatch):
+        RangeView({"f": df}, "c", 1, 10)
+    with pytest.raises(ArgumentMismatch):
+        view_feature(features, "h", {"f": df})

@@ -178,3 +178,19 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(ArgumentMismatch):
         catalog.InstrumentPath(str(tmp_path / "none"))
     assert F is not None
+
+
+def test_bam(spark, tmp_path):
+    def record(name, ref, pos, flag, seq, cigar):
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 30, 0, len(cigar), flag, len(seq), -1, -1, 0) + name + b"\0"
+        body += b"".join(struct.pack("<I", n << 4 | binary.BAM_CIGAR.index(op)) for n, op in cigar)
+        code = [binary.BAM_BASES.index(x) for x in seq] + [0] * (len(seq) % 2)
+        body += bytes(a << 4 | b for a, b in zip(code[::2], code[1::2])) + bytes(range(10, 10 + len(seq)))
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
+    path = tmp_path / "a.bam"
+    path.write_bytes(gzip.compress(head) + gzip.compress(record(b"r1", 0, 9, 0, "ACGTN", [(5, "M")]) + record(b"r2", 0, 99, 16, "GGT", [(2, "M"), (1, "S")])) + gzip.compress(record(b"r3", -1, -1, 4, "A", [])) + gzip.compress(b""))
+    rows = binary.read_bam(spark, str(path)).orderBy("row_ix").collect()
+    assert [(r.id, r.sread, r.qual, r.chromosome, r.position, r.strand, r.cigar) for r in rows] == [("r1", "ACGTN", "+,-./", "chr1", 10, "+", "5M"), ("r2", "GGT", "+,-", "chr1", 100, "-", "2M1S"), ("r3", "A", "+", None, None, None, "")]
+    assert [r.id for r in binary.read_bam(spark, str(path), "chr1", 101, 200).collect()] == ["r2"]
