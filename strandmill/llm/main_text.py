@@ -46,6 +46,8 @@ MARKS = frozenset(
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol menu dl table select body".split())
 _ENDS_P = BLOCKS - {"body", "caption", "head", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
+#: Words before a mark that make a name tell about the page.
+_ABOUT = frozenset("has hide no with without".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPLIT_CAPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -84,10 +86,13 @@ class LineParser(HTMLParser):
         self.out -= out
         self.links -= tag == "a"
 
+    def roots_open(self) -> bool:
+        return any(t in ("article", "main") for t, _, _ in self.open)
+
     def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in LEFT_OUT:
             return True
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
+        if tag == "header" and not self.roots_open():
             return True
         if not attrs or tag in ("html", "body"):
             return False
@@ -95,7 +100,11 @@ class LineParser(HTMLParser):
             value = value or ""
             if key in ("class", "id"):
                 words = _WORDS.findall(_SPLIT_CAPS.sub(" ", value).lower())
-                if tag not in ("article", "main") and not MARKS.isdisjoint(words) or "comment" in words:
+                # A page "with-sidebar" is no sidebar, and an article's header has its title.
+                marks = {w for w, before in zip(words, ["", *words]) if w in MARKS and before not in _ABOUT}
+                if self.roots_open():
+                    marks.discard("header")
+                if marks and tag not in ("article", "main") or "comment" in marks:
                     return True
             elif key == "role" and value.lower() in ROLES:
                 return True
@@ -186,17 +195,20 @@ def select(lines: list[Line], roots: set[int], sigma: float = 1.0) -> list[Line]
     if not inside.any():
         inside = links < 0.5
     mass: dict[int, float] = {}
-    for x, n, ok in zip(lines, size, inside):
-        if ok:
-            for c in x.path:
+    count: dict[int, int] = {}
+    for x, n, ok, share in zip(lines, size, inside, links):
+        for c in x.path:
+            if ok:
                 mass[c] = mass.get(c, 0) + n
+            count[c] = count.get(c, 0) + (share < 0.5)
     total = float(size[inside].sum())
     own = [c for c in mass if c in roots]
     if own:
         root = max(own, key=lambda c: (mass[c], c))
     else:
-        # Containers are numbered as they open, so the last of those with enough text is the deepest.
-        root = max((c for c in mass if mass[c] >= 0.75 * total), default=0)
+        # Containers are numbered as they open, so the last of those with enough text and lines is the deepest.
+        least = 0.5 * int((links < 0.5).sum())
+        root = max((c for c in mass if mass[c] >= 0.75 * total and count[c] >= least), default=0)
     return [x for x, ok, share in zip(lines, inside, links) if (not root or root in x.path) and (ok or x.heading or share < 0.66)]
 
 

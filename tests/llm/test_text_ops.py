@@ -155,6 +155,7 @@ PAGE = "<html><head><title>T</title><style>p{}</style></head><body>BODY</body></
     ("<div id=menu-main>One Two</div><div class='post'><h2>Title</h2><p>Some <b>bold</b>\n text<br>here that is long.</p><ul><li>a b</li><li>c</li></ul></div><div class=comments><p>I say something very long and loud about all this.</p></div>", "Title\nSome bold text here that is long.\na b\nc"),
     ("<main><form><p>Search me</p></form><p>The text itself, of some length, stands here.</p><aside>Related</aside><script>var a='<p>no</p>'</script><p>End</p></main><div class='cookie-notice'>We use cookies</div>", "The text itself, of some length, stands here.\nEnd"),
     ("<header><h1>Site</h1></header><article><header><h1>In the article</h1></header><p>Words and words and more words.</p><section id=comments><p>first!</p></section></article>", "In the article\nWords and words and more words."),
+    ("<div class='page with-sidebar'><div class=c><h1>Head</h1><div>One very long stretch of text that holds nearly all there is here.</div><div>Short.</div></div><div class=sidebar>Side</div></div>", "Head\nOne very long stretch of text that holds nearly all there is here.\nShort."),
     ("plain text only", "plain text only"), ("<!-- nothing -->", ""),
 ])
 def test_pages(body, text):
