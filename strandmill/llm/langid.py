@@ -44,8 +44,8 @@ _SLICE = 1_000_000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of all n-grams, and where each text's begin.  A text between blanks has at least one 3-gram."""
-    raw = [b" " + t.lower().encode().translate(_BLANK) + b" " for t in texts]
+    """Bucket numbers of all n-grams, and where each text's begin; blanks around texts keep each from its neighbours."""
+    raw = [b"  " + t.lower().encode().translate(_BLANK) + b" " for t in texts]
     size = np.array([len(r) for r in raw], dtype=np.int64)
     b = np.frombuffer(b"".join([*raw, b"  "]), dtype=np.uint8).astype(np.uint32)
     two = b[:-2] * np.uint32(2654435761) + b[1:-1] * np.uint32(2246822519)
