@@ -4,11 +4,14 @@
 2. Sets of similarity t share one of their first |s| - ceil(t|s|) + 1 shingles under any common order.  The order puts
    shingles last that occur in many documents, so common passages make no candidates; it affects cost, never results.
 3. Nodes that share a shingle are candidates: pairwise where few share it; where many do, its node of least hash is the
-   pivot, and the others are compared with the pivot only.
-4. Candidates are checked exactly: first one pair for each node; then pairs that these links have not yet connected.
-5. Where nodes of a pivot's region are still unconnected, the region is split by the distance to the pivot into slabs as
-   wide as the threshold.  By the triangle inequality a link never crosses a whole slab, so an unconnected node meets the
-   region's nodes of its own slab, and boundary nodes of both neighbours, in blocks of bounded size.
+   pivot that all others are tied to.  A pair must share enough of its first shingles for the similarity that is asked;
+   the others are dropped.  What candidates connect is a region.
+4. A region of bounded size is joined within one task: its nodes are compared with a pivot, then those that are not tied
+   to it with all others.
+5. Larger regions are split by their pivots.  Nodes are compared with their pivots first.  Those that these links leave
+   apart are joined with the others of their pivot by slabs of the distance to it, as wide as the threshold: by the
+   triangle inequality a link never crosses a whole slab, so a node meets its own slab, and boundary nodes of both
+   neighbours, in blocks of bounded size.
 
 Distance 1 - J is a metric, and every linked pair shares a prefix shingle, so no link is lost.
 
@@ -35,9 +38,12 @@ from .shingles import shingle_sets
 #: Up to so many nodes of a shingle are compared pairwise.
 FEW = 16
 #: Shingles whose frequency the order knows, at most: the most frequent ones, 16 bytes each.
-KNOWN = 200_000
-#: A shingle in so many of some four million successive shingles' documents is reported as frequent.
-OFTEN, WINDOW = 4, 4_000_000
+KNOWN = 500_000
+#: A shingle in so many documents among three million successive low shingles is reported as frequent.  Low ones have a
+#: hash in this first part of the range: sets' first shingles lie there, even where some are put last.
+OFTEN, WINDOW, LOW = 2, 3_000_000, np.uint64(int(0.35 * 2**64))
+#: Nodes of a region that is joined within one task, and of all regions that share a task.
+SMALL, TOGETHER = 4096, 1000
 #: Hash buckets by which a text's need is known before texts are shuffled: bounds what is broadcast.
 BUCKETS = 1 << 18
 UNLINKED, OTHERS = 128, 2048
@@ -62,7 +68,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
-                held += sets
+                held += [s[: np.searchsorted(s, LOW)] for s in sets]
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["id", "n", "digest", "key", "freq"])
@@ -75,47 +81,50 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, known) -> DataFrame:
-    """Rows (id, digest, n, keys) of documents with words: the first shingles of each set, known frequent ones last."""
+    """Rows (id, digest, n, keys, last) of documents with words: the first shingles of each set, known frequent ones
+    last, and the place of the last of them in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, freq = known.value
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
-                digest, keys = [], []
+                digest, keys, last = [], [], []
                 for s in sets:
                     if not len(s):
                         continue
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         rank = np.where(frequent[at] == s, freq[at], 0)
-                        first = s[np.argsort(rank, kind="stable")[: prefix_size(len(s), percent)]]
                     else:
-                        first = s[: prefix_size(len(s), percent)]
+                        rank = np.zeros(len(s), dtype=np.int64)
+                    chosen = np.argsort(rank, kind="stable")[: prefix_size(len(s), percent)]
+                    first = s[chosen]
+                    last.append({"rank": int(rank[chosen[-1]]), "hash": int(first[-1] >> np.uint64(1))})
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keys.append(first.view(np.int64))
                 some = np.array([len(s) > 0 for s in sets], dtype=bool)
                 offsets = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
                 flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(some)), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets if len(s)], pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["id", "digest", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(some)), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets if len(s)], pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(last, pa.struct([("rank", pa.int64()), ("hash", pa.int64())]))], ["id", "digest", "n", "keys", "last"])
 
-    return docs.mapInArrow(run, "id bigint, digest binary, n bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "id bigint, digest binary, n bigint, keys array<bigint>, last struct<rank:bigint,hash:bigint>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """Rows (id, bag) with the whole sets of the nodes in needed (id, digest)."""
+    """Rows (id, region, bag) with the whole sets of the nodes in needed (id, digest, region)."""
     bucket = F.pmod(F.hash("id"), F.lit(BUCKETS))
     buckets = F.broadcast(needed.select(bucket.alias("bucket")).distinct())
-    texts = docs.join(buckets, bucket == F.col("bucket"), "left_semi").join(needed, "id").select("id", "digest", "text")
+    texts = docs.join(buckets, bucket == F.col("bucket"), "left_semi").join(needed, "id").select("id", "digest", "region", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 bags = [s.tobytes() for s in shingle_sets(texts_of(part, "text"), width)]
                 same = pa.array([hashlib.blake2b(b, digest_size=16).digest() == d for b, d in zip(bags, part.column("digest").to_pylist())])
-                yield pa.RecordBatch.from_arrays([part.column("id").filter(same), pa.array(bags, pa.binary()).filter(same)], ["id", "bag"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(same) for c in ("id", "region")), pa.array(bags, pa.binary()).filter(same)], ["id", "region", "bag"])
 
-    return texts.mapInArrow(run, "id bigint, bag binary")
+    return texts.mapInArrow(run, "id bigint, region bigint, bag binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -171,29 +180,92 @@ def block_links(u_sets: list[np.ndarray], n_sets: list[np.ndarray], percent: int
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def _region_links(hot: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (u, v) within regions of pivots (key, node, pivot) between nodes that `group` does not connect yet."""
+def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, c) that share c rare first shingles those that can be similar enough.
+
+    What two sets have in common lies among the first shingles of both, or behind those of the set whose first ones end
+    earlier in the order.  Shared frequent shingles are not counted, so each node's number of them is allowed for.
+    """
+    size = F.size("keys")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n", (F.col("n") - size).alias("rest"), "last", "hot").alias(f"{x}_"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = F.col("a_.n") + F.col("b_.n")
+    need = F.ceil(both * percent / (100 + percent) - 1e-9)
+    rest = F.when(F.col("a_.last") < F.col("b_.last"), F.col("a_.rest")).when(F.col("b_.last") < F.col("a_.last"), F.col("b_.rest")).otherwise(F.greatest("a_.rest", "b_.rest"))
+    near = F.least("a_.n", "b_.n") * 100 >= F.greatest("a_.n", "b_.n") * percent
+    return rows.where(near & (F.col("c") + F.least("a_.hot", "b_.hot") + rest >= need)).select("a", "b")
+
+
+def region_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Number of each set's linked group: the least number in it."""
+    label = np.arange(len(sets))
+
+    def tie(i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            low = np.minimum(label[i], label[j])
+            if (label[i] == low).all() and (label[j] == low).all():
+                return
+            for k in (i, j):
+                np.minimum.at(label, label[k], low)
+                np.minimum.at(label, k, low)
+
+    if len(sets) == 2:
+        common = _shared(*sets)
+        if common * 100 >= (len(sets[0]) + len(sets[1]) - common) * percent:
+            label[1] = 0
+        return label
+    # Near copies vary in length, so the set of middle size is the likeliest to be near most of the others.
+    pivot = int(np.argsort([len(s) for s in sets], kind="stable")[len(sets) // 2])
+    found = block_links([sets[pivot]], sets, percent)[1]
+    tie(np.full(len(found), pivot), found)
+    apart = np.flatnonzero(label != label[pivot])
+    for at in range(0, len(apart), UNLINKED):
+        some = apart[at : at + UNLINKED]
+        i, j = block_links([sets[k] for k in some], sets, percent)
+        tie(some[i], j)
+    while (label != label[label]).any():
+        label = label[label]
+    return label
+
+
+def _small_regions(members: DataFrame, percent: int, many: int) -> DataFrame:
+    """Nodes u with the least node v that they are linked to, in regions (region, id, bag) of bounded size, several to a task."""
+    tasks = max(1, many // TOGETHER)
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for _, g in f.drop_duplicates("id").sort_values("id", kind="stable").groupby("region", sort=False):
+            ids = g["id"].to_numpy()
+            label = region_labels([np.frombuffer(b, dtype=np.uint64) for b in g["bag"]], percent)
+            tied = np.flatnonzero(label != np.arange(len(ids)))
+            u.append(ids[tied])
+            v.append(ids[label[tied]])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return members.groupBy(F.pmod(F.hash("region"), F.lit(tasks)).alias("task")).applyInPandas(join, "u bigint, v bigint")
+
+
+def _pivot_regions(far: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (u, v) between nodes that `group` does not connect yet, among those with a measured pivot (pivot, node, slab)."""
     name = lambda c: group.select(F.col("node").alias(c), F.col("component_id").alias(f"{c}_group"))
-    rows = hot.join(name("node"), "node", "left").join(name("pivot"), "pivot", "left")
-    rows = rows.withColumn("mine", F.coalesce("node_group", "node")).withColumn("alone", F.col("mine") != F.coalesce("pivot_group", "pivot"))
-    open_keys = rows.where("alone").select("key").distinct()
-    region = durable(rows.join(open_keys, "key", "left_semi").select("pivot", "node", "mine", "alone").distinct())
-    if not region.limit(1).count():
+    rows = far.unionByName(far.select("pivot", F.col("pivot").alias("node"), F.lit(0).alias("slab")).distinct())
+    rows = rows.join(name("node"), "node", "left").join(name("pivot"), "pivot", "left").withColumn("mine", F.coalesce("node_group", "node"))
+    region = durable(rows.select("pivot", "node", "slab", "mine", (F.col("mine") != F.coalesce("pivot_group", "pivot")).alias("alone")))
+    sizes = region.groupBy("pivot").agg(F.ceil(F.sum(F.col("alone").cast("int")) / UNLINKED).cast("int").alias("us"), F.ceil(F.count("*") / OTHERS).cast("int").alias("ns")).where("us > 0")
+    sizes = durable(sizes)
+    if not sizes.limit(1).count():
         return None
-    far = _measured(region.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets)
-    slab = F.floor((F.col("total") - F.col("common")) * 100 / (F.col("total") * (100 - percent))).cast("int")
-    far = far.select(F.col("a").alias("pivot"), F.col("b").alias("node"), slab.alias("slab")).distinct()
-    region = durable(region.join(far, ["pivot", "node"], "left").withColumn("slab", F.coalesce("slab", F.lit(0))))
-    sizes = region.groupBy("pivot").agg(F.ceil(F.sum(F.col("alone").cast("int")) / UNLINKED).cast("int").alias("us"), F.ceil(F.count("*") / OTHERS).cast("int").alias("ns"))
-    sizes = sizes.where("us > 0")
+    near = region.where("alone").select("pivot", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab")).distinct()
+    met = region.join(sizes, "pivot").join(near, ["pivot", "slab"], "left_semi")
+    full = met.join(sets.select(F.col("id").alias("node"), "bag"), "node")
     share = lambda m: F.pmod(F.hash("node"), F.col(m))
     upto = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
-    full = region.join(sizes, "pivot").join(sets.withColumnRenamed("id", "node"), "node")
     u = full.where("alone").select("pivot", "slab", share("us").alias("ub"), F.explode(upto("ns")).alias("nb"), "node", "mine", "bag", F.lit(True).alias("is_u"))
     n = full.select("pivot", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab"), "us", share("ns").alias("nb"), "node", "mine", "bag")
+    n = n.join(region.where("alone").select("pivot", "slab").distinct(), ["pivot", "slab"], "left_semi")
     n = n.select("pivot", "slab", F.explode(upto("us")).alias("ub"), "nb", "node", "mine", "bag", F.lit(False).alias("is_u"))
 
-    def compare(f):
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
         us, ns = f[f["is_u"]], f[~f["is_u"]]
         if not len(us) or not len(ns):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
@@ -201,9 +273,8 @@ def _region_links(hot: DataFrame, group: DataFrame, sets: DataFrame, percent: in
         i, j = block_links(bags(us), bags(ns), percent)
         a, b = us.iloc[i].reset_index(drop=True), ns.iloc[j].reset_index(drop=True)
         new = a["mine"] != b["mine"]
-        out = pd.DataFrame({"u": a.loc[new, "node"], "v": b.loc[new, "mine"]})
-        # One link to each component is enough: the component's least node stands for it.
-        return out.drop_duplicates()
+        # One link to each component is enough: its least node stands for it.
+        return pd.DataFrame({"u": a.loc[new, "node"], "v": b.loc[new, "mine"]}).drop_duplicates()
 
     return u.unionByName(n).groupBy("pivot", "slab", "ub", "nb").applyInPandas(compare, "u bigint, v bigint")
 
@@ -213,39 +284,44 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     scanned = durable(_scan(docs, width))
-    frequent = scanned.where("key is not null").groupBy("key").agg(F.sum("freq").alias("freq")).orderBy(F.desc("freq"), "key").limit(KNOWN).toPandas()
-    keys = frequent["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    frequent = scanned.where("key is not null").groupBy("key").agg(F.sum("freq").alias("freq")).orderBy(F.desc("freq"), "key").limit(KNOWN).toArrow()
+    keys = frequent.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    known = spark.sparkContext.broadcast((keys[order], frequent["freq"].to_numpy(dtype=np.int64)[order]))
+    known = spark.sparkContext.broadcast((keys[order], frequent.column("freq").to_numpy().astype(np.int64)[order]))
 
     firsts = _prefixes(docs.where("id is not null"), width, percent, known)
-    nodes = firsts.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    posts = nodes.select("node", "n", F.explode("keys").alias("key"))
+    nodes = durable(firsts.groupBy("digest").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "keys", "last")]))
+    posts = nodes.select("node", F.explode("keys").alias("key"))
     stats = posts.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1")
     shared = durable(posts.join(stats, "key"))
-    few = shared.where(F.col("many") <= FEW).select("key", "node", "n")
-    near = F.col("n") * 100 >= F.col("n_b") * percent
-    ahead = (F.col("n") < F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("a") < F.col("b"))
-    pairs = few.withColumnRenamed("node", "a").join(few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b")), "key").where(ahead & near).select("a", "b")
-    hot = shared.where(F.col("many") > FEW).select("key", "node", "pivot")
-    stars = hot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    pairs = durable(pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    digests = scanned.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = durable(digests.join(ends, "node", "left_semi").select(F.col("node").alias("id"), "digest"))
+    few = shared.where(F.col("many") <= FEW)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    hot = durable(shared.where(F.col("many") > FEW).select("node", "pivot"))
+    often = hot.groupBy("node").agg(F.count("*").alias("hot"))
+    pairs = durable(_promising(pairs, nodes.join(often, "node", "left").fillna(0, ["hot"]), percent))
+    stars = hot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+
+    group = durable(components(pairs.unionByName(stars).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    large = group.groupBy("component_id").agg(F.count("*").alias("many")).where(F.col("many") > SMALL).select("component_id")
+    inside = durable(group.join(large.withColumn("large", F.lit(True)), "component_id", "left").select("node", F.col("component_id").alias("region"), F.coalesce("large", F.lit(False)).alias("large")))
+    needed = nodes.join(inside, "node").select(F.col("node").alias("id"), "digest", "region")
     sets = durable(_sets(docs, needed, width))
-    tree = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    edges = durable(_linked(tree, sets, percent))
-    group = components(edges)
-    name = lambda c: group.select(F.col("node").alias(c), F.col("component_id").alias(f"{c}_group"))
-    rest = pairs.join(tree, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b"))
-    edges = durable(edges.unionByName(_linked(rest, sets, percent)))
-    group = components(edges)
-    more = _region_links(hot, group, sets, percent)
-    if more is not None:
-        group = components(edges.unionByName(more))
-    named = digests.join(group, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
+    n_small, n_large = inside.agg(F.count_if(~F.col("large")), F.count_if("large")).first()
+    edges = spark.createDataFrame([], "u bigint, v bigint")
+    if n_small:
+        members = sets.join(large.withColumnRenamed("component_id", "region"), "region", "left_anti") if n_large else sets
+        edges = durable(_small_regions(members, percent, n_small))
+    if n_large:
+        big = inside.where("large").select(F.col("node").alias("a"))
+        close = F.col("common") * 100 >= F.col("total") * percent
+        far = durable(_measured(stars.join(big, "a", "left_semi"), sets))
+        tied = _linked(pairs.join(big, "a", "left_semi"), sets, percent).unionByName(far.where(close).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        edges = durable(edges.unionByName(tied))
+        slab = F.floor((F.col("total") - F.col("common")) * 100 / (F.col("total") * (100 - percent))).cast("int")
+        more = _pivot_regions(far.select(F.col("a").alias("pivot"), F.col("b").alias("node"), slab.alias("slab")), components(edges), sets, percent)
+        edges = edges if more is None else edges.unionByName(more)
+    # Without large regions the links are stars about each component's least node already.
+    final = components(edges) if n_large else edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
+    named = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
     rows = scanned.where("key is null").join(named, "digest", "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
