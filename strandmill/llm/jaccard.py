@@ -149,10 +149,6 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a bigint, b bigint, common bigint, total bigint")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return _measured(pairs, sets).where(F.col("common") * 100 >= F.col("total") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
 def block_links(u_sets: list[np.ndarray], n_sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the linked (u, n) pairs between two lists of sets, by one product of incidence matrices in steps."""
     universe = np.unique(np.concatenate(u_sets))
@@ -313,12 +309,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         edges = durable(_small_regions(members, percent, n_small))
     if n_large:
         big = inside.where("large").select(F.col("node").alias("a"))
+        big_sets = durable(sets.join(large.withColumnRenamed("component_id", "region"), "region", "left_semi").select("id", "bag"))
+        stars = stars.join(big, "a", "left_semi")
+        measured = durable(_measured(pairs.join(big, "a", "left_semi").unionByName(stars).distinct(), big_sets).distinct())
         close = F.col("common") * 100 >= F.col("total") * percent
-        far = durable(_measured(stars.join(big, "a", "left_semi"), sets))
-        tied = _linked(pairs.join(big, "a", "left_semi"), sets, percent).unionByName(far.where(close).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        edges = durable(edges.unionByName(tied))
+        far = measured.join(stars, ["a", "b"], "left_semi")
+        edges = durable(edges.unionByName(measured.where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))))
         slab = F.floor((F.col("total") - F.col("common")) * 100 / (F.col("total") * (100 - percent))).cast("int")
-        more = _pivot_regions(far.select(F.col("a").alias("pivot"), F.col("b").alias("node"), slab.alias("slab")), components(edges), sets, percent)
+        more = _pivot_regions(far.select(F.col("a").alias("pivot"), F.col("b").alias("node"), slab.alias("slab")), components(edges), big_sets, percent)
         edges = edges if more is None else edges.unionByName(more)
     # Without large regions the links are stars about each component's least node already.
     final = components(edges) if n_large else edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
