@@ -3,8 +3,8 @@
 1. Equal sets become one node.
 2. Sets of similarity t share one of their first |s| - ceil(t|s|) + 1 shingles under any common order.  The order puts
    shingles last that occur in many documents, so common passages make no candidates; it affects cost, never results.
-3. Nodes that share a shingle are candidates: pairwise where few share it; where many do, its node of least hash is the
-   pivot that all others are tied to.  A pair must share enough of its first shingles for the similarity that is asked;
+3. Nodes that share a shingle are candidates: pairwise where few of like size share it; where many do, their node of
+   least hash is the pivot that the others are tied to.  A pair must share enough of its first shingles for the similarity that is asked;
    the others are dropped.  What candidates connect is a region.
 4. A region of bounded size is joined within one task: its nodes are compared with a pivot, then those that are not tied
    to it with all others.
@@ -23,6 +23,7 @@ table; columns other than those that are named are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -290,12 +291,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     posts = nodes.select("node", F.explode("keys").alias("key"))
     stats = posts.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1")
     shared = durable(posts.join(stats, "key"))
-    few = shared.where(F.col("many") <= FEW)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    hot = durable(shared.where(F.col("many") > FEW).select("node", "pivot"))
-    often = hot.groupBy("node").agg(F.count("*").alias("hot"))
+    # Where many share a shingle, only those of like size can be linked: bands of sizes are as wide as the similarity
+    # allows, and each node is in the groups of its band and the next, so a pair of like size has a group in common.
+    band = F.floor(F.log(F.col("n").cast("double")) / (max(-math.log(percent / 100), 1e-6) * 1.000001)).cast("int")
+    banded = shared.where(F.col("many") > FEW).select("key", "node").join(nodes.select("node", band.alias("band")).distinct(), "node")
+    banded = durable(banded.select("key", "node", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("part")))
+    parts = banded.groupBy("key", "part").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1")
+    banded = durable(banded.join(parts, ["key", "part"]))
+    few = shared.where(F.col("many") <= FEW).select("key", F.lit(-1).alias("part"), "node").unionByName(banded.where(F.col("many") <= FEW).select("key", "part", "node"))
+    met = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["key", "part"]).where("a < b").select("key", "a", "b").distinct()
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"))
+    hot = banded.where(F.col("many") > FEW)
+    often = hot.groupBy("node").agg(F.count_distinct("key").alias("hot"))
     pairs = durable(_promising(pairs, nodes.join(often, "node", "left").fillna(0, ["hot"]), percent))
-    stars = hot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = durable(hot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
 
     group = durable(components(pairs.unionByName(stars).select(F.col("a").alias("u"), F.col("b").alias("v"))))
     large = group.groupBy("component_id").agg(F.count("*").alias("many")).where(F.col("many") > SMALL).select("component_id")
