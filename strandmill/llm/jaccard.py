@@ -198,13 +198,13 @@ def region_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     label = np.arange(len(sets))
 
     def tie(i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            low = np.minimum(label[i], label[j])
-            if (label[i] == low).all() and (label[j] == low).all():
-                return
-            for k in (i, j):
-                np.minimum.at(label, label[k], low)
-                np.minimum.at(label, k, low)
+        # Roots hang on lesser roots, so what earlier calls have tied moves as a whole; then every label is a root again.
+        nonlocal label
+        while (label[i] != label[j]).any():
+            a, b = label[i], label[j]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != label[label]).any():
+                label = label[label]
 
     if len(sets) == 2:
         common = _shared(*sets)
@@ -220,8 +220,6 @@ def region_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
         some = apart[at : at + UNLINKED]
         i, j = block_links([sets[k] for k in some], sets, percent)
         tie(some[i], j)
-    while (label != label[label]).any():
-        label = label[label]
     return label
 
 

@@ -1,6 +1,7 @@
 """Media, vectors, mixing, joins, languages and the pipeline, against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -321,6 +322,37 @@ def test_jaccard(spark, monkeypatch, small, few):
         assert jaccard.jaccard_components(twice).count() == 6
 
 
+def drifting(n=30, seed=9):
+    """Chains in which each text is the one before and some words more, so that only neighbours are similar; ids at random."""
+    rnd = random.Random(seed)
+    texts = []
+    for k in range(n):
+        words = [f"c{k}w{i}" for i in range(200)]
+        size = rnd.randint(30, 40)
+        for _ in range(5):
+            texts.append(" ".join(words[:size]))
+            size += -(-size * rnd.randint(10, 14) // 100)
+    rnd.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_region_labels():
+    """All orders of a chain of five: a tie moves what earlier ones have tied as a whole."""
+    chain = [np.arange(n, dtype=np.uint64) for n in (40, 45, 51, 57, 64)]
+    for order in itertools.permutations(range(5)):
+        assert jaccard.region_labels([chain[k] for k in order], 85).tolist() == [0] * 5, order
+
+
+@pytest.mark.parametrize("small", [4096, 4])
+def test_drifting_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    docs = drifting()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = plain_components(docs, 4, 85)
+    assert max(Counter(c for _, c in want.values()).values()) == 5
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == want
+
+
 def test_shingle_counts():
     texts = [t or "" for _, t in copies()] + ["x" * 100_000 + " y", "ab cd\x0bef\x0cgh"]
     assert [len(s) for s in shingles.shingle_sets(texts, 4)] == [len(plain_sets(t, 4)) for t in texts]
