@@ -1,7 +1,7 @@
 """Secrets in texts: patterns that stand alone, and parts of a credential that count only together.
 
-Three kinds are reported wherever they occur (assign, access, hex).  Further parts are weak: a short access identifier, a
-mixed token of the shape that signing keys have, an endpoint.  Within a scope (a paragraph, bounded by empty lines) each
+Three kinds are reported wherever they occur (assign, access, hex).  Further parts are weak: an access identifier that is
+short or of a kind that does not count by itself, a mixed token of the shape that signing keys have, an endpoint.  Within a scope (a paragraph, bounded by empty lines) each
 weak part is widened to an interval and joined with the intervals of complementary parts, strong or weak; it is
 reported, as kind:start:end, only if they meet.  Both sides are sorted and searched, so a scope with many parts takes
 little more than linear time and no list of pairs.
@@ -29,9 +29,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 #: A match always takes the whole run, so a least length within the pattern finds the same matches as a test after it.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{6,13}(?![A-Za-z0-9])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[a-z0-9+/_=-]{0,60}[A-Z])[A-Za-z0-9+/_-]{20,60}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@-]{4,200}|(?<![A-Za-z0-9.-])[a-z0-9-]{1,40}\.(?:amazonaws|googleapis|azure|internal)\.[a-z]{2,8}")
+_WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{6,}(?![A-Za-z0-9])")
+#: A token begins behind whatever is not of its run, `=` included (NAME=token), so each run is searched once.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@-]{4,200}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.)+(?:amazonaws|googleapis|azure|internal)\.[a-z]{2,8}")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 #: What a part completes: an identifier needs a secret, a secret an identifier or an endpoint, an endpoint both kinds of key.
 _COMPLEMENTS = {
@@ -58,7 +59,9 @@ def weak_parts(text: str) -> list[Span]:
     found = []
     if "A" in text:
         found += [("weak_access", *m.span()) for m in _WEAK_ACCESS.finditer(text)]
-    found += [("weak_token", *m.span()) for m in _TOKEN.finditer(text)]
+    # A long identifier has the shape of a token too; it is no secret of another one.
+    names = {(a, b) for _, a, b in found}
+    found += [("weak_token", *m.span()) for m in _TOKEN.finditer(text) if m.span() not in names]
     if "://" in text or "." in text:
         found += [("weak_endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
     return sorted(found, key=lambda s: (s[1], _ROLE[s[0]], s[2]))
