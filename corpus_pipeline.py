@@ -1,8 +1,8 @@
 """From raw documents to token ids in five stages; counted as a part of the subpackage for training text.
 
 Each stage is written as Parquet to the shared folder and read again as the next one's documents.  All but the last
-return the columns of documents.  Stages keep every row that they do not decide against: nulls in source or lang,
-repeated rows and very long texts pass through.
+return the columns of documents.  Stages keep every row that they do not decide against: nulls in doc_id, source
+or lang, ids that repeat with other texts, repeated rows and very long texts pass through.
 """
 
 from __future__ import annotations
@@ -21,36 +21,39 @@ from strandmill.llm.shared import durable, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Documents with what an operator says about their ids, each document once."""
-    return docs.select(*COLUMNS).join(decisions, "doc_id")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with `row`, a number of each row: ids can be null or repeat, so decisions come back by it."""
+    return durable(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (`und`) go; all others stay.  lang is set where it was null."""
-    found = identify_languages(docs, fit_language_model(docs)).select("doc_id", "lang_pred").distinct()
-    kept = _decided(docs, found).where("lang_pred <> 'und'")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    found = identify_languages(docs, fit_language_model(docs), keep=("text", "lang", "source", "n_chars")).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays, of rows that repeat an id one."""
-    found = jaccard_components(docs, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return _decided(docs, found).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near copies the document of least id stays (null is the last), of rows that repeat this id one.
+    Rows that share an id but have other texts are documents of their own."""
+    docs = _numbered(docs)
+    found = jaccard_components(docs, width=5, percent=80, id_col="row").select("row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = docs.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order)["row"].alias("row"))
+    return docs.join(kept, "row").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts and leave a mark; every document stays."""
-    found = find_secrets(docs, redact=True).where("spans <> ''").select("doc_id", "redacted")
-    text = F.coalesce("redacted", "text")
-    out = docs.select(*COLUMNS).join(found, "doc_id", "left")
-    return out.withColumn("n_chars", F.when(F.col("redacted").isNotNull(), F.length(text).cast("bigint")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*COLUMNS)
+    found = find_secrets(docs, redact=True, keep=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("spans") != "", F.length("redacted").cast("bigint")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).withColumnRenamed("redacted", "text").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none to three times."""
-    mixed = mix_sources(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return _decided(docs, mixed).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    docs = _numbered(docs)
+    mixed = mix_sources(docs, keep=("row",)).where("taken > 0").select("row", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return docs.join(mixed, "row").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

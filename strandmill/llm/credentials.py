@@ -121,10 +121,11 @@ def redacted(text: str, spans: list[Span], mark: str = "[secret]") -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH, redact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_assign, n_access, n_hex, n_linked, base_sha256, spans and, with `redact`, the text without the spans
+def find_secrets(docs: DataFrame, reach: int = REACH, redact: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the columns of `keep`, n_assign, n_access, n_hex, n_linked, base_sha256, spans and, with `redact`, the text without the spans
     (null for null)."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, n_linked bigint, base_sha256 string, spans string" + ", redacted string" * redact
+    carried = [id_col, *keep]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried) + ", n_assign bigint, n_access bigint, n_hex bigint, n_linked bigint, base_sha256 string, spans string" + ", redacted string" * redact
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +140,11 @@ def find_secrets(docs: DataFrame, reach: int = REACH, redact: bool = False, id_c
                     hashes.append(hashlib.sha256(joined(base).encode()).hexdigest())
                     spans.append(joined(found))
                     clean.append(given if not found else redacted(given, found)) if redact else None
-                cols = [part.column(id_col), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes), pa.array(spans)]
-                names = [id_col, "n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"]
+                cols = [*map(part.column, carried), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes), pa.array(spans)]
+                names = [*carried, "n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"]
                 if redact:
                     cols.append(pa.array(clean, pa.string()))
                     names.append("redacted")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carried, text_col])).mapInArrow(run, schema)

@@ -170,14 +170,15 @@ def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col
     return model
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, lang_pred and score."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
+def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the columns of `keep`, held_out, lang_pred and score."""
+    carried = [id_col, *keep]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried) + ", held_out boolean, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, text_col, _SLICE):
                 langs, scores = model.predict(texts_of(part, text_col))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, carried), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carried, text_col]), held_out(id_col).alias("held_out")).mapInArrow(run, schema)

@@ -46,11 +46,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
     return rates.select("source", "source_size", F.least(F.col("weight") * chosen, F.col("most")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, size (words), source_size, target (of its source) and taken (words the mix takes, repeats counted)."""
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the columns of `keep`, size (words), source_size, target (of its source) and taken (words the mix takes, repeats counted)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
+    sized = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *keep))
     targets = durable(source_targets(sized, weights, repeats))
     slot = F.conv(F.substring("key", 1, 3), 16, 10).cast("int")
     laid = sized.withColumn("slot", slot)
@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
     rows = timed.withColumn("whole", whole).alias("d")
     same = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.slot") == F.col("e.slot")) & (F.col("d.nth") == F.col("e.nth"))
     taken = F.col("d.size") * (F.col("d.whole") + F.coalesce("e.more", F.lit(0)))
-    return rows.join(edge, same, "left").select(F.col("d.id").alias(id_col), "d.size", "d.source_size", "d.target", taken.cast("bigint").alias("taken"))
+    return rows.join(edge, same, "left").select(F.col("d.id").alias(id_col), *(f"d.{c}" for c in keep), "d.size", "d.source_size", "d.target", taken.cast("bigint").alias("taken"))
 
 
 ORACLE = r"""

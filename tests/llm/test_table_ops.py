@@ -404,3 +404,31 @@ def test_pipeline(spark, sf_dir):
     assert max(times.values()) <= 3 and abs(sum(sizes[i] * n for i, n in times.items()) - sum(sizes.values())) < max(sizes.values())
     assert len(kept["tokens"]) == len(kept["mixture"]) and all(hashlib.sha256(r.text.encode()).hexdigest() in {t.decoded_sha256 for t in kept["tokens"]} for r in kept["mixture"][:5])
     assert F is not None
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, sf_dir):
+    """Each row is decided by itself, whatever its id is."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(11)
+    prose = lambda: " ".join(rnd.choice("the river runs under old stone bridges while children play near quiet water".split()) + rnd.choice("abcdefgh") for _ in range(40))
+    key = "password = abcdefghijklmnop"
+    rows = [(i, prose(), lang) for i, lang in enumerate(["en", "de"] * 6)]
+    near = prose()
+    rows += [(None, prose(), None), (None, f"{prose()} {key}", "en"), (50, prose(), "en"), (50, prose(), "en"), (50, f"{prose()} {key}", None)]
+    lost = [(None, "12 34", "en"), (50, "56 !", "en"), (None, None, None)]
+    copies = [(None, f"{near} end", "en"), (61, near, "en"), (60, f"{near} last", "en"), (50, rows[14][1], "en")]
+    same = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df)
+    expect = lambda kept: sorted((i is None, i or 0, t) for i, t, *_ in kept)
+    docs = spark.createDataFrame([(i, t, lang, "src0", len(t or "")) for i, t, lang in rows + lost + copies], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    steps = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        steps[name] = out.collect()
+        docs = spark.createDataFrame(steps[name], out.schema)
+    assert same(steps["language"]) == expect(rows + copies) and all(r.lang for r in steps["language"])
+    kept = rows + copies[2:3]
+    assert same(steps["near_duplicates"]) == expect(kept)
+    clean = [(i, t.replace(key, "[secret]")) for i, t, _ in kept]
+    assert same(steps["secrets"]) == same(steps["mixture"]) == expect(clean)
+    assert all(r.n_chars == len(r.text) for r in steps["secrets"])
+    assert sorted(r.decoded_sha256 for r in steps["tokens"]) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in clean)
