@@ -60,20 +60,28 @@ def most_frequent_letter(c, among: str = "ACTG", other: bool = True) -> Column:
 
 
 def dusty_score(c) -> Column:
-    """Low complexity: over triplets of A, C, G and T, the sum of squares of each one's repeats beyond the first.
+    """Low complexity: over triplets of A, C, G and T, the sum of squares of each one's repeats beyond the first."""
 
-    Sorted triplets are folded run by run; the n-th repeat of a run adds the next odd number.
-    """
-    c = F.col(c) if isinstance(c, str) else c
-    at = F.when(F.length(c) >= 3, F.sequence(F.lit(1), F.length(c) - 2)).otherwise(F.array().cast("array<int>"))
-    triplets = F.filter(F.transform(at, lambda i: F.substring(c, i, F.lit(3))), lambda t: F.length(F.translate(t, "ACGT", "")) == 0)
-    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("sum"))
-
-    def step(acc, t):
-        run = F.when(acc["last"] == t, acc["run"] + 1).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(t.alias("last"), run.alias("run"), (acc["sum"] + F.greatest(2 * run - 1, F.lit(0))).alias("sum"))
-
-    return F.aggregate(F.array_sort(triplets), start, step, lambda acc: acc["sum"])
+    @F.pandas_udf("bigint")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        code = np.full(256, 64, dtype=np.int64)
+        code[list(b"ACGT")] = range(4)
+        for reads in batches:
+            out = np.zeros(len(reads), dtype=np.int64)
+            # Reads are joined with a letter that is none, and counted in steps whose tables of 64 triplets are small.
+            for at in range(0, len(reads), 4096):
+                text = reads.iloc[at : at + 4096].fillna("")
+                raw = "-".join([*text, "--"]).encode("ascii", "replace")
+                c = code[np.frombuffer(raw, dtype=np.uint8)]
+                size = text.str.len().to_numpy(dtype=np.int64) + 1
+                owner = np.repeat(np.arange(len(text)), size)
+                triplet = c[: len(owner)] * 16 + c[1 : len(owner) + 1] * 4 + c[2 : len(owner) + 2]
+                known = np.maximum(np.maximum(c[: len(owner)], c[1 : len(owner) + 1]), c[2 : len(owner) + 2]) < 4
+                counts = np.bincount(owner[known] * 64 + triplet[known], minlength=64 * len(text)).reshape(-1, 64)
+                out[at : at + len(text)] = (np.maximum(counts - 1, 0) ** 2).sum(axis=1)
+            yield pd.Series(out).where(reads.notna().to_numpy()).astype("Int64")
+
+    return score(F.col(c) if isinstance(c, str) else c)
 
 
 def polyn(nucleotides: str, n: int) -> dict[str, str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch, one_of, warn
 from ..schema import DNA
-from .sequence import letters, narrow
+from .sequence import narrow
 
 
 def _character(a: str) -> str:
@@ -55,20 +55,31 @@ def window_end(c, k: int, a: str, halfwidth: int) -> Column:
     """
     if k < 0 or halfwidth < 1:
         raise ArgumentMismatch("'k' must not be negative and 'halfwidth' must be positive")
-    c = F.col(c) if isinstance(c, str) else c
-    n, h, limit = F.length(c), halfwidth, ord(_character(a))
-    low = F.transform(letters(c), lambda x: (F.ascii(x) <= limit).cast("int"))
-    inside = lambda i: F.greatest(F.least(i, n - 1), F.lit(0))
-    base = F.get(low, F.least(n - 1, F.lit(h)))
-
-    def count(j):
-        total = base
-        for d in range(1 - h, h + 1):
-            total = total + F.get(low, inside(j + d))
-        return total
-
-    first = F.array_position(F.transform(F.sequence(F.lit(0), n - 1), lambda j: count(j) >= k), True)
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.nullif(first, F.lit(0)) - 1, n)).cast("int")
+    limit, h = ord(_character(a)), halfwidth
+
+    @F.pandas_udf("int")
+    def end(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for reads in batches:
+            text = reads.fillna("")
+            size = text.str.len().to_numpy(dtype=np.int64)
+            first = np.cumsum(size) - size
+            codes = np.frombuffer("".join(text).encode("utf-32-le"), dtype=np.uint32)
+            low = (codes <= limit).astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(low)))
+            some = size > 0
+            start, last = np.repeat(first[some], size[some]), np.repeat((first + size - 1)[some], size[some])
+            j = np.arange(len(codes))
+            # Of a window the cycles inside of the read, and its first or last one again for each cycle outside.
+            a, b = j + 1 - h, j + h
+            count = upto[np.minimum(b, last) + 1] - upto[np.maximum(a, start)]
+            if len(codes):
+                count += low[start] * np.maximum(start - a, 0) + low[last] * np.maximum(b - last, 0)
+                count += low[np.minimum(start + h, last)]
+            hit = np.append(np.flatnonzero(count >= k), len(codes))
+            cut_at = hit[np.searchsorted(hit, first)]
+            yield pd.Series(np.minimum(cut_at - first, size).astype(np.int32)).where(reads.notna().to_numpy())
+
+    return end(F.col(c) if isinstance(c, str) else c)
 
 
 def end_bounds(c, a: str, left: bool = True, right: bool = True, relation: str = "<=", alphabet: str | None = None) -> tuple[Column, Column]:
