@@ -3,11 +3,13 @@
 Texts become relative frequencies of hashed byte 2- and 3-grams of their lower-cased letters.  Linear support vector
 machines (squared hinge loss) separate the families, one against one, and within each family its languages, one against
 one.  A text's margin is the mean of its n-grams' weights, so prediction is one table look-up per n-gram over the whole
-text.  The machines are fitted on the driver from at most `per_language` documents of each language, those with the
-least hash of their id; their features, not their texts, are sent there.
+text.  At most `per_language` different labelled rows of each language are learned from, those with the least hash of
+id and text.  Each machine is a group that one task fits, from a bounded number of these rows; the driver gets weights
+only, and they are broadcast for prediction.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is everything if no labelled document
-exists; equal texts get equal results; repeated rows give repeated rows; columns other than those named are ignored.
+exists; equal texts get equal results; repeated rows give repeated rows, and are learned from once; columns other than
+those named are ignored.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import exact_sample
-from .shared import text_slices, texts_of
+from .shared import durable, text_slices, texts_of
 
 BUCKETS = 4096
 PER_LANGUAGE = 500
+#: Rows of one side of a machine, at most; a family's languages share them.
+PER_SIDE = 1000
 #: Families of languages by ISO 639-1 code; a code that is not listed is a member of the family "other".
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -80,6 +84,15 @@ def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int =
     return w[:-1], float(w[-1])
 
 
+def fit_machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """fit_svm() on features scaled to like spread; the weights are for features as they are."""
+    x = x.astype(np.float64)
+    scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4) / np.sqrt(x.shape[1])
+    x *= scale
+    w, bias = fit_svm(x, y)
+    return w * scale, bias
+
+
 class LanguageModel:
     """Machines for pairs of families and for pairs of languages within a family."""
 
@@ -94,19 +107,14 @@ class LanguageModel:
         self.weights = np.zeros((BUCKETS, len(self.pairs)))
         self.bias = np.zeros(len(self.pairs))
 
-    def fit(self, x: np.ndarray, langs: list[str]) -> LanguageModel:
-        scale = 1 / (np.sqrt((x.astype(np.float64) ** 2).mean(axis=0)) + 1e-4)
-        scale /= np.sqrt(BUCKETS)
-        x = x * scale
-        y = np.array(langs)
-        family = {m: f for f, members in self.families.items() for m in members}
-        groups = np.array([family[m] for m in langs])
+    def sides(self, per_side: int = PER_SIDE) -> list[tuple[str, int, int, int]]:
+        """Per language and machine that learns from it: language, machine, side (1 or -1), and how many rows it takes."""
+        out = []
         for k, (within, a, b) in enumerate(self.pairs):
-            side = groups if within is None else y
-            rows = np.flatnonzero((side == a) | (side == b))
-            w, self.bias[k] = fit_svm(x[rows], np.where(side[rows] == a, 1.0, -1.0))
-            self.weights[:, k] = w * scale
-        return self
+            for name, side in ((a, 1), (b, -1)):
+                members = self.families[name] if within is None else [name]
+                out += [(lang, k, side, max(1, per_side // len(members))) for lang in members]
+        return out
 
     def _best(self, within: str | None, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the name with most votes in its pairs (then the largest sum of margins), and a score from 0 to 1."""
@@ -148,11 +156,26 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most per_language labelled documents of each language that are not held out."""
+def learning_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows (lang, text, rank): of each language at most per_language different labelled rows that are not held out.
+
+    The number of a language's different rows tells below which hash about twice as many lie; only these move and are
+    ranked, so neither a frequent language nor an often repeated row makes a large task.
+    """
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    keys = exact_sample(named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), per_language, ("lang",), key="id")
-    rows = named.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(keys), "id")
+    named = named.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("many"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.greatest("many", F.lit(1)))
+    # Shifted by 11 bits a hash is a whole number below 2**53, which a double holds exactly.
+    few = named.join(sizes, "lang").where(F.shiftrightunsigned("h", 11) < share * float(1 << 53))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language).select("lang", "text", "rank")
+
+
+def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fit on at most per_language labelled rows of each language that are not held out."""
+    spark = docs.sparkSession
+    rows = learning_rows(docs, per_language, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,13 +183,23 @@ def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col
                 for at in range(0, part.num_rows, 500):
                     some = part.slice(at, 500)
                     x = pa.array([r.tobytes() for r in features(texts_of(some, "text"))], pa.binary())
-                    yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("id"), x], ["lang", "id", "x"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = sorted(rows.select("lang", "id", "text").mapInArrow(run, f"lang string, id {kind}, x binary").collect())
-    model = LanguageModel(list({r.lang for r in found}))
-    if found:
-        model.fit(np.vstack([np.frombuffer(r.x, dtype=np.float32) for r in found]), [r.lang for r in found])
+                    yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("rank"), x], ["lang", "rank", "x"])
+
+    learned = durable(rows.mapInArrow(run, "lang string, rank int, x binary"))
+    model = LanguageModel([r.lang for r in learned.select("lang").distinct().collect()])
+    if not model.pairs:
+        return model
+    sides = spark.createDataFrame(model.sides(), "lang string, machine int, side int, most int")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "lang", "rank"])
+        w, bias = fit_machine(np.vstack([np.frombuffer(x, dtype=np.float32) for x in rows["x"]]), rows["side"].to_numpy(dtype=np.float32))
+        return pd.DataFrame({"machine": rows["machine"].iloc[:1], "weights": [w.astype(np.float32).tobytes()], "bias": [bias]})
+
+    taken = learned.join(F.broadcast(sides), "lang").where("rank <= most")
+    for r in taken.groupBy("machine").applyInPandas(fit, "machine int, weights binary, bias double").toLocalIterator():
+        model.weights[:, r.machine] = np.frombuffer(r.weights, dtype=np.float32)
+        model.bias[r.machine] = r.bias
     return model
 
 
@@ -174,11 +207,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     """Per row: id, the columns of `keep`, held_out, lang_pred and score."""
     carried = [id_col, *keep]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried) + ", held_out boolean, lang_pred string, score double"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             for part in text_slices(batch, text_col, _SLICE):
-                langs, scores = model.predict(texts_of(part, text_col))
+                langs, scores = known.predict(texts_of(part, text_col))
                 yield pa.RecordBatch.from_arrays([*map(part.column, carried), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, "held_out", "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys([*carried, text_col]), held_out(id_col).alias("held_out")).mapInArrow(run, schema)
