@@ -1,23 +1,20 @@
-"""Exact Jaccard join on word shingles, with pivots, regions and triangle-inequality windows.
+"""Exact Jaccard join on word shingles in the metric of Jaccard distance.
 
 1. Equal sets become one node.
-2. Sets of similarity t share one of their first |s| - ceil(t|s|) + 1 shingles under any common order.  The order puts
-   shingles last that occur in many documents, so common passages make no candidates; it affects cost, never results.
-3. Nodes that share a shingle are candidates: pairwise where few of like size share it; where many do, their node of
-   least hash is the pivot that the others are tied to.  A pair must share enough of its first shingles for the similarity that is asked;
-   the others are dropped.  What candidates connect is a region.
-4. A region of bounded size is joined within one task: its nodes are compared with a pivot, then those that are not tied
-   to it with all others.
-5. Larger regions are split by their pivots.  Nodes are compared with their pivots first.  Those that these links leave
-   apart are joined with the others of their pivot by slabs of the distance to it, as wide as the threshold: by the
-   triangle inequality a link never crosses a whole slab, so a node meets its own slab, and boundary nodes of both
-   neighbours, in blocks of bounded size.
-
-Distance 1 - J is a metric, and every linked pair shares a prefix shingle, so no link is lost.
+2. A cheap cut comes first.  Sets of similarity t share one of their first |s| - ceil(t|s|) + 1 shingles under any common
+   order; the order puts shingles last that occur in many documents, so common passages make few candidates.  Nodes of
+   like size that share enough of them are candidates; where many share one, they are tied to its node of least hash.
+   What candidates connect is an area.  No link crosses areas; the order affects cost, never results.
+3. Each area is a region of the metric join (`regions`): pivots, nearest-pivot regions, boundary members copied by the
+   triangle inequality, windows on the distance to the pivot, and the same again within each region.  A region up to a
+   number of nodes and bytes is joined within one task.  A larger one is split by a distributed step: members are dealt
+   to tasks that hold the region's pivots, and the regions that this gives are joined alike.
+4. A region that pivots do not split (all its members are far from all others) is compared in slabs of the distance to
+   its pivot, as wide as the threshold, and blocks of bounded size.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; equal texts link; rows
-that repeat an id are one document of the component; a null id has a null component; an empty table gives an empty
-table; columns other than those that are named are ignored.
+that repeat an id are one document of the component, also with different texts; a null id has a null component; an empty
+table gives an empty table; columns other than those that are named are ignored.  Ids must be whole numbers.
 """
 
 from __future__ import annotations
@@ -29,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .regions import UNLINKED, Region, distances, region_labels, windows  # noqa: F401
 from .shared import durable, text_slices, texts_of
 from .shingles import shingle_sets
 
@@ -43,11 +41,14 @@ KNOWN = 500_000
 #: A shingle in so many documents among three million successive low shingles is reported as frequent.  Low ones have a
 #: hash in this first part of the range: sets' first shingles lie there, even where some are put last.
 OFTEN, WINDOW, LOW = 2, 3_000_000, np.uint64(int(0.35 * 2**64))
-#: Nodes of a region that is joined within one task, and of all regions that share a task.
-SMALL, TOGETHER = 4096, 1000
+#: Nodes and bytes of a region that is joined within one task, and bytes of all regions that share a task.
+SMALL, SMALL_BYTES, TASK_BYTES = 4096, 16_000_000, 8_000_000
+#: Of a region that is split: pivots, members and bytes for each task, and how often it is split before it is cut in blocks.
+PIVOTS, DEALT, DEALT_BYTES, LEVELS = 64, 1024, 4_000_000, 6
 #: Hash buckets by which a text's need is known before texts are shuffled: bounds what is broadcast.
 BUCKETS = 1 << 18
-UNLINKED, OTHERS = 128, 2048
+OTHERS = 2048
+_MEMBER = "region bigint, node bigint, mine bigint, main bigint, far double, before bigint, bag binary"
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -128,55 +129,6 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, region bigint, bag binary")
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    if not len(large):
-        return 0
-    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their exact `common` and `total` numbers of shingles."""
-    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
-    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v, dtype=np.uint64) for v in batch.column(c).to_pylist()] for c in ("bag_a", "bag_b"))
-            common = [_shared(a, b) for a, b in zip(x, y)]
-            total = [len(a) + len(b) - c for a, b, c in zip(x, y, common)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
-
-    return rows.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a bigint, b bigint, common bigint, total bigint")
-
-
-def block_links(u_sets: list[np.ndarray], n_sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the linked (u, n) pairs between two lists of sets, by one product of incidence matrices in steps."""
-    universe = np.unique(np.concatenate(u_sets))
-    member = np.zeros((len(universe) + 1, len(u_sets)), dtype=np.int16)
-    for i, s in enumerate(u_sets):
-        member[np.searchsorted(universe, s), i] = 1
-    u_size = np.array([len(s) for s in u_sets])
-    rows, cols = [], []
-    at = 0
-    while at < len(n_sets):
-        end, elements = at, 0
-        while end < len(n_sets) and (end == at or elements + len(n_sets[end]) <= 40_000):
-            elements += len(n_sets[end])
-            end += 1
-        flat = np.concatenate(n_sets[at:end])
-        place = np.minimum(np.searchsorted(universe, flat), len(universe) - 1)
-        place = np.where(universe[place] == flat, place, len(universe))
-        n_size = np.array([len(s) for s in n_sets[at:end]])
-        common = np.add.reduceat(member[place], np.r_[0, np.cumsum(n_size)[:-1]], dtype=np.int32)
-        total = n_size[:, None] + u_size[None, :] - common
-        n, u = np.nonzero(common.astype(np.int64) * 100 >= total.astype(np.int64) * percent)
-        rows.append(u)
-        cols.append(n + at)
-        at = end
-    return np.concatenate(rows), np.concatenate(cols)
-
-
 def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, c) that share c rare first shingles those that can be similar enough.
 
@@ -193,85 +145,142 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.where(near & (F.col("c") + F.least("a_.hot", "b_.hot") + rest >= need)).select("a", "b")
 
 
-def region_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Number of each set's linked group: the least number in it."""
-    label = np.arange(len(sets))
-
-    def tie(i: np.ndarray, j: np.ndarray) -> None:
-        # Roots hang on lesser roots, so what earlier calls have tied moves as a whole; then every label is a root again.
-        nonlocal label
-        while (label[i] != label[j]).any():
-            a, b = label[i], label[j]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label != label[label]).any():
-                label = label[label]
-
-    if len(sets) == 2:
-        common = _shared(*sets)
-        if common * 100 >= (len(sets[0]) + len(sets[1]) - common) * percent:
-            label[1] = 0
-        return label
-    # Near copies vary in length, so the set of middle size is the likeliest to be near most of the others.
-    pivot = int(np.argsort([len(s) for s in sets], kind="stable")[len(sets) // 2])
-    found = block_links([sets[pivot]], sets, percent)[1]
-    tie(np.full(len(found), pivot), found)
-    apart = np.flatnonzero(label != label[pivot])
-    for at in range(0, len(apart), UNLINKED):
-        some = apart[at : at + UNLINKED]
-        i, j = block_links([sets[k] for k in some], sets, percent)
-        tie(some[i], j)
-    return label
-
-
-def _small_regions(members: DataFrame, percent: int, many: int) -> DataFrame:
-    """Nodes u with the least node v that they are linked to, in regions (region, id, bag) of bounded size, several to a task."""
-    tasks = max(1, many // TOGETHER)
+def _bags(g: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype=np.uint64) for b in g["bag"]]
+
+
+def _within_tasks(members: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Links (u, v) that make the components of regions of bounded size, several to a task; u > v within a region."""
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
-        u, v = [], []
-        for _, g in f.drop_duplicates("id").sort_values("id", kind="stable").groupby("region", sort=False):
-            ids = g["id"].to_numpy()
-            label = region_labels([np.frombuffer(b, dtype=np.uint64) for b in g["bag"]], percent)
-            tied = np.flatnonzero(label != np.arange(len(ids)))
-            u.append(ids[tied])
-            v.append(ids[label[tied]])
-        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for _, g in f.sort_values("node", kind="stable").groupby("region", sort=False):
+            node, mine = g["node"].to_numpy(), g["mine"].to_numpy()
+            region = Region(_bags(g), percent)
+            for known in (node, mine):  # rows of one document, and members that earlier steps have tied
+                _, first, at = np.unique(known, return_index=True, return_inverse=True)
+                region.tie(np.arange(len(g)), first[at])
+            far = g["far"].to_numpy()
+            label = region.join(None if np.isnan(far).any() else far)
+            u.append(node)
+            v.append(node[label])
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
     return members.groupBy(F.pmod(F.hash("region"), F.lit(tasks)).alias("task")).applyInPandas(join, "u bigint, v bigint")
 
 
-def _pivot_regions(far: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (u, v) between nodes that `group` does not connect yet, among those with a measured pivot (pivot, node, slab)."""
-    name = lambda c: group.select(F.col("node").alias(c), F.col("component_id").alias(f"{c}_group"))
-    rows = far.unionByName(far.select("pivot", F.col("pivot").alias("node"), F.lit(0).alias("slab")).distinct())
-    rows = rows.join(name("node"), "node", "left").join(name("pivot"), "pivot", "left").withColumn("mine", F.coalesce("node_group", "node"))
-    region = durable(rows.select("pivot", "node", "slab", "mine", (F.col("mine") != F.coalesce("pivot_group", "pivot")).alias("alone")))
-    sizes = region.groupBy("pivot").agg(F.ceil(F.sum(F.col("alone").cast("int")) / UNLINKED).cast("int").alias("us"), F.ceil(F.count("*") / OTHERS).cast("int").alias("ns")).where("us > 0")
-    sizes = durable(sizes)
-    if not sizes.limit(1).count():
-        return None
-    near = region.where("alone").select("pivot", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab")).distinct()
-    met = region.join(sizes, "pivot").join(near, ["pivot", "slab"], "left_semi")
-    full = met.join(sets.select(F.col("id").alias("node"), "bag"), "node")
+def _split(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """One step over regions (sizes: region, nodes, bytes, loose): rows of _MEMBER of the regions that their pivots make,
+    and links (node, mine) without a region.
+
+    Pivots are loose members of least hash.  Members are dealt to tasks of bounded size, each with all pivots of its region.
+    """
+    threshold = 1 - percent / 100
+    tasks = F.ceil(F.greatest(F.col("nodes") / DEALT, F.col("bytes") / DEALT_BYTES)).cast("int")
+    pivots = F.least(F.lit(PIVOTS), 1 + F.ceil(F.greatest(F.col("nodes") * 4 / SMALL, F.col("bytes") * 4 / SMALL_BYTES))).cast("int")
+    sizes = durable(sizes.select("region", tasks.alias("tasks"), pivots.alias("pivots"), "loose", F.col("nodes").alias("before_")))
+    order = F.xxhash64("node", "region")
+    full = members.join(sizes, "region").withColumn("order", order)
+    # Only members that can be among the first are ranked: about twice as many as pivots, and the very first.
+    first = full.where(_LOOSE).groupBy("region").agg(F.min("order").alias("order")).withColumn("first", F.lit(True))
+    some = full.where(_LOOSE).join(first, ["region", "order"], "left")
+    some = some.where(F.coalesce("first", F.lit(False)) | (F.shiftrightunsigned("order", 11) < (F.lit(2.0) * F.col("pivots") + 8) / F.col("loose") * float(1 << 53)))
+    rank = F.row_number().over(Window.partitionBy("region").orderBy("order", "node"))
+    some = some.withColumn("rank", rank).where(F.col("rank") <= F.col("pivots"))
+    dealt = lambda task, rank: [F.col("region"), task.alias("task"), rank.alias("rank"), F.col("node"), F.col("mine"), F.col("main"), F.col("before_").alias("before"), F.col("bag")]
+    pivot_rows = some.select(*dealt(F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)), F.col("rank")))
+    member_rows = full.select(*dealt(F.pmod(F.hash("node"), "tasks"), F.lit(0)))
+
+    def step(f: pa.Table) -> pa.Table:
+        rank = f.column("rank").to_numpy()
+        order = np.argsort(rank, kind="stable")
+        p, m = f.take(order[int((rank == 0).sum()) :]), f.filter(pa.array(rank == 0))
+        ints, none = (lambda x: pa.array(x, pa.int64())), (lambda n, t: pa.nulls(n, t))
+        if not m.num_rows or not p.num_rows:
+            return pa.table({"region": none(0, pa.int64()), "node": ints([]), "mine": ints([]), "main": ints([]), "far": pa.array([], pa.float64()), "before": ints([]), "bag": none(0, pa.binary())})
+        bags = lambda t: [np.frombuffer(b, dtype=np.uint64) for b in t.column("bag").to_pylist()]
+        far, link = distances(bags(p), bags(m), percent)
+        home, close, copied = windows(far, threshold)
+        nodes, pivots = m.column("node").to_numpy(), p.column("node").to_numpy()
+        x, q = np.nonzero(link)
+        x, q = x[nodes[x] != pivots[q]], q[nodes[x] != pivots[q]]
+        out = [pa.table({"region": none(len(x), pa.int64()), "node": ints(nodes[x]), "mine": ints(pivots[q]), "main": none(len(x), pa.int64()), "far": none(len(x), pa.float64()), "before": none(len(x), pa.int64()), "bag": none(len(x), pa.binary())})]
+        tied = np.where(link.any(axis=1), pivots[link.argmax(axis=1)], m.column("mine").to_numpy())
+        region = f.column("region")[0].as_py()
+        for k in range(len(pivots) + 1):
+            outer = k == len(pivots)
+            inside = np.flatnonzero(~close if outer else close & (home == k) | copied[:, k])
+            n, part = len(inside), m.take(inside)
+            main, dist = (none(n, pa.int64()), none(n, pa.float64())) if outer else (ints(np.full(n, pivots[k])), pa.array(far[inside, k]))
+            out.append(pa.table({"region": ints(np.full(n, _child(region, -1 if outer else k))), "node": part.column("node"), "mine": ints(tied[inside]), "main": main, "far": dist, "before": part.column("before"), "bag": part.column("bag")}))
+        return pa.concat_tables(out)
+
+    return pivot_rows.unionByName(member_rows).groupBy("region", "task").applyInArrow(step, _MEMBER)
+
+
+#: Members that are not tied to the pivot of their region.
+_LOOSE = "main is null or mine <> main"
+
+
+def _child(region: int, k: int) -> int:
+    """Number of the region of a region's k-th pivot."""
+    return int.from_bytes(hashlib.blake2b(b"%d %d" % (region, k), digest_size=8).digest(), "big", signed=True)
+
+
+def _blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of regions that pivots do not split, between loose members and all, by slabs and blocks."""
+    threshold = 1 - percent / 100
+    blocks = sizes.select("region", F.ceil(F.col("loose") / UNLINKED).cast("int").alias("us"), F.ceil(F.greatest(F.col("nodes") / OTHERS, F.col("bytes") / SMALL_BYTES)).cast("int").alias("ns"))
+    slab = F.coalesce(F.floor(F.col("far") / (threshold * (1 + 1e-9))).cast("int"), F.lit(0))
+    full = members.join(blocks, "region").select("region", "node", "mine", "bag", "us", "ns", slab.alias("slab"), F.expr(_LOOSE).alias("loose"))
     share = lambda m: F.pmod(F.hash("node"), F.col(m))
     upto = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
-    u = full.where("alone").select("pivot", "slab", share("us").alias("ub"), F.explode(upto("ns")).alias("nb"), "node", "mine", "bag", F.lit(True).alias("is_u"))
-    n = full.select("pivot", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab"), "us", share("ns").alias("nb"), "node", "mine", "bag")
-    n = n.join(region.where("alone").select("pivot", "slab").distinct(), ["pivot", "slab"], "left_semi")
-    n = n.select("pivot", "slab", F.explode(upto("us")).alias("ub"), "nb", "node", "mine", "bag", F.lit(False).alias("is_u"))
+    near = F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab")
+    u = full.where("loose").select("region", "slab", share("us").alias("ub"), F.explode(upto("ns")).alias("nb"), "node", "mine", "bag", F.lit(True).alias("is_u"))
+    n = full.select("region", near, "us", share("ns").alias("nb"), "node", "mine", "bag")
+    n = n.join(full.where("loose").select("region", "slab").distinct(), ["region", "slab"], "left_semi")
+    n = n.select("region", "slab", F.explode(upto("us")).alias("ub"), "nb", "node", "mine", "bag", F.lit(False).alias("is_u"))
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         us, ns = f[f["is_u"]], f[~f["is_u"]]
         if not len(us) or not len(ns):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        bags = lambda g: [np.frombuffer(b, dtype=np.uint64) for b in g["bag"]]
-        i, j = block_links(bags(us), bags(ns), percent)
+        j, i = np.nonzero(distances(_bags(us), _bags(ns), percent)[1])
         a, b = us.iloc[i].reset_index(drop=True), ns.iloc[j].reset_index(drop=True)
         new = a["mine"] != b["mine"]
-        # One link to each component is enough: its least node stands for it.
         return pd.DataFrame({"u": a.loc[new, "node"], "v": b.loc[new, "mine"]}).drop_duplicates()
 
-    return u.unionByName(n).groupBy("pivot", "slab", "ub", "nb").applyInPandas(compare, "u bigint, v bigint")
+    return u.unionByName(n).groupBy("region", "slab", "ub", "nb").applyInPandas(compare, "u bigint, v bigint")
+
+
+def metric_links(members: DataFrame, percent: int) -> tuple[DataFrame, bool]:
+    """Links (u, v) that make the components of regions (rows of _MEMBER), and whether they are other than stars about each component's least node."""
+    links, split = [], False
+    for level in range(LEVELS + 1):
+        sizes = members.groupBy("region").agg(F.count("*").alias("nodes"), F.sum(F.length("bag")).alias("bytes"), F.count_if(F.expr(_LOOSE)).alias("loose"), F.max("before").alias("before"))
+        large = (F.col("nodes") > SMALL) | (F.col("bytes") > SMALL_BYTES)
+        # A level that leaves nearly all of a region together does not help; blocks take it as it is.
+        stuck = F.lit(level == LEVELS) | (F.col("before") > 0) & (F.col("nodes") > 0.9 * F.col("before"))
+        how = F.when(~large, "task").when(stuck, "blocks").otherwise("split").alias("how")
+        sizes = durable(sizes.where("loose > 0 and nodes > 1").select("*", how))
+        found = {r.how: r for r in sizes.groupBy("how").agg(F.count("*").alias("regions"), F.sum("bytes").alias("bytes")).collect()}
+        of = lambda how: members.join(sizes.where(F.col("how") == how).select("region"), "region", "left_semi")
+        if "task" in found:
+            links.append(durable(_within_tasks(of("task"), percent, max(1, found["task"].bytes // TASK_BYTES))))
+        if "blocks" in found:
+            links.append(durable(_blocks(of("blocks"), sizes.where("how = 'blocks'"), percent)))
+            split = True
+        if "split" not in found:
+            break
+        split = True
+        made = durable(_split(of("split"), sizes.where("how = 'split'"), percent))
+        links.append(made.where("region is null").select(F.col("node").alias("u"), F.col("mine").alias("v")))
+        members = made.where("region is not null")
+    out = members.sparkSession.createDataFrame([], "u bigint, v bigint")
+    for more in links:
+        out = out.unionByName(more)
+    return out, split
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,46 +296,31 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     firsts = _prefixes(docs.where("id is not null"), width, percent, known)
     nodes = durable(firsts.groupBy("digest").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "keys", "last")]))
     posts = nodes.select("node", F.explode("keys").alias("key"))
-    stats = posts.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1")
+    # What is known of a shingle is written before it is joined, so a frequent one is a skewed join that can be dealt anew.
+    stats = durable(posts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     shared = durable(posts.join(stats, "key"))
     # Where many share a shingle, only those of like size can be linked: bands of sizes are as wide as the similarity
     # allows, and each node is in the groups of its band and the next, so a pair of like size has a group in common.
     band = F.floor(F.log(F.col("n").cast("double")) / (max(-math.log(percent / 100), 1e-6) * 1.000001)).cast("int")
     banded = shared.where(F.col("many") > FEW).select("key", "node").join(nodes.select("node", band.alias("band")).distinct(), "node")
     banded = durable(banded.select("key", "node", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("part")))
-    parts = banded.groupBy("key", "part").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1")
+    parts = durable(banded.groupBy("key", "part").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1"))
     banded = durable(banded.join(parts, ["key", "part"]))
     few = shared.where(F.col("many") <= FEW).select("key", F.lit(-1).alias("part"), "node").unionByName(banded.where(F.col("many") <= FEW).select("key", "part", "node"))
     met = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["key", "part"]).where("a < b").select("key", "a", "b").distinct()
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"))
     hot = banded.where(F.col("many") > FEW)
     often = hot.groupBy("node").agg(F.count_distinct("key").alias("hot"))
-    pairs = durable(_promising(pairs, nodes.join(often, "node", "left").fillna(0, ["hot"]), percent))
-    stars = durable(hot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-
-    group = durable(components(pairs.unionByName(stars).select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    large = group.groupBy("component_id").agg(F.count("*").alias("many")).where(F.col("many") > SMALL).select("component_id")
-    inside = durable(group.join(large.withColumn("large", F.lit(True)), "component_id", "left").select("node", F.col("component_id").alias("region"), F.coalesce("large", F.lit(False)).alias("large")))
-    needed = nodes.join(inside, "node").select(F.col("node").alias("id"), "digest", "region")
-    sets = durable(_sets(docs, needed, width))
-    n_small, n_large = inside.agg(F.count_if(~F.col("large")), F.count_if("large")).first()
-    edges = spark.createDataFrame([], "u bigint, v bigint")
-    if n_small:
-        members = sets.join(large.withColumnRenamed("component_id", "region"), "region", "left_anti") if n_large else sets
-        edges = durable(_small_regions(members, percent, n_small))
-    if n_large:
-        big = inside.where("large").select(F.col("node").alias("a"))
-        big_sets = durable(sets.join(large.withColumnRenamed("component_id", "region"), "region", "left_semi").select("id", "bag"))
-        stars = stars.join(big, "a", "left_semi")
-        measured = durable(_measured(pairs.join(big, "a", "left_semi").unionByName(stars).distinct(), big_sets).distinct())
-        close = F.col("common") * 100 >= F.col("total") * percent
-        far = measured.join(stars, ["a", "b"], "left_semi")
-        edges = durable(edges.unionByName(measured.where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        slab = F.floor((F.col("total") - F.col("common")) * 100 / (F.col("total") * (100 - percent))).cast("int")
-        more = _pivot_regions(far.select(F.col("a").alias("pivot"), F.col("b").alias("node"), slab.alias("slab")), components(edges), big_sets, percent)
-        edges = edges if more is None else edges.unionByName(more)
-    # Without large regions the links are stars about each component's least node already.
-    final = components(edges) if n_large else edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
-    named = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
-    rows = scanned.where("key is null").join(named, "digest", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    pairs = _promising(pairs, nodes.join(often, "node", "left").fillna(0, ["hot"]), percent)
+    stars = hot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+
+    area = durable(components(pairs.unionByName(stars).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    needed = nodes.join(area, "node").select(F.col("node").alias("id"), "digest", F.col("component_id").alias("region"))
+    members = _sets(docs, needed, width).select("region", F.col("id").alias("node"), F.col("id").alias("mine"), F.lit(None).cast("bigint").alias("main"), F.lit(None).cast("double").alias("far"), F.lit(0).cast("bigint").alias("before"), "bag")
+    links, split = metric_links(durable(members), percent)
+    # Where no area was split the links are stars about each component's least node already.
+    final = components(links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component_id")).distinct()
+    named = durable(nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id")))
+    rows = scanned.where("key is null")
+    out = rows.where("digest is not null").join(named, "digest", "left").unionByName(rows.where("digest is null").withColumn("component_id", F.lit(None).cast("bigint")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

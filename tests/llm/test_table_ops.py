@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.llm import graph, jaccard, jpeg, langid, media, mixing, near_vectors, shingles
+from strandmill.llm import graph, jaccard, jpeg, langid, media, mixing, near_vectors, regions, shingles
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -353,6 +353,63 @@ def test_drifting_chains(spark, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == want
 
 
+def crowd(seed=3):
+    """Near copies of a few texts, in many small steps, all with one long passage in common: one area with far members."""
+    rnd = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    docs = []
+    for k in range(12):
+        base = [f"k{k}w{i}" for i in range(rnd.randint(15, 60))]
+        for _ in range(rnd.choice([2, 6, 25])):
+            d = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                d[rnd.randrange(len(d))] = f"new{rnd.randrange(99999)}"
+            docs.append(" ".join(passage + d))
+    rnd.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_metric_regions():
+    """At default parameters regions are split by pivots again and again, with copies and windows, and nothing is lost."""
+    texts = [t for _, t in crowd()] + [t for _, t in drifting()] + [t for _, t in copies() if t]
+    sets = [s for s in shingles.shingle_sets(texts, 4) if len(s)]
+    region = regions.Region(sets, 85)
+    label = region.join()
+    want = Sets(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common * 100 >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                want.tie(a, b)
+    assert label.tolist() == [want.find(i) for i in range(len(sets))]
+    assert region.done["regions"] > 3 and region.done["deepest"] > 1 and region.done["copies"] > 0 and region.done["left out"] > 0
+
+
+@pytest.mark.parametrize("small, levels", [(40, 6), (4, 2), (4, 0)])
+def test_split_regions(spark, monkeypatch, small, levels):
+    """Distributed steps: regions split over several levels, and blocks where levels end."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    monkeypatch.setattr(jaccard, "DEALT", 20)
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "OTHERS", 16)
+    docs = crowd()
+    calls = Counter()
+    for name in ("_split", "_blocks", "_within_tasks"):
+        monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), n=name: calls.update([n]) or f(*a))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert out == plain_components(docs, 4, 85)
+    assert calls["_split"] >= min(levels, 2) and bool(calls["_blocks"]) >= (levels == 0)
+
+
+def test_one_id_two_texts(spark):
+    """Rows that repeat an id with other texts are one document: it ties what either text is similar to."""
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    docs = [(5, " ".join(a)), (5, " ".join(b)), (2, " ".join([*a, "x"])), (9, " ".join([*b, "y"])), (None, " ".join(a)), (7, "z z")]
+    out = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).select("doc_id", "component_id").collect()), key=repr)
+    assert [c for i, c in out if i in (2, 5, 9)] == [2] * 4 and (7, 7) in out
+
+
 def test_shingle_counts():
     texts = [t or "" for _, t in copies()] + ["x" * 100_000 + " y", "ab cd\x0bef\x0cgh"]
     assert [len(s) for s in shingles.shingle_sets(texts, 4)] == [len(plain_sets(t, 4)) for t in texts]
@@ -363,6 +420,45 @@ def test_shingle_counts():
 # --- languages --------------------------------------------------------------------------------------------------------
 
 
+def test_learning_rows(spark):
+    """An id that repeats a thousand times, with equal and with other texts, gives no more rows than are asked for."""
+    docs = [(4, "the same text", "en")] * 1000 + [(4, f"text {i}", "en") for i in range(1000)] + [(i, f"ein Text {i}", "de") for i in range(30)]
+    docs += [(1, None, "en"), (3, "kein Name", None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(4)
+    rows = langid.learning_rows(df, 50, "doc_id", "text", "lang").collect()
+    allowed = [i for i in range(30) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert zlib.crc32(b"4") % 4 != 2
+    assert Counter(r.lang for r in rows) == {"en": 50, "de": len(allowed)}
+    assert len({(r.lang, r.text) for r in rows}) == len(rows) and sorted(r["rank"] for r in rows if r.lang == "en") == list(range(1, 51))
+
+
+def test_predictions_by_hand(spark):
+    """Fitting in groups gives the machines that one fit gives, and prediction what a loop over n-grams gives."""
+    words = {"en": "the and of house", "de": "das und von haus", "es": "los y de casa", "fr": "les et du maison"}
+    rnd = random.Random(8)
+    text = lambda lang: " ".join(rnd.choice(words[lang].split()) for _ in range(12))
+    docs = [(i, text(lang), lang) for i, lang in enumerate(list(words) * 12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(3)
+    model = langid.fit_language_model(df)
+    assert model.pairs == [(None, "germanic", "romance"), ("germanic", "de", "en"), ("romance", "es", "fr")]
+    rows = sorted(langid.learning_rows(df, 500, "doc_id", "text", "lang").collect(), key=lambda r: (r.lang, r["rank"]))
+    for k, (_, a, b) in enumerate(model.pairs):
+        side = {lang: s for lang, m, s, _ in model.sides() if m == k}
+        mine = sorted((r for r in rows if r.lang in side), key=lambda r: (side[r.lang], r.lang, r["rank"]))
+        w, bias = langid.fit_machine(langid.features([r.text for r in mine]), np.array([side[r.lang] for r in mine], dtype=np.float32))
+        assert np.allclose(w, model.weights[:, k], atol=1e-5) and abs(bias - model.bias[k]) < 1e-9
+    some = ["", "...", "12", "Das Haus, und das Haus!", "LES MAISON\n\net", "x", "é" * 5000, text("es"), text("en") * 300]
+    for t, lang, score in zip(some, *model.predict(some)):
+        if not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        ids = langid.grams([t])[0]
+        margin = [sum(model.weights[i, k] for i in ids) / len(ids) + model.bias[k] for k in range(3)]
+        family = 1 if margin[0] >= 0 else 2
+        want = model.pairs[family][1] if margin[family] >= 0 else model.pairs[family][2]
+        assert lang == want and 0 <= score <= 1
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit_language_model(docs)
