@@ -1,11 +1,16 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 Pages are fed to the standard library's parser in pieces.  Its events give lines, one for each block of text, with the
-number of tags and of linked characters in it and the containers that it stands in.  Lines in elements that are no
-article by their tag, role, class or id are left out.  Over the remaining lines the text-to-tag ratio is smoothed with a
-Gaussian; lines above the threshold, the standard deviation, form the content cluster.  The article is the container
-that holds that cluster: an article or main element if there is one, else the deepest one with most of the cluster's
-text.  All its lines are kept, short ones too, but for lines below the threshold that are mostly links.
+number of tags and of linked characters in it and the containers that it stands in.  Over all lines of the page the
+text-to-tag ratio (of characters outside links) is smoothed with a Gaussian.  Lines above the threshold, the standard
+deviation, are the content cluster; where they lie decides which container is the content region: the deepest one with
+most of the cluster, by lines and by smoothed ratio.  Within the region, lines of the cluster stay, and short ones beside them.
+
+Tags, roles and the words of class and id names weigh in: a line's smoothed ratio is multiplied by a small weight where
+it stands in a menu, footer, form, advert or the like, and short lines of the region that have such a weight go.  What
+weighs is what lies below the region, so a form, or an oddly named element, around the whole article changes nothing.
+An `article` or `main` element is the region if it has at least half of the cluster, of several the one with most of it,
+where one with a main heading counts three times.
 
 Defined results: null html counts as empty; a page without text gives an empty text; repeated rows give repeated rows;
 columns other than those that are named are ignored.
@@ -29,25 +34,32 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html"
     " legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements whose text is never shown as text.
 LEFT_OUT = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form iframe input label legend map menu nav noembed noframes noscript object optgroup option output progress"
-    " script select style svg template textarea title video".split()
+    "audio button canvas datalist embed iframe input label legend map noembed noframes noscript object optgroup option output progress script select style svg template textarea title video".split()
 )
+#: Elements that are seldom part of an article, and how much lines in them weigh.
+WEAK = frozenset("aside dialog fieldset footer form menu nav".split())
+FAINT, DOUBTFUL = 0.05, 0.15
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTAINERS = frozenset("article blockquote body center dd details div dl figure li main ol section table td th tr ul".split())
+CONTAINERS = frozenset("article body center div fieldset form main section table td".split())
 ROLES = frozenset("alert alertdialog banner button complementary contentinfo dialog form menu menubar navigation search status tablist toolbar tooltip".split())
-#: Words of class and id names that mark what is no article.
+#: Words of class and id names that mark what is no article, and those that mark an article.
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus"
-    " dropdown footer footnav gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup popular promo promoted"
-    " promotion recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser toolbar topbar trending widget".split()
+    " dropdown feedback footer footnav gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup popular promo"
+    " promoted promotion reactions recommended related remarks replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser"
+    " toolbar topbar trending widget".split()
 )
+GOOD = frozenset("article articlebody body content entry main page post story text".split())
+#: Marks of what readers wrote, which is prose of its own.
+READERS = frozenset("comment comments commentlist discussion disqus reactions remarks replies respond responses".split())
 #: An element of these kinds starts by ending an open one of the same group in the same list or table.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol menu dl table select body".split())
 _ENDS_P = BLOCKS - {"body", "caption", "head", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
-#: Words before a mark that make a name tell about the page.
-_ABOUT = frozenset("has hide no with without".split())
+#: Words before or after a mark that make a name tell something else.
+_ABOUT, _LACKING = frozenset("has hide no with without".split()), frozenset("free less".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPLIT_CAPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -56,9 +68,22 @@ _SPLIT_CAPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Line:
     __slots__ = ("linked", "path", "tags", "text", "heading")
 
-    def __init__(self, text: str, tags: int, linked: int, path: tuple[int, ...], heading: bool):
+    def __init__(self, text: str, tags: int, linked: int, path: tuple[tuple[int, float], ...], heading: int):
         self.text, self.tags, self.linked, self.path, self.heading = text, tags, linked, path, heading
 
+    def weight(self, region: int) -> float:
+        """The least weight of the elements below a region, which is 0 for the page."""
+        return next((w for c, w in self.path if c == region), 1.0)
+
+
+def name_weight(value: str) -> float:
+    """What the words of a class or id name say: marks and good words are set off against each other."""
+    words = _WORDS.findall(_SPLIT_CAPS.sub(" ", value).lower())
+    marks = [w for w, before, after in zip(words, ["", *words], [*words[1:], ""]) if w in MARKS and before not in _ABOUT and after not in _LACKING]
+    if any(w in READERS for w in marks):
+        return FAINT
+    return DOUBTFUL if len(marks) > sum(w in GOOD for w in words) else 1.0
+
 
 class LineParser(HTMLParser):
     """Turns parser events into lines."""
@@ -66,9 +91,10 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
+        #: Containers that are article or main elements.
         self.roots: set[int] = set()
-        #: Open elements: tag, whether it is left out, number of its container.
-        self.open: list[tuple[str, bool, int]] = []
+        #: Open elements: tag, whether its text is left out, number of its container, its weight.
+        self.open: list[tuple[str, bool, int, float]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.out = self.count = 0
 
@@ -76,41 +102,43 @@ class LineParser(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple(n for _, _, n in self.open if n)
-                self.lines.append(Line(text, self.tags, self.linked, path, any(t in HEADINGS for t, _, _ in self.open)))
+                path, least, heading = [], 1.0, 0
+                for tag, _, number, weight in reversed(self.open):
+                    if number:
+                        path.append((number, least))
+                    least = min(least, weight)
+                    if tag in HEADINGS:
+                        heading = int(tag[1])
+                path.append((0, least))
+                self.lines.append(Line(text, self.tags, self.linked, tuple(path), heading))
             self.parts = []
         self.tags = self.linked = 0
 
     def pop(self) -> None:
-        tag, out, _ = self.open.pop()
+        tag, out, _, _ = self.open.pop()
         self.out -= out
         self.links -= tag == "a"
 
-    def roots_open(self) -> bool:
-        return any(t in ("article", "main") for t, _, _ in self.open)
-
-    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in LEFT_OUT:
-            return True
-        if tag == "header" and not self.roots_open():
-            return True
-        if not attrs or tag in ("html", "body"):
-            return False
-        for key, value in attrs:
+    def inside(self, *tags: str) -> bool:
+        return any(t in tags for t, _, _, _ in self.open)
+
+    def weigh(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, float]:
+        """Whether an element's text is left out, and its weight."""
+        out, weight = tag in LEFT_OUT, FAINT if tag in WEAK else 1.0
+        if tag == "header" and not self.inside("article", "main") or tag == "article" and self.inside("article"):
+            weight = FAINT  # the site's header; an article within another one is a remark on it
+        for key, value in attrs if tag not in ("html", "body") else ():
             value = value or ""
             if key in ("class", "id"):
-                words = _WORDS.findall(_SPLIT_CAPS.sub(" ", value).lower())
-                # A page "with-sidebar" is no sidebar, and an article's header has its title.
-                marks = {w for w, before in zip(words, ["", *words]) if w in MARKS and before not in _ABOUT}
-                if self.roots_open():
-                    marks.discard("header")
-                if marks and tag not in ("article", "main") or "comment" in marks:
-                    return True
+                named = name_weight(value)
+                if tag in ("article", "main") and named > FAINT or tag == "header" and weight == 1.0:
+                    continue
+                weight = min(weight, named)
             elif key == "role" and value.lower() in ROLES:
-                return True
+                weight = FAINT
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value.lower()):
-                return True
-        return False
+                out = True
+        return out, weight
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -121,14 +149,14 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out = self.left_out(tag, attrs)
+        out, weight = self.weigh(tag, attrs)
         number = 0
         if tag in CONTAINERS:
             self.count += 1
             number = self.count
             if tag in ("article", "main") or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs:
                 self.roots.add(number)
-        self.open.append((tag, out, number))
+        self.open.append((tag, out, number, weight))
         self.out += out
         self.links += tag == "a"
 
@@ -184,32 +212,48 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return whole / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
+def region_of(lines: list[Line], score: np.ndarray, roots: set[int]) -> int:
+    """The container that holds the content cluster, whose lines have a score; 0 is the page."""
+    total, mass, count, headed = float(score.sum()), {}, {}, set()
+    for x, s in zip(lines, score.tolist()):
+        for c, weight in x.path:
+            mass[c] = mass.get(c, 0.0) + s
+            count[c] = count.get(c, 0) + (s > 0)
+            if x.heading == 1 and weight == 1.0:
+                headed.add(c)
+    if total <= 0:
+        return 0
+    # Containers are numbered as they open, so the last of those with enough is the deepest.
+    within = lambda upper: {c for x in lines for c, _ in x.path if any(u == upper for u, _ in x.path)}
+    outer = {next(c for c, _ in reversed(x.path) if c in roots) for x in lines if any(c in roots for c, _ in x.path)}
+    own = [c for c in sorted(outer) if mass[c] > 0]
+    if own and sum(mass[c] for c in own) >= 0.5 * total:
+        best = max(own, key=lambda c: mass[c] * (3 if c in headed else 1))
+        return max(c for c in within(best) & roots if c >= best and mass[c] >= 0.75 * mass[best])
+    least = 0.6 * int((score > 0).sum())
+    return max((c for c in mass if mass[c] >= 0.75 * total and count[c] >= least), default=0)
+
+
 def select(lines: list[Line], roots: set[int], sigma: float = 1.0) -> list[Line]:
     """The lines of the content region."""
     if not lines:
         return []
     size = np.array([len(x.text) for x in lines], dtype=float)
-    ratio = smoothed(size / np.array([1 + x.tags for x in lines]), sigma)
-    links = np.array([x.linked for x in lines]) / size
-    inside = (ratio >= ratio.std()) & (links < 0.5)
-    if not inside.any():
-        inside = links < 0.5
-    mass: dict[int, float] = {}
-    count: dict[int, int] = {}
-    for x, n, ok, share in zip(lines, size, inside, links):
-        for c in x.path:
-            if ok:
-                mass[c] = mass.get(c, 0) + n
-            count[c] = count.get(c, 0) + (share < 0.5)
-    total = float(size[inside].sum())
-    own = [c for c in mass if c in roots]
-    if own:
-        root = max(own, key=lambda c: (mass[c], c))
-    else:
-        # Containers are numbered as they open, so the last of those with enough text and lines is the deepest.
-        least = 0.5 * int((links < 0.5).sum())
-        root = max((c for c in mass if mass[c] >= 0.75 * total and count[c] >= least), default=0)
-    return [x for x, ok, share in zip(lines, inside, links) if (not root or root in x.path) and (ok or x.heading or share < 0.66)]
+    linked = np.minimum(np.array([x.linked for x in lines]), size)
+    ratio = smoothed((size - linked) / np.array([1 + x.tags for x in lines]), sigma)
+    weight = np.array([x.weight(0) for x in lines])
+    weighed = ratio * weight
+    # A page that is one form, say, has one weight throughout: only differences count.
+    cluster = (weighed >= weighed.std()) & (weighed > 0)
+    region = region_of(lines, np.where(cluster, weighed, 0.0), roots)
+    threshold = weighed.std() / weight.max()
+    out = []
+    for x, r, share in zip(lines, ratio, linked / size):
+        if any(c == region for c, _ in x.path):
+            below = x.weight(region)
+            if r * below > threshold and share < 0.5 or below >= 0.5 and r > 0 and (x.heading or share < 0.66):
+                out.append(x)
+    return out
 
 
 def main_text(html: str, piece: int = 1 << 16) -> str:

@@ -191,6 +191,41 @@ def test_pages(body, text):
     assert main_text.main_text("<body>" + body, piece=3) == text
 
 
+STORY = "".join(f"<p>The story goes on and on in its part {i}, with enough words to be a line of prose by any measure.</p>" for i in range(5))
+TOLD = "\n".join(f"The story goes on and on in its part {i}, with enough words to be a line of prose by any measure." for i in range(5))
+REMARKS = "".join(f"<p>As a reader I must say at quite some length that part {i} was neither true nor told well, and so on and on.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("body, text", [
+    # A form around the page, as some servers write it; forms within.
+    (f"<form id=aspnet><nav><a href=x>Home</a></nav><article><h1>Head</h1>{STORY}<form><label>Mail</label><p>Sign up</p></form></article></form>", "Head\n" + TOLD),
+    (f"<form><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><div><h1>Head</h1>{STORY}</div><div><p>(c)</p></div></form>", "Head\n" + TOLD),
+    # Names that only look like marks.
+    (f"<article><h1>Head</h1><div class='ad-free-note'><p>This story is free of adverts, and has words enough.</p></div><div class='content share-page'>{STORY}</div></article>", "Head\nThis story is free of adverts, and has words enough.\n" + TOLD),
+    # Remarks as an article of their own, longer than the story, beside it and within it.
+    (f"<article><h1>Head</h1>{STORY}</article><article>{REMARKS}</article>", "Head\n" + TOLD),
+    (f"<article><h1>Head</h1>{STORY}<section><article>{REMARKS}</article></section></article>", "Head\n" + TOLD),
+    (f"<main><article><h1>Head</h1>{STORY}<p>End.</p><div class=comments>{REMARKS}</div></article><aside>{REMARKS}</aside></main>", "Head\n" + TOLD + "\nEnd."),
+    # No article: the ratio alone tells text from links and snippets.
+    (f"<table><tr><td><a href=a>One</a><br><a href=b>Two</a></td><td><div><h2>Head</h2>{STORY}<p>End.</p></div></td></tr></table><div><p>All <i>r</i> <b>r</b>.</p></div>", "Head\n" + TOLD + "\nEnd."),
+])
+def test_regions_of_pages(body, text):
+    assert main_text.main_text(PAGE.replace("BODY", body)) == text
+
+
+def test_ratios_decide(monkeypatch):
+    """With the ratios dealt to other lines, or all below nothing, other lines are selected."""
+    blocks = [f"<div><p><a href=x>One</a></p><p>{'ab ' * k}</p></div><div>{STORY}<p>End.</p></div><div><p>(c)</p><p>x</p><p>y</p><p>z</p><p>u</p><p>v</p></div>" for k in range(1, 12)]
+    pages = [PAGE.replace("BODY", b) for b in blocks]
+    plain = [main_text.main_text(p) for p in pages]
+    assert all(t == TOLD + "\nEnd." for t in plain)
+    smoothed = main_text.smoothed
+    monkeypatch.setattr(main_text, "smoothed", lambda r, s: smoothed(r[::-1], s))
+    assert sum(main_text.main_text(p) != t for p, t in zip(pages, plain)) == len(pages)
+    monkeypatch.setattr(main_text, "smoothed", lambda r, s: -smoothed(r, s))
+    assert all(main_text.main_text(p) == "" for p in pages)
+
+
 def test_page_table(spark, sf_dir):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>" + "word " * 50_000, "t")], "page_id int, url string, html string, text string")
     out = main_text.extract_main_text(df).orderBy("page_id").collect()
