@@ -16,6 +16,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{6,}(?![A-Za-z0-9])")
 #: A token begins behind whatever is not of its run, `=` included (NAME=token), so each run is searched once.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@-]{4,200}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.)+(?:amazonaws|googleapis|azure|internal)\.[a-z]{2,8}")
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@-]{4,}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.)+(?:amazonaws|googleapis|azure|internal)\.[a-z]{2,8}")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 #: What a part completes: an identifier needs a secret, a secret an identifier or an endpoint, an endpoint both kinds of key.
 _COMPLEMENTS = {
@@ -99,9 +100,9 @@ def all_spans(text: str, reach: int = REACH) -> tuple[list[Span], list[Span]]:
     base, weak = base_spans(text), weak_parts(text)
     if not weak or len(base) + len(weak) < 2:
         return base, base
-    known = lambda s: any(a <= s[1] and s[2] <= b for _, a, b in base[max(0, bisect_right(starts, s[1]) - 3) : bisect_right(starts, s[1])])
-    starts = [a for _, a, _ in base]
-    weak = [s for s in weak if not known(s)]
+    # A weak part within a base span is known: of the spans that start before it, one reaches as far as the farthest.
+    starts, farthest = [a for _, a, _ in base], [-1, *accumulate((b for _, _, b in base), max)]
+    weak = [s for s in weak if farthest[bisect_right(starts, s[1])] < s[2]]
     key = lambda s: (s[1], _ROLE[s[0]], s[2])
     scopes = [m.end() for m in _BREAK.finditer(text)]
     return base, sorted(base + linked(sorted(base + weak, key=key), scopes, reach), key=key)

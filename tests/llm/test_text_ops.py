@@ -141,6 +141,32 @@ def test_common_credentials(text, want):
     assert [(k, text[a:b]) for k, a, b in spans] == want
 
 
+def test_parts_within_spans():
+    """A weak part within a base span is not reported again, however many spans start between."""
+    text = "password=" + "-".join(["0123456789abcdef"] * 4) + "-AKIA12345678"
+    assert [s[0] for s in credentials.all_spans(text)[1]] == ["assign"] + ["hex"] * 4
+    rnd = random.Random(12)
+    parts = ["password=", "0123456789abcdef", "-", "AKIA12345678", "AKIA1234567890ABCD", SIGNING, " ", "x" * 5, "https://host.example/a", "\n\n"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 12)))
+        base, every = credentials.all_spans(text)
+        weak = [w for w in credentials.weak_parts(text) if not any(a <= w[1] and w[2] <= b for _, a, b in base)]
+        scopes = [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+        scope = lambda s: sum(x <= s[1] for x in scopes)  # noqa: B023, E731
+        apart = lambda w, q: 0 <= w[1] - q[2] <= credentials.REACH or 0 <= q[1] - w[2] <= credentials.REACH
+        want = [w for w in weak if any(q[0] in credentials._COMPLEMENTS[w[0]] and scope(q) == scope(w) and apart(w, q) for q in base + weak)]
+        assert sorted(every) == sorted(base + want)
+
+
+def test_long_endpoint():
+    text = "https://" + "a" * 5000 + ".example secret=abcdefghijklmnop"
+    assert credentials.all_spans(text)[1][0] == ("weak_endpoint", 0, 5016)
+
+
+def test_empty_secret_table(spark):
+    assert credentials.find_secrets(table(spark, []).where("false"), redact=True).count() == 0
+
+
 def test_long_runs_take_linear_time():
     for text in ("a=" * 200_000, "Ab1/" * 100_000 + "=x", "a." * 200_000, "A1" * 200_000, "a1b2-" * 100_000):
         began = time.perf_counter()
