@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,15 @@ def test_prefix_counts_are_the_librarys():
         assert token_counts.points_within(steps, 3) == max((k for k in range(len(s) + 1) if token_counts.tokens_within(steps, k) <= 3), default=0)
 
 
+def test_wide_steps():
+    """A count that changes by more than a byte holds is kept in four bytes."""
+    for diffs in ([1, 0, 2, -3], [1, 300, -299, 5], [-128, 1], []):
+        steps = token_counts.packed(np.array(diffs, dtype=np.int64))
+        assert token_counts.counts_of(steps).tolist() == np.cumsum(diffs).tolist()
+        assert [token_counts.tokens_within(steps, k) for k in range(len(diffs) + 1)] == [sum(diffs[:k]) for k in range(len(diffs) + 1)]
+    assert len(token_counts.packed(np.array([1, 1]))) == 2
+
+
 def test_token_table(spark):
     from tokenizers import Tokenizer
 
@@ -79,6 +89,39 @@ def test_bpe_tables(spark):
     assert (trip[30].n_tokens, trip[30].ids_sha256, trip[30].decoded_sha256) == (0, empty, empty) and trip[31][1:] == trip[32][1:]
 
 
+@pytest.mark.parametrize("chunk, overlap", [(bpe.CHUNK, bpe.OVERLAP), (40, 8), (7, 3)])
+def test_long_texts_in_rows(spark, chunk, overlap):
+    """Texts of many chunks are stitched across tasks; runs without a stitch, repeated rows and null ids are whole too."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(ODD) for _ in range(30_000)), "x" * 40_000 + " and more words " * 3000, " " * 50_000, "short", "", "a b " * 12_000, "中文" * 20_000 + " end."]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(None, texts[0]), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = sorted(map(tuple, bpe.bpe_round_trip(df, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap).collect()), key=repr)
+    want = []
+    for i, t in rows:
+        ids = lib.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert out == sorted(want, key=repr)
+    if chunk == 40:
+        ids = {r.doc_id: r.ids for r in bpe.bpe_encode(df.where("doc_id is not null"), path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap).collect()}
+        assert ids == {i: lib.encode_ordinary(t or "") for i, t in rows if i is not None}
+        assert bpe.bpe_round_trip(df.where("false"), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_classes_of_blocks():
+    """Many different rare code points take one probe for each block."""
+    ours = bpe.ChunkedBPE(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    began = time.perf_counter()
+    text = "".join(chr(c) for c in range(0x300, 0x1200))
+    assert len(ours.classed(text)) == len(text) and time.perf_counter() - began < 3
+    assert ours.classed("中२、\u3000") == "a1!\u3000"
+
+
 def plain_base(text):
     """The contract's patterns, matched as they stand, with the tests of length behind them."""
     out = []
