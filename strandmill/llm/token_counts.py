@@ -3,7 +3,8 @@
 The encoding of a pre-token's prefix ends in exactly one token that fits the encoding before it, so one pass over the
 pre-token's bytes gives the last token and the count at each prefix (the count where that token begins, plus one).
 Two adjacent tokens fit if the library's merges of their joined bytes give them back.  Counts of a text are then kept as int8 steps
-per code point: their running sum is the count at each prefix, and truncation or budget questions need no encoding.
+per code point: their running sum is the count at each prefix, and truncation or budget questions need no encoding.  A
+text with a step beyond that has four bytes for each, behind a mark that no int8 step has.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special strings inside a text count as one token, as
 in the library's default; repeated rows give repeated rows; columns other than the two that are named are ignored.
@@ -116,18 +117,14 @@ class PrefixCounter:
         return out
 
     def unit(self, u: str) -> tuple[int, bytes]:
-        """Tokens of a unit, and the steps of its count at each of its code points."""
+        """Tokens of a unit, and the packed steps of its count at each of its code points."""
         if u.isascii() and (u.isalnum() or u[0] == " " and u[1:].isalnum()):
             counts = self.piece(u.encode())[1:]
         else:
             counts = self.mixed(u)
-        steps, before = bytearray(), 0
-        for x in counts:
-            if not -129 < x - before < 128:
-                raise OverflowError("a count changes by more than a byte holds")
-            steps.append((x - before) & 255)
-            before = x
-        return before, bytes(steps)
+        steps = [b - a for a, b in zip([0, *counts], counts)]
+        small = min(steps) > -128 and max(steps) < 128
+        return counts[-1], bytes([x & 255 for x in steps]) if small else packed(np.array(steps))
 
     def mixed(self, u: str) -> list[int]:
         """Counts at each code point of a unit of any kind."""
@@ -180,20 +177,41 @@ class PrefixCounter:
         return sum(n for n, _ in self.units_of(self.split(text)))
 
     def steps(self, text: str) -> bytes:
-        """int8 steps of the count at each code point of the text; their sum is the text's count."""
+        """Packed steps of the count at each code point of the text; their sum is the text's count."""
         if not any(s in text for s in self.special):
-            return b"".join([s for _, s in self.units_of(self.split(text))])
+            return _joined([s for _, s in self.units_of(self.split(text))])
         out = []
         for part in regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text):
             if part in self.special:
                 tail = "".join(self.split(before)[-2:])
                 base = self.count(before) - self.count(tail)
                 counts = [base + self.count(tail + part[:j]) for j in range(1, len(part))] + [self.count(before) + 1]
-                out.append(np.diff(np.array([self.count(before), *counts])).astype(np.int8).tobytes())
+                out.append(packed(np.diff(np.array([self.count(before), *counts]))))
             else:
                 before = part
                 out += [s for _, s in self.units_of(self.split(part))]
-        return b"".join(out)
+        return _joined(out)
+
+
+#: First byte of steps of four bytes each; int8 steps are -127 to 127.
+_WIDE = b"\x80"
+
+
+def packed(steps: np.ndarray) -> bytes:
+    """Steps as int8, or as int32 behind a mark if one of them is too large."""
+    if not len(steps) or np.abs(steps).max() < 128:
+        return steps.astype(np.int8).tobytes()
+    return _WIDE + steps.astype("<i4").tobytes()
+
+
+def steps_of(packed_steps: bytes) -> np.ndarray:
+    return np.frombuffer(packed_steps, dtype="<i4", offset=1) if packed_steps[:1] == _WIDE else np.frombuffer(packed_steps, dtype=np.int8)
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    if any(p[:1] == _WIDE for p in parts):
+        return packed(np.concatenate([steps_of(p).astype(np.int64) for p in parts]))
+    return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -203,12 +221,12 @@ def _counter(path: str) -> PrefixCounter:
 
 def counts_of(steps: bytes) -> np.ndarray:
     """Token counts after 1, 2, ... code points."""
-    return np.cumsum(np.frombuffer(steps, dtype=np.int8), dtype=np.int64)
+    return np.cumsum(steps_of(steps), dtype=np.int64)
 
 
 def tokens_within(steps: bytes, n_points: int) -> int:
     """Tokens of the text's first n_points code points."""
-    return int(np.frombuffer(steps[: max(0, n_points)], dtype=np.int8).sum(dtype=np.int64))
+    return int(steps_of(steps)[: max(0, n_points)].sum(dtype=np.int64))
 
 
 def points_within(steps: bytes, budget: int) -> int:
