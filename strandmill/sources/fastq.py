@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError, warn
 from ..functions.quality import infer_encoding
-from .files import _blocks, file_names, line_offsets, located_lines
+from .files import Places, file_names, located_lines
 
 _FIELDS = "file string, row_ix bigint, part int, id string, sread string, plus string, qual string"
 
@@ -29,26 +29,20 @@ def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None =
     """
     files = file_names(path, pattern) if names else path
     lines = located_lines(spark, files)
-    offsets = line_offsets(lines)
-    ends: dict[str, int] = {}
-    for file, n in ((r[0], r[1]) for r in lines.groupBy("file").agg(F.count("*")).collect()):
-        ends[file] = n
+    places = Places(lines)
+    for file, n in places.totals().items():
         if n % 4:
             raise InputError(f"unexpected number of lines in file '{file}'")
-    before = spark.sparkContext.broadcast(offsets)
+    before = spark.sparkContext.broadcast(places)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple, int] = {}
-        rest: dict[tuple, pa.Array] = {}
-        for part in _blocks(batches):
-            key = (part.column("file")[0].as_py(), part.column("block")[0].as_py())
-            if key in rest:
-                values = pa.concat_arrays([rest.pop(key), part.column("value")])
-            else:
-                for old in list(rest):
-                    yield from _edges(old, done[old], rest.pop(old))
-                values = part.column("value")
-            at = done.get(key, before.value.get(key, 0))
+        key, at, rest = None, 0, pa.array([], pa.string())
+        for file, block, begin, part in before.value.walk(batches):
+            if (file, block) != key:
+                if len(rest):
+                    yield from _edges(key, at, rest)
+                key, at, rest = (file, block), begin, rest[:0]
+            values = pa.concat_arrays([rest, part.column("value")]) if len(rest) else part.column("value")
             head = min(-at % 4, len(values))
             if head:
                 yield from _edges(key, at, values[:head])
@@ -57,12 +51,10 @@ def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None =
                 take = lambda k: values.take(pa.array(head + k + 4 * np.arange(whole)))
                 ix = pa.array((at + head) // 4 + 1 + np.arange(whole), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * whole), ix, pa.nulls(whole, pa.int32()), *(take(k) for k in range(4))], _names())
-            done[key] = at + head + 4 * whole
-            tail = values[head + 4 * whole :]
-            if len(tail):
-                rest[key] = tail
-        for old, tail in rest.items():
-            yield from _edges(old, done[old], tail)
+            at += head + 4 * whole
+            rest = values[head + 4 * whole :]
+        if len(rest):
+            yield from _edges(key, at, rest)
 
     pieces = lines.mapInArrow(assemble, _FIELDS)
     whole = pieces.where("part is null")

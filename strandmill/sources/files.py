@@ -1,4 +1,7 @@
-"""Which files to read, and their lines with the places that they had."""
+"""Which files to read, and their lines with the places that they had.
+
+Paths are any that Spark reads; folders of other file systems than the local one are listed by Spark.
+"""
 
 from __future__ import annotations
 
@@ -6,54 +9,123 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError
 
 
+def is_local(path: str) -> bool:
+    """Whether a path names the machine's own files, to Spark too."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path):
+        return False
+    spark = SparkSession.getActiveSession()
+    default = spark and spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    return not default or default.startswith("file:")
+
+
+def _listed(path: str) -> list[str]:
+    """The file, or the files of the folder, that a path of any file system names; contents are not read."""
+    spark = SparkSession.active()
+    try:
+        return sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    except AnalysisException:
+        return []
+
+
+def _is_file(path: str) -> bool:
+    if is_local(path):
+        return os.path.isfile(path)
+    within = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?", "", path)
+    return [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?", "", x) for x in _listed(path)] == [within]
+
+
 def file_names(path: str | list[str], pattern: str | None = None) -> list[str]:
     """Existing files as they are; else the files of folders whose names match a pattern, in order."""
     paths = [path] if isinstance(path, str) else list(path)
-    if pattern is None and paths and all(os.path.isfile(p) for p in paths):
+    if pattern is None and paths and all(map(_is_file, paths)):
         return paths
-    found = sorted(os.path.join(p, f) for p in paths if os.path.isdir(p) for f in os.listdir(p) if re.search(pattern or "", f) and os.path.isfile(os.path.join(p, f)))
+    found = []
+    for p in paths:
+        if is_local(p):
+            inside = [os.path.join(p, f) for f in os.listdir(p)] if os.path.isdir(p) else []
+            found += [f for f in inside if os.path.isfile(f)]
+        elif not _is_file(p):
+            found += _listed(p)
+    found = sorted(f for f in found if re.search(pattern or "", f.rsplit("/", 1)[-1]))
     if not found:
         raise InputError(f"no input files found: {paths}, pattern {pattern!r}")
     return found
 
 
 def located_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines (file, block, value) of text files, plain or compressed, in order within each block of a file."""
+    """Lines (file, block, span, value) of text files, plain or compressed, in order within each block of a file; span is
+    the block's length."""
     df = spark.read.text(paths)
-    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-
-
-def line_offsets(lines: DataFrame) -> dict[tuple[str, int], int]:
-    """Lines of the file before each block.  One small row for each block of the input comes to the driver."""
-    counts = sorted(tuple(r) for r in lines.groupBy("file", "block").agg(F.count("*").alias("n")).collect())
-    out: dict[tuple[str, int], int] = {}
-    last, total = None, 0
-    for file, block, n in counts:
-        total = total if file == last else 0
-        out[file, block] = total
-        last, total = file, total + n
-    return out
+    m = lambda c: F.col(f"_metadata.{c}")
+    return df.select(m("file_path").alias("file"), m("file_block_start").alias("block"), m("file_block_length").alias("span"), "value")
+
+
+class Places:
+    """Lines of a file before each of its blocks, and in it: 32 bytes for each block of the input.
+
+    Blocks are those of one counting pass.  Where a later pass cuts files otherwise, because a setting or a file has
+    changed, it meets a block that is unknown or has another number of lines; that is an error, never a wrong place.
+    """
+
+    def __init__(self, lines: DataFrame):
+        counts = lines.groupBy("file", "block", "span").agg(F.count("*").alias("n")).toArrow().sort_by([("file", "ascending"), ("block", "ascending")])
+        self.files: dict[str, tuple[np.ndarray, ...]] = {}
+        if counts.num_rows:
+            files = counts.column("file").combine_chunks().dictionary_encode()
+            block, span, n = (counts.column(c).to_numpy() for c in ("block", "span", "n"))
+            code = files.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for a, b in zip(cuts, cuts[1:]):
+                self.files[files.dictionary[int(code[a])].as_py()] = (block[a:b], span[a:b], n[a:b], np.cumsum(n[a:b]) - n[a:b])
+
+    def totals(self) -> dict[str, int]:
+        return {f: int(n.sum()) for f, (_, _, n, _) in self.files.items()}
+
+    def find(self, file: str, block: int, span: int) -> tuple[int, int]:
+        """Lines before a block, and in it."""
+        starts, spans, n, before = self.files.get(file, (np.empty(0, np.int64),) * 4)
+        k = int(np.searchsorted(starts, block))
+        if k == len(starts) or starts[k] != block or spans[k] != span:
+            raise InputError(f"file '{file}', or how it is split, has changed since its lines were counted; read it again")
+        return int(before[k]), int(n[k])
+
+    def walk(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, pa.RecordBatch]]:
+        """(file, block, lines before, lines) in the order of the input; a block's lines may come in several parts."""
+        key, at, end = None, 0, 0
+        for part in _blocks(batches):
+            now = tuple(part.column(c)[0].as_py() for c in ("file", "block", "span"))
+            if now != key:
+                self._ended(key, at, end)
+                key = now
+                at, n = self.find(*key)
+                end = at + n
+            yield key[0], key[1], at, part
+            at += part.num_rows
+        self._ended(key, at, end)
+
+    @staticmethod
+    def _ended(key: tuple | None, at: int, end: int) -> None:
+        if at != end:
+            raise InputError(f"file '{key[0]}' has changed since its lines were counted; read it again")
 
 
 def numbered(lines: DataFrame) -> DataFrame:
     """Lines (file, line_no from 1, value), numbered without moving them."""
-    offsets = lines.sparkSession.sparkContext.broadcast(line_offsets(lines))
+    places = lines.sparkSession.sparkContext.broadcast(Places(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], int] = {}
-        for part in _blocks(batches):
-            key = (part.column("file")[0].as_py(), part.column("block")[0].as_py())
-            at = seen.setdefault(key, offsets.value.get(key, 0))
-            seen[key] = at + part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("file"), pa.array(range(at + 1, at + part.num_rows + 1), pa.int64()), part.column("value")], ["file", "line_no", "value"])
+        for _, _, at, part in places.value.walk(batches):
+            yield pa.RecordBatch.from_arrays([part.column("file"), pa.array(np.arange(at + 1, at + part.num_rows + 1), pa.int64()), part.column("value")], ["file", "line_no", "value"])
 
     return lines.mapInArrow(run, "file string, line_no bigint, value string")
 
@@ -65,7 +137,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         block, file = batch.column("block"), batch.column("file")
         change = pc.or_(pc.not_equal(block[1:], block[:-1]), pc.not_equal(file[1:], file[:-1])) if batch.num_rows > 1 else pa.array([], pa.bool_())
-        cuts = [0, *(i + 1 for i, x in enumerate(change.to_pylist()) if x), batch.num_rows]
+        cuts = [0, *(np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
 import os
+import shutil
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch, InputError, one_of, warn
 from .fastq import read_fastq
+from .files import is_local
 
 
 def fastq_record(full: bool = False) -> Column:
@@ -31,17 +33,23 @@ def write_records(reads: DataFrame, folder: str, record: Column, compress: bool
 
 
 def _one_file(reads: DataFrame, path: str, record: Column, mode: str, compress: bool) -> int:
-    """Rows go to the file one partition at a time, so the driver holds no more than that."""
+    """Tasks write parts beside the file; their bytes are then joined in order, as text or as members of a gzip file."""
     one_of(mode, ("w", "a"), "mode")
+    if not is_local(path):
+        raise InputError(f"one file can be written to a local path only; use write_records() for '{path}'")
     if mode == "w" and os.path.exists(path):
         raise InputError(f"file '{path}' exists; use mode 'a' to append")
-    keys = [c for c in ("file", "row_ix") if c in reads.columns]
-    n = 0
-    with (gzip.open if compress else open)(path, mode + "t", encoding="latin-1", newline="\n") as out:
-        for row in reads.orderBy(*keys).select(record.alias("value")).toLocalIterator():
-            out.write(row.value + "\n")
-            n += 1
-    return n
+    parts = f"{os.path.abspath(path)}.{uuid.uuid4().hex}.parts"
+    try:
+        write_records(reads, parts, record, compress)
+        names = sorted(f for f in os.listdir(parts) if f.startswith("part-"))
+        with open(path, mode + "b") as out:
+            for name in names:
+                with open(os.path.join(parts, name), "rb") as part:
+                    shutil.copyfileobj(part, out, 1 << 20)
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
+    return reads.count()
 
 
 def write_fastq(reads: DataFrame, path: str, mode: str = "w", full: bool = False, compress: bool = True) -> int:

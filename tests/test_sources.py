@@ -55,6 +55,38 @@ def test_fastq(spark, tmp_path):
     assert [(r.sread, r.qual) for r in empty] == [("", "")]
 
 
+def test_other_splits(spark, tmp_path):
+    """Settings that change between plan and action give the same reads or an error, never other reads."""
+    path = str(tmp_path / "many.fastq")
+    with open(path, "w") as f:
+        f.writelines(f"@r{i}\nACGT{'ACGT'[i % 4] * (i % 7)}\n+\nIIII{'@' * (i % 7)}\n" for i in range(1, 4001))
+    want = [(i, f"r{i}", "ACGT" + "ACGT"[i % 4] * (i % 7)) for i in range(1, 4001)]
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    try:
+        for at_plan, at_action in ((old, old), ("10000", "10000"), ("10000", "7000"), (old, "7000"), ("7000", old)):
+            spark.conf.set(key, at_plan)
+            reads = fastq.read_fastq(spark, f"file://{path}")
+            spark.conf.set(key, at_action)
+            if at_plan == at_action:
+                assert sorted(tuple(r) for r in reads.select("row_ix", "id", "sread").collect()) == want
+            else:
+                with pytest.raises(Exception, match="read it again"):
+                    reads.collect()
+        spark.conf.set(key, "7000")
+        assert files.file_names(f"file://{tmp_path}", "^many") and fastq.read_fastq(spark, f"file://{tmp_path}", "fastq$").count() == 4000
+        reads = fastq.read_fastq(spark, path)
+        with open(path, "a") as f:
+            f.write("@more\nA\n+\nI\n")
+        with pytest.raises(Exception, match="read it again"):
+            spark.catalog.refreshByPath(path)
+            reads.collect()
+        with pytest.raises(InputError):
+            files.file_names("file:///nowhere/at/all")
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_round_trip(spark, tmp_path):
     rs = records(20)
     path = write(tmp_path / "a.fastq", as_text(rs))
