@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ArgumentMismatch, ReadsError, one_of
 from ..functions.sequence import dusty_score, edit_distance, most_frequent_letter, other_count
 from ..schema import require
+from .tables import group_facts, with_group_facts
 
 STATS = "position int, name string, input bigint, passing bigint, op string"
 
@@ -168,7 +169,7 @@ def occurrence_filter(least: int = 1, most: int = 1, with_read: bool | None = No
     """Rows of groups with least to most members; of larger ones the first, last or random `most`, or none.
 
     duplicates may be a function from a group's table (pandas, with row_ix) and `most` to the row_ix values that stay.
-    Groups are counted with partial sums; only those that are too large are ranked, which stops early at `most`.
+    Groups are counted with partial sums, ranks stop early at `most`, and rows of frequent groups are not shuffled.
     """
     if most < least:
         raise ArgumentMismatch("'least' must not exceed 'most'")
@@ -178,20 +179,23 @@ def occurrence_filter(least: int = 1, most: int = 1, with_read: bool | None = No
 
     def prepare(df: DataFrame) -> DataFrame:
         require(df, "row_ix", *key)
-        hashed = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key])
-        keyed = df.withColumn("_key", F.struct(hashed.alias("h"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in key]))
-        counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
-        out = keyed.join(counts, "_key")
+        facts = group_facts(df, key)
+        if callable(duplicates):
+            large = with_group_facts(df, key, facts.where(F.col("_size") > most)).drop("_size")
+            kept = large.groupBy(*key).applyInPandas(lambda g: g[g["row_ix"].isin(duplicates(g, most))][["row_ix"]], "row_ix bigint")
+            out = with_group_facts(df, key, facts).join(kept.withColumn("_kept", F.lit(True)), "row_ix", "left")
+            return out.select(*df.columns, (F.col("_size").between(least, most) | F.col("_kept").isNotNull()).alias("_occurs"))
+        keep = F.col("_size").between(least, most)
         if duplicates != "none":
-            large = out.where(F.col("_n") > most).select("_key", "row_ix", *([c for c in df.columns if c != "row_ix"] if callable(duplicates) else []))
-            if callable(duplicates):
-                kept = large.drop("_key").groupBy(*key).applyInPandas(lambda g: g[g["row_ix"].isin(duplicates(g, most))][["row_ix"]], "row_ix bigint")
-            else:
-                order = {"head": F.col("row_ix").asc(), "tail": F.col("row_ix").desc(), "sample": F.xxhash64("row_ix", F.lit(seed))}[duplicates]
-                rank = F.row_number().over(Window.partitionBy("_key").orderBy(order, "row_ix"))
-                kept = large.withColumn("_rank", rank).where(F.col("_rank") <= most).select("row_ix")
-            out = out.join(kept.withColumn("_kept", F.lit(True)), "row_ix", "left")
-        return out.select(*df.columns, (F.col("_n").between(least, most) | (F.lit(False) if duplicates == "none" else F.col("_kept").isNotNull())).alias("_occurs"))
+            # The last row that stays of each large group tells for all its rows whether they do.
+            first = {"head": F.col("row_ix"), "tail": -F.col("row_ix"), "sample": F.xxhash64("row_ix", F.lit(seed))}[duplicates]
+            order = F.struct(first.alias("first"), "row_ix")
+            rank = F.row_number().over(Window.partitionBy(*key).orderBy("_order"))
+            ranked = df.select(*key, order.alias("_order")).withColumn("_rank", rank).where(F.col("_rank") <= most)
+            last = ranked.where(F.col("_rank") == most).select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(key)], F.col("_order").alias("_last"))
+            facts = facts.join(last, [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(key)], "left").drop(*[f"_l{i}" for i in range(len(key))])
+            keep = keep | (F.col("_size") > most) & (order <= F.col("_last"))
+        return with_group_facts(df, key, facts).select(*df.columns, F.coalesce(keep, F.lit(False)).alias("_occurs"))
 
     label = duplicates if isinstance(duplicates, str) else "custom"
     return ReadFilter(name or f"OccurrenceFilter min={least} max={most} withRead={with_read} duplicates={label}", lambda df: F.col("_occurs"), prepare)

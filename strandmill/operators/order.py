@@ -1,48 +1,60 @@
 """Order, rank and repeats of rows.
 
-Order and rank over a whole table are summed in two levels: counts of key ranges first, then rows within a range.  So
-no task sees the whole table.  Strings compare by character code, a shorter prefix first.
+Order and rank over a whole table come from one distributed sort, whose ranges Spark samples: each row's place is the
+number of rows in earlier partitions, a small table, plus its place in its own.  Ties are cut between tasks by row_ix, so
+neither a common prefix nor a hot key makes a large task.  Strings compare by character code, a shorter prefix first.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch
-
-#: Characters whose ranges are counted first: a few thousand ranges of nucleotide sequences.
-PREFIX = 6
-#: Positions in one range.
-SPAN = 1_000_000
-
-
-def _ordered(df: DataFrame, ranges: list[Column], keys: list[Column], rank: bool, name: str) -> DataFrame:
-    marked = df.withColumns({f"_r{i}": c for i, c in enumerate(ranges)}).withColumns({f"_k{i}": c for i, c in enumerate(keys)})
-    rs, ks = [f"_r{i}" for i in range(len(ranges))], [f"_k{i}" for i in range(len(keys))]
-    asc = lambda names: [F.col(c).asc_nulls_last() for c in names]
-    counts = marked.groupBy(*rs).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*asc(rs)).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in rs]
-    joined = marked.alias("a").join(counts.alias("b"), same).select("a.*", "_before")
-    inside = Window.partitionBy(*rs)
-    place = F.rank().over(inside.orderBy(*asc(ks))) if rank else F.row_number().over(inside.orderBy(*asc(ks), F.col("row_ix")))
-    return joined.withColumn(name, (F.col("_before") + place).cast("bigint")).select(*df.columns, name)
-
-
-def _read_keys(column: str) -> tuple[list[Column], list[Column]]:
-    return [F.substring(column, 1, PREFIX)], [F.col(column)]
+from .tables import group_facts, with_group_facts
+
+
+def _ordered(df: DataFrame, keys: list[Column], rank: bool, name: str) -> DataFrame:
+    """df with each row's place by keys (nulls last) and row_ix, or the least place of the rows with equal keys.
+
+    The sorted rows are kept on the executors' disks, so that both passes see the same partitions; lost ones are made
+    again from the same sort.
+    """
+    ks = [f"_k{i}" for i in range(len(keys))]
+    asc = [F.col(k).asc_nulls_last() for k in ks]
+    marked = df.withColumns(dict(zip(ks, keys))).orderBy(*asc, "row_ix").withColumn("_at", F.monotonically_increasing_id())
+    # The number of a row has its partition in the upper bits and its place there in the lower 33.
+    marked = marked.persist(StorageLevel.DISK_ONLY).withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    key = F.struct(*ks)
+    if rank:
+        marked = marked.withColumn("_rank", F.rank().over(Window.partitionBy("_part").orderBy(*asc)))
+        more = [F.min_by(key, "_at").alias("_first"), F.max_by(key, "_at").alias("_last"), F.max("_rank").alias("_run")]
+    else:
+        more = []
+    over = Window.orderBy("_part")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    parts = marked.groupBy("_part").agg(F.count("*").alias("_n"), *more).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if rank:
+        # Where a partition begins with the key that the one before ends with, the run began earlier.
+        parts = parts.withColumn("_goes_on", F.coalesce(F.col("_first") == F.lag("_last").over(over), F.lit(False)))
+        began = F.when(~F.col("_goes_on") | (F.col("_first") != F.col("_last")), F.col("_before") + F.col("_run"))
+        parts = parts.withColumn("_began", F.last(began, ignorenulls=True).over(earlier))
+    joined = marked.join(parts, "_part")
+    place = F.col("_before") + F.col("_at") + 1
+    if rank:
+        place = F.when(F.col("_goes_on") & (F.col("_rank") == 1), F.col("_began")).otherwise(F.col("_before") + F.col("_rank"))
+    return joined.select(*df.columns, place.cast("bigint").alias(name))
 
 
 def read_order(df: DataFrame, column: str = "sread") -> DataFrame:
     """Each row's place when sorted by a string; equal ones keep their order."""
-    return _ordered(df, *_read_keys(column), False, "place")
+    return _ordered(df, [F.col(column)], False, "place")
 
 
 def read_rank(df: DataFrame, column: str = "sread") -> DataFrame:
     """Each row's least place among its equals."""
-    return _ordered(df, *_read_keys(column), True, "rank")
+    return _ordered(df, [F.col(column)], True, "rank")
 
 
 def sorted_reads(df: DataFrame, column: str = "sread") -> DataFrame:
@@ -50,12 +62,9 @@ def sorted_reads(df: DataFrame, column: str = "sread") -> DataFrame:
 
 
 def duplicated(df: DataFrame, keys: tuple[str, ...] = ("sread",)) -> DataFrame:
-    """Whether an earlier row has the same keys (null equals null); a hot key is one aggregate, not one task."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    marked = df.withColumns({n: F.col(k) for n, k in zip(names, keys)})
-    first = marked.groupBy(*names).agg(F.min("row_ix").alias("_first"))
-    same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
-    return marked.alias("a").join(first.alias("b"), same).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("row_ix") > F.col("_first")).alias("duplicated"))
+    """Whether an earlier row has the same keys (null equals null)."""
+    facts = group_facts(df, list(keys), F.min("row_ix").alias("_first"))
+    return with_group_facts(df, list(keys), facts).select(*df.columns, (F.col("row_ix") > F.col("_first")).alias("duplicated"))
 
 
 def level(column: str, levels: list[str] | None) -> Column:
@@ -65,24 +74,23 @@ def level(column: str, levels: list[str] | None) -> Column:
     return F.nullif(F.array_position(F.array([F.lit(x) for x in levels]), F.col(column)), F.lit(0))
 
 
-def _aligned_keys(with_read: bool | None, chromosomes: list[str] | None) -> tuple[list[Column], list[Column]]:
+def _aligned_keys(with_read: bool | None, chromosomes: list[str] | None) -> list[Column]:
     if with_read is None:
         raise ArgumentMismatch("'with_read' must be true or false")
-    keys = [level("chromosome", chromosomes), level("strand", ["+", "-", "*"]), F.col("position")]
-    return [*keys[:2], F.floor(F.col("position") / SPAN)], keys + [F.col("sread")] * with_read
+    return [level("chromosome", chromosomes), level("strand", ["+", "-", "*"]), F.col("position")] + [F.col("sread")] * with_read
 
 
 def aligned_order(df: DataFrame, with_read: bool = True, chromosomes: list[str] | None = None) -> DataFrame:
     """Places by chromosome, strand, position and read; nulls last."""
-    return _ordered(df, *_aligned_keys(with_read, chromosomes), False, "place")
+    return _ordered(df, _aligned_keys(with_read, chromosomes), False, "place")
 
 
 def aligned_rank(df: DataFrame, with_read: bool | None = True, chromosomes: list[str] | None = None) -> DataFrame:
-    return _ordered(df, *_aligned_keys(with_read, chromosomes), True, "rank")
+    return _ordered(df, _aligned_keys(with_read, chromosomes), True, "rank")
 
 
 def sorted_alignments(df: DataFrame, with_read: bool = True, chromosomes: list[str] | None = None) -> DataFrame:
-    keys = _aligned_keys(with_read, chromosomes)[1]
+    keys = _aligned_keys(with_read, chromosomes)
     return df.orderBy(*[k.asc_nulls_last() for k in keys], "row_ix")
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import warn
 from ..functions.quality import mean_quality, offset, quality_sum
 from ..functions.sequence import letter_frequency, letters
 
@@ -163,12 +164,15 @@ def quality_sums(reads: DataFrame, encoding: str = "phred33") -> DataFrame:
 
 
 def tile_geometry(tile: Column, tiles: int) -> tuple[Column, Column]:
-    """Row and column of a tile on its lane; lanes of 68, 100, 120 and 300 tiles run up and down in turn."""
+    """Row and column of a tile on a lane of so many tiles; other numbers than the known ones have 50 rows.  Columns run up
+    and down in turn, but on lanes of 8 rows a tile's number tells both."""
     #: Tiles in one column of a lane, by tiles of the lane.
     rows = {68: 8, 100: 50, 120: 60, 300: 100}
-    n = next((r for t, r in rows.items() if tiles <= t), 100)
+    if tiles not in rows:
+        warn(f"{tiles} tiles; assuming 50 tiles in a row", "ArgumentWarning")
+    n = rows.get(tiles, 50)
     if n == 8:
-        return (tile - 1) % F.lit(8) + 1, F.floor((tile - 1) / 8) + 1
-    column = F.floor((tile - 1) / n)
-    place = (tile - 1) % F.lit(n)
-    return F.when(column % 2 == 0, place + 1).otherwise(n - place), column + 1
+        return (tile % F.lit(20)).cast("int"), (F.floor(tile / 20) % 4 + 1).cast("int")
+    column = F.floor((tile - 1) / n) + 1
+    row = (tile - 1) % F.lit(n) + 1
+    return F.when(column % 2 == 0, n + 1 - row).otherwise(row).cast("int"), column.cast("int")

@@ -90,6 +90,31 @@ def exact_sample(df: DataFrame, n: int, by: tuple[str, ...] = (), seed: int = 0,
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
+#: A group with more than this share of all rows is frequent; there are fewer than 10,000 such groups.
+FREQUENT = 1e-4
+
+
+def group_facts(df: DataFrame, keys: list[str], *aggregates) -> DataFrame:
+    """Aggregates of each group, by partial sums, and its number of rows as _size."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_size"), *aggregates)
+
+
+def with_group_facts(df: DataFrame, keys: list[str], facts: DataFrame) -> DataFrame:
+    """Rows with the columns of `facts`, a table of group_facts(), for their group; nulls are equal.
+
+    The facts of frequent groups, a bounded number, are broadcast to their rows, which stay where they are; only rows of
+    other groups are joined by shuffling, and no such group makes a large task.
+    """
+    names = [c for c in facts.columns if c not in keys]
+    total = facts.agg(F.sum("_size").alias("_total"))
+    frequent = facts.join(F.broadcast(total), F.col("_size") > F.col("_total") * FREQUENT).drop("_total")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    left, out = df.alias("a"), [*[F.col(f"a.`{c}`") for c in df.columns], *[F.col(f"b.{c}") for c in names]]
+    marked = left.join(F.broadcast(frequent).alias("b"), same, "left").select(*out)
+    others = marked.where("_size is null").drop(*names).alias("a").join(facts.alias("b"), same).select(*out)
+    return marked.where("_size is not null").unionByName(others)
+
+
 def keyed_lanes(df: DataFrame, lanes: DataFrame, column: str = "lane") -> DataFrame:
     """Names of lanes replaced by their keys (lane, key)."""
     return df.join(lanes.select(F.col("lane").alias(column), "key"), column, "left").drop(column).withColumnRenamed("key", column)

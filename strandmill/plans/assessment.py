@@ -139,8 +139,9 @@ def frequent_sequence(n: int = 50, flag_share: float = 0.8) -> Summary:
     return Summary("frequent_sequence", table, lambda t: t.withColumn("flagged", F.col("n") / F.col("records") > flag_share))
 
 
-def read_quality(flag_share: float = 0.2, flag_at: float = 30) -> Summary:
-    """Densities of mean scores; flagged where the share of reads at or above a score is less than flag_share or unknown.
+def read_quality(flag_share: float = 0.2, flag_at: float = 30, above: bool = False) -> Summary:
+    """Densities of mean scores; flagged where the share of reads below a score (with `above`: at or above it) is less than
+    flag_share or unknown.
 
     The share below it is the sum of the density's trapezoids up to the score, interpolated between their middles; it is
     unknown where the density does not reach the score.
@@ -156,7 +157,7 @@ def read_quality(flag_share: float = 0.2, flag_at: float = 30) -> Summary:
         at = mids.groupBy("source").agg(F.max(F.struct("x", "share", "x2", "share2")).alias("m"))
         share = F.col("m.share") + (F.col("m.share2") - F.col("m.share")) * (flag_at - F.col("m.x")) / (F.col("m.x2") - F.col("m.x"))
         flags = at.select("source", share.alias("at"))
-        return t.select("source").distinct().join(flags, "source", "left").withColumn("flagged", F.col("at").isNull() | (1 - F.col("at") < flag_share))
+        return t.select("source").distinct().join(flags, "source", "left").withColumn("flagged", F.col("at").isNull() | ((1 - F.col("at") if above else F.col("at")) < flag_share))
 
     return Summary("read_quality", lambda df: A.quality_density(df, by=("source",)), flag)
 

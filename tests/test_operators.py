@@ -117,6 +117,48 @@ def test_order(spark):
     assert {r.row_ix: r.duplicated for r in O.duplicated(df).collect()} == {i: first.setdefault(s, i) != i for i, s in enumerate(reads)}
 
 
+def test_hot_keys(spark):
+    """Half of all rows on one key, in many partitions: order, rank, repeats and occurrences are whole, and tasks are even."""
+    rnd = random.Random(5)
+    reads = ["ACGTACGT" if rnd.random() < 0.5 else "ACGTAC" + "".join(rnd.choice("ACGT") for _ in range(4)) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(reads)), "row_ix bigint, sread string").repartition(8)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        want = sorted(range(3000), key=lambda i: (reads[i], i))
+        placed = O.read_order(df)
+        assert [r.row_ix for r in placed.orderBy("place").collect()] == want
+        sizes = [r["count"] for r in df.orderBy("sread", "row_ix").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * 3000 / 4
+        least = {}
+        for k, i in enumerate(want):
+            least.setdefault(reads[i], k + 1)
+        assert {r.row_ix: r["rank"] for r in O.read_rank(df).collect()} == {i: least[s] for i, s in enumerate(reads)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    first = {}
+    assert {r.row_ix: r.duplicated for r in O.duplicated(df).collect()} == {i: first.setdefault(s, i) != i for i, s in enumerate(reads)}
+    places = {}
+    for i, s in enumerate(reads):
+        places.setdefault(s, []).append(i)
+    for how, part in (("head", lambda x: x[:2]), ("tail", lambda x: x[-2:]), ("none", lambda x: x if len(x) <= 2 else [])):
+        got = [r.row_ix for r in D.occurrence_filter(1, 2, None, how)(df).collect()]
+        assert sorted(got) == sorted(i for x in places.values() for i in part(x)), how
+
+
+def test_tile_geometry(spark):
+    import warnings
+
+    tiles = spark.range(1, 121).withColumn("tile", F.col("id").cast("int"))
+    at = lambda n: [tuple(r) for r in tiles.orderBy("tile").select(*A.tile_geometry(F.col("tile"), n)).collect()]
+    assert at(120)[:2] == [(1, 1), (2, 1)] and at(120)[60:62] == [(60, 2), (59, 2)]
+    assert at(100)[49:52] == [(50, 1), (50, 2), (49, 2)] and at(300)[99:102] == [(100, 1), (100, 2), (99, 2)]
+    assert at(68)[:3] == [(1, 1), (2, 1), (3, 1)] and at(68)[20:22] == [(1, 2), (2, 2)]
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        assert at(110)[49:52] == [(50, 1), (50, 2), (49, 2)] and seen
+
+
 def test_aligned_order(spark):
     df = aligned(spark, [("b", "-", 1, "A"), ("a", "+", 2, "C"), (None, None, None, "A"), ("a", "+", 2, "A"), ("b", "+", 1, "A")])
     assert [r.row_ix for r in O.aligned_order(df).orderBy("place").collect()] == [4, 2, 5, 1, 3]
