@@ -73,10 +73,11 @@ def coverage(alignments: DataFrame, shift: dict[str, int] | None = None, width:
 
 def depth_histogram(alignments: DataFrame, by: str | None = None) -> DataFrame:
     """Bases (`count`) at each depth above zero, and their cumulative share; of reads at one place and strand the first counts."""
-    once = occurrence_filter(with_read=False)(alignments.where("position is not null and chromosome is not null"))
+    placed = alignments.where("position is not null and chromosome is not null")
     if by is not None:
         # A lane's chromosomes are apart from another's.
-        once = once.withColumn("chromosome", F.concat_ws("\0", by, "chromosome"))
+        placed = placed.withColumn("chromosome", F.concat_ws("\0", by, "chromosome"))
+    once = occurrence_filter(with_read=False)(placed)
     runs = coverage(once).where("depth > 0")
     lane = F.substring_index("chromosome", "\0", 1) if by is not None else F.lit("all")
     counts = runs.groupBy(lane.alias(by or "lane"), F.col("depth").alias("coverage")).agg(F.sum(F.col("end") - F.col("start") + 1).cast("bigint").alias("count"))

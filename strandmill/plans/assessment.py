@@ -17,6 +17,7 @@ from ..functions.trim import adapter_bounds
 from ..operators import intervals as I
 from ..operators import summaries as A
 from ..operators.tables import exact_sample
+from .queries import adapter_sql
 from .surrogate import READS, reads
 
 Tables = dict[str, DataFrame]
@@ -242,8 +243,11 @@ _query("qa_frequent_sequences", _run("frequent_sequences"), _TYPED + " SELECT la
 _query("qa_sequence_distribution", _run("sequence_distribution"), _TYPED + " SELECT lane, type, n AS n_occurrences, count(*) AS n_reads FROM (SELECT lane, type, sread, count(*) AS n FROM typed GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
 _query("qa_align_quality", _run("align_quality"), "SELECT lane, align_quality, count(*) AS n FROM reads GROUP BY 1, 2")
 _query("qa_read_quality", _run("read_quality"))
-_query("qa_depth", _run("depth"))
-_query("adapter_contamination", lambda r: adapter_contamination(r, "ACGTACGTACGT", "TTGGCCAATTGG", 0.3, 0.3, least=2))
+_DEPTH = """, once AS (SELECT lane, chromosome, position AS s, position + length(sread) - 1 AS e FROM (SELECT *, row_number() OVER (PARTITION BY lane, chromosome, strand, position ORDER BY row_ix) AS k FROM reads WHERE chromosome IS NOT NULL AND position IS NOT NULL) WHERE k = 1),
+ spots AS (SELECT lane, chromosome, p, count(*) AS coverage FROM once, (SELECT unnest(range(1, 540)) AS p) WHERE p BETWEEN s AND e GROUP BY 1, 2, 3), dp AS (SELECT lane, coverage, count(*) AS count FROM spots GROUP BY 1, 2)
+ SELECT lane, coverage, count, CAST(sum(count) OVER (PARTITION BY lane ORDER BY coverage) AS double) / CAST(sum(count) OVER (PARTITION BY lane) AS double) AS cumulative FROM dp"""
+_query("qa_depth", _run("depth"), _DEPTH)
+_query("adapter_contamination", lambda r: adapter_contamination(r, "ACGTACGTACGT", "TTGGCCAATTGG", 0.3, 0.3, least=2), ", " + adapter_sql("ACGTACGTACGT", "TTGGCCAATTGG", 0.3, 0.3) + " SELECT lane, avg(CAST(greatest(e - s + 1, 0) < length(sread) - 2 AS int)) AS contamination FROM ends GROUP BY 1")
 _query("adapter_none", lambda r: adapter_contamination(r), "SELECT DISTINCT lane, CAST(NULL AS double) AS contamination FROM reads")
 _query(
     "flag_sources",
@@ -256,4 +260,12 @@ _query(
     lambda r: (lambda s: s.flag(s.table(r.withColumnRenamed("lane", "source"))))(frequent_sequence(5, 0.01)),
     " SELECT lane AS source, sread, n, records, CAST(n AS double) / records > 0.01 AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY n DESC, sread) AS k FROM (SELECT lane, sread, count(*) AS n FROM reads GROUP BY 1, 2)) JOIN (SELECT lane, count(*) AS records FROM reads GROUP BY 1) USING (lane) WHERE k <= 5",
 )
-_query("flag_read_quality", lambda r: (lambda s: s.flag(s.table(r.withColumnRenamed("lane", "source"))))(read_quality()).select("source", "flagged"))
+#: The density of mean scores at 512 places, its trapezoids up to a score, and their sum between the middles about 30.
+_FLAGGED = """, q AS (SELECT lane AS source, CAST(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS double) / length(qual) AS m FROM reads),
+ g AS (SELECT source, count(*) AS n, stddev_samp(m) AS sd, (quantile_disc(m, 0.75) - quantile_disc(m, 0.25)) / 1.34 AS iqr, min(m) AS lo, max(m) AS hi FROM q GROUP BY 1),
+ w AS (SELECT *, 0.9 * least(sd, iqr) * pow(n, -0.2) AS h FROM g), v AS (SELECT source, m, count(*) AS k FROM q GROUP BY 1, 2),
+ d AS (SELECT source, i, x, (SELECT sum(k * exp(-0.5 * pow((x - m) / h, 2))) FROM v WHERE v.source = p.source) / (n * h * sqrt(2 * pi())) AS y FROM (SELECT source, n, h, i, lo - 3 * h + i * (hi - lo + 6 * h) / 511 AS x FROM w, (SELECT unnest(range(0, 512)) AS i)) p),
+ t AS (SELECT source, (x + x2) / 2 AS x, sum((x2 - x) * (y + y2) / 2) OVER (PARTITION BY source ORDER BY x) AS share FROM (SELECT *, lead(x) OVER s AS x2, lead(y) OVER s AS y2 FROM d WINDOW s AS (PARTITION BY source ORDER BY x)) WHERE x2 IS NOT NULL),
+ a AS (SELECT source, share + (lead(share) OVER s - share) * (30 - x) / (lead(x) OVER s - x) AS share, x, lead(x) OVER s AS x2 FROM t WINDOW s AS (PARTITION BY source ORDER BY x))
+ SELECT g.source, coalesce(max(a.share) < 0.2, true) AS flagged FROM g LEFT JOIN a ON a.source = g.source AND a.x <= 30 AND a.x2 > 30 GROUP BY 1"""
+_query("flag_read_quality", lambda r: (lambda s: s.flag(s.table(r.withColumnRenamed("lane", "source"))))(read_quality()).select("source", "flagged"), _FLAGGED)

@@ -46,7 +46,7 @@ def flagship(r: DataFrame) -> DataFrame:
 query("narrow", "SELECT row_ix, substring(sread, 3, 10) AS sread, substring(qual, 3, 10) AS qual FROM reads")(lambda r: r.select("row_ix", S.narrow("sread", 3, 12).alias("sread"), S.narrow("qual", 3, width=10).alias("qual")))
 query("revcomp", "SELECT row_ix, reverse(translate(sread, 'ACGTN', 'TGCAN')) AS sread, reverse(qual) AS qual FROM reads")(lambda r: r.select("row_ix", S.reverse_complement("sread").alias("sread"), F.reverse("qual").alias("qual")))
 query("alphabet_score", "SELECT row_ix, CAST(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS double) AS score FROM reads")(lambda r: A.quality_sums(r))
-query("score_matrix", "SELECT row_ix, " + ", ".join(f"CAST(CASE WHEN length(qual) >= {k} THEN ascii(substring(qual, {k}, 1)) - 33 END AS double) AS cycle_{k}" for k in range(18, 25)) + " FROM reads")(lambda r: Q.wide_scores(r, 24).select("row_ix", *[F.col(f"cycle_{k}").cast("double").alias(f"cycle_{k}") for k in range(18, 25)]))
+query("score_matrix", "SELECT row_ix, " + ", ".join(f"CAST(CASE WHEN length(qual) >= {k} THEN ascii(substring(qual, {k}, 1)) - 33 END AS double) AS cycle_{k}" for k in range(1, 33)) + " FROM reads")(lambda r: Q.wide_scores(r, 32).select("row_ix", *[F.col(f"cycle_{k}").cast("double").alias(f"cycle_{k}") for k in range(1, 33)]))
 query("recode_quality", "SELECT row_ix, array_to_string(list_transform(string_split(qual, ''), lambda c: chr(ascii(c) + 31)), '') AS qual FROM reads")(lambda r: r.select("row_ix", Q.recoded("qual", "phred33", "phred64").alias("qual")))
 query("alphabet_frequency", "SELECT row_ix, " + ", ".join(f"length(sread) - length(replace(sread, '{b}', '')) AS \"{b}\"" for b in "ACGT") + ", length(regexp_replace(sread, '[ACGT]', '', 'g')) AS other FROM reads")(lambda r: r.select("row_ix", *S.letter_frequency("sread")))
 _DUST = """, tri AS (SELECT row_ix, substring(sread, i, 3) AS t, count(*) AS n FROM reads, (SELECT CAST(unnest(range(1, 31)) AS int) AS i) WHERE i <= length(sread) - 2 GROUP BY 1, 2),
@@ -88,7 +88,7 @@ def _occurrence(name: str, duplicates: str, with_read: bool | None, least: int,
 _occurrence("occurrence_head", "head", None, 2, 30)
 _occurrence("occurrence_tail", "tail", False, 1, 2)
 _occurrence("occurrence_none", "none", True, 1, 1)
-query("occurrence_sample")(lambda r: D.occurrence_filter(1, 3, None, "sample")(r).select("row_ix"))
+query("occurrence_sample", "SELECT sread, least(count(*), 3) AS n FROM reads GROUP BY 1")(lambda r: D.occurrence_filter(1, 3, None, "sample")(r).groupBy("sread").agg(F.count("*").alias("n")))
 
 query("trim_tails", "SELECT row_ix, substring(sread, 1, length(q)) AS sread, q AS qual FROM (SELECT row_ix, sread, regexp_extract(qual, '^(?:[^#-/]*[#-/]){0,2}[^#-/]*', 0) AS q FROM reads) WHERE length(q) > 0")(lambda r: T.trim_tails(r, 3, "/").select("row_ix", "sread", "qual"))
 query("trim_tails_successive", "SELECT row_ix, substring(sread, 1, length(q)) AS sread, q AS qual FROM (SELECT row_ix, sread, regexp_replace(qual, '[#-/]{2}.*$', '') AS q FROM reads) WHERE length(q) > 0")(lambda r: T.trim_tails(r, 2, "/", successive=True).select("row_ix", "sread", "qual"))
@@ -104,8 +104,30 @@ query(
     """, b AS (SELECT row_ix, sread, qual, length(qual) AS w, 1 + length(qual) - length(regexp_replace(qual, '^[#-/]+', '')) AS s, length(regexp_replace(qual, '[#-/]+$', '')) AS e FROM reads)
  SELECT row_ix, CASE WHEN s > w OR e = 0 THEN '' ELSE substring(sread, s, e - s + 1) END AS sread, CASE WHEN s > w OR e = 0 THEN '' ELSE substring(qual, s, e - s + 1) END AS qual FROM b""",
 )(lambda r: T.trim_ends(r, "/").select("row_ix", "sread", "qual"))
-query("trim_ends_letters", "SELECT row_ix, CAST(1 + length(sread) - length(regexp_replace(sread, '^[AN]+', '')) AS int) AS start, length(regexp_replace(sread, '[AN]+$', '')) AS \"end\" FROM reads WHERE regexp_matches(sread, '[CGT]')")(lambda r: T.trim_ends(r.where("sread rlike '[CGT]'"), "AN", relation="==", by="sread", as_ranges=True).drop("width"))
-query("trim_adapters")(lambda r: T.trim_adapters(r, "ACGTAC", "GGTTAA", 0.2, 0.2).select("row_ix", "sread", "qual"))
+query(
+    "trim_ends_letters",
+    """SELECT row_ix, CASE WHEN regexp_matches(sread, '[CGT]') THEN CAST(1 + length(sread) - length(regexp_replace(sread, '^[AN]+', '')) AS int) ELSE 1 END AS start,
+ length(regexp_replace(sread, '[AN]+$', '')) AS "end" FROM reads""",
+)(lambda r: T.trim_ends(r, "AN", relation="==", by="sread", as_ranges=True).drop("width"))
+
+
+def adapter_sql(left: str, right: str, left_rate: float, right_rate: float) -> str:
+    """Table `ends` (row_ix, lane, sread, qual, s, e): where reads begin and end without their adapters."""
+
+    def longest(pattern: str, rate: float, at_start: bool) -> str:
+        n = len(pattern)
+        tests = []
+        for j in range(n, 0, -1):
+            place = (lambda k: f"{k}") if at_start else (lambda k, j=j: f"length(sread) - {j} + {k}")
+            own = pattern[n - j :] if at_start else pattern[:j]
+            misses = " + ".join(f"CAST(substring(sread, {place(k)}, 1) <> '{own[k - 1]}' AS int)" for k in range(1, j + 1))
+            tests.append(f"WHEN length(sread) >= {j} AND {misses} <= {int(rate * j)} THEN {j}")
+        return "CASE " + " ".join(tests) + " ELSE 0 END"
+
+    return f"ends AS (SELECT row_ix, lane, sread, qual, 1 + {longest(left, left_rate, True)} AS s, length(sread) - {longest(right, right_rate, False)} AS e FROM reads)"
+
+
+query("trim_adapters", ", " + adapter_sql("ACGTAC", "GGTTAA", 0.2, 0.2) + " SELECT row_ix, CASE WHEN e < s THEN '' ELSE substring(sread, s, e - s + 1) END AS sread, CASE WHEN e < s THEN '' ELSE substring(qual, s, e - s + 1) END AS qual FROM ends")(lambda r: T.trim_adapters(r, "ACGTAC", "GGTTAA", 0.2, 0.2).select("row_ix", "sread", "qual"))
 
 query("abc_base", "SELECT cycle, base AS letter, count(*) AS n FROM cycles GROUP BY 1, 2", CYCLES)(lambda r: A.letters_by_cycle(r))
 query("abc_qual", "SELECT cycle, quality AS letter, count(*) AS n FROM cycles GROUP BY 1, 2", CYCLES)(lambda r: A.letters_by_cycle(r, "qual"))
@@ -129,6 +151,8 @@ query("read_proportions", "SELECT lane, \"read\", CAST(round(aligned / \"read\",
 query("count_reads", "SELECT lane, count(*) AS records, CAST(sum(length(sread)) AS bigint) AS nucleotides, CAST(sum(length(qual)) AS bigint) AS scores FROM reads GROUP BY 1")(lambda r: A.count_reads(r, "lane"))
 query("quality_density")(lambda r: A.quality_density(r, by=("lane",)))
 
+query("tile_geometry", "SELECT row_ix, CAST((tile - 1) % 50 + 1 AS int) AS \"row\", CAST(floor((tile - 1) / 50) + 1 AS int) AS \"column\" FROM reads")(lambda r: r.select("row_ix", *[c.alias(n) for c, n in zip(A.tile_geometry(F.col("tile"), 100), ("row", "column"))]))
+
 query("srorder", "SELECT row_ix, row_number() OVER (ORDER BY sread, row_ix) AS place FROM reads")(lambda r: O.read_order(r).select("row_ix", "place"))
 query("srsort", "SELECT row_ix, sread FROM reads")(lambda r: O.sorted_reads(r).select("row_ix", "sread"))
 query("srrank", "SELECT row_ix, rank() OVER (ORDER BY sread) AS rank FROM reads")(lambda r: O.read_rank(r).select("row_ix", "rank"))
@@ -169,12 +193,12 @@ query("zip_rows", "SELECT row_ix, sread, qual FROM reads")(lambda r: X.zip_rows(
 
 
 def queries() -> dict[str, Query]:
-    from . import assessment
+    from . import assessment, round_trips
 
-    return {**QUERIES, **assessment.QUERIES}
+    return {**QUERIES, **assessment.QUERIES, **round_trips.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import assessment
+    from . import assessment, round_trips
 
-    return {**ORACLES, **assessment.ORACLES}
+    return {**ORACLES, **assessment.ORACLES, **round_trips.ORACLES}

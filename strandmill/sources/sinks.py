@@ -88,6 +88,17 @@ def filter_fastq(spark, files: list[str], destinations: list[str], keep: Callabl
     return total
 
 
+def filter_folder(spark, source: str | list[str], destination: str, *rules: Callable[[DataFrame], DataFrame], compress: bool = True) -> DataFrame:
+    """Filter or trim files of any number and size into a new folder of files, in parallel and in order: the form for a
+    cluster.  Gives reads, kept_reads, nucleotides and kept_nucleotides."""
+    reads = kept = read_fastq(spark, source)
+    for rule in rules:
+        kept = rule(kept)
+    write_records(kept, destination, fastq_record(), compress)
+    size = lambda df, p: df.agg(F.count("*").alias(f"{p}reads"), F.coalesce(F.sum(F.length("sread")), F.lit(0)).cast("bigint").alias(f"{p}nucleotides"))
+    return size(reads, "").crossJoin(size(kept, "kept_"))
+
+
 def trim_files(spark, files: list[str], destinations: list[str], trim: Callable[..., DataFrame], compress: bool = True, **options) -> DataFrame:
     """A trim function applied file to file."""
     return filter_fastq(spark, files, destinations, lambda df: trim(df, **options), compress)
