@@ -84,8 +84,11 @@ def decode_tensors(media: DataFrame, id_col: str = "doc_id", jpeg_col: str = "jp
 
 def read_payloads(media: DataFrame, id_col: str = "doc_id", jpeg_col: str = "jpeg") -> DataFrame:
     """Per row of store_payloads(): id, n_bytes, and of what the file gives back payload_bytes, payload_sha256,
-    tail_crc32 (of its last 16 bytes), media_bytes, media_sha256 (of the file) and feature (of its RGB tensor)."""
-    schema = f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    tail_crc32 (of its last 16 bytes), media_bytes, media_sha256 (of the file), feature (of its RGB tensor), and the tensor:
+    height, width and rgb."""
+    schema = f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, height int, width int, rgb binary"
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,10 +96,9 @@ def read_payloads(media: DataFrame, id_col: str = "doc_id", jpeg_col: str = "jpe
                 files = part.column(jpeg_col).to_pylist()
                 rows = []
                 for f, (picture, coef) in zip(files, _decoded(files)):
-                    back = jpeg.payload_of(picture, coef)
-                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(jpeg.rgb(picture, coef))))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    back, tensor = jpeg.payload_of(picture, coef), jpeg.rgb(picture, coef)
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(tensor), *tensor.shape[:2], tensor.tobytes()))
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("n_bytes"), *cols], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("n_bytes"), *cols], [id_col, "n_bytes", *names])
 
     return media.select(id_col, "n_bytes", jpeg_col).mapInArrow(run, schema)
