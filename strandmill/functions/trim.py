@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch, one_of, warn
 from ..schema import DNA
-from .sequence import narrow
+from .sequence import IUPAC, narrow
 
 
 def _character(a: str) -> str:
@@ -149,18 +149,27 @@ def allowed_mismatches(allowed, n: int) -> list[int]:
     return ([-1] * (n - len(given)) + given)[-n:]
 
 
-def adapter_bounds(c, left: str = "", right: str = "", left_allowed=0, right_allowed=0) -> tuple[Column, Column]:
+def adapter_bounds(c, left: str = "", right: str = "", left_allowed=0, right_allowed=0, left_fixed: bool = True, right_fixed: bool = True) -> tuple[Column, Column]:
     """First and last place kept when the longest matching end of `left` is cut from the start, and beginning of `right`
-    from the end."""
+    from the end.  Where a side is not fixed, ambiguity letters match what they may stand for."""
     c = F.col(c) if isinstance(c, str) else c
-    start = 1 + _overlap(left, allowed_mismatches(left_allowed, len(left)), True)(c) if left else F.lit(1)
-    end = F.length(c) - _overlap(right, allowed_mismatches(right_allowed, len(right)), False)(c) if right else F.length(c)
+    start = 1 + _overlap(left, allowed_mismatches(left_allowed, len(left)), True, left_fixed)(c) if left else F.lit(1)
+    end = F.length(c) - _overlap(right, allowed_mismatches(right_allowed, len(right)), False, right_fixed)(c) if right else F.length(c)
     return start, end
 
 
-def _overlap(pattern: str, allowed: list[int], at_start: bool):
+def _possible() -> np.ndarray:
+    """For each character the bits of the bases that it may stand for; none for other characters, which match nothing."""
+    bits = np.zeros(256, dtype=np.int64)
+    for letter, bases in IUPAC.items():
+        bits[ord(letter)] = sum(1 << "ACGT".index(b) for b in bases)
+    return bits
+
+
+def _overlap(pattern: str, allowed: list[int], at_start: bool, fixed: bool = True):
     n = len(pattern)
     code = np.frombuffer(pattern.encode(), dtype=np.uint8)
+    possible = _possible()
 
     @F.pandas_udf("int")
     def overlap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -172,13 +181,14 @@ def _overlap(pattern: str, allowed: list[int], at_start: bool):
             best = np.zeros(len(edge), dtype=np.int32)
             for j in range(1, n + 1):
                 part, own = (x[:, :j], code[n - j :]) if at_start else (x[:, n - j :], code[:j])
-                best[((part != own).sum(axis=1) <= allowed[j - 1]) & (size >= j)] = j
+                misses = part != own if fixed else (possible[part] & possible[own]) == 0
+                best[(misses.sum(axis=1) <= allowed[j - 1]) & (size >= j)] = j
             yield pd.Series(best).where(reads.notna().to_numpy())
 
     return overlap
 
 
-def trim_adapters(reads: DataFrame, left: str = "", right: str = "", left_allowed=0, right_allowed=0, as_ranges: bool = False) -> DataFrame:
+def trim_adapters(reads: DataFrame, left: str = "", right: str = "", left_allowed=0, right_allowed=0, as_ranges: bool = False, left_fixed: bool = True, right_fixed: bool = True) -> DataFrame:
     """Remove adapters from the ends of reads; emptied reads stay."""
-    start, end = adapter_bounds("sread", left, right, left_allowed, right_allowed)
+    start, end = adapter_bounds("sread", left, right, left_allowed, right_allowed, left_fixed, right_fixed)
     return ranges(reads, start, end) if as_ranges else cut(reads, start, end, drop_empty=False)

@@ -18,7 +18,7 @@ from ..operators import intervals as I
 from ..operators import summaries as A
 from ..operators.tables import exact_sample
 from .queries import adapter_sql
-from .surrogate import READS, reads
+from .surrogate import CYCLES, READS, reads
 
 Tables = dict[str, DataFrame]
 
@@ -269,3 +269,18 @@ _FLAGGED = """, q AS (SELECT lane AS source, CAST(list_sum(list_transform(string
  a AS (SELECT source, share + (lead(share) OVER s - share) * (30 - x) / (lead(x) OVER s - x) AS share, x, lead(x) OVER s AS x2 FROM t WINDOW s AS (PARTITION BY source ORDER BY x))
  SELECT g.source, coalesce(max(a.share) < 0.2, true) AS flagged FROM g LEFT JOIN a ON a.source = g.source AND a.x <= 30 AND a.x2 > 30 GROUP BY 1"""
 _query("flag_read_quality", lambda r: (lambda s: s.flag(s.table(r.withColumnRenamed("lane", "source"))))(read_quality()).select("source", "flagged"), _FLAGGED)
+
+
+def _summary(s: Summary) -> Callable[[DataFrame], DataFrame]:
+    """A summary's table of every source's reads."""
+    return lambda r: collate(r.withColumnRenamed("lane", "file"), [s], sample=None).tables[s.name]
+
+
+_CYCLE = CYCLES.removeprefix(READS)
+_query("summary_nucleotide_use", _summary(nucleotide_use()), _CYCLE + " SELECT lane AS source, " + ", ".join(f"count(*) FILTER (base = '{b}') AS \"{b}\"" for b in "ACGT") + ", count(*) FILTER (base NOT IN ('A', 'C', 'G', 'T')) AS other FROM cycles GROUP BY 1")
+_query("summary_quality_use", _summary(quality_use()), _CYCLE + " SELECT source, quality, n, CAST(sum(n) OVER (PARTITION BY source ORDER BY quality) AS double) / CAST(sum(n) OVER (PARTITION BY source) AS double) AS share FROM (SELECT lane AS source, quality, count(*) AS n FROM cycles GROUP BY 1, 2)")
+_query("summary_sequence_use", _summary(sequence_use()), " SELECT source, n AS n_occurrences, count(*) AS n_reads FROM (SELECT lane AS source, sread, count(*) AS n FROM reads GROUP BY 1, 2) GROUP BY 1, 2")
+_query("summary_frequent_sequence", _summary(frequent_sequence(7)), " SELECT lane AS source, sread, n, records FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY n DESC, sread) AS k FROM (SELECT lane, sread, count(*) AS n FROM reads GROUP BY 1, 2)) JOIN (SELECT lane, count(*) AS records FROM reads GROUP BY 1) USING (lane) WHERE k <= 7")
+_query("summary_nucleotide_by_cycle", _summary(nucleotide_by_cycle()), _CYCLE + " SELECT lane AS source, cycle, base AS letter, count(*) AS n FROM cycles GROUP BY 1, 2, 3")
+_query("summary_quality_by_cycle", _summary(quality_by_cycle()), _CYCLE + " SELECT lane AS source, cycle, CAST(sum(ascii(quality) - 33) AS double) / count(*) AS mean, " + ", ".join(f"CAST(quantile_cont(ascii(quality) - 33, {q}) AS double) AS q{int(100 * q)}" for q in (0.25, 0.5, 0.75)) + " FROM cycles GROUP BY 1, 2")
+_query("summary_adapters", _summary(adapters("ACGTACGTACGT", "TTGGCCAATTGG", 0)), ", " + adapter_sql("ACGTACGTACGT", "TTGGCCAATTGG", 0.1, 0.2) + " SELECT lane AS source, avg(CAST(greatest(e - s + 1, 0) < length(sread) AS int)) AS contamination FROM ends GROUP BY 1")

@@ -7,6 +7,7 @@ import os
 from string import Template
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import InputError, one_of
 
@@ -31,10 +32,15 @@ def table_html(df: DataFrame, most: int = SHOWN) -> str:
 
 
 def lines_svg(df: DataFrame, x: str, y: str, group: str, most: int = 20_000, width: int = 640, height: int = 320) -> str:
-    """Lines of small tables, one for each group."""
+    """Lines of a table, one for each group.  A table of more than `most` points is drawn by the mean in each pixel's column."""
+    points = df.where(df[x].isNotNull() & df[y].isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(group).cast("string").alias("g"))
+    n, low, high = points.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if n > most:
+        column = F.round((F.col("x") - low) / ((high - low) or 1) * width)
+        points = points.groupBy("g", column.alias("column")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     series: dict[str, list[tuple[float, float]]] = {}
-    for r in df.where(df[x].isNotNull() & df[y].isNotNull()).select(x, y, group).limit(most).collect():
-        series.setdefault(str(r[2]), []).append((float(r[0]), float(r[1])))
+    for r in points.select("x", "y", "g").collect():
+        series.setdefault(str(r[2]), []).append((r[0], r[1]))
     points = [p for s in series.values() for p in s]
     if not points:
         return "<p>Not available.</p>"
@@ -55,10 +61,13 @@ def write_report(tables: dict[str, DataFrame], folder: str, title: str = "Qualit
     known = [s for s in SECTIONS if s[0] in tables] + [(n, n.replace("_", " ").capitalize(), None) for n in tables if n not in {s[0] for s in SECTIONS}]
     for name, heading, plot in known:
         df = tables[name]
+        if tabular:
+            # The table is computed once, and the page drawn from what was written.
+            at = f"file://{os.path.abspath(folder)}/tables/{name}"
+            df.write.parquet(at)
+            df = df.sparkSession.read.parquet(at)
         drawn = lines_svg(df, *plot) if plot and set(plot) <= set(df.columns) else ""
         parts.append(f"<h2>{html.escape(heading)}</h2>{drawn}{table_html(df)}")
-        if tabular:
-            df.write.parquet(os.path.join(os.path.abspath(folder), "tables", name))
     path = os.path.join(folder, "index.html")
     with open(path, "w", encoding="utf-8") as out:
         out.write(PAGE.substitute(title=html.escape(title), body="".join(parts)))

@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandmill.errors import ArgumentMismatch, IncompatibleTypes, ReadsError, ReadsWarning, ValidityError
 from strandmill.functions import quality as Q
+from strandmill.functions.align import pairwise_alignment, quality_scores
 from strandmill.functions import sequence as S
 from strandmill.schema import as_reads, detail, labelled, labels_of, renew, renewable, validated
 
@@ -82,3 +84,43 @@ def test_errors():
         ReadsError("x", "no kind")
     with pytest.raises(ValueError):
         ReadsWarning("x", "no kind")
+
+
+def plain_alignment(read, subject, equal, other, kind, opening, extension):
+    """All three tables in full."""
+    import math
+
+    low, n, m = -math.inf, len(read), len(subject)
+    free = kind != "global"
+    best = [[low] * (m + 1) for _ in range(n + 1)]
+    up, side = [[low] * (m + 1) for _ in range(n + 1)], [[low] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i == 0 or j == 0:
+                k = i + j
+                best[i][j] = 0.0 if free or k == 0 else -(opening + extension * k)
+                continue
+            up[i][j] = max(up[i - 1][j], best[i - 1][j] - opening) - extension
+            side[i][j] = max(side[i][j - 1], best[i][j - 1] - opening) - extension
+            best[i][j] = max(best[i - 1][j - 1] + (equal if read[i - 1] == subject[j - 1] else other), up[i][j], side[i][j])
+            if kind == "local":
+                best[i][j] = max(best[i][j], 0.0)
+    if kind == "global":
+        return best[n][m]
+    if kind == "local":
+        return max(map(max, best))
+    return max([*best[n], *(row[m] for row in best)]) if n else 0.0
+
+
+def test_pairwise_alignment(spark):
+    rnd = random.Random(2)
+    reads = ["".join(rnd.choice("ACGTN") for _ in range(rnd.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(i, s, "I" * len(s)) for i, s in enumerate(reads)], "row_ix bigint, sread string, qual string")
+    subject = "ACGTTGCA"
+    for kind in ("global", "local", "overlap"):
+        got = {r.row_ix: r.score for r in pairwise_alignment(df, subject, kind=kind, match=2, mismatch=-1, opening=3, extension=1).collect()}
+        for i, s in enumerate(reads):
+            assert abs(got[i] - plain_alignment(s, subject, 2, -1, kind, 3, 1)) < 1e-9, (kind, s)
+        equal, other = (float(x[0]) for x in quality_scores(np.array([10**-4.0])))
+        got = {r.row_ix: r.score for r in pairwise_alignment(df, subject, kind=kind).collect()}
+        assert all(abs(got[i] - plain_alignment(s, subject, equal, other, kind, 10, 4)) < 1e-9 for i, s in enumerate(reads))

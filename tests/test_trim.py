@@ -79,3 +79,12 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1, None, None)], "row_ix bigint, sread string, qual string")
     assert df.select(T.tail_end("qual", 1, "A").alias("x"), F.lit(1)).first().x is None
     assert T.trim_tails(df, 1, "A").count() == 0
+
+
+def test_ambiguous_adapters(spark):
+    """Without fixed letters, N and the like in the adapter or the read match what they may stand for."""
+    df = spark.createDataFrame([(1, "ACGTTTT", "IIIIIII"), (2, "NCGTTTT", "IIIIIII"), (3, "TTTTGAN", "IIIIIII"), (4, "", "")], "row_ix bigint, sread string, qual string")
+    got = {r.row_ix: (r.start, r.end) for r in T.trim_adapters(df, "ANG", "GAC", as_ranges=True, left_fixed=False, right_fixed=False).collect()}
+    assert got == {1: (4, 7), 2: (4, 7), 3: (1, 4), 4: (1, 0)}
+    got = {r.row_ix: (r.start, r.end) for r in T.trim_adapters(df, "ANG", "GAC", as_ranges=True).collect()}
+    assert got == {1: (1, 7), 2: (1, 7), 3: (1, 7), 4: (1, 0)}
