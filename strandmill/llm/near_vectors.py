@@ -3,7 +3,9 @@
 Equal vectors are first merged into one row with a count.  Centroids are fitted on a bounded sample; every vector has a
 home, its nearest cell, and also visits each lower-numbered cell where a neighbour could live: for a vector with
 cosine c to its home, one at cosine t to it has a home cosine of about t*c at least, and seen from here that cell has
-t*t*c at least, less the spread of the part that is orthogonal, sqrt((1 - t*t) / d), of which `spread` times is allowed.
+t*t*c at least, less the spread of the part that is orthogonal, sqrt((1 - t*t) / e), of which `spread` times is allowed.
+Here e is the effective dimension of what the sample's vectors have besides their centroid (the dimension if they vary
+alike in all directions, less if they do not).
 Nothing else is cut: there is no limit on cells visited, on visitors or on links.  A cell's residents and visitors are
 split into blocks of bounded size, and each pair of blocks is one matrix product in double precision, so a crowded cell
 becomes many bounded tasks.  Blocks return counts of links and the stars of their linked groups, never pairs.
@@ -41,8 +43,17 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def effective_dimension(x: np.ndarray, c: np.ndarray) -> float:
+    """Of the parts of unit rows that are orthogonal to their nearest centroid: the number of directions, all alike, that
+    would have their spread; 1 at least."""
+    near = np.concatenate([np.argmax(x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)])
+    rest = x - np.einsum("ij,ij->i", x, c[near])[:, None] * c[near]
+    share = np.maximum(np.linalg.eigvalsh(rest.T @ rest), 0)
+    return float(share.sum() ** 2 / (share**2).sum()) if (share**2).sum() > 0 else 1.0
+
+
 def unit_rows(vectors) -> np.ndarray:
-    x = np.array([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
+    x = vectors if isinstance(vectors, np.ndarray) and vectors.ndim == 2 else np.array([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -91,9 +102,11 @@ def _blocks(reps: DataFrame, d: int, n: int, threshold: float, spread: float, ce
     """Link counts (rep, links) and star edges (u, v) between merged vectors of one length."""
     spark = reps.sparkSession
     k = max(1, min(MOST_CELLS, math.ceil(n / cell)))
-    some = reps.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(max(sample, k)).collect()
-    centers = spark.sparkContext.broadcast(fit_centroids(unit_rows([r.vec for r in some]), min(k, len(some))))
-    slack = spread * math.sqrt(max(0.0, 1 - threshold**2) / d)
+    some = reps.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(max(sample, k)).toArrow().column("vec")
+    some = unit_rows(np.concatenate([c.flatten().to_numpy() for c in some.chunks]).reshape(-1, d))
+    fitted = fit_centroids(some, min(k, len(some)))
+    centers = spark.sparkContext.broadcast(fitted)
+    slack = spread * math.sqrt(max(0.0, 1 - threshold**2) / effective_dimension(some, fitted))
 
     def place(frames):
         c = centers.value

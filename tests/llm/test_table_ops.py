@@ -226,6 +226,24 @@ def test_recall_at_the_threshold():
     assert (lower | (homes[0] == homes[1])).mean() > 0.999
 
 
+def test_recall_in_few_directions():
+    """The same for vectors that lie in 8 of 64 directions: the allowance follows what the sample shows."""
+    rnd = np.random.default_rng(6)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    plane = np.linalg.qr(rnd.normal(size=(64, 8)))[0].T
+    x = unit(rnd.normal(size=(4000, 8)))
+    z = rnd.normal(size=x.shape)
+    z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    x, y = x @ plane, (0.9 * x + np.sqrt(1 - 0.81) * z) @ plane
+    c = near_vectors.fit_centroids(x, 60)
+    e = near_vectors.effective_dimension(x, c)
+    assert 4 < e < 9
+    slack = 4 * np.sqrt((1 - 0.81) / e)
+    homes, visits = zip(*((d.argmax(axis=1), d >= 0.81 * d.max(axis=1, keepdims=True) - slack) for d in (x @ c.T, y @ c.T)))
+    lower = np.where(homes[0] < homes[1], visits[1][np.arange(4000), homes[0]], visits[0][np.arange(4000), homes[1]])
+    assert (lower | (homes[0] == homes[1])).mean() > 0.999
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7)]
