@@ -12,11 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import ArgumentMismatch, IncompatibleTypes
+from ..errors import ArgumentMismatch, IncompatibleTypes, one_of
 from ..functions.trim import adapter_bounds
 from ..operators import intervals as I
 from ..operators import summaries as A
 from ..operators.tables import exact_sample
+from ..sources.files import file_names
 from .queries import adapter_sql
 from .surrogate import CYCLES, READS, reads
 
@@ -91,6 +92,26 @@ def assess_map(df: DataFrame, by: str = "lane", **options) -> Tables:
     return assess(turned, by, None, F.col("position").isNotNull(), **options)
 
 
+def assess_files(spark: SparkSession, path: str | list[str], pattern: str | None = None, kind: str = "fastq", reading: dict | None = None, **options) -> Tables:
+    """The tables of files of reads or of alignments, by the files' names; `reading` has options of the reader."""
+    from ..sources.alignments import FORMATS, read_aligned
+    from ..sources.fastq import read_fastq
+
+    one_of(kind, ("fastq", *FORMATS), "kind")
+    if kind == "fastq":
+        df, run = read_fastq(spark, path, pattern, **(reading or {})), assess
+    else:
+        df = read_aligned(spark, path, pattern, kind, **(reading or {}))
+        run = {"export": assess_export, "realign": assess_realign, "bowtie": assess_bowtie, "maq": assess_map, "maq_short": assess_map}.get(kind, assess_bowtie)
+    return run(df.withColumn("source", F.element_at(F.split("file", "/"), -1)), "source", **options)
+
+
+def file_details(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """Files with their lengths and the times of their last change; contents are not read."""
+    found = spark.read.format("binaryFile").load(file_names(path, pattern))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.col("path").alias("file"), "length", F.col("modificationTime").alias("changed"))
+
+
 def bind(*runs: Tables) -> Tables:
     """The tables of several runs, one below the other; they must be of one kind."""
     if any(set(r) != set(runs[0]) for r in runs):
@@ -218,7 +239,8 @@ def collate(df: DataFrame, summaries: list[Summary], sample: int | None = 1_000_
             flags[s.name] = s.flag(tables[s.name])
         if s.add_filter:
             some = some.withColumn("filtered", F.col("filtered") | F.coalesce(s.add_filter(some), F.lit(False)))
-    return Collated(flag_sources(every), tables, flags)
+    sources = flag_sources(every).withColumn("sampled", F.least("n", F.lit(sample)) if sample else F.col("n"))
+    return Collated(sources, tables, flags)
 
 
 # --- queries ----------------------------------------------------------------------------------------------------------

@@ -125,3 +125,13 @@ def filtered_files(r: DataFrame) -> DataFrame:
     spark, to = r.sparkSession, scratch_folder(r.sparkSession)
     sinks.filter_folder(spark, written(r, sinks.fastq_record()), to, D.n_filter(0))
     return fastq.read_fastq(spark, to).select("id", "sread", "qual")
+
+
+@_query("assessed_files", "SELECT CAST(count(*) AS bigint) AS \"read\", CAST(sum(length(sread) - length(replace(sread, 'A', ''))) AS bigint) AS \"A\" FROM reads")
+def assessed_files(r: DataFrame) -> DataFrame:
+    """The assessment of written files, summed over them."""
+    from .assessment import assess_files
+
+    out = assess_files(r.sparkSession, written(r, sinks.fastq_record()), sample=None)
+    reads_, bases = out["read_counts"].agg(F.sum("read").alias("read")), out["base_calls"].agg(F.sum("A").cast("bigint").alias("A"))
+    return reads_.crossJoin(F.broadcast(bases))

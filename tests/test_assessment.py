@@ -44,6 +44,18 @@ def test_collate(spark, sf_dir):
     assert all_reads > 0 and left == r.where("tile <> 1").count()
 
 
+def test_files(spark, tmp_path):
+    for name, n in (("a", 30), ("b", 5)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@{i}\nACGTN\n+\nIIIII\n" for i in range(n)))
+    out = Q.assess_files(spark, str(tmp_path), "fastq$", sample=10)
+    assert {r.source: r["read"] for r in out["read_counts"].collect()} == {"a.fastq": 30, "b.fastq": 5}
+    assert {r.source: r.A for r in out["base_calls"].collect()} == {"a.fastq": 10, "b.fastq": 5}
+    details = {r.source: r.length for r in Q.file_details(spark, str(tmp_path), "fastq$").collect()}
+    assert details == {p.name: p.stat().st_size for p in tmp_path.iterdir()}
+    (tmp_path / "hits.txt").write_text("r1\t-\tc\t4\tACG\tIII\t0\t\nr2\t+\tc\t9\tAC\tII\t0\t\n")
+    assert Q.assess_files(spark, str(tmp_path), "hits", kind="bowtie")["read_counts"].first().aligned == 2
+
+
 def test_fences():
     assert Q.fences([1, 2, 3, 4, 100]) == (-1, 7)
     assert Q.fences([5]) == (5, 5)
