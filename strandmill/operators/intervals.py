@@ -113,11 +113,13 @@ def overlaps_any(alignments: DataFrame, ranges: DataFrame, bin_size: int = OVERL
 
 def count_overlaps(alignments: DataFrame, ranges: DataFrame, keys: tuple[str, ...], bin_size: int = OVERLAP_BIN) -> DataFrame:
     """For each range (keys, chromosome, start, end) the number of alignments that meet it; a pair counts in the first bin that both are in."""
-    a = _binned(alignments.select("chromosome", "position", "sread"), F.col("position"), F.col("position") + F.length("sread") - 1, bin_size).select("chromosome", "_bin", "_s", "_e")
+    # Alignments at one place are one row with a count, so a bin has few rows however many reads pile up in it.
+    places = alignments.select("chromosome", F.col("position").alias("_p"), (F.col("position") + F.length("sread") - 1).alias("_q")).groupBy("chromosome", "_p", "_q").agg(F.count("*").alias("_times"))
+    a = _binned(places, F.col("_p"), F.col("_q"), bin_size).select("chromosome", "_bin", "_s", "_e", "_times")
     b = _binned(ranges, F.col("start"), F.col("end"), bin_size).select(*keys, "chromosome", "_bin", F.col("_s").alias("rs"), F.col("_e").alias("re"))
     first = F.col("_bin") == F.greatest(F.floor(F.col("_s") / bin_size), F.floor(F.col("rs") / bin_size))
     met = a.join(b, ["chromosome", "_bin"]).where((F.col("_s") <= F.col("re")) & (F.col("_e") >= F.col("rs")) & first)
-    counts = met.groupBy(*keys).agg(F.count("*").alias("n"))
+    counts = met.groupBy(*keys).agg(F.sum("_times").alias("n"))
     return ranges.join(counts, list(keys), "left").fillna(0, ["n"])
 
 
