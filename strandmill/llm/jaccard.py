@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .regions import UNLINKED, Region, distances, region_labels, windows  # noqa: F401
-from .shared import durable, text_slices, texts_of
+from .shared import discard, durable, text_slices, texts_of
 from .shingles import shingle_sets
 
 #: Up to so many nodes of a shingle are compared pairwise.
@@ -170,7 +170,7 @@ def _within_tasks(members: DataFrame, percent: int, tasks: int) -> DataFrame:
     return members.groupBy(F.pmod(F.hash("region"), F.lit(tasks)).alias("task")).applyInPandas(join, "u bigint, v bigint")
 
 
-def _split(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _split(members: DataFrame, sizes: DataFrame, percent: int, scratch: list[str]) -> DataFrame:
     """One step over regions (sizes: region, nodes, bytes, loose): rows of _MEMBER of the regions that their pivots make,
     and links (node, mine) without a region.
 
@@ -179,7 +179,7 @@ def _split(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     threshold = 1 - percent / 100
     tasks = F.ceil(F.greatest(F.col("nodes") / DEALT, F.col("bytes") / DEALT_BYTES)).cast("int")
     pivots = F.least(F.lit(PIVOTS), 1 + F.ceil(F.greatest(F.col("nodes") * 4 / SMALL, F.col("bytes") * 4 / SMALL_BYTES))).cast("int")
-    sizes = durable(sizes.select("region", tasks.alias("tasks"), pivots.alias("pivots"), "loose", F.col("nodes").alias("before_")))
+    sizes = durable(sizes.select("region", tasks.alias("tasks"), pivots.alias("pivots"), "loose", F.col("nodes").alias("before_")), scratch)
     order = F.xxhash64("node", "region")
     full = members.join(sizes, "region").withColumn("order", order)
     # Only members that can be among the first are ranked: about twice as many as pivots, and the very first.
@@ -254,33 +254,40 @@ def _blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return u.unionByName(n).groupBy("region", "slab", "ub", "nb").applyInPandas(compare, "u bigint, v bigint")
 
 
-def metric_links(members: DataFrame, percent: int) -> tuple[DataFrame, bool]:
-    """Links (u, v) that make the components of regions (rows of _MEMBER), and whether they are other than stars about each component's least node."""
-    links, split = [], False
+def metric_links(members: DataFrame, percent: int, scratch: list[str]) -> tuple[DataFrame, bool]:
+    """Links (u, v) that make the components of regions (rows of _MEMBER), and whether they are other than stars about each
+    component's least node."""
+    spark, links, stars = members.sparkSession, [], True
     for level in range(LEVELS + 1):
         sizes = members.groupBy("region").agg(F.count("*").alias("nodes"), F.sum(F.length("bag")).alias("bytes"), F.count_if(F.expr(_LOOSE)).alias("loose"), F.max("before").alias("before"))
         large = (F.col("nodes") > SMALL) | (F.col("bytes") > SMALL_BYTES)
         # A level that leaves nearly all of a region together does not help; blocks take it as it is.
         stuck = F.lit(level == LEVELS) | (F.col("before") > 0) & (F.col("nodes") > 0.9 * F.col("before"))
         how = F.when(~large, "task").when(stuck, "blocks").otherwise("split").alias("how")
-        sizes = durable(sizes.where("loose > 0 and nodes > 1").select("*", how))
-        found = {r.how: r for r in sizes.groupBy("how").agg(F.count("*").alias("regions"), F.sum("bytes").alias("bytes")).collect()}
+        sizes = durable(sizes.where("loose > 0 and nodes > 1").select("*", how), scratch)
+        work = F.coalesce(F.sum(F.col("loose").cast("double") * F.col("nodes")), F.lit(0.0)).alias("pairs")
+        found = {r.how: r for r in sizes.groupBy("how").agg(F.sum("bytes").alias("bytes"), work).collect()}
         of = lambda how: members.join(sizes.where(F.col("how") == how).select("region"), "region", "left_semi")
         if "task" in found:
-            links.append(durable(_within_tasks(of("task"), percent, max(1, found["task"].bytes // TASK_BYTES))))
+            links.append(durable(_within_tasks(of("task"), percent, max(1, found["task"].bytes // TASK_BYTES)), scratch))
         if "blocks" in found:
-            links.append(durable(_blocks(of("blocks"), sizes.where("how = 'blocks'"), percent)))
-            split = True
+            links.append(durable(_blocks(of("blocks"), sizes.where("how = 'blocks'"), percent), scratch))
+            stars = False
         if "split" not in found:
             break
-        split = True
-        made = durable(_split(of("split"), sizes.where("how = 'split'"), percent))
+        stars = False
+        made = durable(_split(of("split"), sizes.where("how = 'split'"), percent, scratch), scratch)
         links.append(made.where("region is null").select(F.col("node").alias("u"), F.col("mine").alias("v")))
+        parts = made.where("region is not null").groupBy("region").agg(F.count("*").alias("nodes"), F.count_if(F.expr(_LOOSE)).alias("loose")).agg(work).first()
+        if parts.pairs > 0.75 * found["split"].pairs:
+            # With their copies the parts are nearly as much work as the regions: these are compared as they are.
+            links.append(durable(_blocks(of("split"), sizes.where("how = 'split'"), percent), scratch))
+            break
         members = made.where("region is not null")
-    out = members.sparkSession.createDataFrame([], "u bigint, v bigint")
+    out = spark.createDataFrame([], "u bigint, v bigint")
     for more in links:
         out = out.unionByName(more)
-    return out, split
+    return out, not stars
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,19 +300,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     order = np.argsort(keys)
     known = spark.sparkContext.broadcast((keys[order], frequent.column("freq").to_numpy().astype(np.int64)[order]))
 
+    scratch: list[str] = []
     firsts = _prefixes(docs.where("id is not null"), width, percent, known)
-    nodes = durable(firsts.groupBy("digest").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "keys", "last")]))
+    nodes = durable(firsts.groupBy("digest").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "keys", "last")]), scratch)
     posts = nodes.select("node", F.explode("keys").alias("key"))
     # What is known of a shingle is written before it is joined, so a frequent one is a skewed join that can be dealt anew.
-    stats = durable(posts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
-    shared = durable(posts.join(stats, "key"))
+    stats = durable(posts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), scratch)
+    shared = durable(posts.join(stats, "key"), scratch)
     # Where many share a shingle, only those of like size can be linked: bands of sizes are as wide as the similarity
     # allows, and each node is in the groups of its band and the next, so a pair of like size has a group in common.
     band = F.floor(F.log(F.col("n").cast("double")) / (max(-math.log(percent / 100), 1e-6) * 1.000001)).cast("int")
     banded = shared.where(F.col("many") > FEW).select("key", "node").join(nodes.select("node", band.alias("band")).distinct(), "node")
-    banded = durable(banded.select("key", "node", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("part")))
-    parts = durable(banded.groupBy("key", "part").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1"))
-    banded = durable(banded.join(parts, ["key", "part"]))
+    banded = durable(banded.select("key", "node", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("part")), scratch)
+    parts = durable(banded.groupBy("key", "part").agg(F.count("*").alias("many"), F.min(F.struct(F.hash("node"), "node"))["node"].alias("pivot")).where("many > 1"), scratch)
+    banded = durable(banded.join(parts, ["key", "part"]), scratch)
     few = shared.where(F.col("many") <= FEW).select("key", F.lit(-1).alias("part"), "node").unionByName(banded.where(F.col("many") <= FEW).select("key", "part", "node"))
     met = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["key", "part"]).where("a < b").select("key", "a", "b").distinct()
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"))
@@ -314,13 +322,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     pairs = _promising(pairs, nodes.join(often, "node", "left").fillna(0, ["hot"]), percent)
     stars = hot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
-    area = durable(components(pairs.unionByName(stars).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    area = components(pairs.unionByName(stars).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     needed = nodes.join(area, "node").select(F.col("node").alias("id"), "digest", F.col("component_id").alias("region"))
     members = _sets(docs, needed, width).select("region", F.col("id").alias("node"), F.col("id").alias("mine"), F.lit(None).cast("bigint").alias("main"), F.lit(None).cast("double").alias("far"), F.lit(0).cast("bigint").alias("before"), "bag")
-    links, split = metric_links(durable(members), percent)
+    links, split = metric_links(durable(members, scratch), percent, scratch)
     # Where no area was split the links are stars about each component's least node already.
-    final = components(links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component_id")).distinct()
+    final = components(links, scratch) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component_id")).distinct()
     named = durable(nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id")))
+    discard(spark, scratch)
     rows = scanned.where("key is null")
     out = rows.where("digest is not null").join(named, "digest", "left").unionByName(rows.where("digest is null").withColumn("component_id", F.lit(None).cast("bigint")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

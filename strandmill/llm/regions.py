@@ -7,7 +7,8 @@ Two sets link at a distance of at most t.  Every member of a region measures its
   copied to an earlier region q if d(x, q) <= min(d(x, home) + 2t, CLOSE + t), which the triangle inequality shows to be
   true of every x with a partner there.  Members of the outer region are copied to all regions by the same rule.
 * Within a region of pivot q a pair is compared only if |d(x, q) - d(y, q)| <= t.
-* Regions are joined in the same way again with pivots of their own until they are small, or do not shrink any more.
+* Regions are joined in the same way again with pivots of their own until they are small.  A region whose parts, with
+  the copies, would take nearly as many pairs as itself is compared as it is, within windows.
 
 Only components are asked for, so members that are tied already, as those within t of a common pivot are, are not
 compared with each other.  Nothing else is left out: the join is exact.
@@ -135,25 +136,25 @@ class Region:
             x, p = np.nonzero(link)
             self.tie(rows[x], chosen[p])
             home, close, copied = windows(d, self.threshold)
+            parts = []
             for q in range(k):
                 own = close & (home == q)
                 members = own | (copied[:, q] & (d[:, q] <= d[own, q].max(initial=-1) + self.threshold + _SLACK))
-                self.done["copies"] += int((members & ~own).sum())
-                self._next(todo, rows, members, d[:, q], depth)
-            self._next(todo, rows, ~close, None, depth)
+                parts.append((members, d[:, q]))
+            parts.append((~close, None))
+            work = lambda some: len(self.loose(some)) * len(some) if len(some) else 0
+            if sum(work(rows[m]) for m, _ in parts) > 0.75 * work(rows):
+                self.compare(rows, d[:, d.std(axis=0).argmax()])
+                continue
+            self.done["copies"] += sum(int(m.sum()) for m, _ in parts) - len(rows)
+            for members, near in parts:
+                part, near = rows[members], None if near is None else near[members]
+                if len(part) > LEAF:
+                    todo.append((part, near, depth + 1))
+                elif len(part) > 1:
+                    self.compare(part, near)
         return self.label
 
-    def _next(self, todo: list, rows: np.ndarray, members: np.ndarray, far: np.ndarray | None, depth: int) -> None:
-        """Go on with some of a region's rows, or compare them if they are few or are nearly all of it."""
-        n = int(members.sum())
-        if n < 2:
-            return
-        far = None if far is None else far[members]
-        if n <= LEAF or n > 0.9 * len(rows):
-            self.compare(rows[members], far)
-        else:
-            todo.append((rows[members], far, depth + 1))
-
 
 def region_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Number of each set's linked group: the least number in it."""

@@ -28,14 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: short lineage that survives lost executors."""
+def durable(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: short lineage that survives lost executors.
+
+    scratch: a list that learns the folder, for discard() when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables of durable() that no result reads."""
+    for name in scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part have about `limit` bytes."""
     if not batch.num_rows:

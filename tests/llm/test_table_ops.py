@@ -590,3 +590,34 @@ def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, sf_dir):
     assert same(steps["secrets"]) == same(steps["mixture"]) == expect(clean)
     assert all(r.n_chars == len(r.text) for r in steps["secrets"])
     assert sorted(r.decoded_sha256 for r in steps["tokens"]) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in clean)
+
+
+def test_pipeline_edges(spark, sf_dir):
+    """Empty tables stay empty in each stage; null sources, extra columns with the names of results and very long texts pass."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, lang_pred string, component_id bigint, spans string, taken bigint, n_tokens bigint, row bigint"
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
+    rnd = random.Random(13)
+    prose = lambda n: " ".join(rnd.choice("ein und der water stone bridge über".split()) + rnd.choice("abcdefgh") for _ in range(n))
+    rows = [(i, prose(40), lang, None, 9, "x", 1, "y", 2, 3, 4) for i, lang in enumerate(["en", "de"] * 5)] + [(77, prose(60_000), "en", None, 9, "x", 1, "y", 2, 3, 4)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        got = out.collect()
+        assert {r.doc_id for r in got} == {r[0] for r in rows}, name
+        if name != "tokens":
+            assert out.columns == corpus_pipeline.COLUMNS and all(r.source is None for r in got)
+            docs = spark.createDataFrame(got, out.schema).withColumns({c: F.lit(1) for c in ("lang_pred", "component_id", "spans", "taken", "n_tokens", "row")})
+
+
+def test_language_edges(spark):
+    """An empty table gives none, repeated rows repeat, and clashing columns are ignored."""
+    schema = "doc_id bigint, text string, lang string, lang_pred string, score int, held_out string"
+    docs = [(i, t, lang, "x", 1, "y") for i, (t, lang) in enumerate([("the and of house", "en"), ("das und von haus", "de")] * 8)]
+    df = spark.createDataFrame(docs + docs[:2], schema)
+    model = langid.fit_language_model(df)
+    out = Counter(map(tuple, langid.identify_languages(df, model).collect()))
+    assert sum(out.values()) == 18 and max(out.values()) == 2 and {r[2] for r in out} == {"en", "de"}
+    assert langid.identify_languages(df.where("false"), model).count() == 0

@@ -308,3 +308,10 @@ def test_page_table(spark, sf_dir):
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", " " if x == "<br>" else "", x)).split()) for x in re.split("</?(?:h1|p)>", inside.replace("<br>", " "))]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
     assert F is not None
+
+
+def test_page_edges(spark):
+    """An empty table gives none, repeated rows repeat, null urls stay."""
+    df = spark.createDataFrame([(1, None, "<article><p>Some words of text.</p></article>", 5)] * 2, "page_id int, url string, html string, n_chars int")
+    assert list(map(tuple, main_text.extract_main_text(df).collect())) == [(1, None, "Some words of text.", 19)] * 2
+    assert main_text.extract_main_text(df.where("false")).count() == 0
