@@ -4,21 +4,51 @@ from __future__ import annotations
 
 import html
 import os
+from collections.abc import Callable
 from string import Template
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InputError, one_of
+from ..operators.summaries import occurrence_curve
 
 PAGE = Template("<!DOCTYPE html><html><head><meta charset='utf-8'><title>$title</title><style>body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 6px}</style></head><body><h1>$title</h1>$body</body></html>\n")
-#: Sections in their order: table, heading, columns of a plot (x, y, group).
+#: Sections in their order: table and heading.
 SECTIONS = [
-    ("read_counts", "Read counts", None), ("base_calls", "Base calls", None), ("read_quality", "Read quality", ("quality", "density", "lane")), ("base_quality", "Base quality", None),
-    ("frequent_sequences", "Frequent sequences", None), ("sequence_distribution", "Occurrences of sequences", ("n_occurrences", "n_reads", "lane")), ("cycle_base_calls", "Base calls by cycle", ("cycle", "n", "base")),
-    ("cycle_quality", "Quality by cycle", None), ("tiles", "Tiles", None), ("align_quality", "Alignment quality", ("align_quality", "n", "lane")), ("multiple_alignment", "Multiple alignments", None),
-    ("depth", "Depth of coverage", ("coverage", "cumulative", "lane")), ("adapter_contamination", "Adapter contamination", None),
+    ("read_counts", "Read counts"), ("base_calls", "Base calls"), ("read_quality", "Read quality"), ("base_quality", "Base quality"), ("frequent_sequences", "Frequent sequences"),
+    ("sequence_distribution", "Occurrences of sequences"), ("cycle_base_calls", "Base calls by cycle"), ("cycle_quality", "Quality by cycle"), ("tiles", "Tiles"), ("align_quality", "Alignment quality"),
+    ("multiple_alignment", "Multiple alignments"), ("depth", "Depth of coverage"), ("adapter_contamination", "Adapter contamination"),
 ]
+
+
+def _by_cycle(df: DataFrame, by: str) -> DataFrame:
+    return df.groupBy(by, "cycle").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"))
+
+
+def _curve(df: DataFrame, by: str) -> DataFrame:
+    """Share of the reads that occur at most so often."""
+    kinds = [c for c in (by, "type") if c in df.columns]
+    curve = occurrence_curve(df, tuple(kinds))
+    return curve.withColumn(by, F.concat_ws(" ", *kinds))
+
+
+def _scored(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("score", F.ascii("quality"))
+
+
+#: Plots of a table: x, y, what the lines are for (by default the sources), and how the points come from the table.
+PLOTS: dict[str, list[tuple[str, str, str | None, Callable[[DataFrame, str], DataFrame] | None]]] = {
+    "read_quality": [("quality", "density", None, None)],
+    "base_quality": [("score", "n", None, _scored)],
+    "sequence_distribution": [("n_occurrences", "share", None, _curve)],
+    "cycle_base_calls": [("cycle", "n", "base", None)],
+    "cycle_quality": [("cycle", "mean", None, _by_cycle)],
+    "tiles": [("tile", "n_read", None, None), ("tile", "median_read", None, None)],
+    "align_quality": [("align_quality", "n", None, None)],
+    "multiple_alignment": [("n_match", "n", None, None)],
+    "depth": [("coverage", "count", None, None), ("coverage", "cumulative", None, None)],
+}
 #: Rows of a table on the page; the table's file has all.
 SHOWN = 50
 COLOURS = ["#1b6ca8", "#c1440e", "#4c8c4a", "#7b4f9d", "#b8860b", "#555555"]
@@ -58,15 +88,19 @@ def write_report(tables: dict[str, DataFrame], folder: str, title: str = "Qualit
         raise InputError(f"'{folder}' exists")
     os.makedirs(folder)
     parts = []
-    known = [s for s in SECTIONS if s[0] in tables] + [(n, n.replace("_", " ").capitalize(), None) for n in tables if n not in {s[0] for s in SECTIONS}]
-    for name, heading, plot in known:
+    known = [s for s in SECTIONS if s[0] in tables] + [(n, n.replace("_", " ").capitalize()) for n in tables if n not in dict(SECTIONS)]
+    for name, heading in known:
         df = tables[name]
         if tabular:
             # The table is computed once, and the page drawn from what was written.
             at = f"file://{os.path.abspath(folder)}/tables/{name}"
             df.write.parquet(at)
             df = df.sparkSession.read.parquet(at)
-        drawn = lines_svg(df, *plot) if plot and set(plot) <= set(df.columns) else ""
+        by = next((c for c in ("lane", "source", "file") if c in df.columns), None)
+        drawn = ""
+        for x, y, group, points in PLOTS.get(name, []) if by else []:
+            shown = points(df, by) if points else df
+            drawn += f"<p>{html.escape(y)} by {html.escape(x)}</p>{lines_svg(shown, x, y, group or by)}"
         parts.append(f"<h2>{html.escape(heading)}</h2>{drawn}{table_html(df)}")
     path = os.path.join(folder, "index.html")
     with open(path, "w", encoding="utf-8") as out:

@@ -71,6 +71,9 @@ def read_prb(spark: SparkSession, path: str | list[str], pattern: str | None = N
         return rows.select("file", "row_ix", cycles.alias("scores"))
     best = F.transform(cycles, lambda c: F.array_max(c))
     if kind == "integer":
+        least, most = rows.agg(F.min(F.size("f")), F.max(F.size("f"))).first()
+        if least != most:
+            raise InputError(f"records have from {least} to {most} cycles, but numbers need one width")
         return rows.select("file", "row_ix", best.alias("scores"))
     return rows.select("file", "row_ix", F.array_join(F.transform(best, lambda s: F.char(s + (64 if kind == "phred64" else 33))), "").alias("qual"))
 

@@ -17,7 +17,9 @@ def test_assess_and_report(spark, sf_dir, tmp_path):
     some = {k: out[k] for k in ("read_counts", "tiles")}
     page = write_report(some, str(tmp_path / "report"))
     text = open(page).read()
-    assert "Read counts" in text and "lane0" in text
+    assert "Read counts" in text and "lane0" in text and text.count("<svg") == 2
+    whole = open(write_report({k: out[k] for k in ("base_quality", "sequence_distribution", "cycle_quality", "cycle_base_calls", "depth")}, str(tmp_path / "whole"))).read()
+    assert whole.count("<svg") == 6 and "Not available" not in whole
     with pytest.raises(InputError):
         write_report(some, str(tmp_path / "report"))
     assert Q.bind(some, some)["read_counts"].count() == 8
