@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import warn
 from ..functions.quality import mean_quality, offset, quality_sum
-from ..functions.sequence import letter_frequency, letters
+from ..functions.sequence import letter_frequency, letters, other_count
 
 
 def letters_by_cycle(reads: DataFrame, column: str = "sread", alphabet: str | None = None, by: tuple[str, ...] = (), dense: bool = False) -> DataFrame:
@@ -144,6 +144,24 @@ def tile_counts(reads: DataFrame, kept: Column | None = None, aligned: Column |
     return reads.groupBy(*by, "tile").agg(F.count("*").alias("n_read"), some(kept).alias("n_filtered"), some(aligned).alias("n_aligned"), mid(every).alias("median_read"), mid(kept).alias("median_filtered"), mid(aligned).alias("median_aligned"))
 
 
+def dense_tiles(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """tile_counts() with a row for each tile from 1 to the largest of all; tiles without reads have counts of 0."""
+    most = counts.agg(F.max("tile").alias("most"))
+    groups = counts.select(*by).distinct().crossJoin(F.broadcast(most)) if by else most
+    tiles = groups.select(*by, F.explode(F.sequence(F.lit(1), F.col("most"))).alias("tile"))
+    return tiles.join(counts, [*by, "tile"], "left").fillna(0, ["n_read", "n_filtered", "n_aligned"])
+
+
+def tile_stats(reads: DataFrame, lane: str = "lane", tile: str = "tile") -> DataFrame:
+    """Reads and clean reads of each numbered lane and tile, and where they lie: three columns of a hundred tiles to a lane,
+    run through up and down."""
+    counts = reads.groupBy(F.col(lane).cast("int").alias("lane"), F.col(tile).cast("int").alias("tile")).agg(F.count("*").alias("n_reads"), F.count_if(other_count("sread") == 0).alias("n_clean"))
+    x, y = F.col("lane"), F.col("tile")
+    across = ((x - 1) * 3 + F.floor((y - 1) / 100) + 1).cast("int")
+    along = (1 + F.least(F.pmod(y - 1, F.lit(200)), F.pmod(200 - y, F.lit(200)))).cast("int")
+    return counts.select("lane", "tile", across.alias("slane"), along.alias("stile"), "n_reads", "n_clean")
+
+
 def value_counts(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """How often each value occurs, null included."""
     return df.groupBy(*by, column).agg(F.count("*").alias("n"))

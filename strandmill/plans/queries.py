@@ -151,6 +151,16 @@ query("read_proportions", "SELECT lane, \"read\", CAST(round(aligned / \"read\",
 query("count_reads", "SELECT lane, count(*) AS records, CAST(sum(length(sread)) AS bigint) AS nucleotides, CAST(sum(length(qual)) AS bigint) AS scores FROM reads GROUP BY 1")(lambda r: A.count_reads(r, "lane"))
 query("quality_density")(lambda r: A.quality_density(r, by=("lane",)))
 
+query(
+    "dense_tiles",
+    """, c AS (SELECT lane, tile, count(*) AS n_read, count(position) AS n_aligned FROM reads WHERE tile <> 3 GROUP BY 1, 2), g AS (SELECT lane, t AS tile FROM (SELECT DISTINCT lane FROM c), (SELECT CAST(unnest(range(1, 9)) AS int) AS t))
+ SELECT lane, tile, coalesce(n_read, 0) AS n_read, coalesce(n_aligned, 0) AS n_aligned FROM g LEFT JOIN c USING (lane, tile)""",
+)(lambda r: A.dense_tiles(A.tile_counts(r.where("tile <> 3"), aligned=F.col("position").isNotNull(), by=("lane",)), ("lane",)).select("lane", "tile", "n_read", "n_aligned"))
+query(
+    "tile_stats",
+    """, n AS (SELECT CAST(right(lane, 1) AS int) + 1 AS lane, CAST(tile * 37 AS int) AS tile, sread FROM reads)
+ SELECT lane, tile, CAST((lane - 1) * 3 + floor((tile - 1) / 100) + 1 AS int) AS slane, CAST(1 + least((tile - 1) % 200, (400 - tile) % 200) AS int) AS stile, count(*) AS n_reads, count(*) FILTER (sread NOT LIKE '%N%') AS n_clean FROM n GROUP BY 1, 2""",
+)(lambda r: A.tile_stats(r.select((F.substring("lane", -1, 1).cast("int") + 1).alias("lane"), (F.col("tile") * 37).alias("tile"), "sread")))
 query("tile_geometry", "SELECT row_ix, CAST((tile - 1) % 50 + 1 AS int) AS \"row\", CAST(floor((tile - 1) / 50) + 1 AS int) AS \"column\" FROM reads")(lambda r: r.select("row_ix", *[c.alias(n) for c, n in zip(A.tile_geometry(F.col("tile"), 100), ("row", "column"))]))
 
 query("srorder", "SELECT row_ix, row_number() OVER (ORDER BY sread, row_ix) AS place FROM reads")(lambda r: O.read_order(r).select("row_ix", "place"))

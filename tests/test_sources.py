@@ -44,6 +44,8 @@ def test_fastq(spark, tmp_path):
     counts = {r.file.rsplit("/", 1)[1]: tuple(r)[1:] for r in fastq.count_fastq(spark, [a, b]).collect()}
     assert counts == {"a.fastq": (300, 2100, 2100), "b.fastq.gz": (5, 35, 35)}
     assert {r.file: r.lines for r in files.count_lines(spark, [a, b]).collect()} == {"a.fastq": 1200, "b.fastq.gz": 20}
+    ends = [write(tmp_path / f"l{i}", t) for i, t in enumerate(["a\nbb", "a\nbb\n", "é\n\nx", "\n"])]
+    assert {r.file: r.lines for r in files.count_lines(spark, ends).collect()} == {"l0": 1, "l1": 2, "l2": 2, "l3": 1}
     assert fastq.read_fastq(spark, a, keep=width_filter(8)).count() == 0
     assert fastq.read_with_encoding(spark, b)[1] == "phred33"
     assert fastq.FastqFile(a).count(spark).first().records == 300 and fastq.FastqFileList(a, b).read(spark).count() == 305
