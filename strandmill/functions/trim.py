@@ -149,15 +149,29 @@ def allowed_mismatches(allowed, n: int) -> list[int]:
     return ([-1] * (n - len(given)) + given)[-n:]
 
 
-def adapter_bounds(c, left: str = "", right: str = "", left_allowed=0, right_allowed=0, left_fixed: bool = True, right_fixed: bool = True) -> tuple[Column, Column]:
+def adapter_bounds(c, left: str = "", right: str = "", left_allowed=0, right_allowed=0, left_fixed: bool = True, right_fixed: bool = True, left_indels: bool = False, right_indels: bool = False) -> tuple[Column, Column]:
     """First and last place kept when the longest matching end of `left` is cut from the start, and beginning of `right`
-    from the end.  Where a side is not fixed, ambiguity letters match what they may stand for."""
+    from the end.  Where a side is not fixed, ambiguity letters match what they may stand for; where it has indels, what is
+    allowed are edits between the adapter's part and the read's beginning or end."""
     c = F.col(c) if isinstance(c, str) else c
-    start = 1 + _overlap(left, allowed_mismatches(left_allowed, len(left)), True, left_fixed)(c) if left else F.lit(1)
-    end = F.length(c) - _overlap(right, allowed_mismatches(right_allowed, len(right)), False, right_fixed)(c) if right else F.length(c)
+    start = 1 + _overlap(left, allowed_mismatches(left_allowed, len(left)), True, left_fixed, left_indels)(c) if left else F.lit(1)
+    end = F.length(c) - _overlap(right, allowed_mismatches(right_allowed, len(right)), False, right_fixed, right_indels)(c) if right else F.length(c)
     return start, end
 
 
+def _edits(x: np.ndarray, size: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Least number of edits between a pattern and any beginning of each read; differ[k] tells where its k-th letter
+    differs from the letters of the reads (rows of x)."""
+    row = np.tile(np.arange(x.shape[1] + 1), (len(x), 1))
+    for k, other in enumerate(differ, 1):
+        now = np.empty_like(row)
+        now[:, 0] = k
+        for i in range(1, row.shape[1]):
+            now[:, i] = np.minimum(np.minimum(now[:, i - 1], row[:, i]) + 1, row[:, i - 1] + other[:, i - 1])
+        row = now
+    return np.where(np.arange(row.shape[1])[None, :] <= size[:, None], row, len(differ) + x.shape[1] + 1).min(axis=1)
+
+
 def _possible() -> np.ndarray:
     """For each character the bits of the bases that it may stand for; none for other characters, which match nothing."""
     bits = np.zeros(256, dtype=np.int64)
@@ -166,8 +180,9 @@ def _possible() -> np.ndarray:
     return bits
 
 
-def _overlap(pattern: str, allowed: list[int], at_start: bool, fixed: bool = True):
+def _overlap(pattern: str, allowed: list[int], at_start: bool, fixed: bool = True, indels: bool = False):
     n = len(pattern)
+    reach = n + max(allowed) if indels else n
     code = np.frombuffer(pattern.encode(), dtype=np.uint8)
     possible = _possible()
 
@@ -176,19 +191,26 @@ def _overlap(pattern: str, allowed: list[int], at_start: bool, fixed: bool = Tru
         for reads in batches:
             text = reads.fillna("")
             size = text.str.len().to_numpy(dtype=int)
-            edge = [(s[:n].ljust(n, "\0") if at_start else s[-n:].rjust(n, "\0")).encode("ascii", "replace") for s in text]
-            x = np.frombuffer(b"".join(edge), dtype=np.uint8).reshape(len(edge), n)
+            edge = [(s[:reach].ljust(reach, "\0") if at_start else s[-reach:].rjust(reach, "\0")).encode("ascii", "replace") for s in text]
+            x = np.frombuffer(b"".join(edge), dtype=np.uint8).reshape(len(edge), reach)
             best = np.zeros(len(edge), dtype=np.int32)
+            unlike = (lambda part, own: part != own) if fixed else (lambda part, own: (possible[part] & possible[own]) == 0)
             for j in range(1, n + 1):
-                part, own = (x[:, :j], code[n - j :]) if at_start else (x[:, n - j :], code[:j])
-                misses = part != own if fixed else (possible[part] & possible[own]) == 0
-                best[(misses.sum(axis=1) <= allowed[j - 1]) & (size >= j)] = j
+                own = code[n - j :] if at_start else code[:j]
+                if indels and allowed[j - 1] >= 0:
+                    # From the read's edge inwards: the end of a read is compared backwards.
+                    part, letters = (x, own) if at_start else (x[:, ::-1], own[::-1])
+                    near = _edits(part[:, : j + allowed[j - 1]], size, np.array([unlike(part[:, : j + allowed[j - 1]], c) for c in letters])) <= allowed[j - 1]
+                    best[near] = np.minimum(j, size[near])
+                elif not indels:
+                    misses = unlike(x[:, :j] if at_start else x[:, n - j :], own)
+                    best[(misses.sum(axis=1) <= allowed[j - 1]) & (size >= j)] = j
             yield pd.Series(best).where(reads.notna().to_numpy())
 
     return overlap
 
 
-def trim_adapters(reads: DataFrame, left: str = "", right: str = "", left_allowed=0, right_allowed=0, as_ranges: bool = False, left_fixed: bool = True, right_fixed: bool = True) -> DataFrame:
-    """Remove adapters from the ends of reads; emptied reads stay."""
-    start, end = adapter_bounds("sread", left, right, left_allowed, right_allowed, left_fixed, right_fixed)
+def trim_adapters(reads: DataFrame, left: str = "", right: str = "", left_allowed=0, right_allowed=0, as_ranges: bool = False, **options) -> DataFrame:
+    """Remove adapters from the ends of reads; emptied reads stay.  Options are those of adapter_bounds()."""
+    start, end = adapter_bounds("sread", left, right, left_allowed, right_allowed, **options)
     return ranges(reads, start, end) if as_ranges else cut(reads, start, end, drop_empty=False)

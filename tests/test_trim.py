@@ -88,3 +88,25 @@ def test_ambiguous_adapters(spark):
     assert got == {1: (4, 7), 2: (4, 7), 3: (1, 4), 4: (1, 0)}
     got = {r.row_ix: (r.start, r.end) for r in T.trim_adapters(df, "ANG", "GAC", as_ranges=True).collect()}
     assert got == {1: (1, 7), 2: (1, 7), 3: (1, 7), 4: (1, 0)}
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_adapters_with_indels(spark):
+    rnd = random.Random(3)
+    reads = ["".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 14))) for _ in range(60)] + ["ACGTTTTTT", "ACTTTTTT", "AACGTTTTT", "TTTTGGC", "TTTTGC"]
+    df = table(spark, ["I" * len(s) for s in reads], reads)
+    left, right, allowed = "GACG", "GGCA", [0, 1, 1, 2]
+    got = {r.row_ix: (r.start, r.end) for r in T.trim_adapters(df, left, right, allowed, allowed, as_ranges=True, left_indels=True, right_indels=True).collect()}
+    for i, s in enumerate(reads):
+        head = max([j for j in range(1, 5) if min(plain_edits(left[4 - j :], s[:k]) for k in range(len(s) + 1)) <= allowed[j - 1]], default=0)
+        tail = max([j for j in range(1, 5) if min(plain_edits(right[:j], s[len(s) - k :]) for k in range(len(s) + 1)) <= allowed[j - 1]], default=0)
+        assert got[i] == (1 + min(head, len(s)), len(s) - min(tail, len(s))), s
