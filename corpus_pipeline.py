@@ -16,7 +16,7 @@ from strandmill.llm.jaccard import jaccard_components
 from strandmill.llm.langid import fit_language_model, identify_languages
 from strandmill.llm.mixing import mix_sources
 from strandmill.llm.registry import tokenizer_path, tokenizer_pattern
-from strandmill.llm.shared import durable, table
+from strandmill.llm.shared import discard, durable, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,8 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents.  A stage's table is deleted when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        written: list[str] = []
+        docs = durable(stage(spark, docs, sf_dir), written)
+        discard(spark, before)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -160,14 +160,16 @@ def learning_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str
     """Rows (lang, text, rank): of each language at most per_language different labelled rows that are not held out.
 
     The number of a language's different rows tells below which hash about twice as many lie; only these move and are
-    ranked, so neither a frequent language nor an often repeated row makes a large task.
+    ranked, so neither a frequent language nor an often repeated row makes a large task.  There is one such number for
+    each language, as there are machines for each pair of them, so these are broadcast.
     """
+    spark = docs.sparkSession
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     named = named.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
-    sizes = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("many"))
+    sizes = [tuple(r) for r in named.groupBy("lang").agg(F.approx_count_distinct("h").alias("many")).collect()]
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.greatest("many", F.lit(1)))
     # Shifted by 11 bits a hash is a whole number below 2**53, which a double holds exactly.
-    few = named.join(sizes, "lang").where(F.shiftrightunsigned("h", 11) < share * float(1 << 53))
+    few = named.join(F.broadcast(spark.createDataFrame(sizes, "lang string, many bigint")), "lang").where(F.shiftrightunsigned("h", 11) < share * float(1 << 53))
     few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language).select("lang", "text", "rank")
 
