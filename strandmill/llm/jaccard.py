@@ -62,21 +62,24 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def frequent() -> pa.RecordBatch:
-            keys, freq = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            keys, freq = keys[freq >= OFTEN], freq[freq >= OFTEN]
+            low = np.concatenate(held) if held else np.empty(0, np.uint64)
+            held.clear()
+            low.sort()
+            # Only what occurs again is counted: nearly all shingles occur once.
+            keys, again = np.unique(low[1:][low[1:] == low[:-1]], return_counts=True)
+            keys, freq = keys[again + 1 >= OFTEN], again[again + 1 >= OFTEN] + 1
             none = lambda t: pa.nulls(len(keys), t)
             return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(keys.view(np.int64)), pa.array(freq, pa.int64())], ["id", "n", "digest", "key", "freq"])
 
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
-                held += [s[: np.searchsorted(s, LOW)] for s in sets]
+                held += [s[: np.searchsorted(s, LOW)].copy() for s in sets]
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["id", "n", "digest", "key", "freq"])
                 if sum(map(len, held)) > WINDOW:
                     yield frequent()
-                    held = []
         yield frequent()
 
     return docs.mapInArrow(run, "id bigint, n bigint, digest binary, key bigint, freq bigint")

@@ -74,10 +74,10 @@ def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int =
     """Weights and bias of a linear machine: accelerated gradient steps on squared hinge loss, both classes weighing the same."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    rate = 1 / (2 * float((share * ((x * x).sum(axis=1) + 1)).sum()) + strength)
+    rate = 1 / (2 * float((share * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + strength)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) * y * share
-        step = np.append(2 * (slack @ x), 2 * slack.sum()) - strength * np.append(v[:-1], 0)
+        slack = np.maximum(0, 1 - y * (x @ v[:-1].astype(x.dtype) + v[-1])) * y * share
+        step = np.append(2 * (slack.astype(x.dtype) @ x), 2 * slack.sum()) - strength * np.append(v[:-1], 0)
         new = v + rate * step
         v = new + k / (k + 3) * (new - w)
         w = new
@@ -86,10 +86,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int =
 
 def fit_machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """fit_svm() on features scaled to like spread; the weights are for features as they are."""
-    x = x.astype(np.float64)
     scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4) / np.sqrt(x.shape[1])
-    x *= scale
-    w, bias = fit_svm(x, y)
+    w, bias = fit_svm(x * scale.astype(np.float32), y)
     return w * scale, bias
 
 
