@@ -107,7 +107,7 @@ query(
 query(
     "trim_ends_letters",
     """SELECT row_ix, CASE WHEN regexp_matches(sread, '[CGT]') THEN CAST(1 + length(sread) - length(regexp_replace(sread, '^[AN]+', '')) AS int) ELSE 1 END AS start,
- length(regexp_replace(sread, '[AN]+$', '')) AS "end" FROM reads""",
+ CAST(length(regexp_replace(sread, '[AN]+$', '')) AS int) AS "end" FROM reads""",
 )(lambda r: T.trim_ends(r, "AN", relation="==", by="sread", as_ranges=True).drop("width"))
 
 
