@@ -122,6 +122,12 @@ class PrefixCounter:
             counts = self.piece(u.encode())[1:]
         else:
             counts = self.mixed(u)
+        if len(counts) < 32:  # at most 4 tokens a point, so no step is too large for a byte
+            short, before = bytearray(), 0
+            for x in counts:
+                short.append((x - before) & 255)
+                before = x
+            return before, bytes(short)
         steps = [b - a for a, b in zip([0, *counts], counts)]
         small = min(steps) > -128 and max(steps) < 128
         return counts[-1], bytes([x & 255 for x in steps]) if small else packed(np.array(steps))
@@ -209,9 +215,10 @@ def steps_of(packed_steps: bytes) -> np.ndarray:
 
 
 def _joined(parts: list[bytes]) -> bytes:
-    if any(p[:1] == _WIDE for p in parts):
+    whole = b"".join(parts)
+    if _WIDE in whole and any(p[:1] == _WIDE for p in parts):
         return packed(np.concatenate([steps_of(p).astype(np.int64) for p in parts]))
-    return b"".join(parts)
+    return whole
 
 
 @lru_cache(maxsize=2)
