@@ -17,9 +17,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased, split at ASCII white space), and the number of words of each text."""
-    raw = [t.encode().translate(_LOWER) for t in texts]
+    raw = [t.encode().translate(_LOWER) if lower else t.encode() for t in texts]
     b = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
     inside = ~_SPACE[b]
     at = np.flatnonzero(inside)
