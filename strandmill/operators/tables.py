@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..errors import ArgumentMismatch, IncompatibleTypes, ValidityError
 from ..schema import labels_of
@@ -35,13 +40,18 @@ def zip_rows(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("file",
     return left.join(right, list(keys))
 
 
+def _numbers(df: DataFrame, values: list[int]) -> DataFrame:
+    """Row numbers as a table, so that a plan does not grow with them; Spark broadcasts it if it is small."""
+    return df.sparkSession.createDataFrame(pa.table({"row_ix": pa.array(sorted(set(values)), pa.int64())}))
+
+
 def rows_at(df: DataFrame, places: list[int]) -> DataFrame:
-    """Rows by their row_ix; negative numbers leave rows out."""
+    """Rows by their row_ix, any number of them; negative numbers leave rows out."""
     if any(p < 0 for p in places):
         if any(p > 0 for p in places):
             raise ArgumentMismatch("places are all positive or all negative")
-        return df.where(~F.col("row_ix").isin([-p for p in places]))
-    return df.where(F.col("row_ix").isin(places))
+        return df.join(_numbers(df, [-p for p in places]), "row_ix", "left_anti").select(*df.columns)
+    return df.join(_numbers(df, places), "row_ix", "left_semi").select(*df.columns)
 
 
 def replace_rows(df: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,16 +62,32 @@ def replace_rows(df: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def record_ranges(df: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Rows whose row_ix lies in one of several rising ranges, with the range's number as `batch`."""
-    for (_, end), (start, _) in zip(ranges, ranges[1:]):
-        if start <= end:
-            raise ArgumentMismatch("ranges must rise and not overlap")
-    if any(e < s for s, e in ranges):
+    """Rows whose row_ix lies in one of several rising ranges, with the range's number as `batch`.
+
+    Any number of ranges: they go out once, as two sorted arrays (16 bytes a range), and rows are searched for in them
+    where they are; the least and the largest number are pushed down.
+    """
+    at = np.array(ranges, dtype=np.int64).reshape(-1, 2)
+    if (at[1:, 0] <= at[:-1, 1]).any():
+        raise ArgumentMismatch("ranges must rise and not overlap")
+    if (at[:, 1] < at[:, 0]).any():
         raise ArgumentMismatch("ranges must not be empty")
-    batch = F.lit(None).cast("int")
-    for i, (s, e) in enumerate(ranges):
-        batch = F.when(F.col("row_ix").between(s, e), i + 1).otherwise(batch)
-    return df.withColumn("batch", batch).where("batch is not null")
+    if not len(at):
+        return df.withColumn("batch", F.lit(None).cast("int")).where("false")
+    shared = df.sparkSession.sparkContext.broadcast((at[:, 0].copy(), at[:, 1].copy()))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last = shared.value
+        for batch in batches:
+            row = batch.column("row_ix").to_numpy(zero_copy_only=False)
+            k = np.searchsorted(first, row, side="right") - 1
+            inside = (k >= 0) & (row <= last[np.maximum(k, 0)])
+            rows = batch.append_column("batch", pa.array(k + 1, pa.int32())).filter(pa.array(inside))
+            if rows.num_rows:
+                yield rows
+
+    near = df.where(F.col("row_ix").between(int(at[0, 0]), int(at[-1, 1])))
+    return near.mapInArrow(find, StructType([*df.schema.fields, StructField("batch", IntegerType())]))
 
 
 def batches(df: DataFrame, n: int = 1_000_000) -> DataFrame:

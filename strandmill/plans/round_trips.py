@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,21 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..operators import filters as D
+from ..operators import intervals as I
+from ..operators import order as O
+from ..operators import tables as X
 from ..sources import alignments, delimited, fasta, fastq, files, sinks
-from .surrogate import READS, reads
+from ..sources.files import scratch_folder
+from .surrogate import RANGES, READS, ranges, reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new name in the folder that driver and executors share; on one machine without one, in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/reads-{uuid.uuid4().hex}"
-
-
 def written(r: DataFrame, line: Column, compress: bool = False) -> str:
     """A folder of text files of the reads' lines."""
     folder = scratch_folder(r.sparkSession)
@@ -135,3 +129,74 @@ def assessed_files(r: DataFrame) -> DataFrame:
     out = assess_files(r.sparkSession, written(r, sinks.fastq_record()), sample=None)
     reads_, bases = out["read_counts"].agg(F.sum("read").alias("read")), out["base_calls"].agg(F.sum("A").cast("bigint").alias("A"))
     return reads_.crossJoin(F.broadcast(bases))
+
+
+#: Reads in three folders, numbered on from folder to folder.
+_MANY = ", many AS (SELECT *, row_number() OVER (ORDER BY row_ix % 3, row_ix) AS place FROM reads)"
+
+
+def folders(r: DataFrame, line: Column, compress: bool = False) -> list[str]:
+    """Three folders, each with a third of the reads in several files."""
+    return [written(r.where(F.col("row_ix") % 3 == k), line, compress) for k in range(3)]
+
+
+def many_files(r: DataFrame) -> DataFrame:
+    """The reads of three folders, the second of which is compressed."""
+    paths = [written(r.where(F.col("row_ix") % 3 == k), sinks.fastq_record(), k == 1) for k in range(3)]
+    return fastq.read_fastq(r.sparkSession, [f for p in paths for f in files.file_names(p, "^part-")])
+
+
+def many_alignments(r: DataFrame) -> DataFrame:
+    line = _tabs(F.col("id"), F.coalesce("strand", F.lit("+")), F.coalesce("chromosome", F.lit("none")), F.coalesce(F.col("position"), F.lit(0)) - 1, F.col("sread"), F.col("qual"), F.lit(0), F.lit(""))
+    paths = folders(r, line)
+    return alignments.read_aligned(r.sparkSession, [f for p in paths for f in files.file_names(p, "^part-")], kind="bowtie")
+
+
+@_query("multi_numbers", f"{_MANY} SELECT place AS row_ix, id, sread FROM many")
+def multi_numbers(r: DataFrame) -> DataFrame:
+    return many_files(r).select("row_ix", "id", "sread")
+
+
+@_query("multi_occurrence", f"{_MANY}, n AS (SELECT *, row_number() OVER (PARTITION BY sread ORDER BY place) AS k FROM many) SELECT place AS row_ix, id FROM n WHERE k <= 2")
+def multi_occurrence(r: DataFrame) -> DataFrame:
+    return D.occurrence_filter(1, 2, None)(many_files(r)).select("row_ix", "id")
+
+
+@_query("multi_occurrence_tail", f"{_MANY}, n AS (SELECT *, row_number() OVER (PARTITION BY sread ORDER BY place DESC) AS k FROM many) SELECT place AS row_ix, id FROM n WHERE k <= 2")
+def multi_occurrence_tail(r: DataFrame) -> DataFrame:
+    return D.occurrence_filter(1, 2, None, "tail")(many_files(r)).select("row_ix", "id")
+
+
+@_query("multi_duplicated", f"{_MANY} SELECT place AS row_ix, id, place > min(place) OVER (PARTITION BY sread) AS duplicated FROM many")
+def multi_duplicated(r: DataFrame) -> DataFrame:
+    return O.duplicated(many_files(r)).select("row_ix", "id", "duplicated")
+
+
+@_query("multi_order", f"{_MANY} SELECT id, row_number() OVER (ORDER BY encode(sread), place) AS place, rank() OVER (ORDER BY encode(sread)) AS \"rank\" FROM many")
+def multi_order(r: DataFrame) -> DataFrame:
+    rows = many_files(r)
+    return O.read_order(rows).select("id", "place").join(O.read_rank(rows).select("id", "rank"), "id")
+
+
+@_query("multi_overlaps", f"""{_MANY}, {RANGES} SELECT place AS row_ix, id, EXISTS (SELECT 1 FROM spans AS s WHERE s.chromosome = many.chromosome
+    AND s.start <= coalesce(position, 0) + length(sread) - 1 AND s."end" >= coalesce(position, 0)) AS overlaps FROM many""")
+def multi_overlaps(r: DataFrame) -> DataFrame:
+    return I.overlaps_any(many_alignments(r), ranges(r.sparkSession)).select("row_ix", "id", "overlaps")
+
+
+@_query("multi_ranges", f"{_MANY} SELECT id, CAST((place - 1) // 10 AS int) + 1 AS batch FROM many WHERE (place - 1) % 10 < 7")
+def multi_ranges(r: DataFrame) -> DataFrame:
+    """Seven of each ten records, as so many ranges."""
+    n = r.count()
+    return X.record_ranges(many_files(r), [(k, k + 6) for k in range(1, n + 1, 10)]).select("id", "batch")
+
+
+@_query("multi_sample", f"{_MANY} SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS numbers, least(count(*), 1000) AS ids FROM many")
+def multi_sample(r: DataFrame) -> DataFrame:
+    return X.exact_sample(many_files(r), 1000).agg(F.count("*").alias("n"), F.countDistinct("row_ix").alias("numbers"), F.countDistinct("id").alias("ids"))
+
+
+@_query("multi_fasta", f"{_MANY} SELECT place AS row_ix, id, sread FROM many")
+def multi_fasta(r: DataFrame) -> DataFrame:
+    paths = folders(r, sinks.fasta_record())
+    return fasta.read_fasta(r.sparkSession, [f for p in paths for f in files.file_names(p, "^part-")]).select("row_ix", "id", "sread")

@@ -35,7 +35,7 @@ def signed(c: Column) -> Column:
 
 
 def _checked(rows: DataFrame, n: int) -> DataFrame:
-    wrong = F.concat(F.lit("wrong number of fields in "), "file", F.lit(", line "), F.col("row_ix").cast("string"))
+    wrong = F.concat(F.lit("wrong number of fields in "), "file", F.lit(", line "), F.col("line_no").cast("string"))
     return rows.withColumn("f", F.when(F.size("f") == n, F.col("f")).otherwise(F.raise_error(wrong)))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch, InputError, ValidityError
-from .files import file_names
+from .files import file_names, renumbered
 
 #: Fixed values of the map format: its number, bytes for names, and read widths of the long and the short form.
 MAP_FORMAT, MAP_NAME, MAP_WIDTHS = -1, 36, {False: 128, True: 64}
@@ -126,10 +126,10 @@ def read_cif(spark: SparkSession, folder: str, lane: int, cycles: list[int], til
     from .delimited import field, fields
 
     spots = fields(spark, file_names([f"{folder}/s_{lane}_{t:04d}_pos.txt" for t in tiles]), "")
-    spots = spots.select(F.regexp_extract("file", r"s_\d+_(\d+)_pos", 1).cast("int").alias("tile"), "row_ix", field(1, "double").alias("x"), field(2, "double").alias("y"))
+    spots = spots.select(F.regexp_extract("file", r"s_\d+_(\d+)_pos", 1).cast("int").alias("tile"), F.col("line_no").alias("row_ix"), field(1, "double").alias("x"), field(2, "double").alias("y"))
     out = spots.join(read(".cif", "intensity"), ["tile", "row_ix"])
     out = out.join(read(".cnf", "error"), ["tile", "row_ix"]) if with_errors else out
-    return out.withColumn("lane", F.lit(lane))
+    return renumbered(out, "tile").withColumn("lane", F.lit(lane))
 
 
 def read_ipar(spark: SparkSession, folder: str, pattern: str = "", intensity_ext: str = r"_int\.txt\.p(\.gz)?$", error_ext: str = r"_nse\.txt\.p(\.gz)?$", position_ext: str = r"_pos\.txt$", with_errors: bool = True) -> DataFrame:
@@ -160,13 +160,13 @@ def read_ipar(spark: SparkSession, folder: str, pattern: str = "", intensity_ext
 
     spots = fields(spark, file_names(folder, pattern + ".*" + position_ext), "")
     stem = F.regexp_extract("file", r"(s_\d+_\d+)", 1)
-    spots = spots.select(stem.alias("stem"), "row_ix", field(1, "double").alias("x"), field(2, "double").alias("y"))
+    spots = spots.select(stem.alias("stem"), F.col("line_no").alias("row_ix"), field(1, "double").alias("x"), field(2, "double").alias("y"))
     out = read(intensity_ext, "intensity")
     if with_errors:
         out = out.join(read(error_ext, "error"), ["stem", "row_ix"], "full")
         if out.where("intensity is null or error is null or size(intensity) <> size(error)").limit(1).count():
             raise ValidityError("intensities and errors differ in their reads or cycles")
-    out = out.join(spots, ["stem", "row_ix"], "left")
+    out = renumbered(out.join(spots, ["stem", "row_ix"], "left"), "stem")
     return out.withColumns({"lane": F.regexp_extract("stem", r"s_(\d+)_", 1).cast("int"), "tile": F.regexp_extract("stem", r"s_\d+_(\d+)", 1).cast("int")}).drop("stem")
 
 

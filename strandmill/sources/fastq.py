@@ -22,14 +22,15 @@ _FIELDS = "file string, row_ix bigint, part int, id string, sread string, plus s
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None = None, with_ids: bool = True, keep=None, names: bool = True) -> DataFrame:
-    """Reads (file, row_ix, id, sread, qual) of all matching files; row_ix counts from 1 in each file.
+    """Reads (file, row_ix, id, sread, qual) of all matching files; row_ix counts from 1 over all of them, in
+    the order of the paths given.
 
     The third line is ignored; dots in sequences become dashes, letters are raised.  A file whose last record is not
-    whole, or an empty id line, is an error.  keep: a filter that is applied to the reads.
+    whole, an empty id line, or a sequence and qualities of different widths are errors.  keep: a filter that is applied to the reads.
     """
     files = file_names(path, pattern) if names else path
     lines = located_lines(spark, files)
-    places = Places(lines)
+    places = Places(lines, files)
     for file, n in places.totals().items():
         if n % 4:
             raise InputError(f"unexpected number of lines in file '{file}'")
@@ -63,7 +64,9 @@ def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None =
     reads = whole.select(*cols).unionByName(edges.select(*cols))
     checked = F.when(F.length(F.rtrim("id")) == 0, F.raise_error(F.concat(F.lit("unexpected empty line in file "), "file"))).otherwise(F.substring(F.rtrim("id"), 2, 1 << 30))
     tidy = lambda c: F.regexp_replace(c, "[\\r\\s]+$", "")
-    out = reads.select("file", "row_ix", (checked if with_ids else F.lit("")).alias("id"), F.translate(F.upper(tidy("sread")), ".", "-").alias("sread"), tidy("qual").alias("qual"))
+    wide = F.concat(F.lit("sequence and quality differ in width in file "), "file", F.lit(", record "), F.col("row_ix").cast("string"))
+    qual = F.when(F.length(tidy("qual")) != F.length(tidy("sread")), F.raise_error(wide)).otherwise(tidy("qual"))
+    out = reads.select("file", "row_ix", (checked if with_ids else F.lit("")).alias("id"), F.translate(F.upper(tidy("sread")), ".", "-").alias("sread"), qual.alias("qual"))
     return keep(out) if keep else out
 
 

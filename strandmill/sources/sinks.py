@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import os
-import shutil
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch, InputError, one_of, warn
 from .fastq import read_fastq
-from .files import is_local
+from .files import discard, is_local, scratch_folder
 
 
 def fastq_record(full: bool = False) -> Column:
@@ -26,30 +24,41 @@ def fasta_record() -> Column:
 
 
 def write_records(reads: DataFrame, folder: str, record: Column, compress: bool = True) -> None:
-    """A folder of text files, each in the order of file and row, in parallel."""
-    out = reads.repartitionByRange("file", "row_ix") if "file" in reads.columns else reads.repartitionByRange("row_ix")
-    keys = [c for c in ("file", "row_ix") if c in reads.columns]
-    out.sortWithinPartitions(*keys).select(record.alias("value")).write.option("compression", "gzip" if compress else "none").text(folder)
+    """A folder of text files in the order of row_ix, in parallel."""
+    out = reads.repartitionByRange("row_ix").sortWithinPartitions("row_ix")
+    out.select(record.alias("value")).write.option("compression", "gzip" if compress else "none").text(folder)
 
 
 def _one_file(reads: DataFrame, path: str, record: Column, mode: str, compress: bool) -> int:
-    """Tasks write parts beside the file; their bytes are then joined in order, as text or as members of a gzip file."""
+    """Tasks write parts to the folder that they share with the driver, which joins their bytes in order, as text or as
+    members of a gzip file.  The records of all parts are counted as they are written."""
     one_of(mode, ("w", "a"), "mode")
     if not is_local(path):
         raise InputError(f"one file can be written to a local path only; use write_records() for '{path}'")
     if mode == "w" and os.path.exists(path):
         raise InputError(f"file '{path}' exists; use mode 'a' to append")
-    parts = f"{os.path.abspath(path)}.{uuid.uuid4().hex}.parts"
+    spark, parts = reads.sparkSession, scratch_folder(reads.sparkSession)
+    seen = Observation()
+    out = reads.repartitionByRange("row_ix").sortWithinPartitions("row_ix").select(record.alias("value")).observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
     try:
-        write_records(reads, parts, record, compress)
-        names = sorted(f for f in os.listdir(parts) if f.startswith("part-"))
-        with open(path, mode + "b") as out:
-            for name in names:
-                with open(os.path.join(parts, name), "rb") as part:
-                    shutil.copyfileobj(part, out, 1 << 20)
+        out.write.option("compression", "gzip" if compress else "none").text(parts)
+        hadoop = spark._jvm.org.apache.hadoop
+        where, conf = hadoop.fs.Path(parts), spark._jsc.hadoopConfiguration()
+        system = where.getFileSystem(conf)
+        names = sorted((f.getPath().getName(), f.getLen()) for f in system.listStatus(where) if f.getPath().getName().startswith("part-"))
+        if not compress and sum(n for _, n in names) != seen.get["bytes"]:
+            raise InputError(f"parts of '{path}' are missing from '{parts}'; do driver and executors share it?")
+        sink = spark._jvm.java.io.FileOutputStream(os.path.abspath(path), mode == "a")
+        try:
+            for name, _ in names:
+                source = system.open(hadoop.fs.Path(where, name))
+                hadoop.io.IOUtils.copyBytes(source, sink, 1 << 20, False)
+                source.close()
+        finally:
+            sink.close()
     finally:
-        shutil.rmtree(parts, ignore_errors=True)
-    return reads.count()
+        discard(spark, [parts])
+    return seen.get["n"]
 
 
 def write_fastq(reads: DataFrame, path: str, mode: str = "w", full: bool = False, compress: bool = True) -> int:
