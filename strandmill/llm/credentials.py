@@ -1,10 +1,11 @@
 """Secrets in texts: patterns that stand alone, and parts of a credential that count only together.
 
-Three kinds are reported wherever they occur (assign, access, hex).  Further parts are weak: an access identifier that is
-short or of a kind that does not count by itself, a mixed token of the shape that signing keys have, an endpoint.  Within a scope (a paragraph, bounded by empty lines) each
-weak part is widened to an interval and joined with the intervals of complementary parts, strong or weak; it is
-reported, as kind:start:end, only if they meet.  Both sides are sorted and searched, so a scope with many parts takes
-little more than linear time and no list of pairs.
+Three kinds are reported wherever they occur (assign, access, hex).  Further parts are weak: an access identifier that is short or of a kind that does not
+count by itself, a mixed token of the shape that signing keys have, an endpoint.  Within a scope (a paragraph, bounded by
+empty lines) each weak part is widened to an interval and joined with the intervals of complementary parts, strong or weak;
+it is reported, as kind:start:end, only if they meet.  `reach` is how far it is widened; without one (None, as in the query
+and the pipeline) the interval is the scope.  Both sides are sorted and searched, so a scope with many parts takes little
+more than linear time and no list of pairs.
 
 Defined results: a null text counts as empty and has no spans; equal texts have equal spans; repeated rows give repeated
 rows; columns other than the two that are named are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from .shared import text_slices, texts_of
 
 KINDS = ["assign", "access", "hex", "weak_access", "weak_token", "weak_endpoint"]
-#: Code points between the parts of one credential, at most.
+#: Code points between the parts of one credential, at most, where the caller gives no other number, or None for the scope.
 REACH = 400
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: A match always takes the whole run, so a least length within the pattern finds the same matches as a test after it.
@@ -68,13 +69,14 @@ def weak_parts(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], _ROLE[s[0]], s[2]))
 
 
-def linked(parts: list[Span], scopes: list[int], reach: int = REACH) -> list[Span]:
+def linked(parts: list[Span], scopes: list[int], reach: int | None = REACH) -> list[Span]:
     """The weak parts that, widened by `reach`, meet a complementary part of the same scope.  scopes: where scopes begin.
 
     Within a scope the complements' starts and ends are sorted, so each weak part is two searches: for a complement that
     ends before it near enough, and for one that starts behind it.  One that overlaps the weak part is no complement.
     """
     out = []
+    reach = 1 << 60 if reach is None else reach
     scope = [bisect_right(scopes, s) for _, s, _ in parts]
     for weak, needs in _COMPLEMENTS.items():
         starts: dict[int, list[int]] = {}
@@ -95,7 +97,7 @@ def linked(parts: list[Span], scopes: list[int], reach: int = REACH) -> list[Spa
     return out
 
 
-def all_spans(text: str, reach: int = REACH) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, reach: int | None = REACH) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with the linked weak parts."""
     base, weak = base_spans(text), weak_parts(text)
     if not weak or len(base) + len(weak) < 2:
@@ -122,7 +124,7 @@ def redacted(text: str, spans: list[Span], mark: str = "[secret]") -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH, redact: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int | None = REACH, redact: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, the columns of `keep`, n_assign, n_access, n_hex, n_linked, base_sha256, spans and, with `redact`, the text without the spans
     (null for null)."""
     carried = [id_col, *keep]

@@ -5,7 +5,9 @@ machines (squared hinge loss) separate the families, one against one, and within
 one.  A text's margin is the mean of its n-grams' weights, so prediction is one table look-up per n-gram over the whole
 text.  At most `per_language` different labelled rows of each language are learned from, those with the least hash of
 id and text.  Each machine is a group that one task fits, from a bounded number of these rows; the driver gets weights
-only, and they are broadcast for prediction.
+only, and they are broadcast for prediction.  A family of more than FAMILY languages is taken in parts of so many, each a
+family of its own, so machines grow with a sixteenth of the pairs of families and not with all pairs of languages: 1,000
+unlisted languages make 9,400 machines of 16 KB.  More than MODEL bytes of weights are an error before anything is fitted.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is everything if no labelled document
 exists; equal texts get equal results; repeated rows give repeated rows, and are learned from once; columns other than
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import durable, text_slices, texts_of
 
 BUCKETS = 4096
+#: Languages of a family, and bytes of all weights, at most.
+FAMILY, MODEL = 16, 1 << 30
 PER_LANGUAGE = 500
 #: Rows of one side of a machine, at most; a family's languages share them.
 PER_SIDE = 1000
@@ -99,11 +103,21 @@ class LanguageModel:
         self.families: dict[str, list[str]] = {}
         for lang in sorted(languages):
             self.families.setdefault(of.get(lang.lower().split("-")[0], "other"), []).append(lang)
+        for name, members in list(self.families.items()):
+            if len(members) > FAMILY:
+                del self.families[name]
+                self.families |= {f"{name} {k // FAMILY:04d}": members[k : k + FAMILY] for k in range(0, len(members), FAMILY)}
         names = sorted(self.families)
         self.pairs = [(None, a, b) for a, b in combinations(names, 2)]
         self.pairs += [(f, a, b) for f in names for a, b in combinations(self.families[f], 2)]
-        self.weights = np.zeros((BUCKETS, len(self.pairs)))
+        if 4 * BUCKETS * len(self.pairs) > MODEL:
+            raise ValueError(f"{len(languages)} languages need {len(self.pairs)} machines, more than {MODEL} bytes of weights")
+        #: A column for each machine, stored together.
+        self.weights = np.zeros((BUCKETS, len(self.pairs)), dtype=np.float32, order="F")
         self.bias = np.zeros(len(self.pairs))
+        self.machines: dict[str | None, list[int]] = {}
+        for k, (within, _, _) in enumerate(self.pairs):
+            self.machines.setdefault(within, []).append(k)
 
     def sides(self, per_side: int = PER_SIDE) -> list[tuple[str, int, int, int]]:
         """Per language and machine that learns from it: language, machine, side (1 or -1), and how many rows it takes."""
@@ -114,36 +128,39 @@ class LanguageModel:
                 out += [(lang, k, side, max(1, per_side // len(members))) for lang in members]
         return out
 
-    def _best(self, within: str | None, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the name with most votes in its pairs (then the largest sum of margins), and a score from 0 to 1."""
-        votes, sums, sure = (np.zeros((len(margins), len(names))) for _ in range(3))
+    def _best(self, within: str | None, names: list[str], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts, given by their n-grams: number of the name with most votes in its pairs (then the largest sum of margins),
+        and a score from 0 to 1."""
+        sizes = np.diff(np.append(starts, len(ids)))
+        votes, sums, sure = (np.zeros((len(starts), len(names))) for _ in range(3))
         at = {n: i for i, n in enumerate(names)}
-        for k, (f, a, b) in enumerate(self.pairs):
-            if f == within and a in at and b in at:
-                m = margins[:, k]
-                for name, sign in ((a, 1), (b, -1)):
-                    votes[:, at[name]] += sign * m > 0
-                    sums[:, at[name]] += np.clip(sign * m, -9, 9)
-                    sure[:, at[name]] += np.log1p(np.exp(-np.clip(3 * sign * m, -30, 30)))
+        for k in self.machines.get(within, []):
+            m = np.add.reduceat(self.weights[:, k][ids], starts, dtype=np.float64) / sizes + self.bias[k]
+            for name, sign in zip(self.pairs[k][1:], (1, -1)):
+                votes[:, at[name]] += sign * m > 0
+                sums[:, at[name]] += np.clip(sign * m, -9, 9)
+                sure[:, at[name]] += np.log1p(np.exp(-np.clip(3 * sign * m, -30, 30)))
         best = np.argmax(votes + sums / (20 * len(names)), axis=1)
-        return best, np.exp(-sure[np.arange(len(margins)), best])
+        return best, np.exp(-sure[np.arange(len(starts)), best])
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Family by family: a text meets the machines of its own family only."""
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         some = [i for i, t in enumerate(texts) if self.families and _LETTER.search(t)]
         if not some:
             return langs, scores
         ids, starts = grams([texts[i] for i in some])
-        sizes = np.diff(np.append(starts, len(ids)))
-        margins = np.empty((len(some), len(self.pairs)))
-        for k in range(len(self.pairs)):
-            margins[:, k] = np.add.reduceat(self.weights[ids, k], starts) / sizes + self.bias[k]
+        ends = np.append(starts[1:], len(ids))
         names = sorted(self.families)
-        family, p = self._best(None, names, margins)
+        family, p = self._best(None, names, ids, starts)
         for f, name in enumerate(names):
             rows = np.flatnonzero(family == f)
-            members = self.families[name]
-            best, q = self._best(name, members, margins[rows])
+            if not len(rows):
+                continue
+            members, own = self.families[name], ends[rows] - starts[rows]
+            first = np.cumsum(own) - own
+            mine = ids if len(rows) == len(some) else ids[np.repeat(starts[rows] - first, own) + np.arange(own.sum())]
+            best, q = self._best(name, members, mine, first)
             for r, b, s in zip(rows, best, p[rows] * q):
                 langs[some[r]], scores[some[r]] = members[b], float(min(1.0, s))
         return langs, scores

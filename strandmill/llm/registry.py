@@ -45,7 +45,7 @@ def op1_media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_secrets(table(spark, sf_dir, "documents"), reach=None)
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[list[str]]:
+    """A list that learns the folders of all tables that durable() writes meanwhile, but for those that have another one."""
+    mine: list[str] = []
+    _OPEN.append(mine)
+    try:
+        yield mine
+    finally:
+        _OPEN.remove(mine)
+
+
 def durable(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: short lineage that survives lost executors.
 
@@ -36,6 +51,8 @@ def durable(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is None and _OPEN:
+        scratch = _OPEN[-1]
     if scratch is not None:
         scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,6 +24,7 @@ ignored.  A very long text is held whole by its task (some 60 bytes a word).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -106,7 +107,7 @@ def _cells(keys: np.ndarray, cells: int) -> list[np.ndarray]:
 
 
 def repeated_cells(docs: DataFrame, width: int, cells: int) -> list[tuple[int, bytes]]:
-    """Blocks of the merged sketch as packed bits: cells that count two or more.  docs: d1, text."""
+    """Blocks of the merged sketch as compressed bits: cells that count two or more.  docs: d1, text."""
     schema = "block int, once binary, more binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,7 @@ def repeated_cells(docs: DataFrame, width: int, cells: int) -> list[tuple[int, b
                 sums[block][np.frombuffer(more, dtype=np.uint32)] = 2
         for block, n in sums.items():
             if (n > 1).any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(n > 1).tobytes()])], ["block", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(n > 1).tobytes(), 1)])], ["block", "bits"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = docs.mapInArrow(count, schema).repartition(parts, "block").mapInArrow(merge, "block int, bits binary").toArrow()
@@ -160,7 +161,7 @@ class Sketch:
         self.bits = np.zeros((cells * ROWS + 7) // 8, dtype=np.uint8)
         for block, bits in blocks:
             at = block * (BLOCK // 8)
-            part = np.frombuffer(bits, dtype=np.uint8)[: len(self.bits) - at]
+            part = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)[: len(self.bits) - at]
             self.bits[at : at + len(part)] = part
 
     def maybe(self, keys: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 from itertools import permutations
 
@@ -90,7 +91,7 @@ def test_sketch_never_counts_too_little():
                     at = r["block"] * substrings.BLOCK
                     sums[at + np.frombuffer(r["once"], dtype=np.uint32)] += 1
                     sums[at + np.frombuffer(r["more"], dtype=np.uint32)] += 2
-        blocks = [(k, np.packbits(sums[k * substrings.BLOCK : (k + 1) * substrings.BLOCK] > 1).tobytes()) for k in range(len(sums) // substrings.BLOCK)]
+        blocks = [(k, zlib.compress(np.packbits(sums[k * substrings.BLOCK : (k + 1) * substrings.BLOCK] > 1).tobytes())) for k in range(len(sums) // substrings.BLOCK)]
         maybe = substrings.Sketch(blocks, cells).maybe(keys)
         assert maybe[:500].all()
     assert maybe.sum() < 520
@@ -235,3 +236,31 @@ def test_audit_on_given_documents(spark, sf_dir):
     docs = [tuple(r) for r in registry.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()]
     labels = [tuple(r) for r in registry.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").collect()]
     assert {tuple(r) for r in registry.op12_filter_audit(spark, sf_dir).collect()} == plain_audit(docs, labels)
+
+
+def test_secrets_of_a_whole_scope():
+    from strandmill.llm import credentials
+
+    weak = "ASIAIOSFODNN7EXAMPLE"
+    far = f"{weak}{' ' * 5000}secret = abcdefghijklmnop"
+    assert [s[0] for s in credentials.all_spans(far, None)[1]] == ["weak_access", "assign"]
+    assert [s[0] for s in credentials.all_spans(far.replace(" " * 5000, "\n\n"), None)[1]] == ["assign"]
+
+
+def test_many_languages():
+    """Families are split, so machines stay few; a text meets those of its own family."""
+    from strandmill.llm.langid import BUCKETS, LanguageModel
+
+    many = LanguageModel([f"x{k:03d}" for k in range(1000)])
+    assert max(len(m) for m in many.families.values()) == 16 and len(many.pairs) == 63 * 62 // 2 + 62 * 120 + 28
+    assert many.weights.nbytes == 4 * BUCKETS * len(many.pairs) < 160_000_000
+    with pytest.raises(ValueError):
+        LanguageModel([str(k) for k in range(10_000)])
+    model = LanguageModel([f"x{k:02d}" for k in range(20)])
+    rnd = np.random.default_rng(3)
+    model.weights[:] = rnd.normal(size=model.weights.shape)
+    texts = ["one text", "and another one", "third", "12"]
+    langs, scores = model.predict(texts)
+    for t, lang, s in zip(texts, langs, scores):
+        alone = model.predict([t])
+        assert alone == ([lang], [pytest.approx(s)]) and (lang == "und") == (t == "12")
