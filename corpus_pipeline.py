@@ -16,7 +16,7 @@ from strandmill.llm.jaccard import jaccard_components
 from strandmill.llm.langid import fit_language_model, identify_languages
 from strandmill.llm.mixing import mix_sources
 from strandmill.llm.registry import tokenizer_path, tokenizer_pattern
-from strandmill.llm.shared import discard, durable, table
+from strandmill.llm.shared import discard, durable, table, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts and leave a mark; every document stays."""
-    found = find_secrets(docs, redact=True, keep=("lang", "source", "n_chars"))
+    found = find_secrets(docs, reach=None, redact=True, keep=("lang", "source", "n_chars"))
     n_chars = F.when(F.col("spans") != "", F.length("redacted").cast("bigint")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", n_chars).withColumnRenamed("redacted", "text").select(*COLUMNS)
 
@@ -67,11 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents.  A stage's table is deleted when the next one's is written."""
+    """All stages over documents.  A stage's table is deleted when the next one's is written, and what it wrote on the way
+    when its own is."""
     docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         written: list[str] = []
-        docs = durable(stage(spark, docs, sf_dir), written)
+        with temporary() as inner:
+            docs = durable(stage(spark, docs, sf_dir), written)
+        discard(spark, inner)
         discard(spark, before)
         before = written
     return STAGES[-1][1](spark, docs, sf_dir)
