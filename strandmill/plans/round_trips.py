@@ -12,7 +12,7 @@ from ..operators import filters as D
 from ..operators import intervals as I
 from ..operators import order as O
 from ..operators import tables as X
-from ..sources import alignments, delimited, fasta, fastq, files, sinks
+from ..sources import alignments, bam, delimited, fasta, fastq, files, sinks
 from ..sources.files import scratch_folder
 from .surrogate import RANGES, READS, ranges, reads
 
@@ -200,3 +200,27 @@ def multi_sample(r: DataFrame) -> DataFrame:
 def multi_fasta(r: DataFrame) -> DataFrame:
     paths = folders(r, sinks.fasta_record())
     return fasta.read_fasta(r.sparkSession, [f for p in paths for f in files.file_names(p, "^part-")]).select("row_ix", "id", "sread")
+
+
+def maps(r: DataFrame) -> str:
+    """Alignment maps of the reads, a few files in the order of places, each with its index."""
+    folder = scratch_folder(r.sparkSession)
+    placed = F.col("chromosome").isNotNull() & F.col("position").isNotNull()
+    rows = r.withColumns({"chromosome": F.when(placed, F.col("chromosome")), "position": F.when(placed, F.col("position"))})
+    order = ["chromosome", "position", "row_ix"]
+    bam.write_bam(rows.repartitionByRange(3, *[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order]), folder, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+    return folder
+
+
+@_query("source_bam", """SELECT id, sread, qual, CASE WHEN position IS NOT NULL THEN chromosome END AS chromosome, CASE WHEN chromosome IS NOT NULL THEN position END AS position,
+    CASE WHEN chromosome IS NOT NULL AND position IS NOT NULL THEN strand END AS strand, align_quality,
+    row_number() OVER (ORDER BY CASE WHEN position IS NOT NULL THEN chromosome END ASC NULLS LAST, CASE WHEN chromosome IS NOT NULL THEN position END ASC NULLS LAST, row_ix) AS row_ix FROM reads""")
+def source_bam(r: DataFrame) -> DataFrame:
+    """All records, in ranges of 20,000 bytes."""
+    return bam.read_bam(r.sparkSession, maps(r), split=20_000).select("id", "sread", "qual", "chromosome", "position", "strand", "align_quality", "row_ix")
+
+
+@_query("bam_range", "SELECT id, sread, position, strand FROM reads WHERE chromosome = '3-MEDIUM' AND position <= 180 AND position + length(sread) - 1 >= 120")
+def bam_range(r: DataFrame) -> DataFrame:
+    """Records that meet positions 120 to 180, by index."""
+    return bam.read_bam(r.sparkSession, maps(r), "3-MEDIUM", 120, 180).select("id", "sread", "position", "strand")
