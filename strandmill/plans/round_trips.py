@@ -14,6 +14,7 @@ from ..operators import order as O
 from ..operators import tables as X
 from ..sources import alignments, bam, delimited, fasta, fastq, files, sinks
 from ..sources.files import scratch_folder
+from ..streaming import splits
 from .surrogate import RANGES, READS, ranges, reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +225,32 @@ def source_bam(r: DataFrame) -> DataFrame:
 def bam_range(r: DataFrame) -> DataFrame:
     """Records that meet positions 120 to 180, by index."""
     return bam.read_bam(r.sparkSession, maps(r), "3-MEDIUM", 120, 180).select("id", "sread", "position", "strand")
+
+
+@_query("stream_folder", "SELECT id, sread, qual FROM reads")
+def stream_folder(r: DataFrame) -> DataFrame:
+    """A folder of files, plain and compressed, as a stream that runs until it has read them, in bounded steps."""
+    spark, source, to = r.sparkSession, scratch_folder(r.sparkSession), scratch_folder(r.sparkSession)
+    for k, part in enumerate(("a", "b")):
+        sinks.write_records(r.where(F.col("row_ix") % 2 == k), f"{source}-{part}", sinks.fastq_record(), k == 1)
+    rows = None
+    for part in ("a", "b"):
+        log = f"{to}-{part}.log"
+        query = splits.stream_folder(spark, f"{source}-{part}", step=1_000_000, split=200_000, checkpoint=log).writeStream.format("parquet").option("path", f"{to}-{part}").option("checkpointLocation", log).trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        found = spark.read.parquet(f"{to}-{part}").select("id", "sread", "qual")
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+@_query("sampler_draw", "SELECT least(count(*), 700) AS n, least(count(*), 700) AS numbers, count(*) AS added FROM reads")
+def sampler_draw(r: DataFrame) -> DataFrame:
+    """Rows of a draw, their different numbers, and the rows that one pass saw."""
+    from ..streaming.fastq import Sampler
+
+    sampler = Sampler(r.select("row_ix", "id"), 700)
+    out = sampler.draw()
+    return out.agg(F.count("*").alias("n"), F.countDistinct("row_ix").alias("numbers")).withColumn("added", F.lit(sampler.status()["added"]).cast("bigint"))

@@ -1,16 +1,20 @@
-"""FASTQ in steps: a Structured Streaming source over a growing file, batches of records, and repeated samples."""
+"""FASTQ in steps: a small Structured Streaming source over one growing file whose sequences may span lines (the source for
+many and large files is in splits), batches of records, and repeated samples."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..errors import ArgumentMismatch, InputError, ReadsError
 from ..operators.tables import batches, exact_sample, record_ranges
+from ..sources.files import scratch_folder
 
 SCHEMA = "row_ix bigint, id string, sread string, qual string"
 
@@ -110,13 +114,19 @@ class RecordBatches:
 
     def __init__(self, reads: DataFrame, n: int = 1_000_000, ranges: list[tuple[int, int]] | None = None):
         self.reads = record_ranges(reads, ranges) if ranges else batches(reads, n)
-        self.last = len(ranges) if ranges else int(self.reads.agg(F.coalesce(F.max("batch"), F.lit(0))).first()[0])
+        row = self.reads.agg(F.coalesce(F.max("batch"), F.lit(0)), F.count("*")).first()
+        self.last, self.rows = len(ranges) if ranges else int(row[0]), int(row[1])
         self.at, self.added, self.n = 0, 0, n
+        self.ranges = ranges
 
     def take(self) -> DataFrame | None:
         if self.at >= self.last:
             return None
         self.at += 1
+        if self.ranges is None:
+            self.added = min(self.rows, self.at * self.n)
+        else:
+            self.added += self.ranges[self.at - 1][1] - self.ranges[self.at - 1][0] + 1
         return self.reads.where(F.col("batch") == self.at).drop("batch")
 
     def __iter__(self) -> Iterator[DataFrame]:
@@ -126,18 +136,78 @@ class RecordBatches:
     def status(self) -> dict:
         return {"n": self.n, "current": self.at, "total": self.last}
 
+    def progress(self) -> dict:
+        """Records given out so far (of ranges, the numbers that they span), and those of all batches."""
+        return {"added": min(self.added, self.rows), "records": self.rows, "buffer": self.rows - min(self.added, self.rows)}
+
 
 class Sampler:
-    """Samples of exactly n reads, a new one at each draw; fewer reads are all taken."""
+    """Samples of exactly n reads, a new one at each draw; fewer reads are all taken.
+
+    A draw is one pass: each partition keeps the rows of least hash, at most n of them and, where the number of rows is
+    known (`total`, or an earlier draw's count), only those below a hash that some more than n rows lie below.  What is
+    kept is written, and the exact n are cut out of it.  If it is too little, because `total` was too large, the pass is
+    done again with the number that it counted.
+    """
 
-    def __init__(self, reads: DataFrame, n: int = 1_000_000, ordered: bool = False, seed: int = 0):
-        self.reads, self.n, self.ordered, self.seed = reads, n, ordered, seed
+    def __init__(self, reads: DataFrame, n: int = 1_000_000, ordered: bool = False, seed: int = 0, total: int | None = None):
+        self.reads, self.n, self.ordered, self.seed, self.total = reads, n, ordered, seed, total
+        self.draws = self.added = self.buffer = 0
 
-    def draw(self) -> DataFrame:
+    def draw(self, kept: list[str] | None = None) -> DataFrame:
+        """kept: a list that learns the folder of the written rows, for sources.files.discard()."""
         self.seed += 1
-        out = exact_sample(self.reads, self.n, seed=self.seed)
+        while True:
+            rows, added, buffer = bottom_rows(self.reads, self.n, self.seed, self.total, kept)
+            enough = buffer >= min(self.n, added)
+            self.total = added
+            if enough:
+                break
+        self.draws, self.added, self.buffer = self.draws + 1, self.added + added, min(self.n, added)
+        out = exact_sample(rows, self.n, seed=self.seed)
         return out.orderBy("row_ix") if self.ordered else out
 
+    def status(self) -> dict:
+        """n, draws so far, rows seen by all of them (added), rows of the input (total) and of the last sample (buffer)."""
+        return {"n": self.n, "current": self.draws, "added": self.added, "total": self.total or 0, "buffer": self.buffer}
+
+
+def bottom_rows(df: DataFrame, n: int, seed: int, total: int | None = None, kept: list[str] | None = None) -> tuple[DataFrame, int, int]:
+    """Rows that hold the n of least hash (exact_sample's), written to the shared folder; rows seen, and rows written."""
+    spark, seen, written = df.sparkSession, Observation(), Observation()
+    slot = F.shiftrightunsigned(F.xxhash64("row_ix", F.lit(seed)), 11)
+    rows = df.withColumn("_h", slot).observe(seen, F.count("*").alias("n"))
+    if total:
+        # Some six deviations more than n rows are expected below.
+        rows = rows.where(F.col("_h") < F.lit(min(1.0, (n + 6 * n**0.5 + 40) / total) * (1 << 53)))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > 2 * n + 10_000:
+                held = [_least(held, n)]
+                size = held[0].num_rows
+        if held:
+            yield _least(held, n)
+
+    folder = scratch_folder(spark)
+    rows = rows.mapInArrow(least, rows.schema).drop("_h").observe(written, F.count("*").alias("n"))
+    rows.write.parquet(folder)
+    if kept is not None:
+        kept.append(folder)
+    return spark.read.schema(rows.schema).parquet(folder), seen.get["n"], written.get["n"]
+
+
+def _least(held: list[pa.RecordBatch], n: int) -> pa.RecordBatch:
+    """The n rows of least hash, in their order."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    if table.num_rows > n:
+        h = table.column("_h").to_numpy()
+        table = table.take(pa.array(np.sort(np.argpartition(h, n - 1)[:n]))) if n else table.slice(0, 0)
+    return table.to_batches()[0] if table.num_rows else held[0].slice(0, 0)
+
 
 class Reader:
     """What batches and samplers have in common has nothing to yield itself."""
