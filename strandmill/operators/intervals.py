@@ -147,3 +147,14 @@ def as_ranges(alignments: DataFrame) -> DataFrame:
     """Alignments as ranges with a CIGAR of matches only; rows without a place are dropped."""
     end = (F.col("position") + F.length("sread") - 1).alias("end")
     return alignments.where("chromosome is not null and position is not null and strand is not null").select("chromosome", F.col("position").alias("start"), end, "strand", F.concat(F.length("sread").cast("string"), F.lit("M")).alias("cigar"), "id", "sread", "qual")
+
+
+def as_spans(alignments: DataFrame) -> DataFrame:
+    """Where alignments lie, whatever their strand: chromosome, start and width; rows without a place are dropped."""
+    placed = alignments.where("chromosome is not null and position is not null and sread is not null")
+    return placed.select("chromosome", F.col("position").alias("start"), F.length("sread").alias("width"))
+
+
+def as_gapped(alignments: DataFrame) -> DataFrame:
+    """All alignments with a CIGAR of matches only, as they are named in alignment maps."""
+    return alignments.select(F.col("chromosome").alias("seqname"), "strand", F.concat(F.length("sread").cast("string"), F.lit("M")).alias("cigar"), F.col("position").alias("pos"), F.col("id").alias("name"), F.col("sread").alias("qseq"))

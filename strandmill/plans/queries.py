@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as Q
 from ..functions import sequence as S
 from ..functions import trim as T
+from ..functions.align import alignments
 from ..operators import filters as D
 from ..operators import intervals as I
 from ..operators import order as O
@@ -57,6 +58,11 @@ _SUBJECTS = ["ACGTACGTACGTACGTACGTACGT", "TTTTTTTTTTTTTTTTTTTTTT"]
 query("srdistance", "SELECT row_ix, " + ", ".join(f"CAST(levenshtein(sread, '{s}') AS double) AS d{i}" for i, s in enumerate(_SUBJECTS)) + " FROM reads WHERE sread NOT LIKE '%N%'")(lambda r: D.clean(r).select("row_ix", *[S.edit_distance(F.col("sread"), s).alias(f"d{i}") for i, s in enumerate(_SUBJECTS)]))
 query("srdistance_filter", "SELECT row_ix FROM reads WHERE sread NOT LIKE '%N%' AND " + " AND ".join(f"levenshtein(sread, '{s}') >= 15" for s in _SUBJECTS))(lambda r: D.distance_filter(_SUBJECTS, 15)(D.clean(r)).select("row_ix"))
 query("srdistance_ambiguous")(lambda r: r.select("row_ix", S.edit_distance(F.col("sread"), "ACGTNNRYACGTACGTACGT").alias("d")))
+query("align_reads", f"SELECT row_ix, -CAST(levenshtein(sread, '{_SUBJECTS[0]}') AS double) AS score, CAST(levenshtein(sread, '{_SUBJECTS[0]}') AS int) AS edits, sread, '{_SUBJECTS[0]}' AS subject FROM reads")(
+    lambda r: alignments(r.select("row_ix", "sread"), _SUBJECTS[0], opening=0, extension=1, match=0, mismatch=-1).select(
+        "row_ix", "score", (F.col("mismatches") + F.col("insertions") + F.col("deletions")).alias("edits"), F.replace("aligned_read", F.lit("-"), F.lit("")).alias("sread"), F.replace("aligned_subject", F.lit("-"), F.lit("")).alias("subject")
+    )
+)
 query("n_filter", "SELECT row_ix FROM reads WHERE length(regexp_replace(sread, '[ACGT]', '', 'g')) <= 1")(lambda r: D.n_filter(1)(r).select("row_ix"))
 query("polyn_filter", "SELECT row_ix FROM reads WHERE greatest(" + ", ".join(f"length(sread) - length(replace(sread, '{b}', ''))" for b in "ACGT") + ", length(regexp_replace(sread, '[ACGT]', '', 'g'))) <= 10")(lambda r: D.polyn_filter(10)(r).select("row_ix"))
 query("position_filter", "SELECT row_ix FROM reads WHERE position BETWEEN 100 AND 200")(lambda r: D.position_filter(100, 200)(r).select("row_ix"))
@@ -192,6 +198,8 @@ _ONCE = READS.replace("reads AS (", "every AS (") + ", reads AS (SELECT * FROM (
 query("depth_of_coverage", _coverage("position", "position + length(sread) - 1") + """, dp AS (SELECT depth AS coverage, CAST(sum("end" - start + 1) AS bigint) AS count FROM cv WHERE depth > 0 GROUP BY 1)
  SELECT coverage, count, CAST(sum(count) OVER (ORDER BY coverage) AS double) / CAST(sum(count) OVER () AS double) AS cumulative FROM dp""", _ONCE)(lambda r: I.depth_histogram(r))
 query("coverage_window", "SELECT strand, CAST(p AS int) AS \"at\", count(*) AS depth FROM reads, (SELECT unnest(range(100, 151)) AS p) WHERE chromosome = '2-HIGH' AND position <= p AND position + length(sread) - 1 >= p GROUP BY 1, 2")(lambda r: I.coverage_window(r, "2-HIGH", 100, 150))
+query("as_spans", "SELECT chromosome, position AS start, CAST(length(sread) AS int) AS width FROM reads WHERE chromosome IS NOT NULL AND position IS NOT NULL")(lambda r: I.as_spans(r))
+query("as_gapped", "SELECT chromosome AS seqname, strand, concat(CAST(length(sread) AS varchar), 'M') AS cigar, position AS pos, id AS name, sread AS qseq FROM reads")(lambda r: I.as_gapped(r))
 query("as_ranges", "SELECT chromosome, position AS start, position + length(sread) - 1 AS \"end\", strand, concat(CAST(length(sread) AS varchar), 'M') AS cigar, id, sread, qual FROM reads WHERE chromosome IS NOT NULL AND position IS NOT NULL")(lambda r: I.as_ranges(r))
 
 query("append", "SELECT row_ix, id FROM reads UNION ALL SELECT row_ix + (SELECT max(row_ix) FROM reads), id FROM reads WHERE tile = 1")(lambda r: X.append(r, r.where("tile = 1")).select("row_ix", "id"))
