@@ -8,17 +8,23 @@ most of the cluster, by lines and by smoothed ratio.  Within the region, lines o
 
 Tags, roles and the words of class and id names weigh in: a line's smoothed ratio is multiplied by a small weight where
 it stands in a menu, footer, form, advert or the like, and short lines of the region that have such a weight go.  What
-weighs is what lies below the region, so a form, or an oddly named element, around the whole article changes nothing.
+weighs is what lies below the region, so a form, or an oddly named element, around the whole article changes nothing; the
+names of paragraphs, quotations and headings weigh only if they tell of adverts and notices.
 An `article` or `main` element is the region if it has at least half of the cluster, of several the one with most of it,
-where one with a main heading counts three times.
+where one with a main heading counts three times.  In such a region no line goes for its links or its ratio alone.
 
-Defined results: null html counts as empty; a page without text gives an empty text; repeated rows give repeated rows;
+Open elements are known by their container and what weighs since then, containers by their parents, so a page takes time
+in proportion to its length, however its elements are nested or left open.
+
+Defined results: null html counts as empty; a page without text gives an empty text; what follows a comment that does not
+end belongs to it; repeated rows give repeated rows;
 columns other than those that are named are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -52,11 +58,15 @@ MARKS = frozenset(
     " toolbar topbar trending widget".split()
 )
 GOOD = frozenset("article articlebody body content entry main page post story text".split())
+#: Elements that hold text themselves, and the marks that weigh in their names.
+TEXTUAL = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
+NOTICES = frozenset("ad ads advert adverts advertisement advertising byline cookie cookies consent copyright disclaimer notice paywall promo promoted promotion sponsor sponsored".split())
 #: Marks of what readers wrote, which is prose of its own.
 READERS = frozenset("comment comments commentlist discussion disqus reactions remarks replies respond responses".split())
 #: An element of these kinds starts by ending an open one of the same group in the same list or table.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol menu dl table select body".split())
+_BOUNDS = BLOCKS | _SCOPE | {"option"}
 _ENDS_P = BLOCKS - {"body", "caption", "head", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
 #: Words before or after a mark that make a name tell something else.
 _ABOUT, _LACKING = frozenset("has hide no with without".split()), frozenset("free less".split())
@@ -66,20 +76,17 @@ _SPLIT_CAPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Line:
-    __slots__ = ("linked", "path", "tags", "text", "heading")
-
-    def __init__(self, text: str, tags: int, linked: int, path: tuple[tuple[int, float], ...], heading: int):
-        self.text, self.tags, self.linked, self.path, self.heading = text, tags, linked, path, heading
+    __slots__ = ("linked", "at", "least", "tags", "text", "heading")
 
-    def weight(self, region: int) -> float:
-        """The least weight of the elements below a region, which is 0 for the page."""
-        return next((w for c, w in self.path if c == region), 1.0)
+    def __init__(self, text: str, tags: int, linked: int, at: int, least: float, heading: int):
+        #: at: the innermost container; least: the least weight of the elements within it that the line stands in.
+        self.text, self.tags, self.linked, self.at, self.least, self.heading = text, tags, linked, at, least, heading
 
 
-def name_weight(value: str) -> float:
+def name_weight(value: str, among: frozenset[str] = MARKS) -> float:
     """What the words of a class or id name say: marks and good words are set off against each other."""
     words = _WORDS.findall(_SPLIT_CAPS.sub(" ", value).lower())
-    marks = [w for w, before, after in zip(words, ["", *words], [*words[1:], ""]) if w in MARKS and before not in _ABOUT and after not in _LACKING]
+    marks = [w for w, before, after in zip(words, ["", *words], [*words[1:], ""]) if w in among and before not in _ABOUT and after not in _LACKING]
     if any(w in READERS for w in marks):
         return FAINT
     return DOUBTFUL if len(marks) > sum(w in GOOD for w in words) else 1.0
@@ -93,34 +100,60 @@ class LineParser(HTMLParser):
         self.lines: list[Line] = []
         #: Containers that are article or main elements.
         self.roots: set[int] = set()
-        #: Open elements: tag, whether its text is left out, number of its container, its weight.
-        self.open: list[tuple[str, bool, int, float]] = []
+        #: Of each container its parent, and the least weight of the elements from it up to there; 0 is the page.
+        self.parents, self.weights = [-1], [1.0]
+        #: Open elements: tag, whether its text is left out, innermost container, least weight since then, heading.
+        self.open: list[tuple[str, bool, int, float, int]] = [("", False, 0, 1.0, 0)]
+        self.counts: Counter[str] = Counter()
+        #: Places in `open` of blocks and of what bounds the ends that they imply.
+        self.bounds: list[int] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.out = self.count = 0
+        self.tags = self.linked = self.links = self.out = 0
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path, least, heading = [], 1.0, 0
-                for tag, _, number, weight in reversed(self.open):
-                    if number:
-                        path.append((number, least))
-                    least = min(least, weight)
-                    if tag in HEADINGS:
-                        heading = int(tag[1])
-                path.append((0, least))
-                self.lines.append(Line(text, self.tags, self.linked, tuple(path), heading))
+                _, _, container, least, heading = self.open[-1]
+                self.lines.append(Line(text, self.tags, self.linked, container, least, heading))
             self.parts = []
         self.tags = self.linked = 0
 
+    def push(self, tag: str, out: bool, weight: float) -> int:
+        """Open an element; the number of the container that it is, or 0."""
+        _, _, container, least, heading = self.open[-1]
+        if tag in HEADINGS:
+            heading = heading or int(tag[1])
+        number = 0
+        if tag in CONTAINERS:
+            number = len(self.parents)
+            self.parents.append(container)
+            self.weights.append(min(least, weight))
+            container, least = number, 1.0
+        else:
+            least = min(least, weight)
+        if tag in _BOUNDS:
+            self.bounds.append(len(self.open))
+        self.open.append((tag, out, container, least, heading))
+        self.counts[tag] += 1
+        self.out += out
+        self.links += tag == "a"
+        return number
+
     def pop(self) -> None:
-        tag, out, _, _ = self.open.pop()
+        tag, out, _, _, _ = self.open.pop()
+        self.counts[tag] -= 1
+        if self.bounds and self.bounds[-1] == len(self.open):
+            self.bounds.pop()
         self.out -= out
         self.links -= tag == "a"
 
+    def close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.pop()
+
     def inside(self, *tags: str) -> bool:
-        return any(t in tags for t, _, _, _ in self.open)
+        return any(self.counts[t] for t in tags)
 
     def weigh(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, float]:
         """Whether an element's text is left out, and its weight."""
@@ -130,7 +163,7 @@ class LineParser(HTMLParser):
         for key, value in attrs if tag not in ("html", "body") else ():
             value = value or ""
             if key in ("class", "id"):
-                named = name_weight(value)
+                named = name_weight(value, NOTICES if tag in TEXTUAL else MARKS)
                 if tag in ("article", "main") and named > FAINT or tag == "header" and weight == 1.0:
                     continue
                 weight = min(weight, named)
@@ -149,31 +182,19 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out, weight = self.weigh(tag, attrs)
-        number = 0
-        if tag in CONTAINERS:
-            self.count += 1
-            number = self.count
-            if tag in ("article", "main") or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs:
-                self.roots.add(number)
-        self.open.append((tag, out, number, weight))
-        self.out += out
-        self.links += tag == "a"
+        number = self.push(tag, *self.weigh(tag, attrs))
+        if number and (tag in ("article", "main") or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs):
+            self.roots.add(number)
 
     def imply_ends(self, tag: str) -> None:
-        if tag in _ENDS_P:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == "p":
-                    while len(self.open) > k:
-                        self.pop()
-                    break
-                if self.open[k][0] in BLOCKS:
-                    break
-        if tag in _ENDS:
-            for k in range(len(self.open) - 1, -1, -1):
+        if tag in _ENDS_P and self.counts["p"]:
+            last = next((k for k in reversed(self.bounds) if self.open[k][0] in BLOCKS), None)
+            if last is not None and self.open[last][0] == "p":
+                self.close_from(last)
+        if tag in _ENDS and self.inside(*_ENDS[tag]):
+            for k in reversed(self.bounds[:]):
                 if self.open[k][0] in _ENDS[tag]:
-                    while len(self.open) > k:
-                        self.pop()
+                    self.close_from(k)
                     if tag != "tr":
                         break
                 elif self.open[k][0] in _SCOPE:
@@ -187,11 +208,10 @@ class LineParser(HTMLParser):
             self.flush()
         else:
             self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.pop()
-                break
+        if self.counts[tag]:
+            while self.open[-1][0] != tag:
+                self.pop()
+            self.pop()
 
     def handle_data(self, data: str) -> None:
         if not self.out:
@@ -200,6 +220,8 @@ class LineParser(HTMLParser):
                 self.linked += len(data)
 
     def close(self) -> None:
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""
         super().close()
         self.flush()
 
@@ -212,47 +234,69 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return whole / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def region_of(lines: list[Line], score: np.ndarray, roots: set[int]) -> int:
+def region_of(parser: LineParser, score: np.ndarray) -> int:
     """The container that holds the content cluster, whose lines have a score; 0 is the page."""
-    total, mass, count, headed = float(score.sum()), {}, {}, set()
-    for x, s in zip(lines, score.tolist()):
-        for c, weight in x.path:
-            mass[c] = mass.get(c, 0.0) + s
-            count[c] = count.get(c, 0) + (s > 0)
-            if x.heading == 1 and weight == 1.0:
-                headed.add(c)
+    parents, n = parser.parents, len(parser.parents)
+    total, mass, count, headed = float(score.sum()), [0.0] * n, [0] * n, [False] * n
     if total <= 0:
         return 0
-    # Containers are numbered as they open, so the last of those with enough is the deepest.
-    within = lambda upper: {c for x in lines for c, _ in x.path if any(u == upper for u, _ in x.path)}
-    outer = {next(c for c, _ in reversed(x.path) if c in roots) for x in lines if any(c in roots for c, _ in x.path)}
-    own = [c for c in sorted(outer) if mass[c] > 0]
+    for x, s in zip(parser.lines, score.tolist()):
+        mass[x.at] += s
+        count[x.at] += s > 0
+        headed[x.at] |= x.heading == 1 and x.least == 1.0
+    # Containers are numbered as they open, so a parent comes before what it holds, and the last of those with enough is the deepest.
+    for c in range(n - 1, 0, -1):
+        mass[parents[c]] += mass[c]
+        count[parents[c]] += count[c]
+        headed[parents[c]] |= headed[c] and parser.weights[c] == 1.0
+    outer = [0] * n
+    for c in range(1, n):
+        outer[c] = outer[parents[c]] or (c if c in parser.roots else 0)
+    own = sorted({outer[x.at] for x in parser.lines if mass[outer[x.at]] > 0} - {0})
     if own and sum(mass[c] for c in own) >= 0.5 * total:
-        best = max(own, key=lambda c: mass[c] * (3 if c in headed else 1))
-        return max(c for c in within(best) & roots if c >= best and mass[c] >= 0.75 * mass[best])
+        best = max(own, key=lambda c: mass[c] * (3 if headed[c] else 1))
+        inside = within(parents, best)
+        return max(c for c in range(best, n) if inside[c] and c in parser.roots and mass[c] >= 0.75 * mass[best])
     least = 0.6 * int((score > 0).sum())
-    return max((c for c in mass if mass[c] >= 0.75 * total and count[c] >= least), default=0)
+    return max((c for c in range(n) if mass[c] >= 0.75 * total and count[c] >= least), default=0)
+
+
+def within(parents: list[int], region: int) -> list[bool]:
+    """Which containers are a region or lie in it."""
+    inside = [False] * len(parents)
+    inside[region] = True
+    for c in range(region + 1, len(parents)):
+        inside[c] = inside[parents[c]]
+    return inside
+
+
+def weights_below(parser: LineParser, region: int) -> np.ndarray:
+    """Of each line, the least weight of the elements below a region; for lines in it."""
+    below = [1.0] * len(parser.parents)
+    for c in range(region + 1, len(below)):
+        if parser.parents[c] >= region:
+            below[c] = min(below[parser.parents[c]], parser.weights[c])
+    return np.array([min(x.least, below[x.at]) for x in parser.lines])
 
 
-def select(lines: list[Line], roots: set[int], sigma: float = 1.0) -> list[Line]:
+def select(parser: LineParser, sigma: float = 1.0) -> list[Line]:
     """The lines of the content region."""
+    lines = parser.lines
     if not lines:
         return []
     size = np.array([len(x.text) for x in lines], dtype=float)
     linked = np.minimum(np.array([x.linked for x in lines]), size)
     ratio = smoothed((size - linked) / np.array([1 + x.tags for x in lines]), sigma)
-    weight = np.array([x.weight(0) for x in lines])
+    weight = weights_below(parser, 0)
     weighed = ratio * weight
     # A page that is one form, say, has one weight throughout: only differences count.
     cluster = (weighed >= weighed.std()) & (weighed > 0)
-    region = region_of(lines, np.where(cluster, weighed, 0.0), roots)
-    threshold = weighed.std() / weight.max()
-    out = []
-    for x, r, share in zip(lines, ratio, linked / size):
-        if any(c == region for c, _ in x.path):
-            below = x.weight(region)
-            if r * below > threshold and share < 0.5 or below >= 0.5 and r > 0 and (x.heading or share < 0.66):
-                out.append(x)
+    region = region_of(parser, np.where(cluster, weighed, 0.0))
+    threshold, whole = weighed.std() / weight.max(), region in parser.roots
+    inside, out = within(parser.parents, region), []
+    for x, r, share, below in zip(lines, ratio, linked / size, weights_below(parser, region)):
+        if inside[x.at] and (r * below > threshold and (whole or share < 0.5) or below >= 0.5 and (whole or r > 0 and (x.heading or share < 0.66))):
+            out.append(x)
     return out
 
 
@@ -261,7 +305,7 @@ def main_text(html: str, piece: int = 1 << 16) -> str:
     for at in range(0, len(html), piece):
         parser.feed(html[at : at + piece])
     parser.close()
-    return "\n".join(x.text for x in select(parser.lines, parser.roots))
+    return "\n".join(x.text for x in select(parser))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

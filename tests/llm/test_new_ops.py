@@ -264,3 +264,44 @@ def test_many_languages():
     for t, lang, s in zip(texts, langs, scores):
         alone = model.predict([t])
         assert alone == ([lang], [pytest.approx(s)]) and (lang == "und") == (t == "12")
+
+
+def page_text(body):
+    from strandmill.llm.main_text import main_text
+
+    return main_text(f"<html><body><nav><a href=x>Home</a></nav>{body}<footer>(c)</footer></body></html>")
+
+
+STORY = [f"The story goes on and on in its part {i}, with enough words to be a line of prose." for i in range(4)]
+
+
+@pytest.mark.parametrize("block, text", [
+    ("<p>He said <a href=x>a long linked sentence of many words, all of it in one link</a>.</p>", "He said a long linked sentence of many words, all of it in one link."),
+    ("<ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul>", "First source\nSecond source"),
+    ("<p class=related>Related work is told of here.</p>", "Related work is told of here."),
+    ("<blockquote class=reply>So he replied.</blockquote>", "So he replied."),
+    ("<p class=ad>Buy it now</p>", None), ("<ul class=menu><li>One</ul>", None), ("<div class=comments><p>First!</p></div>", None),
+])
+def test_blocks_of_articles_stay(block, text):
+    lines = [STORY[0], *([text] if text else []), *STORY[1:]]
+    body = f"<p>{STORY[0]}</p>{block}" + "".join(f"<p>{s}</p>" for s in STORY[1:])
+    assert page_text(f"<article><h1>Head</h1>{body}</article>") == "\n".join(["Head", *lines])
+
+
+def test_comment_without_end():
+    assert page_text(f"<article><p>{STORY[0]}</p></article><!-- never <p>closed</p>").startswith(STORY[0])
+    assert "closed" not in page_text(f"<article><p>{STORY[0]}</p></article><!-- never <p>closed</p>")
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 30_000 + "text", "".join(f"<div>line {k} of it" for k in range(20_000)), "<b>x</i></u>" * 60_000, "".join(f"<b><p>word {k}" for k in range(40_000)),
+    "<ul>" + "<li><div><div>" * 20_000, "<table>" + "<tr><td><b>x" * 30_000, "<article>" * 20_000 + "<p>text", "<p>" * 200_000, "<a href=x>" * 50_000 + "text", "</div></p></li>" * 60_000,
+])
+def test_pages_take_linear_time(page):
+    import time
+
+    from strandmill.llm.main_text import main_text
+
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 10
