@@ -5,8 +5,8 @@ time is the source's words up to its end, divided by the source's target, so eve
 All copies are ordered by that time and the order is cut where the words reach the total of all targets.
 
 Running sums are taken in two levels, so no source and no stretch of time lands in one task: first the totals of 4096
-hash slots of each source (or slots of time), then the rows of a slot.  Only the slot in which the budget runs out is
-ordered row by row.
+hash slots of each source (or slots of time), then the rows of a slot.  The slot in which the budget runs
+out is cut into 4096 slots again, of which the last is ordered row by row.
 
 Defined results: a null text has size 0; documents without words take nothing; null is a source like others and comes
 last; repeated rows are mixed one by one; documents that agree in id and size share their order; an empty table gives
@@ -78,8 +78,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
 
     whole = F.size(F.filter("ends", lambda f: when(f) < last))
     edge = timed.select("id", "source", "size", "key", "slot", "nth", F.posexplode("ends").alias("turn", "end")).where(when(F.col("end")) == last)
+    # The slot of time in which the budget runs out is cut into slots again; only the last of these is ordered row by row.
+    edge = edge.withColumn("part", F.when(F.col("end") < 2, F.floor((F.col("end") * SLOTS - last) * SLOTS)).otherwise(0).cast("int"))
+    parts = edge.groupBy("part").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy("part").rowsBetween(*_END)))
+    cut = parts.where(F.col("upto") > left).orderBy("part").select("part", F.col("upto") - F.col("words")).first() if cut else None
+    final, left = (cut[0], left - cut[1]) if cut else (SLOTS, 0)
     order = Window.orderBy("end", F.col("source").asc_nulls_last(), "key", "id", "size", "turn").rowsBetween(*_END)
-    edge = edge.withColumn("run", F.sum("size").over(order)).where(F.col("run") <= left)
+    named = ["source", "slot", "nth"]
+    ranked = edge.where(F.col("part") == final).withColumn("run", F.sum("size").over(order)).where(F.col("run") <= left)
+    edge = edge.where(F.col("part") < final).select(*named).unionByName(ranked.select(*named))
     edge = edge.groupBy("source", "slot", "nth").agg(F.count("*").alias("more")).alias("e")
     rows = timed.withColumn("whole", whole).alias("d")
     same = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.slot") == F.col("e.slot")) & (F.col("d.nth") == F.col("e.nth"))
