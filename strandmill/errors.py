@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 class ReadsError(Exception):
@@ -57,3 +64,26 @@ def one_of(value, allowed, name: str):
     if value not in allowed:
         raise ArgumentMismatch(f"'{name}' must be one of {', '.join(map(str, allowed))}; it is {value!r}")
     return value
+
+
+def raised(kind: type[ReadsError], *message: Column | str) -> Column:
+    """A column that raises an error of a class when a row needs it; typed_errors() gives the class back."""
+    return F.raise_error(F.concat(F.lit(f"{kind.__name__}: "), *[F.lit(m) if isinstance(m, str) else m for m in message]))
+
+
+_CLASSES = {c.__name__: c for c in (ReadsError, InputError, ArgumentMismatch, ValueUnavailable, IncompatibleTypes, ValidityError)}
+_NAMED = re.compile(r"\b(?:strandmill\.errors\.)?(" + "|".join(_CLASSES) + r"): (.*)")
+
+
+@contextmanager
+def typed_errors() -> Iterator[None]:
+    """Actions within it raise this module's errors where a task did: what stands in a plan, or runs in a worker, fails in
+    Spark's own classes, which carry the class's name and the message."""
+    try:
+        yield
+    except PySparkException as e:
+        found = _NAMED.findall(str(e))
+        if not found:
+            raise
+        name, message = found[-1] if "Traceback" in str(e) else found[0]
+        raise _CLASSES[name](message.split(" SQLSTATE:")[0].strip()) from e

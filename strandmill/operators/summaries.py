@@ -100,38 +100,52 @@ def occurrence_curve(distribution: DataFrame, by: tuple[str, ...] = ()) -> DataF
     return run.select(*by, "n_occurrences", ((F.col("run") - least + 1) / (most - least + 1)).alias("share"))
 
 
+def mean_counts(reads: DataFrame, encoding: str = "phred33", by: tuple[str, ...] = ()) -> DataFrame:
+    """How many reads have each mean score (m, n).  Means of reads of more than 1,000 letters are rounded to four places, so
+    there are few of them however many reads there are."""
+    mean = mean_quality("qual", encoding)
+    m = F.when(F.length("qual") > 1000, F.round(mean, 4)).otherwise(mean)
+    return reads.select(*by, m.alias("m")).where("m is not null").groupBy(*by, "m").agg(F.count("*").alias("n"))
+
+
 def quality_density(reads: DataFrame, encoding: str = "phred33", by: tuple[str, ...] = (), points: int = 512, bins: int = 4096) -> DataFrame:
     """Gaussian kernel density of the reads' mean scores at `points` places: quality, density.
 
     The bandwidth is 0.9 times the lesser of standard deviation and normalised quartile range, by the fifth root of n.
-    Scores are first counted in `bins` bins on the cluster, so a task sees the bins and not the reads; the grid reaches
-    three bandwidths beyond the data.  Fewer than two reads give one row of nulls.
+    Reads are counted by mean score first, so a task sees the different means of a group, and of more than 16 for each of
+    `bins` the bins; the grid reaches three bandwidths beyond the data.  Fewer than two reads give one row of nulls.
     """
-    m = reads.select(*by, mean_quality("qual", encoding).alias("m")).where("m is not null")
-    spread = m.groupBy(*by).agg(F.count("*").alias("size"), F.coalesce(F.stddev("m"), F.lit(0.0)).alias("sd"), F.percentile_approx("m", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000)).alias("q"), F.min("m").alias("low"), F.max("m").alias("high"))
-    place = F.least(F.floor((F.col("m") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-9)) * bins), F.lit(bins - 1))
-    # Groups are lanes or files: their table is small, and Spark chooses how to join it.
-    joined = m.join(spread, [*by]) if by else m.join(F.broadcast(spread), F.lit(True))
-    counted = joined.groupBy(*by, place.alias("bin"), "size", "sd", "q", "low", "high").agg(F.count("*").alias("n"), F.avg("m").alias("m"))
-    kinds = dict(reads.dtypes)
+    return density_of(mean_counts(reads, encoding, by), by, points, bins)
+
+
+def density_of(counts: DataFrame, by: tuple[str, ...] = (), points: int = 512, bins: int = 4096) -> DataFrame:
+    """quality_density() of mean_counts()."""
+    kinds = dict(counts.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "quality double", "density double"])
 
     def density(g: pd.DataFrame) -> pd.DataFrame:
         head = {c: g[c].iloc[0] for c in by}
-        size, sd = int(g["size"].iloc[0]), float(g["sd"].iloc[0])
+        g = g.sort_values("m")
+        at, n = g["m"].to_numpy(dtype=float), g["n"].to_numpy(dtype=float)
+        size = int(n.sum())
         if size < 2:
             return pd.DataFrame([{**head, "quality": None, "density": None}])
-        iqr = float(g["q"].iloc[0][1] - g["q"].iloc[0][0]) / 1.34
-        low = min(x for x in (sd, iqr) if x > 0) if sd > 0 or iqr > 0 else abs(float(g["m"].iloc[0])) or 1.0
+        sd = float(np.sqrt((n * (at - (n * at).sum() / size) ** 2).sum() / (size - 1)))
+        q25, q75 = at[np.searchsorted(np.cumsum(n), np.array([0.25, 0.75]) * size)]
+        iqr = float(q75 - q25) / 1.34
+        low = min(x for x in (sd, iqr) if x > 0) if sd > 0 or iqr > 0 else abs(float(at[0])) or 1.0
         width = 0.9 * low * size**-0.2
-        x = np.linspace(g["m"].min() - 3 * width, g["m"].max() + 3 * width, points)
-        at, n = g["m"].to_numpy(), g["n"].to_numpy()
+        x = np.linspace(at[0] - 3 * width, at[-1] + 3 * width, points)
+        if len(at) > 16 * bins:
+            place = np.minimum(((at - at[0]) / (at[-1] - at[0]) * bins).astype(int), bins - 1)
+            total, sums = np.bincount(place, n, bins), np.bincount(place, n * at, bins)
+            at, n = sums[total > 0] / total[total > 0], total[total > 0]
         y = np.zeros(points)
         for i in range(0, len(at), 512):
             y += (np.exp(-0.5 * ((x[:, None] - at[None, i : i + 512]) / width) ** 2) * n[None, i : i + 512]).sum(axis=1)
         return pd.DataFrame({**head, "quality": x, "density": y / (size * width * np.sqrt(2 * np.pi))})
 
-    return counted.groupBy(*by).applyInPandas(density, schema)
+    return counts.groupBy(*by).applyInPandas(density, schema)
 
 
 def tile_counts(reads: DataFrame, kept: Column | None = None, aligned: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:

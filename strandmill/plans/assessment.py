@@ -17,7 +17,7 @@ from ..functions.trim import adapter_bounds
 from ..operators import intervals as I
 from ..operators import summaries as A
 from ..operators.tables import exact_sample
-from ..sources.files import file_names
+from ..sources.files import file_names, scratch_folder
 from .queries import adapter_sql
 from .surrogate import CYCLES, READS, reads
 
@@ -33,12 +33,100 @@ def adapter_contamination(df: DataFrame, left: str = "", right: str = "", left_a
     return cut.groupBy(by).agg(F.avg((F.greatest(F.col("e") - F.col("s") + 1, F.lit(0)) < F.col("w") - least).cast("double")).alias("contamination"))
 
 
-def assess(df: DataFrame, by: str = "lane", kept: Column | None = None, aligned: Column | None = None, encoding: str = "phred33", sample: int | None = 1_000_000, top: int = 50, **adapters) -> Tables:
+_FACT = "struct<tag string, mask int, i int, s string, t string, x double>"
+
+
+def gather(df: DataFrame, by: str, kept: Column | None = None, aligned: Column | None = None, encoding: str = "phred33", left: str = "", right: str = "", left_allowed=0.1, right_allowed=0.2, least: int = 9, folders: list[str] | None = None) -> DataFrame:
+    """Counts that all tables but the depth are made of, in one pass over the reads: (tag, by, mask, i, s, t, x, n).
+
+    Each read gives its facts: a base and quality at each cycle, its sequence, mean score, tile and so on, with a mask of
+    whether it was kept (1) and aligned (2).  Equal facts are counted by partial sums and written once to the shared folder,
+    a folder for each tag.  folders: a list that learns its name.
+    """
+    flag = lambda c, bit: F.lit(0) if c is None else F.coalesce(c, F.lit(False)).cast("int") * bit
+    mask = flag(kept, 1) + flag(aligned, 2)
+    null = lambda kind: F.lit(None).cast(kind)
+    fact = lambda tag, i=None, s=None, t=None, x=None, m=None: F.struct(
+        F.lit(tag).alias("tag"), (F.lit(0) if m is None else m).alias("mask"), (null("int") if i is None else i.cast("int")).alias("i"), (null("string") if s is None else s).alias("s"), (null("string") if t is None else t).alias("t"), (null("double") if x is None else x.cast("double")).alias("x")
+    )
+    mean = A.mean_quality("qual", encoding)
+    mean = F.when(F.length("qual") > 1000, F.round(mean, 4)).otherwise(mean)
+    both = F.arrays_zip(A.letters("sread").alias("base"), A.letters("qual").alias("quality"))
+    one = [fact("sequence", s=F.col("sread"), m=F.col("_mask")), fact("mean", x=F.col("_mean"), m=F.col("_mask"))]
+    if left or right:
+        start, end = adapter_bounds("sread", left, right, left_allowed, right_allowed)
+        one.append(fact("adapter", i=F.greatest(end - start + 1, F.lit(0)) < F.length("sread") - least))
+    one += [fact("align_quality", x=F.col("align_quality"))] * ("align_quality" in df.columns)
+    one += [fact("n_match", i=F.col("n_match"))] * ("n_match" in df.columns)
+    one += [fact("tile", i=F.col("tile"), x=F.col("_mean"), m=F.col("_mask"))] * ("tile" in df.columns)
+    cycles = F.coalesce(F.transform(both, lambda x, k: fact("cycle", i=k + 1, s=x["base"], t=x["quality"])), F.array().cast(f"array<{_FACT}>"))
+    facts = df.withColumns({"_mask": mask, "_mean": mean}).select(by, F.explode(F.concat(F.array(*one), cycles)).alias("f")).select("f.tag", by, "f.mask", "f.i", "f.s", "f.t", "f.x")
+    folder = scratch_folder(df.sparkSession)
+    facts.groupBy("tag", by, "mask", "i", "s", "t", "x").agg(F.count("*").alias("n")).write.partitionBy("tag").parquet(folder)
+    if folders is not None:
+        folders.append(folder)
+    return df.sparkSession.read.schema(f"`{by}` {dict(df.dtypes)[by]}, mask int, i int, s string, t string, x double, n bigint, tag string").parquet(folder)
+
+
+def tables_of(facts: DataFrame, by: str, types: list[tuple[str, int]], top: int = 50, has: tuple[str, ...] = ()) -> Tables:
+    """The tables of assess() from gather()'s counts.  types: names and bits of the row types; has: optional columns."""
+    of = lambda tag: facts.where(F.col("tag") == tag)
+    typed = lambda df: df.withColumn("type", F.explode(F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(bit) == bit, name) for name, bit in types]))))
+    some = lambda bit: F.coalesce(F.sum(F.when(F.col("mask").bitwiseAND(bit) == bit, F.col("n"))), F.lit(0))
+    bits, group = {name: bit for name, bit in types}, (by, "type")
+    cycle = of("cycle").where("s is not null")
+    letters = cycle.groupBy(by).agg(*[F.coalesce(F.sum(F.when(F.col("s") == b, F.col("n"))), F.lit(0)).alias(b) for b in "ACGT"], F.coalesce(F.sum(F.when(~F.col("s").isin(*"ACGT"), F.col("n"))), F.lit(0)).alias("N"))
+    lanes = of("sequence").groupBy(by).agg(F.sum("n").alias("read"), *[(some(bits[c]) if c in bits else F.lit(None).cast("bigint")).alias(c) for c in ("filtered", "aligned")])
+    sequences = typed(of("sequence")).groupBy(*group, F.col("s").alias("sread")).agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "sread"))
+    qualities = of("cycle").where("t is not null")
+    out = {
+        "read_counts": lanes,
+        "base_calls": lanes.select(by).join(letters, by, "left").fillna(0, [*"ACGT", "N"]),
+        "read_quality": A.density_of(typed(of("mean").where("x is not null")).groupBy(*group, F.col("x").alias("m")).agg(F.sum("n").alias("n")), group),
+        "base_quality": qualities.groupBy(by, F.col("t").alias("quality")).agg(F.sum("n").alias("n")),
+        "frequent_sequences": sequences.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank"),
+        "sequence_distribution": sequences.groupBy(*group, F.col("n").alias("n_occurrences")).agg(F.count("*").alias("n_reads")),
+        "cycle_base_calls": cycle.groupBy(by, F.col("i").alias("cycle"), F.col("s").alias("base")).agg(F.sum("n").alias("n")),
+        "cycle_quality": qualities.groupBy(by, F.col("i").alias("cycle"), F.col("t").alias("quality")).agg(F.sum("n").alias("n")),
+    }
+    share = F.sum(F.col("i") * F.col("n")) / F.sum("n")
+    out["adapter_contamination"] = of("adapter").groupBy(by).agg(share.alias("contamination")) if "adapter" in has else lanes.select(by, F.lit(None).cast("double").alias("contamination"))
+    if "align_quality" in has:
+        out["align_quality"] = of("align_quality").groupBy(by, F.col("x").alias("align_quality")).agg(F.sum("n").alias("n"))
+    if "n_match" in has:
+        out["multiple_alignment"] = of("n_match").groupBy(by, F.col("i").alias("n_match")).agg(F.sum("n").alias("n"))
+    if "tile" in has:
+        mid = lambda bit: F.percentile(F.when(F.col("mask").bitwiseAND(bit) == bit, F.col("x")), F.lit(0.5), F.col("n"))
+        counts = [(some(bits[t]) if t in bits else F.lit(0).cast("bigint")).alias(f"n_{t}") for t in ("read", "filtered", "aligned")]
+        medians = [(mid(bits[t]) if t in bits else F.lit(None).cast("double")).alias(f"median_{t}") for t in ("read", "filtered", "aligned")]
+        out["tiles"] = of("tile").groupBy(by, F.col("i").alias("tile")).agg(*counts, *medians)
+    return out
+
+
+def assess_once(df: DataFrame, by: str = "lane", kept: Column | None = None, aligned: Column | None = None, encoding: str = "phred33", sample: int | None = 1_000_000, top: int = 50, folders: list[str] | None = None, **adapters) -> Tables:
+    """The tables of assess(), all counted in one pass over the sample when it is called; the depth is a plan of its own."""
+    some = exact_sample(df, sample, (by,)) if sample else df
+    types = [("read", 0)] + [(name, bit) for name, bit, c in (("filtered", 1, kept), ("aligned", 2, aligned)) if c is not None]
+    has = tuple(c for c in ("align_quality", "n_match", "tile") if c in df.columns) + (("adapter",) if adapters.get("left") or adapters.get("right") else ())
+    out = tables_of(gather(some, by, kept, aligned, encoding, folders=folders, **adapters), by, types, top, has)
+    out["cycle_quality"] = out["cycle_quality"].withColumn("score", F.ascii("quality") - A.offset(encoding))
+    if sample:
+        total = lambda c: F.lit(None).cast("bigint") if c is None else F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+        out["read_counts"] = df.groupBy(by).agg(F.count("*").alias("read"), total(kept).alias("filtered"), total(aligned).alias("aligned"))
+    if {"chromosome", "position", "strand"} <= set(df.columns):
+        out["depth"] = I.depth_histogram(some, by)
+    return out
+
+
+def assess(df: DataFrame, by: str = "lane", kept: Column | None = None, aligned: Column | None = None, encoding: str = "phred33", sample: int | None = 1_000_000, top: int = 50, once: bool = False, **adapters) -> Tables:
     """The tables of a run by lane.  Reads are first sampled to exactly `sample` of each lane; counts are of all reads.
 
     kept and aligned tell which reads passed the instrument's filter and which were aligned; tables that depend on it
-    have a row type: read, filtered or aligned.
+    have a row type: read, filtered or aligned.  once: count all tables now, in one pass, rather than each where it is used.
     """
+    if once:
+        return assess_once(df, by, kept, aligned, encoding, sample, top, **adapters)
     no = F.lit(None).cast("bigint")
     total = lambda c: no if c is None else F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
     counts = df.groupBy(by).agg(F.count("*").alias("read"), total(kept).alias("filtered"), total(aligned).alias("aligned"))
@@ -103,7 +191,7 @@ def assess_files(spark: SparkSession, path: str | list[str], pattern: str | None
     else:
         df = read_aligned(spark, path, pattern, kind, **(reading or {}))
         run = {"export": assess_export, "realign": assess_realign, "bowtie": assess_bowtie, "maq": assess_map, "maq_short": assess_map}.get(kind, assess_bowtie)
-    return run(df.withColumn("source", F.element_at(F.split("file", "/"), -1)), "source", **options)
+    return run(df.withColumn("source", F.element_at(F.split("file", "/"), -1)), "source", **{"once": True, **options})
 
 
 def file_details(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
@@ -264,7 +352,20 @@ _TYPED = ", typed AS (SELECT *, 'read' AS type FROM reads UNION ALL SELECT *, 'f
 _query("qa_frequent_sequences", _run("frequent_sequences"), _TYPED + " SELECT lane, type, sread, n FROM (SELECT *, row_number() OVER (PARTITION BY lane, type ORDER BY n DESC, sread) AS k FROM (SELECT lane, type, sread, count(*) AS n FROM typed GROUP BY 1, 2, 3)) WHERE k <= 50")
 _query("qa_sequence_distribution", _run("sequence_distribution"), _TYPED + " SELECT lane, type, n AS n_occurrences, count(*) AS n_reads FROM (SELECT lane, type, sread, count(*) AS n FROM typed GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
 _query("qa_align_quality", _run("align_quality"), "SELECT lane, align_quality, count(*) AS n FROM reads GROUP BY 1, 2")
-_query("qa_read_quality", _run("read_quality"))
+_DENSE = """, typed AS (SELECT lane, 'read' AS type, qual FROM reads UNION ALL SELECT lane, 'filtered', qual FROM reads WHERE align_quality >= 10 UNION ALL SELECT lane, 'aligned', qual FROM reads WHERE position IS NOT NULL),
+ q AS (SELECT lane, type, CAST(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS double) / length(qual) AS m FROM typed),
+ g AS (SELECT lane, type, count(*) AS n, stddev_samp(m) AS sd, (quantile_disc(m, 0.75) - quantile_disc(m, 0.25)) / 1.34 AS iqr, min(m) AS lo, max(m) AS hi FROM q GROUP BY 1, 2),
+ w AS (SELECT *, 0.9 * least(sd, iqr) * pow(n, -0.2) AS h FROM g), v AS (SELECT lane, type, m, count(*) AS k FROM q GROUP BY 1, 2, 3),
+ p AS (SELECT *, lo - 3 * h + i * (hi - lo + 6 * h) / 511 AS x FROM w, (SELECT unnest(range(0, 512)) AS i))
+ SELECT p.lane, p.type, i, round(any_value(x), 6) AS quality, round(sum(k * exp(-0.5 * pow((x - m) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM p JOIN v ON v.lane = p.lane AND v.type = p.type GROUP BY 1, 2, 3"""
+
+
+def _densities(r: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("lane", "type").orderBy("quality")) - 1
+    return _run("read_quality")(r).select("lane", "type", place.cast("bigint").alias("i"), F.round("quality", 6).alias("quality"), F.round("density", 6).alias("density"))
+
+
+_query("qa_read_quality", _densities, _DENSE)
 _DEPTH = """, once AS (SELECT lane, chromosome, position AS s, position + length(sread) - 1 AS e FROM (SELECT *, row_number() OVER (PARTITION BY lane, chromosome, strand, position ORDER BY row_ix) AS k FROM reads WHERE chromosome IS NOT NULL AND position IS NOT NULL) WHERE k = 1),
  spots AS (SELECT lane, chromosome, p, count(*) AS coverage FROM once, (SELECT unnest(range(1, 540)) AS p) WHERE p BETWEEN s AND e GROUP BY 1, 2, 3), dp AS (SELECT lane, coverage, count(*) AS count FROM spots GROUP BY 1, 2)
  SELECT lane, coverage, count, CAST(sum(count) OVER (PARTITION BY lane ORDER BY coverage) AS double) / CAST(sum(count) OVER (PARTITION BY lane) AS double) AS cumulative FROM dp"""
@@ -306,3 +407,22 @@ _query("summary_frequent_sequence", _summary(frequent_sequence(7)), " SELECT lan
 _query("summary_nucleotide_by_cycle", _summary(nucleotide_by_cycle()), _CYCLE + " SELECT lane AS source, cycle, base AS letter, count(*) AS n FROM cycles GROUP BY 1, 2, 3")
 _query("summary_quality_by_cycle", _summary(quality_by_cycle()), _CYCLE + " SELECT lane AS source, cycle, CAST(sum(ascii(quality) - 33) AS double) / count(*) AS mean, " + ", ".join(f"CAST(quantile_cont(ascii(quality) - 33, {q}) AS double) AS q{int(100 * q)}" for q in (0.25, 0.5, 0.75)) + " FROM cycles GROUP BY 1, 2")
 _query("summary_adapters", _summary(adapters("ACGTACGTACGT", "TTGGCCAATTGG", 0)), ", " + adapter_sql("ACGTACGTACGT", "TTGGCCAATTGG", 0.1, 0.2) + " SELECT lane AS source, avg(CAST(greatest(e - s + 1, 0) < length(sread) AS int)) AS contamination FROM ends GROUP BY 1")
+
+
+def _once(name: str) -> Callable[[DataFrame], DataFrame]:
+    """A table of the assessment that counts all of them in one pass."""
+    return lambda r: assess_once(r, kept=F.col("align_quality") >= 10, aligned=F.col("position").isNotNull(), sample=None, left="ACGTACGTACGT", right="TTGGCCAATTGG", left_allowed=0.3, right_allowed=0.3, least=2)[name]
+
+
+for _name in ("read_counts", "frequent_sequences", "sequence_distribution", "align_quality"):
+    _query(f"once_{_name}", _once(_name), ORACLES[f"qa_{_name}"].removeprefix(f"WITH {READS}"))
+_query("once_adapter_contamination", _once("adapter_contamination"), ORACLES["adapter_contamination"].removeprefix(f"WITH {READS}"))
+_query("once_base_calls", _once("base_calls"), _CYCLE + " SELECT lane, " + ", ".join(f"count(*) FILTER (base = '{b}') AS \"{b}\"" for b in "ACGT") + ", count(*) FILTER (base NOT IN ('A', 'C', 'G', 'T')) AS \"N\" FROM cycles GROUP BY 1")
+_query("once_cycle_quality", _once("cycle_quality"), _CYCLE + " SELECT lane, cycle, quality, ascii(quality) - 33 AS score, count(*) AS n FROM cycles GROUP BY 1, 2, 3")
+_query("once_cycle_base_calls", _once("cycle_base_calls"), _CYCLE + " SELECT lane, cycle, base, count(*) AS n FROM cycles GROUP BY 1, 2, 3")
+_query(
+    "once_tiles",
+    _once("tiles"),
+    """, q AS (SELECT lane, tile, align_quality >= 10 AS kept, position IS NOT NULL AS placed, CAST(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS double) / length(qual) AS m FROM reads)
+ SELECT lane, tile, count(*) AS n_read, count(*) FILTER (kept) AS n_filtered, count(*) FILTER (placed) AS n_aligned, quantile_cont(m, 0.5) AS median_read, quantile_cont(m, 0.5) FILTER (kept) AS median_filtered, quantile_cont(m, 0.5) FILTER (placed) AS median_aligned FROM q GROUP BY 1, 2""",
+)

@@ -254,3 +254,13 @@ def sampler_draw(r: DataFrame) -> DataFrame:
     sampler = Sampler(r.select("row_ix", "id"), 700)
     out = sampler.draw()
     return out.agg(F.count("*").alias("n"), F.countDistinct("row_ix").alias("numbers")).withColumn("added", F.lit(sampler.status()["added"]).cast("bigint"))
+
+
+@_query("fastq_aside", "SELECT id, CASE WHEN row_ix % 7 = 0 THEN 'sequence and quality differ in width' WHEN row_ix % 11 = 0 THEN 'letter of no nucleotide' END AS reason FROM reads")
+def fastq_aside(r: DataFrame) -> DataFrame:
+    """Records with a letter too many, or one that is no base, beside the good ones."""
+    seven, eleven = F.col("row_ix") % 7 == 0, F.col("row_ix") % 11 == 0
+    spoilt = r.withColumns({"sread": F.when(seven, F.concat("sread", F.lit("A"))).when(eleven, F.concat(F.lit("X"), F.substring("sread", 2, 99))).otherwise(F.col("sread"))})
+    good, bad = fastq.read_fastq_aside(r.sparkSession, written(spoilt, sinks.fastq_record()))
+    bad = bad.select(F.substring(F.substring_index("lines", "\n", 1), 2, 99).alias("id"), "reason")
+    return good.select("id", F.lit(None).cast("string").alias("reason")).unionByName(bad)

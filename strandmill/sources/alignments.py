@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import one_of
+from ..errors import InputError, one_of, raised
 from ..functions.sequence import reverse_complement
 from .delimited import dna, field, fields
 from .files import file_names
@@ -31,12 +31,12 @@ def forward(c: Column) -> Column:
 
 def signed(c: Column) -> Column:
     """+ and - as they are, nothing as unknown; anything else is an error."""
-    return F.when(c.isin("+", "-"), c).when(c.isNull() | (c == ""), F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("unknown strand: "), c)))
+    return F.when(c.isin("+", "-"), c).when(c.isNull() | (c == ""), F.lit(None)).otherwise(raised(InputError, "unknown strand: ", c))
 
 
 def _checked(rows: DataFrame, n: int) -> DataFrame:
-    wrong = F.concat(F.lit("wrong number of fields in "), "file", F.lit(", line "), F.col("line_no").cast("string"))
-    return rows.withColumn("f", F.when(F.size("f") == n, F.col("f")).otherwise(F.raise_error(wrong)))
+    wrong = raised(InputError, "wrong number of fields in ", F.col("file"), ", line ", F.col("line_no").cast("string"))
+    return rows.withColumn("f", F.when(F.size("f") == n, F.col("f")).otherwise(wrong))
 
 
 def _turned(df: DataFrame) -> DataFrame:
@@ -130,6 +130,28 @@ def read_aligned(spark: SparkSession, path: str | list[str], pattern: str | None
     return keep(out) if keep else out
 
 
+#: Of each text format: how lines are split, how many fields they have, and which of them is the position and the strand.
+LINES = {
+    "export": ("\t", None, "#", (22, 22), 13, None), "align": ("", None, "#", (3, 7), None, None), "prealign": ("", None, "#", (3, 7), None, None), "realign": ("", None, "#", (3, 7), None, None),
+    "result": ("\t", None, "#", (9, 12), 8, None), "mapview": ("\t", None, "", (16, 16), 3, 4), "bowtie": ("\t", None, "", (7, 8), 4, 2), "soap": ("\t", 11, "", (10, 11), 9, 7),
+}
+
+
+def read_aligned_aside(spark: SparkSession, path: str | list[str], pattern: str | None = None, kind: str = "export", **options) -> tuple[DataFrame, DataFrame]:
+    """Alignments as read_aligned() gives them but for malformed lines, and these: (file, line, row_ix, reason, value)."""
+    one_of(kind, LINES, "kind")
+    sep, n, comment, (least, most), position, strand = LINES[kind]
+    rows = fields(spark, file_names(path, pattern), sep, n, comment)
+    reason = F.when(~F.size("f").between(least, most), "wrong number of fields")
+    if position is not None:
+        reason = reason.when((F.trim(field(position)) != "") & field(position, "int").isNull(), "position is no number")
+    if strand is not None:
+        reason = reason.when(~field(strand).isin("+", "-", ""), "unknown strand")
+    rows = rows.withColumn("reason", reason)
+    bad = rows.where("reason is not null").select("file", F.col("line_no").alias("line"), "row_ix", "reason", F.array_join("f", sep or " ").alias("value"))
+    return FORMATS[kind](spark, rows.where("reason is null").drop("reason"), **options), bad
+
+
 def mismatch_scores(alignments: DataFrame, encoding: str = "phred33") -> DataFrame:
     """Mismatches listed as place:change or place, with `n_mismatch` and the sum of the qualities there (null if none)."""
     from ..functions.quality import offset

@@ -15,12 +15,14 @@ def dna(c) -> Column:
     return F.translate(F.upper(c), ".", "-")
 
 
-def fields(spark: SparkSession, files: list[str], sep: str, n: int | None = None, comment: str = "#") -> DataFrame:
+def fields(spark: SparkSession, files: list[str] | DataFrame, sep: str, n: int | None = None, comment: str = "#") -> DataFrame:
     """Lines (file, file_no, line_no, row_ix, f) split at any character of `sep` ('' is any white space); comments are left
     out.  row_ix is a line's number over all files, line_no that in its own.
 
-    n: the last of n fields takes what is left.
+    n: the last of n fields takes what is left.  files may be such a table of lines already.
     """
+    if isinstance(files, DataFrame):
+        return files
     lines = numbered(located_lines(spark, files), files).where(F.trim("value") != "")
     if comment:
         lines = lines.where(~F.col("value").startswith(comment))

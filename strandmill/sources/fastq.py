@@ -7,15 +7,17 @@ brought together by record number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InputError, warn
+from ..errors import InputError, raised, warn
 from ..functions.quality import infer_encoding
+from ..schema import DNA
 from .files import Places, file_names, located_lines
 
 _FIELDS = "file string, row_ix bigint, part int, id string, sread string, plus string, qual string"
@@ -26,13 +28,51 @@ def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None =
     the order of the paths given.
 
     The third line is ignored; dots in sequences become dashes, letters are raised.  A file whose last record is not
-    whole, an empty id line, or a sequence and qualities of different widths are errors.  keep: a filter that is applied to the reads.
+    whole, an empty id line, or a sequence and qualities of different widths are errors.  keep: a filter that is applied to
+    the reads.
     """
-    files = file_names(path, pattern) if names else path
+    reads = _records(spark, file_names(path, pattern) if names else path, True)
+    title = F.when(F.length(F.rtrim("id")) == 0, raised(InputError, "unexpected empty line in file ", F.col("file"))).otherwise(F.substring(F.rtrim("id"), 2, 1 << 30))
+    wide = raised(InputError, "sequence and quality differ in width in file ", F.col("file"), ", record ", F.col("row_ix").cast("string"))
+    qual = F.when(F.length(_tidy("qual")) != F.length(_tidy("sread")), wide).otherwise(_tidy("qual"))
+    out = reads.select("file", "row_ix", (title if with_ids else F.lit("")).alias("id"), _bases().alias("sread"), qual.alias("qual"))
+    return keep(out) if keep else out
+
+
+def read_fastq_aside(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reads as read_fastq() gives them but for malformed records, and these: (file, record in the file, row_ix, reason, lines).
+
+    A lost or added line moves all records behind it in its file, which then are malformed too.
+    """
+    rows = _records(spark, file_names(path, pattern), False)
+    reason = (
+        F.when(F.col("id").isNull() | F.col("sread").isNull() | F.col("plus").isNull() | F.col("qual").isNull(), "record is not whole")
+        .when(F.length(F.rtrim("id")) == 0, "empty id line").when(~F.col("id").startswith("@"), "id line does not begin with @").when(~F.col("plus").startswith("+"), "third line does not begin with +")
+        .when(F.length(_tidy("sread")) != F.length(_tidy("qual")), "sequence and quality differ in width").when(~F.upper(_tidy("sread")).rlike(f"^[{re.escape(DNA)}]*$"), "letter of no nucleotide")
+    )
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null").select("file", "row_ix", F.substring(F.rtrim("id"), 2, 1 << 30).alias("id"), _bases().alias("sread"), _tidy("qual").alias("qual"))
+    lines = F.concat_ws("\n", "id", "sread", "plus", "qual")
+    bad = rows.where("reason is not null").select("file", "row_ix", "reason", lines.alias("lines"))
+    firsts = rows.groupBy("file").agg(F.min("row_ix").alias("_first"))
+    return good, bad.join(F.broadcast(firsts), "file").select("file", (F.col("row_ix") - F.col("_first") + 1).alias("record"), "row_ix", "reason", "lines")
+
+
+def _tidy(c: str) -> Column:
+    return F.regexp_replace(c, "[\\r\\s]+$", "")
+
+
+def _bases() -> Column:
+    return F.translate(F.upper(_tidy("sread")), ".", "-")
+
+
+def _records(spark: SparkSession, files: str | list[str], whole: bool) -> DataFrame:
+    """The four lines of each record (file, row_ix, id, sread, plus, qual) as they are.  whole: a file that ends within one is
+    an error; else that record has nulls."""
     lines = located_lines(spark, files)
-    places = Places(lines, files)
+    places = Places(lines, files, 4)
     for file, n in places.totals().items():
-        if n % 4:
+        if n % 4 and whole:
             raise InputError(f"unexpected number of lines in file '{file}'")
     before = spark.sparkContext.broadcast(places)
 
@@ -47,27 +87,20 @@ def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None =
             head = min(-at % 4, len(values))
             if head:
                 yield from _edges(key, at, values[:head])
-            whole = (len(values) - head) // 4
-            if whole:
-                take = lambda k: values.take(pa.array(head + k + 4 * np.arange(whole)))
-                ix = pa.array((at + head) // 4 + 1 + np.arange(whole), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * whole), ix, pa.nulls(whole, pa.int32()), *(take(k) for k in range(4))], _names())
-            at += head + 4 * whole
-            rest = values[head + 4 * whole :]
+            full = (len(values) - head) // 4
+            if full:
+                take = lambda k: values.take(pa.array(head + k + 4 * np.arange(full)))
+                ix = pa.array((at + head) // 4 + 1 + np.arange(full), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * full), ix, pa.nulls(full, pa.int32()), *(take(k) for k in range(4))], _names())
+            at += head + 4 * full
+            rest = values[head + 4 * full :]
         if len(rest):
             yield from _edges(key, at, rest)
 
     pieces = lines.mapInArrow(assemble, _FIELDS)
-    whole = pieces.where("part is null")
-    edges = pieces.where("part is not null").groupBy("file", "row_ix").agg(*[F.max(c).alias(c) for c in ("id", "sread", "plus", "qual")])
-    cols = ["file", "row_ix", "id", "sread", "qual"]
-    reads = whole.select(*cols).unionByName(edges.select(*cols))
-    checked = F.when(F.length(F.rtrim("id")) == 0, F.raise_error(F.concat(F.lit("unexpected empty line in file "), "file"))).otherwise(F.substring(F.rtrim("id"), 2, 1 << 30))
-    tidy = lambda c: F.regexp_replace(c, "[\\r\\s]+$", "")
-    wide = F.concat(F.lit("sequence and quality differ in width in file "), "file", F.lit(", record "), F.col("row_ix").cast("string"))
-    qual = F.when(F.length(tidy("qual")) != F.length(tidy("sread")), F.raise_error(wide)).otherwise(tidy("qual"))
-    out = reads.select("file", "row_ix", (checked if with_ids else F.lit("")).alias("id"), F.translate(F.upper(tidy("sread")), ".", "-").alias("sread"), qual.alias("qual"))
-    return keep(out) if keep else out
+    cols = ["file", "row_ix", "id", "sread", "plus", "qual"]
+    edges = pieces.where("part is not null").groupBy("file", "row_ix").agg(*[F.max(c).alias(c) for c in cols[2:]])
+    return pieces.where("part is null").select(*cols).unionByName(edges.select(*cols))
 
 
 def _names() -> list[str]:

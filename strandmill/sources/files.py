@@ -113,7 +113,8 @@ class Places:
     changed, it meets a block that is unknown or has another number of lines; that is an error, never a wrong place.
     """
 
-    def __init__(self, lines: DataFrame, given: str | list[str] = ()):
+    def __init__(self, lines: DataFrame, given: str | list[str] = (), step: int = 1):
+        """given: the paths, for the order of files.  step: each file counts as so many lines or a multiple of them."""
         counts = lines.groupBy("file", "block", "span").agg(F.count("*").alias("n")).toArrow().sort_by([("file", "ascending"), ("block", "ascending")])
         self.files: dict[str, tuple[np.ndarray, ...]] = {}
         if counts.num_rows:
@@ -128,7 +129,7 @@ class Places:
         before = 0
         for k, file in enumerate(in_order(list(self.files), given)):
             self.order[file] = k, before
-            before += int(self.files[file][2].sum())
+            before += -(-int(self.files[file][2].sum()) // step) * step
 
     def totals(self) -> dict[str, int]:
         return {f: int(n.sum()) for f, (_, _, n, _) in self.files.items()}

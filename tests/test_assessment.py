@@ -1,5 +1,7 @@
 """Quality assessment, flags and reports."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,28 @@ def test_files(spark, tmp_path):
 def test_fences():
     assert Q.fences([1, 2, 3, 4, 100]) == (-1, 7)
     assert Q.fences([5]) == (5, 5)
+
+
+def test_one_pass_counts_all_tables(spark):
+    """All tables of a run from one pass over the reads, equal to those that are counted one by one."""
+    rnd = random.Random(4)
+    rows = [(i, f"l{i % 3}", i % 4 + 1, "".join(rnd.choice("ACGTN") for _ in range(i % 7)), "".join(chr(33 + rnd.randint(0, 40)) for _ in range(i % 7)), float(i % 5) if i % 9 else None, i % 2 if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_ix bigint, lane string, tile int, sread string, qual string, align_quality double, n_match int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kept, aligned = F.col("align_quality") >= 2, F.col("n_match") == 1
+    folders = []
+    once = Q.assess_once(df.mapInArrow(count, df.schema), "lane", kept, aligned, sample=None, folders=folders, left="ACG", least=1)
+    want = Q.assess(df, "lane", kept, aligned, sample=None, left="ACG", least=1)
+    assert set(once) == set(want)
+    for name in want:
+        assert sorted(once[name].columns) == sorted(want[name].columns), name
+        cols = sorted(want[name].columns)
+        plain = lambda t: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in t.select(*cols).collect())  # noqa: B023, E731
+        assert plain(once[name]) == plain(want[name]), name
+    assert seen.value == 400 and len(folders) == 1
