@@ -264,3 +264,47 @@ def fastq_aside(r: DataFrame) -> DataFrame:
     good, bad = fastq.read_fastq_aside(r.sparkSession, written(spoilt, sinks.fastq_record()))
     bad = bad.select(F.substring(F.substring_index("lines", "\n", 1), 2, 99).alias("id"), "reason")
     return good.select("id", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+
+
+def _sign(plus: str, minus: str) -> Column:
+    return F.when(F.col("strand") == "+", plus).otherwise(minus)
+
+
+@_query("source_export", "SELECT concat('M_1:', CAST(tile AS varchar), ':', CAST(tile AS varchar), ':', CAST(row_ix AS varchar), ':7') AS id, sread, qual, chromosome, position, strand, align_quality, tile, CAST(row_ix AS int) AS x, CASE WHEN tile > 3 THEN 'Y' ELSE 'N' END AS filtering FROM reads")
+def source_export(r: DataFrame) -> DataFrame:
+    """All reads, also those without a place."""
+    line = _tabs(F.lit("M"), F.lit(1), F.col("tile"), F.col("tile"), F.col("row_ix"), F.lit(7), F.lit("AC"), F.lit(1), F.col("sread"), F.col("qual"), F.col("chromosome"), F.lit(""), F.col("position"), _sign("F", "R"), F.lit("d"), F.col("align_quality").cast("int"), *[F.lit("")] * 5, F.when(F.col("tile") > 3, "Y").otherwise("N"))
+    out = alignments.read_aligned(r.sparkSession, written(r, line), kind="export", with_id=True)
+    return out.select("id", "sread", "qual", "chromosome", "position", "strand", "align_quality", "tile", "x", "filtering")
+
+
+@_query("source_realign", """SELECT sread, CASE WHEN position IS NOT NULL THEN replace(chromosome, ' ', '_') END AS chromosome, CASE WHEN chromosome IS NOT NULL THEN position END AS position,
+    CASE WHEN chromosome IS NOT NULL AND position IS NOT NULL THEN strand END AS strand, align_quality, CASE WHEN chromosome IS NOT NULL AND position IS NOT NULL THEN 1 ELSE 0 END AS n_match, CASE WHEN chromosome IS NOT NULL AND position IS NOT NULL THEN 3 END AS next_best_align_quality FROM reads""")
+def source_realign(r: DataFrame) -> DataFrame:
+    """Lines of seven fields for reads with a place, of three for others."""
+    score, place = F.col("align_quality").cast("int").cast("string"), F.concat_ws(":", F.replace("chromosome", F.lit(" "), F.lit("_")), F.col("position").cast("string"))
+    hit = F.concat_ws(" ", "sread", score, F.lit("1"), place, _sign("F", "R"), "sread", F.lit("3"))
+    line = F.when(F.col("chromosome").isNotNull() & F.col("position").isNotNull(), hit).otherwise(F.concat_ws(" ", "sread", score, F.lit("0")))
+    return alignments.read_aligned(r.sparkSession, written(r, line), kind="realign").select("sread", "chromosome", "position", "strand", "align_quality", "n_match", "next_best_align_quality")
+
+
+@_query("source_result", "SELECT sread, chromosome, position, strand, 'U1' AS match_code, tile AS n_one_mismatch, CASE WHEN tile > 4 THEN '3A' ELSE '' END AS mismatch_one FROM reads")
+def source_result(r: DataFrame) -> DataFrame:
+    line = _tabs(F.col("id"), F.col("sread"), F.lit("U1"), F.lit(0), F.col("tile"), F.lit(0), F.col("chromosome"), F.col("position"), _sign("F", "R"), F.lit("."), F.when(F.col("tile") > 4, "3A").otherwise(""), F.lit(""))
+    return alignments.read_aligned(r.sparkSession, written(r, line), kind="result").select("sread", "chromosome", "position", "strand", "match_code", "n_one_mismatch", "mismatch_one")
+
+
+@_query("source_mapview", "SELECT id, sread, qual, coalesce(chromosome, '*') AS chromosome, position, strand, align_quality, tile AS n_mismatch_best FROM reads")
+def source_mapview(r: DataFrame) -> DataFrame:
+    line = _tabs(F.col("id"), F.coalesce("chromosome", F.lit("*")), F.col("position"), F.col("strand"), *[F.lit(0)] * 2, F.col("align_quality").cast("int"), *[F.lit(0)] * 2, F.col("tile"), *[F.lit(0)] * 3, F.length("sread"), F.col("sread"), F.col("qual"))
+    return alignments.read_aligned(r.sparkSession, written(r, line), kind="mapview").select("id", "sread", "qual", "chromosome", "position", "strand", "align_quality", "n_mismatch_best")
+
+
+@_query("source_intensities", "SELECT row_ix AS place, CAST(tile + 1 AS double) AS first, CAST(3 * tile + 4 AS double) AS last, CAST(24 * tile + 30 AS double) AS total FROM reads")
+def source_intensities(r: DataFrame) -> DataFrame:
+    """Three cycles of four values in a text file; x tells the row."""
+    cycles = [F.concat_ws(" ", *[(F.col("tile") * c + b).cast("string") for b in range(1, 5)]) for c in range(1, 4)]
+    line = _tabs(F.lit(1), F.col("tile"), F.col("row_ix"), F.lit(7), *cycles)
+    rows = delimited.read_intensity_text(r.sparkSession, written(r, line))
+    total = F.aggregate(F.flatten("intensity"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("x").cast("bigint").alias("place"), F.col("intensity")[0][0].alias("first"), F.col("intensity")[2][3].alias("last"), total.alias("total"))
