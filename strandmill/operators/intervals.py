@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch, one_of
-from .filters import occurrence_filter
 
 #: Positions in one bin, for two-level sums and for the overlap join.
 BIN = 1 << 20
@@ -61,30 +60,35 @@ def coverage(alignments: DataFrame, shift: dict[str, int] | None = None, width:
     steps = steps.unionByName(edges).groupBy("chromosome", "at").agg(F.sum("d").cast("bigint").alias("d"))
     last = steps.groupBy("chromosome").agg(F.max("at").alias("stop")).alias("l")
     steps = steps.alias("s").join(last, F.col("s.chromosome") == F.col("l.chromosome")).where("d <> 0 or at = 1 or at = stop").select("s.*").withColumn("bin", F.floor(F.col("at") / BIN))
-    bins = steps.groupBy("chromosome", "bin").agg(F.sum("d").alias("total"), F.min("at").alias("first"))
-    over = Window.partitionBy("chromosome").orderBy("bin")
-    bins = bins.select("chromosome", "bin", F.coalesce(F.sum("total").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("first").over(over).alias("next"))
-    inner = Window.partitionBy("chromosome", "bin").orderBy("at")
+    return _runs(steps, ["chromosome"])
+
+
+def _runs(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs (keys, start, end, depth) between steps (keys, at, d, bin) of the depth; sums go by bins first."""
+    bins = steps.groupBy(*keys, "bin").agg(F.sum("d").alias("total"), F.min("at").alias("first"))
+    over = Window.partitionBy(*keys).orderBy("bin")
+    bins = bins.select(*keys, "bin", F.coalesce(F.sum("total").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("first").over(over).alias("next"))
+    inner = Window.partitionBy(*keys, "bin").orderBy("at")
     depth = F.col("base") + F.sum("d").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     until = F.coalesce(F.lead("at").over(inner), F.col("next"))
-    runs = steps.join(bins, ["chromosome", "bin"]).select("chromosome", F.col("at").alias("start"), (until - 1).alias("end"), depth.alias("depth"))
+    runs = steps.join(bins, [*keys, "bin"]).select(*keys, F.col("at").alias("start"), (until - 1).alias("end"), depth.alias("depth"))
     return runs.where("end >= start")
 
 
 def depth_histogram(alignments: DataFrame, by: str | None = None) -> DataFrame:
     """Bases (`count`) at each depth above zero, and their cumulative share; of reads at one place and strand the first counts."""
     placed = alignments.where("position is not null and chromosome is not null")
-    if by is not None:
-        # A lane's chromosomes are apart from another's.
-        placed = placed.withColumn("chromosome", F.concat_ws("\0", by, "chromosome"))
-    once = occurrence_filter(with_read=False)(placed)
-    runs = coverage(once).where("depth > 0")
-    lane = F.substring_index("chromosome", "\0", 1) if by is not None else F.lit("all")
-    counts = runs.groupBy(lane.alias(by or "lane"), F.col("depth").alias("coverage")).agg(F.sum(F.col("end") - F.col("start") + 1).cast("bigint").alias("count"))
-    over = Window.partitionBy(by or "lane")
+    keys = ["chromosome"] if by is None else [by, "chromosome"]
+    # Of each place and strand the first read, by partial minima.
+    once = placed.groupBy(*keys, "position", "strand").agg(F.min_by(F.length("sread"), "row_ix").alias("width"))
+    start, end = F.greatest(F.col("position"), F.lit(1)).cast("bigint"), (F.col("position") + F.col("width")).cast("bigint")
+    change = F.inline(F.array(F.struct(start.alias("at"), F.lit(1).alias("d")), F.struct(end.alias("at"), F.lit(-1).alias("d"))))
+    steps = once.where(end > start).select(*keys, change).groupBy(*keys, "at").agg(F.sum("d").cast("bigint").alias("d")).where("d <> 0")
+    runs = _runs(steps.withColumn("bin", F.floor(F.col("at") / BIN)), keys).where("depth > 0")
+    counts = runs.groupBy(*keys[:-1], F.col("depth").alias("coverage")).agg(F.sum(F.col("end") - F.col("start") + 1).cast("bigint").alias("count"))
+    over = Window.partitionBy(*keys[:-1] or [F.lit(1)])
     upto = over.orderBy("coverage").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("cumulative", F.sum("count").over(upto) / F.sum("count").over(over))
-    return counts if by is not None else counts.drop("lane")
+    return counts.withColumn("cumulative", F.sum("count").over(upto) / F.sum("count").over(over))
 
 
 def _binned(df: DataFrame, start: Column, end: Column, size: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +19,20 @@ SLOTS = 4096
 
 def append(first: DataFrame, *others: DataFrame) -> DataFrame:
     """All rows of tables with the same columns and labels; row_ix goes on where the last table ends."""
-    out, behind = first, None
     for df in others:
         if dict(df.dtypes) != dict(first.dtypes):
             raise IncompatibleTypes("tables differ in their columns")
         if labels_of(df) != labels_of(first):
             raise ValidityError("tables differ in their column labels")
-        if "row_ix" in first.columns:
-            behind = (behind or 0) + ((out if behind is None else before).agg(F.coalesce(F.max("row_ix"), F.lit(0))).first()[0])
-            before = df
-            df = df.withColumn("row_ix", F.col("row_ix") + behind)
-        out = out.unionByName(df)
-    return out
+    every, behind = [first, *others], [0] * (1 + len(others))
+    if "row_ix" in first.columns and others:
+        # One job gives the largest number of each table but the last.
+        ends = [df.agg(F.coalesce(F.max("row_ix"), F.lit(0)).cast("bigint").alias("end")).withColumn("k", F.lit(k)) for k, df in enumerate(every[:-1])]
+        for r in reduce(lambda a, b: a.unionByName(b), ends).collect():
+            for k in range(r["k"] + 1, len(every)):
+                behind[k] += r["end"]
+        every = [df.withColumn("row_ix", F.col("row_ix") + n) if n else df for df, n in zip(every, behind)]
+    return reduce(lambda a, b: a.unionByName(b), every)
 
 
 def zip_rows(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("file", "row_ix")) -> DataFrame:
