@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..errors import ArgumentMismatch, IncompatibleTypes, ValidityError
+from ..errors import ArgumentMismatch, IncompatibleTypes, ValidityError, ValueUnavailable
 from ..schema import labels_of
 
 SLOTS = 4096
@@ -160,3 +160,23 @@ def intensity_long(df: DataFrame) -> DataFrame:
     bases = F.array([F.lit(b) for b in "ACGT"])
     cycles = df.select("row_ix", F.posexplode("intensity").alias("c", "v"))
     return cycles.select("row_ix", (F.col("c") + 1).alias("cycle"), F.posexplode("v").alias("b", "value")).select("row_ix", "cycle", F.element_at(bases, F.col("b") + 1).alias("base"), "value")
+
+
+def read_info(df: DataFrame) -> DataFrame:
+    """Where each read of a table of intensities comes from."""
+    return df.select(*[c for c in ("file", "row_ix", "lane", "tile", "x", "y") if c in df.columns])
+
+
+def measurement_error(df: DataFrame) -> DataFrame:
+    """The errors of a table of intensities, which it may lack."""
+    if "error" not in df.columns:
+        raise ValueUnavailable("these intensities have no measurement errors")
+    return df.select("row_ix", F.col("error"))
+
+
+def intensity_shape(df: DataFrame) -> tuple[int, int, int]:
+    """Reads, bases and cycles; all reads have the same number of cycles."""
+    row = df.agg(F.count("*").alias("reads"), F.min(F.size("intensity")).alias("least"), F.max(F.size("intensity")).alias("most")).first()
+    if row["least"] != row["most"]:
+        raise ValidityError(f"reads have from {row['least']} to {row['most']} cycles")
+    return row["reads"], 4, row["most"] or 0

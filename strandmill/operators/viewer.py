@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch
 from .intervals import coverage_frames, coverage_window
@@ -39,6 +40,11 @@ class RangeView:
     functions: list[ViewFunction] = field(default_factory=lambda: list(FUNCTIONS))
     groups: dict[str, str] | None = None
     ignore_strand: bool = False
+    #: Features (name, chromosome, start, end) that are shown with the depth, and the name of a function chosen by hand.
+    track: DataFrame | None = None
+    chosen: str | None = None
+    #: The views before this one, the first of all first.
+    earlier: list[RangeView] = field(default_factory=list, repr=False)
 
     def __post_init__(self) -> None:
         if self.end - self.start + 1 < LEAST or self.start < 1:
@@ -48,12 +54,37 @@ class RangeView:
     def function(self) -> ViewFunction:
         width = self.end - self.start + 1
         for f in self.functions:
+            if self.chosen is not None and f.name != self.chosen:
+                continue
             if f.limits[0] <= width <= f.limits[1]:
                 return f
         raise ArgumentMismatch(f"no function draws {width} bases")
 
     def over(self, start: int, end: int) -> RangeView:
-        return RangeView(self.files, self.chromosome, start, end, self.functions, self.groups, self.ignore_strand)
+        return replace(self, start=start, end=end, earlier=[*self.earlier, self])
+
+    def back(self) -> RangeView:
+        """The view before the last change; the first one stays."""
+        return self.earlier[-1] if self.earlier else self
+
+    def restore(self) -> RangeView:
+        """The view that all began with."""
+        return self.earlier[0] if self.earlier else self
+
+    def switch(self, name: str | None) -> RangeView:
+        """Drawn by a function of that name, or again by the one that the width chooses."""
+        if name is not None and name not in {f.name for f in self.functions}:
+            raise ArgumentMismatch(f"there is no function '{name}'")
+        out = replace(self, chosen=name, earlier=[*self.earlier, self])
+        assert out.function
+        return out
+
+    def features(self) -> DataFrame | None:
+        """The track's features that meet the range, cut to it."""
+        if self.track is None:
+            return None
+        near = self.track.where((F.col("chromosome") == self.chromosome) & (F.col("start") <= self.end) & (F.col("end") >= self.start))
+        return near.withColumns({"start": F.greatest("start", F.lit(self.start)), "end": F.least("end", F.lit(self.end))})
 
     def zoom(self, factor: float) -> RangeView:
         """Half as wide by a factor of 2, about the middle; not below the least width, nor before base 1."""
@@ -68,9 +99,7 @@ class RangeView:
         return self.over(start, start + width - 1)
 
     def toggle_strand(self) -> RangeView:
-        out = self.over(self.start, self.end)
-        out.ignore_strand = not self.ignore_strand
-        return out
+        return replace(self, ignore_strand=not self.ignore_strand, earlier=[*self.earlier, self])
 
     def data(self) -> DataFrame:
         """Mean depth over files (of each group) at each place and strand."""

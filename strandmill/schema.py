@@ -6,7 +6,10 @@ of characters at an offset: 33 (phred33) or 64 (phred64).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,3 +81,39 @@ def detail(df: DataFrame) -> dict:
     """Rows and range of widths."""
     row = df.agg(F.count("*").alias("length"), F.min(F.length("sread")).alias("least"), F.max(F.length("sread")).alias("most")).first()
     return {"columns": df.columns, "length": row["length"], "width": (row["least"], row["most"])}
+
+
+def reads_of(spark: SparkSession, sread: list[str], qual: list[str] | None = None, id: list[str] | None = None, encoding: str = "auto", keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, str | None]:
+    """A reads table from columns, and the encoding of its qualities: given, or inferred from them.  keep: a filter that is
+    applied to the table; columns of different lengths, and rows of different widths, are errors."""
+    from .functions.quality import infer_encoding, offset
+
+    n = len(sread)
+    if any(c is not None and len(c) != n for c in (qual, id)):
+        raise IncompatibleTypes("columns differ in their lengths")
+    columns = {"row_ix": pa.array(range(1, n + 1), pa.int64()), "id": pa.array(id or [""] * n, pa.string()), "sread": pa.array(sread, pa.string())}
+    if qual is not None:
+        columns["qual"] = pa.array(qual, pa.string())
+    reads = validated(as_reads(spark.createDataFrame(pa.table(columns))))
+    if qual is None:
+        encoding = None
+    elif encoding == "auto":
+        encoding = infer_encoding(reads)
+    else:
+        offset(encoding)
+    return keep(reads) if keep else reads, encoding
+
+
+def show(df: DataFrame) -> str:
+    """A table in a few lines: kind, rows, range of widths, columns."""
+    found = detail(df)
+    least, most = found["width"]
+    width = "none" if least is None else f"{least} cycles" if least == most else f"{least}..{most} cycles"
+    kind = "alignments" if "position" in df.columns else "reads with qualities" if "qual" in df.columns else "reads"
+    lines = [f"{kind}: {found['length']} rows; width: {width}"]
+    if kind == "alignments":
+        strands = {r[0]: r[1] for r in df.groupBy("strand").agg(F.count("*")).collect()}
+        chromosomes = df.select("chromosome").distinct().orderBy("chromosome").limit(4).collect()
+        named = [str(r[0]) for r in chromosomes if r[0] is not None]
+        lines += ["chromosomes: " + " ".join(named[:3]) + (" ..." if len(named) > 3 else ""), "strands: " + " ".join(f"{k or 'none'} {strands[k]}" for k in sorted(strands, key=lambda k: k or "~"))]
+    return "\n".join([*lines, "columns: " + " ".join(df.columns)])

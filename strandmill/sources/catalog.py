@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ArgumentMismatch, ValidityError
 from .alignments import read_aligned
@@ -108,3 +109,24 @@ class LaneSet:
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([{k: str(v) for k, v in x.items()} for x in self.lanes])
+
+    def _of(self, rows: DataFrame) -> DataFrame:
+        """Rows with the lane that their file's name begins with (s_3_...), and that lane's annotation."""
+        notes = self.table(rows.sparkSession)
+        number = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^s_(\d)_", 1).cast("int")
+        names = rows.sparkSession.createDataFrame([(k, n) for k, n in enumerate(self.names, 1)], "_number int, lane string")
+        notes = names.join(notes, "lane", "left") if "lane" in notes.columns else names
+        return rows.drop("lane").withColumn("_number", number).join(F.broadcast(notes), "_number", "left").drop("_number")
+
+    def read_fastq(self, spark: SparkSession, lanes: list[int] | None = None, run: int = 0, **options) -> DataFrame:
+        """Reads of some lanes (all by default) with their lanes' annotation."""
+        return self._of(self.path.read_fastq(spark, self._pattern(lanes, r".*_sequence\.txt$"), run, **options))
+
+    def read_aligned(self, spark: SparkSession, lanes: list[int] | None = None, run: int = 0, suffix: str = r".*_export\.txt$", **options) -> DataFrame:
+        return self._of(self.path.read_aligned(spark, self._pattern(lanes, suffix), run, **options))
+
+    @staticmethod
+    def _pattern(lanes: list[int] | None, suffix: str) -> str:
+        if lanes is not None and not all(1 <= n <= 8 for n in lanes):
+            raise ArgumentMismatch("lanes are numbered from 1 to 8")
+        return f"^s_[{''.join(map(str, lanes)) if lanes is not None else '1-8'}]_?{suffix}"

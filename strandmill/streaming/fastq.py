@@ -209,6 +209,23 @@ def _least(held: list[pa.RecordBatch], n: int) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else held[0].slice(0, 0)
 
 
+class Handles(list):
+    """Batches or samplers of several files, taken in turn; what each gives is known by its path."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], kind: type, n: int = 1_000_000, **options):
+        from ..sources.fastq import read_fastq
+
+        super().__init__(kind(read_fastq(spark, p), n, **options) for p in paths)
+        self.paths = list(paths)
+
+    def take(self) -> dict[str, DataFrame | None]:
+        """The next batch or sample of each file; None where there is none left."""
+        return {p: h.take() if hasattr(h, "take") else h.draw() for p, h in zip(self.paths, self)}
+
+    def status(self) -> dict[str, dict]:
+        return {p: h.status() for p, h in zip(self.paths, self)}
+
+
 class Reader:
     """What batches and samplers have in common has nothing to yield itself."""
 
