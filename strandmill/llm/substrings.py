@@ -8,7 +8,7 @@ windows have equal anchors, at different places.  About one run of words in four
    repeated.  Cells only ever count too much, so no repeated window is lost.
 2. Windows with such anchors are grouped by 128 bits of hash.  A task settles repeats among its own windows and sends each
    of its hashes on once, so a window that is everywhere arrives once a task and not once an occurrence.
-3. Documents meet the places of their repeated windows by a digest of the text.
+3. Documents meet the places of their repeated windows by 96 bits of a digest of the text.
 
 Texts that occur in several rows are found by the same sketch and an exact count; one copy stands for all in step 2, and
 each copy loses all its words if it has a window at all.
@@ -172,9 +172,10 @@ class Sketch:
         return found
 
 
-_FOUND = "h1 bigint, h2 bigint, d1 bigint, d2 bigint, pos int, ask boolean, sure binary, text string, n bigint"
+#: h1, h2: a window's hash.  d1, d2: 96 bits of its text's digest; d2 has another 31 bits for its place and one that it asks.
+_FOUND = "h1 bigint, h2 bigint, d1 bigint, d2 bigint, sure binary, text string, n bigint"
 _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
-_TYPES = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.binary(), pa.string(), pa.int64()]
+_TYPES = [pa.int64()] * 4 + [pa.binary(), pa.string(), pa.int64()]
 
 
 def _rows(size: int, **columns) -> pa.RecordBatch:
@@ -191,7 +192,8 @@ def _settled(held: list[tuple[np.ndarray, ...]], ask: bool) -> Iterator[pa.Recor
     first = order[new]
     for k in range(0, len(first), 100_000):
         one = first[k : k + 100_000]
-        yield _rows(len(one), h1=h1[one].view(np.int64), h2=h2[one].view(np.int64), d1=d1[one], d2=d2[one], pos=pos[one], ask=alone[k : k + 100_000] & ask)
+        low = pos[one].astype(np.int64) << 1 | (alone[k : k + 100_000] & ask)
+        yield _rows(len(one), h1=h1[one].view(np.int64), h2=h2[one].view(np.int64), d1=d1[one], d2=d2[one] << 32 | low)
     sure = np.sort(order[~alone[group]])
     if ask and len(sure):
         d1, d2, pos = d1[sure], d2[sure], pos[sure]
@@ -253,15 +255,17 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     (list of first word and number of words of each stretch that goes)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.shiftright(F.xxhash64(F.lit(1), text), 32).alias("d2"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     sketch = spark.sparkContext.broadcast((repeated_cells(docs.select("d1", "text"), width, cells), cells))
     found = durable(_candidates(docs.select("d1", "d2", "text"), width, sketch, False))
     copied = durable(found.where("n is not null").groupBy("d1", "d2").agg(F.first("text", ignorenulls=True).alias("text"), F.sum("n").alias("n")))
     again = durable(_candidates(copied, width, sketch, True))
     both = found.where("n is null").drop("text", "n").unionByName(again.drop("text", "n"))
     group = Window.partitionBy("h1", "h2")
-    asked = both.where("h1 is not null").withColumn("size", F.count("*").over(group)).where("ask and size > 1")
-    places = asked.select("d1", "d2", "pos", F.lit(None).cast("binary").alias("sure")).unionByName(both.where("h1 is null").select("d1", "d2", "pos", "sure"))
+    asked = both.where("h1 is not null").select("h1", "h2", "d1", "d2").withColumn("size", F.count("*").over(group)).where("d2 & 1 = 1 and size > 1")
+    low = F.shiftright(F.col("d2").bitwiseAND((1 << 32) - 1), 1).cast("int")
+    places = asked.select("d1", F.shiftright("d2", 32).alias("d2"), low.alias("pos"), F.lit(None).cast("binary").alias("sure"))
+    places = places.unionByName(both.where("h1 is null").select("d1", "d2", F.lit(None).cast("int").alias("pos"), "sure"))
     cover = places.groupBy("d1", "d2").agg(F.collect_list("pos").alias("pos"), F.collect_list("sure").alias("sure")).withColumn("whole", F.lit(False))
     many = copied.where("n > 1").select("d1", "d2", "n")
     hot = F.broadcast(many.where(F.col("n") * FREQUENT > docs.count()).select("d1", "d2"))
