@@ -135,13 +135,18 @@ def assess(df: DataFrame, by: str = "lane", kept: Column | None = None, aligned:
     typed = some.withColumn("type", F.explode(F.array_compact(F.array(*types))))
     group = (by, "type")
     pairs = A.pairs_by_cycle(some, (by,))
+    # A sequence's reads of all types are counted together, so no read is taken apart by type.
+    found = some.groupBy(by, "sread").agg(F.count("*").alias("read"), *[F.sum(F.coalesce(c, F.lit(False)).cast("bigint")).alias(n) for n, c in (("filtered", kept), ("aligned", aligned)) if c is not None])
+    kinds = [c for c in found.columns if c not in (by, "sread")]
+    sequences = found.select(by, "sread", F.inline(F.array(*[F.struct(F.lit(c).alias("type"), F.col(c).alias("n")) for c in kinds]))).where("n > 0")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "sread"))
     out = {
         "read_counts": counts,
         "base_calls": A.letter_totals(some, by=(by,)).withColumnRenamed("other", "N"),
         "read_quality": A.quality_density(typed, encoding, group),
         "base_quality": A.quality_use(some, (by,)),
-        "frequent_sequences": A.top_sequences(typed, top, group),
-        "sequence_distribution": A.occurrence_distribution(typed, group),
+        "frequent_sequences": sequences.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank"),
+        "sequence_distribution": sequences.groupBy(*group, F.col("n").alias("n_occurrences")).agg(F.count("*").alias("n_reads")),
         "cycle_base_calls": A.base_calls(pairs, (by,)),
         "cycle_quality": A.cycle_qualities(pairs, encoding, (by,)),
         "adapter_contamination": adapter_contamination(some, by=by, **adapters),
