@@ -12,7 +12,7 @@ from ..operators import filters as D
 from ..operators import intervals as I
 from ..operators import order as O
 from ..operators import tables as X
-from ..sources import alignments, bam, delimited, fasta, fastq, files, sinks
+from ..sources import alignments, bam, blocked, delimited, fasta, fastq, files, sinks
 from ..sources.files import scratch_folder
 from ..streaming import splits
 from .surrogate import RANGES, READS, ranges, reads
@@ -308,3 +308,11 @@ def source_intensities(r: DataFrame) -> DataFrame:
     rows = delimited.read_intensity_text(r.sparkSession, written(r, line))
     total = F.aggregate(F.flatten("intensity"), F.lit(0.0), lambda a, x: a + x)
     return rows.select(F.col("x").cast("bigint").alias("place"), F.col("intensity")[0][0].alias("first"), F.col("intensity")[2][3].alias("last"), total.alias("total"))
+
+
+@_query("source_fastq_blocked", "SELECT row_number() OVER (ORDER BY row_ix) AS row_ix, id, sread, qual FROM reads")
+def source_fastq_blocked(r: DataFrame) -> DataFrame:
+    """Block-gzipped files, read in ranges of 30,000 bytes."""
+    folder = scratch_folder(r.sparkSession)
+    blocked.write_fastq_blocked(r, folder)
+    return blocked.read_fastq_blocked(r.sparkSession, folder, split=30_000).select("row_ix", "id", "sread", "qual")

@@ -263,13 +263,17 @@ def read_bam(spark: SparkSession, path: str | list[str], chromosome: str | None
     if chromosome is not None and heads and all(h.chunks is not None for h in heads):
         rows = [(own[h.k], a, b, int(before[h.k]) << 16, True) for h in heads for a, b in h.chunks]
     else:
-        rows = _numbered(spark, own, heads, known, split)
+        rows = numbered_ranges(spark, own, heads, known, split, synchronise, records)
     parse = _parser(known, chromosome, start, end)
     return tasks(spark, rows, "file string, place bigint, stop bigint, base bigint, by_place boolean").mapInArrow(parse, SCHEMA)
 
 
-def _numbered(spark: SparkSession, files: list[str], heads: list, known, split: int) -> list[tuple]:
-    """Ranges with records: file, place of the first, end, and the records before it over all files."""
+def numbered_ranges(spark: SparkSession, files: list[str], heads: list, known, split: int, find, steps) -> list[tuple]:
+    """Ranges with records: file, place of the first, end, and the records before it over all files.
+
+    find(text, end, names) moves to the first record of a range; steps(text, end) gives its records.  heads: k, size, whether
+    the file is made of blocks, and the place of its first record.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,9 +287,9 @@ def _numbered(spark: SparkSession, files: list[str], heads: list, known, split:
                         place = block << 16 if block < row["stop"] else -1
                     if place >= 0:
                         text, end = Text(f, size, place, blocked), row["stop"] << 16
-                        if row["place"] >= 0 or synchronise(text, end, len(names)):
+                        if row["place"] >= 0 or find(text, end, len(names)):
                             first = text.next_place()
-                            n = sum(len(at) for _, at in records(text, end))
+                            n = sum(len(at) for _, at in steps(text, end))
                             last = text.next_place()
                 yield pa.RecordBatch.from_pylist([{"k": row["k"], "first": first, "last": last, "n": n}], schema=counted)
 
