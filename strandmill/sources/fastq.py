@@ -23,15 +23,15 @@ from .files import Places, file_names, located_lines
 _FIELDS = "file string, row_ix bigint, part int, id string, sread string, plus string, qual string"
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None = None, with_ids: bool = True, keep=None, names: bool = True) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str | list[str], pattern: str | None = None, with_ids: bool = True, keep=None, names: bool = True, counted: list[int] | None = None) -> DataFrame:
     """Reads (file, row_ix, id, sread, qual) of all matching files; row_ix counts from 1 over all of them, in
-    the order of the paths given.
+    the order of the paths given.  counted: a list that learns the number of records, which are counted now in any case.
 
     The third line is ignored; dots in sequences become dashes, letters are raised.  A file whose last record is not
     whole, an empty id line, or a sequence and qualities of different widths are errors.  keep: a filter that is applied to
     the reads.
     """
-    reads = _records(spark, file_names(path, pattern) if names else path, True)
+    reads = _records(spark, file_names(path, pattern) if names else path, True, counted)
     title = F.when(F.length(F.rtrim("id")) == 0, raised(InputError, "unexpected empty line in file ", F.col("file"))).otherwise(F.substring(F.rtrim("id"), 2, 1 << 30))
     wide = raised(InputError, "sequence and quality differ in width in file ", F.col("file"), ", record ", F.col("row_ix").cast("string"))
     qual = F.when(F.length(_tidy("qual")) != F.length(_tidy("sread")), wide).otherwise(_tidy("qual"))
@@ -66,7 +66,7 @@ def _bases() -> Column:
     return F.translate(F.upper(_tidy("sread")), ".", "-")
 
 
-def _records(spark: SparkSession, files: str | list[str], whole: bool) -> DataFrame:
+def _records(spark: SparkSession, files: str | list[str], whole: bool, counted: list[int] | None = None) -> DataFrame:
     """The four lines of each record (file, row_ix, id, sread, plus, qual) as they are.  whole: a file that ends within one is
     an error; else that record has nulls."""
     lines = located_lines(spark, files)
@@ -74,6 +74,8 @@ def _records(spark: SparkSession, files: str | list[str], whole: bool) -> DataFr
     for file, n in places.totals().items():
         if n % 4 and whole:
             raise InputError(f"unexpected number of lines in file '{file}'")
+    if counted is not None:
+        counted.append(sum(n // 4 for n in places.totals().values()))
     before = spark.sparkContext.broadcast(places)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
