@@ -316,3 +316,16 @@ def source_fastq_blocked(r: DataFrame) -> DataFrame:
     folder = scratch_folder(r.sparkSession)
     blocked.write_fastq_blocked(r, folder)
     return blocked.read_fastq_blocked(r.sparkSession, folder, split=30_000).select("row_ix", "id", "sread", "qual")
+
+
+@_query("multi_counts", "SELECT CAST(row_ix % 3 AS int) AS folder, count(*) AS records, CAST(sum(length(sread)) AS bigint) AS nucleotides, CAST(sum(length(qual)) AS bigint) AS scores FROM reads GROUP BY 1")
+def multi_counts(r: DataFrame) -> DataFrame:
+    """Counts of the files of three folders, a folder of which has sequences and qualities that span lines."""
+    rows = None
+    halves = lambda c: F.concat_ws("\n", F.substring(c, 1, 9), F.substring(c, 10, 99))
+    for k in range(3):
+        line = F.concat(F.lit("@"), "id", F.lit("\n"), halves("sread"), F.lit("\n+\n"), halves("qual")) if k == 2 else sinks.fastq_record()
+        counts = fastq.count_fastq(r.sparkSession, written(r.where(F.col("row_ix") % 3 == k), line), spanning=k == 2)
+        one = counts.agg(*[F.sum(c).alias(c) for c in ("records", "nucleotides", "scores")]).withColumn("folder", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

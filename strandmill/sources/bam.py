@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError
-from .files import file_names
+from .files import data_files
 from .ranges import SPLIT, blocks, is_blocked, next_block, open_at, ragged, seekable, size_of, tasks
 
 #: Letters of 4-bit bases and of CIGAR operations.
@@ -237,7 +237,7 @@ def read_bam(spark: SparkSession, path: str | list[str], chromosome: str | None
 
     split: bytes of a file that are one task.  index: use the files `path.bai`, if each file has one.
     """
-    files = file_names(path)
+    files = data_files(path)
     own = [f for f in files if not f.endswith(".bai")]
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import InputError
 from .bam import TEXT, Text, block, numbered_ranges
-from .files import file_names
+from .files import data_files
 from .ranges import SPLIT, is_blocked, open_at, ragged, size_of, tasks
 
 SCHEMA = "file string, row_ix bigint, id string, sread string, qual string"
@@ -93,7 +93,7 @@ def batches(b: np.ndarray, lines: np.ndarray, file: str, base: int) -> Iterator[
 
 def read_fastq_blocked(spark: SparkSession, path: str | list[str], pattern: str | None = None, split: int = SPLIT) -> DataFrame:
     """Reads as read_fastq() gives them, of block-gzipped files.  split: compressed bytes that are one task."""
-    files = file_names(path, pattern)
+    files = data_files(path, pattern)
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

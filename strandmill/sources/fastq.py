@@ -7,6 +7,7 @@ brought together by record number.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from ..errors import InputError, raised, warn
 from ..functions.quality import infer_encoding
 from ..schema import DNA
-from .files import Places, file_names, located_lines
+from .files import Places, data_files, file_names, located_lines, renumbered
+from .ranges import open_at, tasks
 
 _FIELDS = "file string, row_ix bigint, part int, id string, sread string, plus string, qual string"
 
@@ -124,11 +126,49 @@ def read_with_encoding(spark: SparkSession, path: str | list[str], pattern: str
     return reads, infer_encoding(reads) if encoding == "auto" else encoding
 
 
-def count_fastq(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """Records, nucleotides and scores of each file."""
+def count_fastq(spark: SparkSession, path: str | list[str], pattern: str | None = None, spanning: bool = False) -> DataFrame:
+    """Records, nucleotides and scores of each file.  spanning: sequences may span lines."""
     from ..operators.summaries import count_reads
 
-    return count_reads(read_fastq(spark, path, pattern, with_ids=False))
+    return count_reads(read_fastq_spanning(spark, path, pattern) if spanning else read_fastq(spark, path, pattern, with_ids=False))
+
+
+def read_fastq_spanning(spark: SparkSession, path: str | list[str], pattern: str | None = None, block: int = 8 << 20) -> DataFrame:
+    """Reads of files whose sequences and qualities may span lines; row_ix as read_fastq() has it.
+
+    Only from its beginning can such a file be told apart into records, so each file is one task, which streams over it.
+    """
+    from ..streaming.fastq import parse_records
+
+    files = data_files(path, pattern)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, file in zip(batch.column("k").to_pylist(), batch.column("file").to_pylist()):
+                row, data = 0, b""
+                with open_at(file) as raw:
+                    zipped = raw.read(2) == b"\x1f\x8b"
+                    raw.seek(0)
+                    f = gzip.GzipFile(fileobj=raw) if zipped else raw
+                    while True:
+                        more = f.read(block)
+                        data += more
+                        if not more and data and not data.endswith(b"\n"):
+                            data += b"\n"
+                        found, size = parse_records(data, 1 << 60)
+                        data = data[size:]
+                        for at in range(0, len(found), 10_000):
+                            some = found[at : at + 10_000]
+                            number = pa.array(range(row + 1, row + 1 + len(some)), pa.int64())
+                            row += len(some)
+                            yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int32()), pa.array([file] * len(some)), number, *(pa.array(c, pa.string()) for c in zip(*some))], ["file_no", "file", "row_ix", "id", "sread", "qual"])
+                        if not more:
+                            break
+                if data.strip():
+                    raise InputError(f"'{file}' ends within a record")
+
+    rows = tasks(spark, list(enumerate(files)), "k int, file string").mapInArrow(parse, "file_no int, file string, row_ix bigint, id string, sread string, qual string")
+    return renumbered(rows, "file_no").drop("file_no")
 
 
 class FastqFile:

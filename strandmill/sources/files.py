@@ -72,6 +72,14 @@ def located_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.select(m("file_path").alias("file"), m("file_block_start").alias("block"), m("file_block_length").alias("span"), "value")
 
 
+def data_files(path: str | list[str], pattern: str | None = None) -> list[str]:
+    """file_names() without those that begin with a dot or an underscore, which Spark's readers pass over too."""
+    found = [f for f in file_names(path, pattern) if not f.rsplit("/", 1)[-1].startswith((".", "_"))]
+    if not found:
+        raise InputError(f"no input files found: {path}, pattern {pattern!r}")
+    return found
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new name in the folder that driver and executors share; on one machine without one, in a temporary folder."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -54,3 +54,16 @@ def test_errors_of_tasks(spark, tmp_path):
     with pytest.raises(Exception) as other, typed_errors():
         spark.sql("SELECT raise_error('something else')").collect()
     assert not isinstance(other.value, ReadsError)
+
+
+def test_spanning_records(spark, tmp_path):
+    import gzip
+
+    a = write(tmp_path / "b", "@a x\nAC\nG\n+\nI@I\n@b\n.\n+b\nI\n@c\nACGTACGT\n+\n@@\n@@@@\n@@")
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"@d\nA\n+\nI\n"))
+    got = fastq.read_fastq_spanning(spark, [a, str(tmp_path / "a.gz")], block=7).orderBy("row_ix").collect()
+    assert [(r.row_ix, r.id, r.sread, r.qual) for r in got] == [(1, "a x", "ACG", "I@I"), (2, "b", "-", "I"), (3, "c", "ACGTACGT", "@" * 8), (4, "d", "A", "I")]
+    counts = {r.file.rsplit("/")[-1]: (r.records, r.nucleotides) for r in fastq.count_fastq(spark, [a, str(tmp_path / "a.gz")], spanning=True).collect()}
+    assert counts == {"b": (3, 12), "a.gz": (1, 1)}
+    with pytest.raises(InputError, match="within a record"), typed_errors():
+        fastq.read_fastq_spanning(spark, write(tmp_path / "cut", "@a\nACG\n+\nII")).collect()
