@@ -155,7 +155,14 @@ query("per_tile", _MEAN + " SELECT lane, tile, count(*) AS n_read, count(*) FILT
 query("align_quality_counts", "SELECT lane, CAST(position % 5 AS double) AS p, count(*) AS n FROM reads GROUP BY 1, 2")(lambda r: A.value_counts(r.withColumn("p", (F.col("position") % 5).cast("double")), "p", ("lane",)))
 query("read_proportions", "SELECT lane, \"read\", CAST(round(aligned / \"read\", 3) AS double) AS aligned FROM (SELECT lane, count(*) AS \"read\", CAST(count(position) AS double) AS aligned FROM reads GROUP BY 1)")(lambda r: A.proportions(r.groupBy("lane").agg(F.count("*").alias("read"), F.count("position").cast("double").alias("aligned")), "read", "aligned"))
 query("count_reads", "SELECT lane, count(*) AS records, CAST(sum(length(sread)) AS bigint) AS nucleotides, CAST(sum(length(qual)) AS bigint) AS scores FROM reads GROUP BY 1")(lambda r: A.count_reads(r, "lane"))
-query("quality_density")(lambda r: A.quality_density(r, by=("lane",)))
+query(
+    "quality_density",
+    """, q AS (SELECT lane, CAST(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS double) / length(qual) AS m FROM reads),
+ g AS (SELECT lane, count(*) AS n, stddev_samp(m) AS sd, (quantile_disc(m, 0.75) - quantile_disc(m, 0.25)) / 1.34 AS iqr, min(m) AS lo, max(m) AS hi FROM q GROUP BY 1),
+ w AS (SELECT *, 0.9 * least(sd, iqr) * pow(n, -0.2) AS h FROM g), v AS (SELECT lane, m, count(*) AS k FROM q GROUP BY 1, 2),
+ p AS (SELECT *, lo - 3 * h + i * (hi - lo + 6 * h) / 511 AS x FROM w, (SELECT unnest(range(0, 512)) AS i))
+ SELECT p.lane, round(any_value(x), 6) AS quality, round(sum(k * exp(-0.5 * pow((x - m) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM p JOIN v ON v.lane = p.lane GROUP BY p.lane, i""",
+)(lambda r: A.quality_density(r, by=("lane",)).select("lane", F.round("quality", 6).alias("quality"), F.round("density", 6).alias("density")))
 
 query(
     "dense_tiles",
