@@ -8,7 +8,8 @@ windows have equal anchors, at different places.  About one run of words in four
    repeated.  Cells only ever count too much, so no repeated window is lost.
 2. Windows with such anchors are grouped by 128 bits of hash.  A task settles repeats among its own windows and sends each
    of its hashes on once, so a window that is everywhere arrives once a task and not once an occurrence.
-3. Documents meet the places of their repeated windows by 96 bits of a digest of the text.
+3. Documents that the sketch suspects meet the places of their repeated windows by 96 bits of a digest of the text; others
+   stay where they are.
 
 Texts that occur in several rows are found by the same sketch and an exact count; one copy stands for all in step 2, and
 each copy loses all its words if it has a window at all.
@@ -250,6 +251,25 @@ def _candidates(docs: DataFrame, width: int, sketch: Broadcast, distinct: bool)
     return docs.mapInArrow(find, _FOUND)
 
 
+def _suspected(docs: DataFrame, width: int, sketch: Broadcast, wanted: bool) -> DataFrame:
+    """The documents that the sketch suspects of a repeated window or text, or (wanted: False) all others."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Sketch(*sketch.value)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                found = table.maybe(part.column("d1").to_numpy().view(np.uint64))
+                runs = Runs(texts_of(part, "text"))
+                least, _ = runs.anchors(width)
+                at = np.flatnonzero(least)
+                found[np.searchsorted(runs.ends, at[table.maybe(least[at])], side="right")] = True
+                rows = part.filter(pa.array(found == wanted))
+                if rows.num_rows:
+                    yield rows
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cells: int = CELLS) -> DataFrame:
     """Per row: id, the columns of `keep`, n_words, n_removed, kept (words that stay, joined by one space) and removed
     (list of first word and number of words of each stretch that goes)."""
@@ -271,8 +291,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     hot = F.broadcast(many.where(F.col("n") * FREQUENT > docs.count()).select("d1", "d2"))
     none = [F.array().cast("array<int>").alias("pos"), F.array().cast("array<binary>").alias("sure"), F.lit(True).alias("whole")]
     cover = cover.unionByName(many.select("d1", "d2", *none))
-    rows = docs.join(hot, ["d1", "d2"], "left_anti").join(cover, ["d1", "d2"], "left")
+    # Only texts that the sketch suspects can have places, and only these are shuffled.
+    rows = _suspected(docs.join(hot, ["d1", "d2"], "left_anti"), width, sketch, True).join(cover, ["d1", "d2"], "left")
     rows = rows.unionByName(docs.join(hot, ["d1", "d2"], "left_semi").select("*", *none))
+    rows = rows.unionByName(_suspected(docs, width, sketch, False).select("*", none[0], none[1], F.lit(False).alias("whole")))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ["id", *(f"keep_{c}" for c in keep)]}
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
