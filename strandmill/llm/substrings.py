@@ -41,8 +41,8 @@ from .shingles import mixed, word_hashes
 GRAM, ROWS, BLOCK = 8, 2, 1 << 20
 #: Cells of a row of the sketch.
 CELLS = 1 << 28
-#: Anchors, or windows, that a task holds before it sends them on.
-HELD = 4_000_000
+#: Anchors, or windows, that a task holds before it sends them on, and bytes of text of one step.
+HELD, STEP = 1_000_000, 500_000
 #: Texts with more than this part of all rows are at most as many, and are broadcast.
 FREQUENT = 10_000
 _BASES = np.array([0x5851F42D4C957F2D, 0xD1342543DE82EF95], dtype=np.uint64)
@@ -114,7 +114,7 @@ def repeated_cells(docs: DataFrame, width: int, cells: int) -> list[tuple[int, b
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", STEP):
                 runs = Runs(texts_of(part, "text"))
                 _, chosen = runs.anchors(width)
                 held += [(runs.hashes(min(GRAM, width)) | np.uint64(1))[chosen], part.column("d1").to_numpy().view(np.uint64)]
@@ -217,7 +217,7 @@ def _candidates(docs: DataFrame, width: int, sketch: Broadcast, distinct: bool)
         held: dict[bool, list] = {True: [], False: []}
         table = Sketch(*sketch.value)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", STEP):
                 ids = [part.column(c).to_numpy() for c in ("d1", "d2")]
                 if distinct:
                     own = part.column("n").to_numpy() == 1
@@ -257,7 +257,7 @@ def _suspected(docs: DataFrame, width: int, sketch: Broadcast, wanted: bool) ->
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Sketch(*sketch.value)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", STEP):
                 found = table.maybe(part.column("d1").to_numpy().view(np.uint64))
                 runs = Runs(texts_of(part, "text"))
                 least, _ = runs.anchors(width)
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", STEP):
                 out = [_kept(*row, width) for row in zip(*(part.column(c).to_pylist() for c in ("text", "pos", "sure", "whole")))]
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kinds), *cols], [*kinds, "n_words", "n_removed", "kept", "removed"])
