@@ -6,6 +6,9 @@ Two adjacent tokens fit if the library's merges of their joined bytes give them
 per code point: their running sum is the count at each prefix, and truncation or budget questions need no encoding.  A
 text with a step beyond that has four bytes for each, behind a mark that no int8 step has.
 
+New words of a slice of texts are counted together, by numpy over all their bytes; each is kept with its steps, so that a
+text's steps are those of its units, joined.
+
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special strings inside a text count as one token, as
 in the library's default; repeated rows give repeated rows; columns other than the two that are named are ignored.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,17 @@ from .shared import text_slices, texts_of
 
 _SHORT = "'(?:s|t|re|ve|m|ll|d)"
 _RUN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
-#: Stretches whose prefixes can be counted without their surroundings: white space goes with what follows it.
-_UNIT = regex.compile(rf"{_SHORT}|{_RUN}|\s++(?:(?<= )(?:{_RUN})|(?<! )(?:{_SHORT}|{_RUN}))|\s++")
+#: Stretches whose prefixes can be counted without their surroundings: white space goes with what follows it.  Words, the
+#: most frequent ones, are tried first.
+_UNIT = regex.compile(rf" \p{{L}}+|\p{{L}}+|{_SHORT}|{_RUN}|\s++(?:(?<= )(?:{_RUN})|(?<! )(?:{_SHORT}|{_RUN}))|\s++")
 _PARTS = regex.compile(r"(\s*)(.*)", regex.S)
 #: Code points above this are classed by the library itself, whose Unicode tables may be older.
 _KNOWN = 0x558
 _RARE = regex.compile(rf"[\U{_KNOWN:08x}-\U0010ffff]")
 _CACHE = 200_000
+#: Code points below which a word is counted together with others (at most 4 tokens a point, so no step is too large for a
+#: byte), and words of one step.
+_WORD, _WORDS = 32, 20_000
 
 
 def byte_alphabet() -> str:
@@ -67,9 +75,18 @@ class PrefixCounter:
                 if node == len(self.token):
                     self.token.append(-1)
             self.token[node] = i
+        #: The trie as a table with a row for each node that leads on; those come first.
+        inner = sorted({k >> 8 for k in self.next})
+        number = {node: k for k, node in enumerate([*inner, *sorted(set(range(len(self.token))) - set(inner))])}
+        self.rows = len(inner)
+        self.table = np.full(self.rows << 8, -1, dtype=np.int32)
+        self.table[[number[k >> 8] << 8 | k & 255 for k in self.next]] = [number[node] for node in self.next.values()]
+        self.tokens = np.empty(len(self.token), dtype=np.int64)
+        self.tokens[[number[node] for node in range(len(self.token))]] = self.token
         self.fits: dict[int, bool] = {}
-        self.units: dict[str, tuple[int, bytes]] = {}
-        self.older: dict[str, tuple[int, bytes]] = {}
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.special = sorted(special, key=len, reverse=True)
         self.kinds: dict[int, str | None] = {}
 
@@ -105,6 +122,59 @@ class PrefixCounter:
             raise ValueError("the vocabulary has no token for a byte")
         return count
 
+    def fitting(self, pairs: list[int]) -> list[bool]:
+        """Whether each pair of tokens (a << 20 | b) fits."""
+        found = list(map(self.fits.get, pairs))
+        if None in found:
+            for k, ok in enumerate(found):
+                if ok is None:
+                    ok = self.fits.get(pairs[k])
+                    found[k] = self.adjacent(pairs[k] >> 20, pairs[k] & (1 << 20) - 1) if ok is None else ok
+        return found
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Steps at the code points of words of fewer than _WORD ones, each a pre-token: piece() on all in step."""
+        raw = [w.encode() for w in words]
+        b = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        size = np.array([len(r) for r in raw])
+        stop = np.cumsum(size)
+        n, end, first = len(b), np.repeat(stop, size), np.repeat(stop - size, size)
+        # Tokens that begin at each byte, by walking the trie from all at once; those that end at a byte, the longest first.
+        at, node, found = np.arange(n), np.zeros(n, dtype=np.int32), []
+        for d in range(int(size.max())):
+            node = self.table[(node << 8) + b[at + d]]
+            at, node = at[node >= 0], node[node >= 0]
+            token = self.tokens[node]
+            found.append((at[token >= 0], np.full(int((token >= 0).sum()), d), token[token >= 0]))
+            on = (node < self.rows) & (at + d + 1 < end[at])
+            at, node = at[on], node[on]
+        begin, length, token = (np.concatenate(x) for x in zip(*reversed(found)))
+        order = np.argsort(begin + length, kind="stable")
+        upto = np.cumsum(np.bincount(begin + length, minlength=n))
+        begin, token = begin[order], token[order]
+        last, count = np.empty(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        place = np.arange(n) - first
+        for here in np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1]):
+            k = np.where(here > 0, upto[here - 1], 0)
+            while len(here):
+                if (k >= upto[here]).any():
+                    raise ValueError("the vocabulary has no token for a byte")
+                s, t = begin[k], token[k]
+                after = s > first[here]
+                fit = ~after
+                fit[after] = self.fitting((last[s[after] - 1] << 20 | t[after]).tolist())
+                done = here[fit]
+                last[done] = t[fit]
+                count[done] = 1 + np.where(after, count[s - 1], 0)[fit]
+                here, k = here[~fit], k[~fit] + 1
+        ends = np.r_[b[1:] & 0xC0 != 0x80, True]
+        points = count[ends]
+        cuts = np.cumsum([len(w) for w in words])
+        before = np.r_[0, points[:-1]]
+        before[cuts[:-1]] = 0
+        steps = (points - before).astype(np.int8).tobytes()
+        return [steps[a:z] for a, z in zip([0, *cuts.tolist()], cuts.tolist())]
+
     def at_points(self, s: str, before: str = "") -> list[int]:
         """Counts after each code point of s, as one pre-token that begins with `before`."""
         count = self.piece((before + s).encode())
@@ -116,21 +186,9 @@ class PrefixCounter:
             out.append(count[at])
         return out
 
-    def unit(self, u: str) -> tuple[int, bytes]:
-        """Tokens of a unit, and the packed steps of its count at each of its code points."""
-        if u.isascii() and (u.isalnum() or u[0] == " " and u[1:].isalnum()):
-            counts = self.piece(u.encode())[1:]
-        else:
-            counts = self.mixed(u)
-        if len(counts) < 32:  # at most 4 tokens a point, so no step is too large for a byte
-            short, before = bytearray(), 0
-            for x in counts:
-                short.append((x - before) & 255)
-                before = x
-            return before, bytes(short)
-        steps = [b - a for a, b in zip([0, *counts], counts)]
-        small = min(steps) > -128 and max(steps) < 128
-        return counts[-1], bytes([x & 255 for x in steps]) if small else packed(np.array(steps))
+    def unit(self, u: str) -> bytes:
+        """The packed steps of a unit's count at each of its code points."""
+        return packed(np.diff(np.array([0, *self.mixed(u)])))
 
     def mixed(self, u: str) -> list[int]:
         """Counts at each code point of a unit of any kind."""
@@ -166,26 +224,54 @@ class PrefixCounter:
         seen = text.translate({c: k for c in rare if (k := self.kinds[c])})
         return [text[m.start() : m.end()] for m in _UNIT.finditer(seen)]
 
-    def units_of(self, parts: list[str]) -> list[tuple[int, bytes]]:
-        out = []
-        for u in parts:
-            x = self.units.get(u)
-            if x is None:
-                x = self.older.get(u) or self.unit(u)
-                if len(u) <= 40:
-                    if len(self.units) >= _CACHE:
-                        self.units, self.older = {}, self.units
-                    self.units[u] = x
-            out.append(x)
-        return out
+    def learn(self, parts: list[list[str]]) -> None:
+        """Make sure that the steps of all units are known."""
+        new = set(chain.from_iterable(parts)).difference(self.units)
+        known = new.intersection(self.older)
+        self.units.update(zip(known, map(self.older.__getitem__, known)))
+        words = []
+        for u in new.difference(known):
+            if len(u) < _WORD and (u[1:2] if u[0] == " " else u[0]).isalnum():
+                words.append(u)
+            else:
+                self.units[u] = self.unit(u)
+                if len(u) > 40:
+                    self.long.append(u)
+        for k in range(0, len(words), _WORDS):
+            some = words[k : k + _WORDS]
+            self.units.update(zip(some, self.together(some)))
+
+    def forget(self) -> None:
+        """Of what is known keep a bounded part."""
+        for u in self.long:
+            del self.units[u]
+        self.long.clear()
+        if len(self.units) >= _CACHE:
+            self.units, self.older = {}, self.units
+
+    def joined(self, parts: list[str]) -> bytes:
+        return _joined(list(map(self.units.__getitem__, parts)))
 
     def count(self, text: str) -> int:
-        return sum(n for n, _ in self.units_of(self.split(text)))
+        parts = self.split(text)
+        self.learn([parts])
+        return int(steps_of(self.joined(parts)).sum(dtype=np.int64))
 
     def steps(self, text: str) -> bytes:
         """Packed steps of the count at each code point of the text; their sum is the text's count."""
-        if not any(s in text for s in self.special):
-            return _joined([s for _, s in self.units_of(self.split(text))])
+        return self.steps_all([text])[0]
+
+    def steps_all(self, texts: list[str]) -> list[bytes]:
+        """steps() of several texts, whose new words are counted together."""
+        plain = [not any(s in text for s in self.special) for text in texts]
+        parts = [self.split(text) if p else [] for text, p in zip(texts, plain)]
+        self.learn(parts)
+        out = [self.joined(part) if p else self.with_special(text) for text, part, p in zip(texts, parts, plain)]
+        self.forget()
+        return out
+
+    def with_special(self, text: str) -> bytes:
+        """Steps of a text that special strings are in."""
         out = []
         for part in regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text):
             if part in self.special:
@@ -194,8 +280,9 @@ class PrefixCounter:
                 counts = [base + self.count(tail + part[:j]) for j in range(1, len(part))] + [self.count(before) + 1]
                 out.append(packed(np.diff(np.array([self.count(before), *counts]))))
             else:
-                before = part
-                out += [s for _, s in self.units_of(self.split(part))]
+                before, parts = part, self.split(part)
+                self.learn([parts])
+                out.append(self.joined(parts))
         return _joined(out)
 
 
@@ -253,8 +340,8 @@ def prefix_token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, stor
         for batch in batches:
             for part in text_slices(batch, text_col):
                 size, tokens, fit, kept = [], [], [], []
-                for text in texts_of(part, text_col):
-                    steps = counter.steps(text)
+                texts = texts_of(part, text_col)
+                for text, steps in zip(texts, counter.steps_all(texts)):
                     counts = counts_of(steps)
                     n = int(counts[-1]) if len(counts) else 0
                     below = np.flatnonzero(counts[::-1] <= limit)

@@ -40,6 +40,27 @@ def test_prefix_counts_are_the_librarys():
         assert token_counts.points_within(steps, 3) == max((k for k in range(len(s) + 1) if token_counts.tokens_within(steps, k) <= 3), default=0)
 
 
+def test_new_words_are_counted_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, alone, piece = Tokenizer.from_file(path), [], token_counts.PrefixCounter.piece
+    monkeypatch.setattr(token_counts.PrefixCounter, "piece", lambda self, w: alone.append(w) or piece(self, w))
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeinrstéñжש中1") for _ in range(rng.randint(1, 45))) for _ in range(2000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 2000, 40)]
+    texts += ["", "it's 's\n\n x", "a<|endoftext|> " + words[0], texts[0]]
+    ours = token_counts.PrefixCounter(path)
+    found = [ours.steps(x) for x in texts[::-1]][::-1]
+    for text, steps in zip(texts, found):
+        for k in (*range(0, len(text), 97), len(text)):
+            assert token_counts.tokens_within(steps, k) == len(lib.encode(text[:k], add_special_tokens=False).ids)
+    alone.clear()
+    token_counts.PrefixCounter(path).steps(" ".join(w for w in words if len(w) < 31))
+    assert len(alone) < 10
+    assert token_counts.PrefixCounter(path).steps_all(texts) == found
+
+
 def test_wide_steps():
     """A count that changes by more than a byte holds is kept in four bytes."""
     for diffs in ([1, 0, 2, -3], [1, 300, -299, 5], [-128, 1], []):
