@@ -59,11 +59,10 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, n, digest) for documents, and rows (key, freq) for shingles that are frequent nearby."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        # Low shingles are gathered in one place, which is sorted there; it grows if one slice has very many.
+        held, many = np.empty(WINDOW + WINDOW // 4, np.uint64), 0
 
-        def frequent() -> pa.RecordBatch:
-            low = np.concatenate(held) if held else np.empty(0, np.uint64)
-            held.clear()
+        def frequent(low: np.ndarray) -> pa.RecordBatch:
             low.sort()
             # Only what occurs again is counted: nearly all shingles occur once.
             keys, again = np.unique(low[1:][low[1:] == low[:-1]], return_counts=True)
@@ -74,13 +73,20 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
-                held += [s[: np.searchsorted(s, LOW)].copy() for s in sets]
+                lows = [s[: np.searchsorted(s, LOW)] for s in sets]
+                more = sum(map(len, lows))
+                if many + more > len(held):
+                    held = np.r_[held[:many], np.empty(more, np.uint64)]
+                for low in lows:
+                    held[many : many + len(low)] = low
+                    many += len(low)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["id", "n", "digest", "key", "freq"])
-                if sum(map(len, held)) > WINDOW:
-                    yield frequent()
-        yield frequent()
+                if many > WINDOW:
+                    yield frequent(held[:many])
+                    many = 0
+        yield frequent(held[:many])
 
     return docs.mapInArrow(run, "id bigint, n bigint, digest binary, key bigint, freq bigint")
 

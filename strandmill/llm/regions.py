@@ -27,6 +27,8 @@ CLOSE = 0.5
 LEAF, PIVOTS = 32, 16
 #: Members that are compared with others in one step.
 UNLINKED = 128
+#: Cells of a table of pivots' elements, at most (but for one pivot of more).
+CELLS = 8_000_000
 _SLACK = 1e-9
 
 
@@ -54,10 +56,17 @@ def distances(pivots: list[np.ndarray], sets: list[np.ndarray], percent: int) ->
     """Distances of sets (rows) to pivots (columns), and whether they link, which is decided in whole numbers."""
     sizes, own = np.array([len(s) for s in sets]), np.array([len(s) for s in pivots])
     far, link = np.empty((len(sets), len(pivots))), np.empty((len(sets), len(pivots)), dtype=bool)
-    for a, b, common in common_counts(pivots, sets):
-        total = sizes[a:b, None] + own[None, :] - common
-        far[a:b] = 1 - common / total
-        link[a:b] = common * 100 >= total * percent
+    first = 0
+    while first < len(pivots):
+        last, elements = first + 1, len(pivots[first])
+        while last < len(pivots) and (elements + len(pivots[last])) * (last + 1 - first) <= CELLS:
+            elements += len(pivots[last])
+            last += 1
+        for a, b, common in common_counts(pivots[first:last], sets):
+            total = sizes[a:b, None] + own[None, first:last] - common
+            far[a:b, first:last] = 1 - common / total
+            link[a:b, first:last] = common * 100 >= total * percent
+        first = last
     return far, link
 
 

@@ -7,6 +7,8 @@ import numpy as np
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Code points of texts that are hashed at a time (a longer text is a step of its own): arrays take some 70 bytes for each.
+STEP = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +41,18 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of `width` words; fewer words make one shingle."""
+    out, at = [], 0
+    while at < len(texts):
+        end, points = at + 1, len(texts[at])
+        while end < len(texts) and points + len(texts[end]) <= STEP:
+            points += len(texts[end])
+            end += 1
+        out += _sets(texts[at:end], width)
+        at = end
+    return out
+
+
+def _sets(texts: list[str], width: int) -> list[np.ndarray]:
     h, words = word_hashes(texts)
     n = max(0, len(h) - width + 1)
     s = np.full(n, width, dtype=np.uint64)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -621,3 +622,26 @@ def test_language_edges(spark):
     out = Counter(map(tuple, langid.identify_languages(df, model).collect()))
     assert sum(out.values()) == 18 and max(out.values()) == 2 and {r[2] for r in out} == {"en", "de"}
     assert langid.identify_languages(df.where("false"), model).count() == 0
+
+
+def test_sets_and_distances_take_little_memory(monkeypatch):
+    """Peaks of Python's and numpy's memory, for texts of 2 MB together and for long sets that are not linked."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**7, 2500).tolist())) for _ in range(100)]
+    sets = [np.sort(rng.integers(0, 2**63, 20_000).astype(np.uint64)) for _ in range(40)]
+
+    def peak(f):
+        tracemalloc.start()
+        out = f()
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, found
+
+    cut, small = peak(lambda: shingles.shingle_sets(texts, 5))
+    assert small < 30_000_000
+    monkeypatch.setattr(shingles, "STEP", 10**9)
+    assert all((a == b).all() for a, b in zip(cut, shingles.shingle_sets(texts, 5), strict=True))
+    (far, link), small = peak(lambda: regions.distances(sets, sets[:3], 80))
+    assert small < 60_000_000 and link.sum() == 3 and (far[link] == 0).all()
+    monkeypatch.setattr(regions, "CELLS", 10**12)
+    assert (far == regions.distances(sets, sets[:3], 80)[0]).all()
