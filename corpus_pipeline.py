@@ -7,6 +7,7 @@ or lang, ids that repeat with other texts, repeated rows and very long texts pas
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +17,26 @@ from strandmill.llm.jaccard import jaccard_components
 from strandmill.llm.langid import fit_language_model, identify_languages
 from strandmill.llm.mixing import mix_sources
 from strandmill.llm.registry import tokenizer_path, tokenizer_pattern
-from strandmill.llm.shared import discard, durable, table, temporary
+from strandmill.llm.shared import discard, durable, plain_files, table, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with `row`, a number of each row: ids can be null or repeat, so decisions come back by it."""
-    return durable(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+    """Documents with `row`, a number of each row: ids can be null or repeat, so decisions come back by it.
+
+    Rows of Parquet files are known by file and place, so they are read again without a copy; others are written first.
+    """
+    try:
+        # Other plans may repeat a file's rows.
+        found = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), *COLUMNS) if plain_files(docs) else None
+    except AnalysisException:
+        found = None
+    if found is None:
+        return durable(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+    files = sorted(r.file for r in found.select("file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number bigint, file string")
+    return found.join(F.broadcast(numbers), "file").select((F.shiftleft("number", 40) + F.col("place")).alias("row"), *COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.llm import graph, jaccard, jpeg, langid, media, mixing, near_vectors, regions, shingles
+from strandmill.llm import graph, jaccard, jpeg, langid, media, mixing, near_vectors, regions, shared, shingles
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -613,6 +613,38 @@ def test_pipeline_edges(spark, sf_dir):
             docs = spark.createDataFrame(got, out.schema).withColumns({c: F.lit(1) for c in ("lang_pred", "component_id", "spans", "taken", "n_tokens", "row")})
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A query that writes a table deletes its shuffle files when it ends, and what the session sets stays."""
+    import time
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before, until = files(), time.time() + 20
+    found = shared.durable(spark.range(10_000).repartition(7).groupBy((F.col("id") % 100).alias("k")).count(), kept := [])
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(key) == "false"
+    assert found.count() == 100
+    shared.discard(spark, kept)
+
+
+def test_pipeline_numbers_rows_of_files_without_a_copy(spark, sf_dir, tmp_path, monkeypatch):
+    """Rows of Parquet files are known by their places; files that are given twice, and other plans, are written first."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "durable", lambda df, *a: written.append(1) or shared.durable(df, *a))
+    path, more = f"{sf_dir}/documents.parquet", str(tmp_path / "more documents %41")
+    docs = spark.read.parquet(path)
+    docs.repartition(3).write.parquet(more)
+    every = sorted(map(tuple, docs.select(*corpus_pipeline.COLUMNS).collect()), key=repr)
+    for given, times, copies in ((docs, 1, 0), (spark.read.parquet(path, more), 2, 0), (spark.read.parquet(path, path), 2, 1), (docs.unionByName(docs), 2, 1), (docs.crossJoin(spark.range(2)), 2, 1)):
+        written.clear()
+        got = corpus_pipeline._numbered(given).collect()
+        assert len({r.row for r in got}) == len(got) and len(written) == copies
+        assert sorted((tuple(r)[1:] for r in got), key=repr) == sorted(every * times, key=repr)
+
+
 def test_language_edges(spark):
     """An empty table gives none, repeated rows repeat, and clashing columns are ignored."""
     schema = "doc_id bigint, text string, lang string, lang_pred string, score int, held_out string"
