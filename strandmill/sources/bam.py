@@ -35,6 +35,8 @@ _PAIRS = np.array([[ord(a), ord(b)] for a in BASES for b in BASES], dtype=np.uin
 SCHEMA = "file string, row_ix bigint, id string, sread string, qual string, chromosome string, position int, strand string, align_quality double, cigar string, flag int"
 #: Bytes of text that are parsed at once, and the most that one record may take to be believed where a range begins.
 TEXT, RECORD = 4 << 20, 1 << 26
+#: Tasks of a pass over files of small ranges.
+TASKS = 256
 #: Records of a chain that make a beginning certain enough for a first try.
 CHAIN = 16
 _HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("quality", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("length", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("insert", "<i4")])
@@ -235,7 +237,8 @@ def index_chunks(data: bytes, reference: int, start: int, end: int) -> list[tupl
 def read_bam(spark: SparkSession, path: str | list[str], chromosome: str | None = None, start: int = 1, end: int = 1 << 29, split: int = SPLIT, index: bool = True) -> DataFrame:
     """Alignments of binary alignment maps, those that meet a range of positions if a chromosome is given.
 
-    split: bytes of a file that are one task.  index: use the files `path.bai`, if each file has one.
+    split: bytes of a range of a file, which is one task; neighbours share a task where there are more than TASKS.
+    index: use the files `path.bai`, if each file has one.
     """
     files = data_files(path)
     own = [f for f in files if not f.endswith(".bai")]
@@ -268,6 +271,14 @@ def read_bam(spark: SparkSession, path: str | list[str], chromosome: str | None
     return tasks(spark, rows, "file string, place bigint, stop bigint, base bigint, by_place boolean").mapInArrow(parse, SCHEMA)
 
 
+def joined(split: int, total: int) -> int:
+    """Bytes of neighbouring ranges of `split` bytes that are one task, so that small ones do not make tasks without end.
+
+    A task costs some tenths of a second whatever it reads.  At most TASKS of them, unless they had more than SPLIT bytes.
+    """
+    return split * max(1, min(-(-total // (split * TASKS)), SPLIT // split))
+
+
 def numbered_ranges(spark: SparkSession, files: list[str], heads: list, known, split: int, find, steps) -> list[tuple]:
     """Ranges with records: file, place of the first, end, and the records before it over all files.
 
@@ -295,9 +306,10 @@ def numbered_ranges(spark: SparkSession, files: list[str], heads: list, known, s
 
     counted = pa.schema([("k", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
     cuts = []
+    together = joined(split, sum(h.size for h in heads if h.blocked))
     for h in heads:
         # What is not made of blocks is one range.
-        step = split if h.blocked else max(h.size, 1)
+        step = together if h.blocked else max(h.size, 1)
         stops = [*range(step, h.size, step), 1 << 46]
         cuts += [(len(cuts) + i, files[h.k], a, b, h.place if i == 0 else -1) for i, (a, b) in enumerate(zip([0, *stops], stops))]
     schema = "k int, file string, begin bigint, stop bigint, place bigint"

@@ -92,7 +92,7 @@ def batches(b: np.ndarray, lines: np.ndarray, file: str, base: int) -> Iterator[
 
 
 def read_fastq_blocked(spark: SparkSession, path: str | list[str], pattern: str | None = None, split: int = SPLIT) -> DataFrame:
-    """Reads as read_fastq() gives them, of block-gzipped files.  split: compressed bytes that are one task."""
+    """Reads as read_fastq() gives them, of block-gzipped files.  split: compressed bytes that are one task, as in read_bam()."""
     files = data_files(path, pattern)
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

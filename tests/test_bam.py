@@ -86,6 +86,19 @@ def test_records_longer_than_splits(spark, tmp_path):
         assert got == given, split
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges of a few bytes are no more tasks than a bounded number, and give the same rows."""
+    to = str(tmp_path / "many")
+    given = [(i, f"r{i}", "ACGTN" * 8, "I" * 40, "a", i, "+", 1.0) for i in range(1, 1501)]
+    bam.write_bam(spark.createDataFrame(given, SCHEMA).coalesce(1), to, ["a"], text=300)
+    found = bam.read_bam(spark, to, split=100)
+    assert found.rdd.getNumPartitions() <= 256
+    assert sorted((r.row_ix, *(r[c] for c in COLS)) for r in found.collect()) == given
+    # Ranges stay as they are where there are few, and a task has no more than it has by default.
+    assert bam.joined(20_000, 256 * 20_000) == 20_000 and bam.joined(20_000, 257 * 20_000) == 40_000
+    assert bam.joined(20_000, 1 << 50) <= ranges.SPLIT and bam.joined(1 << 30, 1 << 50) == 1 << 30
+
+
 def test_false_beginnings_are_walked_again(spark, tmp_path, monkeypatch):
     """Qualities hold whole chains of well-formed records; the places where ranges end tell that they are none."""
     one = struct.pack("<iiiBBHHHiiii", 34, 0, 5, 2, 0, 0, 0, 0, 0, -1, -1, 0) + b"x\0"
