@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -401,6 +402,68 @@ def encoded(names: dict[str, int], id: str, sread: str, qual: str, chromosome: s
     return struct.pack("<i", len(body)) + body
 
 
+_CODES = np.array([BASES.index(chr(x)) if chr(x) in BASES else 15 for x in range(256)], dtype=np.uint8)
+
+
+def _pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts of a column without nulls, and where each begins and the last ends."""
+    column = column.cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1, offset=8 * column.offset)
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def encoded_rows(names: dict[str, int], batch: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
+    """What encoded() gives for each row, one behind the other, and where each begins and the last ends.  Rows with other
+    letters than ASCII, or with what has no place in a record, are left to encoded()."""
+    fields = ("id", "sread", "qual", "chromosome", "position", "strand", "align_quality")
+    found = _encoded_at_once(names, batch)
+    if found is not None:
+        return found
+    each = [encoded(names, *(r[c] for c in fields)) for r in batch.to_pylist()]
+    return b"".join(each), np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
+
+
+def _encoded_at_once(names: dict[str, int], batch: pa.RecordBatch) -> tuple[bytes, np.ndarray] | None:
+    n = batch.num_rows
+    if not n or any(batch.column(c).null_count for c in ("id", "sread", "qual")):
+        return None
+    (ids, id_at), (seq, seq_at), (qual, qual_at) = (_pieces(batch.column(c)) for c in ("id", "sread", "qual"))
+    known = np.asarray(batch.column("chromosome").is_valid())
+    ref = pc.fill_null(pc.index_in(batch.column("chromosome").cast(pa.string()), value_set=pa.array(list(names), pa.string())), -1).to_numpy(zero_copy_only=False)
+    ref = np.where(known, np.array([*names.values(), -1], dtype=np.int64)[ref], -1)
+    mapped = known & np.asarray(batch.column("position").is_valid())
+    pos = np.where(mapped, pc.fill_null(batch.column("position").cast(pa.int64()), 0).to_numpy(zero_copy_only=False) - 1, -1)
+    quality = pc.fill_null(batch.column("align_quality").cast(pa.float64()), 255).to_numpy(zero_copy_only=False)
+    name, length, scores = np.diff(id_at) + 1, np.diff(seq_at), np.diff(qual_at)
+    number, end = np.zeros(n, dtype=np.int64), pos + np.maximum(1, length)
+    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        number = np.where(pos >> shift == end - 1 >> shift, first + (pos >> shift), number)
+    number = np.where(mapped, number, 4680)
+    fits = lambda x, least, most: bool(np.all((x >= least) & (x <= most)))
+    if not (fits(seq, 0, 127) and fits(qual, 33, 127) and fits(ref[known], 0, 1 << 30) and fits(name, 0, 255) and fits(pos, -(1 << 31), (1 << 31) - 1) and fits(quality, 0, 255) and fits(number, 0, 65_535)):
+        return None
+    head = np.zeros(n, dtype=_HEAD)
+    flag = np.where(mapped, 0, 4) + np.where(np.asarray(pc.fill_null(pc.equal(batch.column("strand").cast(pa.string()), "-"), False)), 16, 0)
+    size = 32 + name + 4 * mapped + (length + 1) // 2 + scores
+    for c, x in (("size", size), ("ref", ref), ("pos", pos), ("name", name), ("quality", quality.astype(np.int64)), ("bin", number), ("ops", mapped), ("flag", flag), ("length", length), ("mate", -1), ("mate_pos", -1)):
+        head[c] = x
+    at = np.r_[0, np.cumsum(size + 4)]
+    out, start = np.zeros(int(at[-1]), dtype=np.uint8), at[:-1]
+    within = lambda ends: np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+    out[start[:, None] + np.arange(_HEAD.itemsize)] = head.view(np.uint8).reshape(n, -1)
+    start = start + _HEAD.itemsize
+    out[np.repeat(start, name - 1) + within(id_at)] = ids
+    start = start + name
+    out[start[mapped][:, None] + np.arange(4)] = (length[mapped] << 4).astype("<u4").view(np.uint8).reshape(-1, 4)
+    start = start + 4 * mapped
+    place = within(seq_at)
+    to, high, code = np.repeat(start, length) + place // 2, place % 2 == 0, _CODES[seq]
+    out[to[high]] = code[high] << 4
+    out[to[~high]] |= code[~high]
+    out[np.repeat(start + (length + 1) // 2, scores) + within(qual_at)] = qual - 33
+    return out.tobytes(), at
+
+
 def _bin(start: int, end: int) -> int:
     for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
         if start >> shift == end - 1 >> shift:
@@ -426,26 +489,42 @@ def write_bam(df: DataFrame, folder: str, chromosomes: list[str], text: int = 65
         with open(draft, "wb") as f:
             at += f.write(block(head))
             for batch in batches:
-                for r in batch.to_pylist():
-                    one = encoded(names, *(r[c] for c in ("id", "sread", "qual", "chromosome", "position", "strand", "align_quality")))
-                    if held and len(held) + len(one) > text:
+                data, starts = encoded_rows(names, batch)
+                given = np.frombuffer(data, dtype=np.uint8)[starts[:-1, None] + np.arange(_HEAD.itemsize)].view(_HEAD)[:, 0] if batch.num_rows else np.empty(0, _HEAD)
+                ref, number = given["ref"].astype(np.int64), given["bin"].astype(np.int64)
+                placed = (ref >= 0) & np.asarray(batch.column("position").is_valid())
+                low = given["pos"].astype(np.int64)
+                low, high = low >> 14, low + np.maximum(0, given["length"] - 1) >> 14
+                # Rows that differ from the one before them in what the index tells of them.
+                fresh = np.r_[True, np.any(np.diff([ref, number, placed, low, high]), axis=0)]
+                rows += batch.num_rows
+                i = 0
+                while i < batch.num_rows:
+                    # Rows that the block has room for; one that is longer than a block begins a block.
+                    k = int(np.searchsorted(starts[1:], starts[i] + text - len(held), side="right"))
+                    if k <= i and held:
                         at += f.write(block(held))
                         held = b""
-                    place = at << 16 | len(held)
-                    held += one
-                    rows += 1
+                        continue
+                    k = max(k, i + 1)
+                    first, skipped = at << 16 | len(held), int(starts[i])
+                    held += data[skipped : starts[k]]
                     while len(held) > text:
                         at += f.write(block(held[:text]))
                         held = held[text:]
-                    ref, number = struct.unpack_from("<i6xH", one, 4)
-                    if ref >= 0 and r["position"] is not None:
-                        stretches = bins[ref].setdefault(number, [])
-                        if stretches and stretches[-1][1] == place:
-                            stretches[-1][1] = at << 16 | len(held)
+                    cuts = [i, *(i + 1 + np.flatnonzero(fresh[i + 1 : k])).tolist(), k]
+                    for a, b in zip(cuts, cuts[1:]):
+                        if not placed[a]:
+                            continue
+                        place, end = first + int(starts[a]) - skipped, first + int(starts[b]) - skipped if b < k else at << 16 | len(held)
+                        own = bins[ref[a]].setdefault(int(number[a]), [])
+                        if own and own[-1][1] == place:
+                            own[-1][1] = end
                         else:
-                            stretches.append([place, at << 16 | len(held)])
-                        for w in range(r["position"] - 1 >> 14, (r["position"] - 1 + max(0, len(r["sread"]) - 1) >> 14) + 1):
-                            line[ref].setdefault(w, place)
+                            own.append([place, end])
+                        for w in range(int(low[a]), int(high[a]) + 1):
+                            line[ref[a]].setdefault(w, place)
+                    i = k
             at += f.write(block(held)) if held else 0
             f.write(block(b""))
         with open(f"{draft}.bai", "wb") as f:

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandmill.errors import InputError
@@ -86,6 +87,23 @@ def test_records_longer_than_splits(spark, tmp_path):
         assert got == given, split
 
 
+def test_rows_are_encoded_at_once():
+    """Batches give the bytes of the rows, also where letters are other than ASCII, which rows are encoded one by one."""
+    rnd = random.Random(8)
+    schema = pa.schema([("id", pa.string()), ("sread", pa.string()), ("qual", pa.string()), ("chromosome", pa.string()), ("position", pa.int32()), ("strand", pa.string()), ("align_quality", pa.float64())])
+    for letters, plain in (("ACGTN=acx-", True), ("ACGTé", False)):
+        given = []
+        for w in [0, 1, 2, 31, 300] * 20:
+            given.append((f"r{w}", "".join(rnd.choice(letters) for _ in range(w)), "".join(chr(33 + rnd.randint(0, 93)) for _ in range(w)), rnd.choice([None, "a", "b"]), rnd.choice([None, 0, 1, 16_384, 16_385, 1 << 20, (1 << 29) - 5]), rnd.choice([None, "+", "-"]), rnd.choice([None, 0.0, 3.9, 255.0])))
+        batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in given], schema=schema).slice(3)
+        data, at = bam.encoded_rows({"a": 0, "b": 1}, batch)
+        assert (bam._encoded_at_once({"a": 0, "b": 1}, batch) is not None) == plain
+        assert [data[a:b] for a, b in zip(at, at[1:])] == [bam.encoded({"a": 0, "b": 1}, *r) for r in given[3:]]
+    assert bam.encoded_rows({}, batch.slice(0, 0))[0] == b""
+    with pytest.raises(KeyError):
+        bam.encoded_rows({"b": 0}, batch)
+
+
 def test_small_ranges_share_tasks(spark, tmp_path):
     """Ranges of a few bytes are no more tasks than a bounded number, and give the same rows."""
     to = str(tmp_path / "many")
